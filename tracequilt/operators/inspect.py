@@ -344,9 +344,11 @@ def nearest_point(findings: DataFrame, timeline: DataFrame) -> DataFrame:
         F.col("second").alias("_point"),
     )
     stream = marks.unionByName(axis)
-    order = Window.partitionBy("capture_id").orderBy("_at")
-    before = F.last("_point", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("_point", ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    frame = (Window.unboundedPreceding, Window.currentRow)
+    forward = Window.partitionBy("capture_id").orderBy("_at").rangeBetween(*frame)
+    backward = Window.partitionBy("capture_id").orderBy(F.col("_at").desc()).rangeBetween(*frame)
+    before = F.last("_point", ignorenulls=True).over(forward)
+    after = F.last("_point", ignorenulls=True).over(backward)
     both = stream.withColumns({"_before": before, "_after": after}).where(F.col("dedupe_key").isNotNull())
     near = (
         F.when(F.col("_before").isNull(), F.col("_after"))
