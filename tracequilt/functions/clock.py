@@ -1,48 +1,47 @@
-"""Time columns.  Canonical time is ``ts_us``: BIGINT microseconds since the epoch, UTC."""
+"""Time.  Canonical time is ``ts_us``: BIGINT microseconds since the epoch, UTC."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 MICROS = 1_000_000
+DAY = 86_400 * MICROS
 
 
-def floor_div(value: Column, unit: int) -> Column:
-    """Floor division in integers (Spark's ``/`` would go through DOUBLE)."""
-    return F.call_function("div", value - F.pmod(value, F.lit(unit)), F.lit(unit))
+def floor_div(x: str, unit: int) -> str:
+    """Integer floor division, also before the epoch."""
+    return f"(({x} - pmod({x}, {unit})) div {unit})"
 
 
-def second_of(us: Column) -> Column:
-    """The tick second of an instant (floor, also before the epoch)."""
+def second_of(us: str) -> str:
+    """The tick second of an instant."""
     return floor_div(us, MICROS)
 
 
-def micros_of(seconds: Column, micros: Column) -> Column:
+def micros_of(seconds: str, micros: str) -> str:
     """(seconds, microseconds) pair to an instant; negative microseconds count as zero."""
-    return seconds * F.lit(MICROS) + F.greatest(micros, F.lit(0))
+    return f"({seconds} * {MICROS} + greatest({micros}, 0))"
 
 
-def ntz_micros(column: str) -> Column:
-    """Microseconds of a TIMESTAMP_NTZ column read as UTC, whatever the session zone is."""
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {column})")
+def ntz_micros(ts: str) -> str:
+    """Microseconds of a TIMESTAMP_NTZ read as UTC, whatever the session zone is."""
+    return (
+        f"(unix_date(CAST({ts} AS DATE)) * {DAY}L + hour({ts}) * 3600000000L + minute({ts}) * 60000000L"
+        f" + CAST(extract(SECOND FROM {ts}) * {MICROS} AS BIGINT))"
+    )
 
 
-def epoch_millis(us: Column) -> Column:
+def epoch_millis(us: str) -> str:
     return floor_div(us, 1000)
 
 
-def rfc3339_millis(us: Column) -> Column:
+def rfc3339_millis(us: str) -> str:
     """``yyyy-MM-ddTHH:mm:ss.SSSZ`` in UTC, independent of the session time zone."""
-    day = F.date_add(F.lit("1970-01-01").cast("date"), floor_div(us, 86_400 * MICROS).cast("int"))
-    ms = epoch_millis(F.pmod(us, F.lit(86_400 * MICROS)))
-
-    def two(value: Column) -> Column:
-        return F.lpad(value.cast("string"), 2, "0")
-
-    return F.concat(
-        F.date_format(day, "yyyy-MM-dd"), F.lit("T"),
-        two(floor_div(ms, 3_600_000)), F.lit(":"),
-        two(floor_div(F.pmod(ms, F.lit(3_600_000)), 60_000)), F.lit(":"),
-        two(floor_div(F.pmod(ms, F.lit(60_000)), 1000)), F.lit("."),
-        F.lpad(F.pmod(ms, F.lit(1000)).cast("string"), 3, "0"), F.lit("Z"),
+    day = f"date_format(date_from_unix_date(CAST({floor_div(us, DAY)} AS INT)), 'yyyy-MM-dd')"
+    ms = f"(pmod({us}, {DAY}) div 1000)"
+
+    def two(x: str) -> str:
+        return f"lpad(CAST({x} AS STRING), 2, '0')"
+
+    return (
+        f"concat({day}, 'T', {two(f'{ms} div 3600000')}, ':', {two(f'({ms} % 3600000) div 60000')}, ':',"
+        f" {two(f'({ms} % 60000) div 1000')}, '.', lpad(CAST({ms} % 1000 AS STRING), 3, '0'), 'Z')"
     )

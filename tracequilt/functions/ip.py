@@ -1,4 +1,4 @@
-"""IP addresses as Columns.
+"""IP addresses.
 
 Tables carry addresses as BINARY (4 or 16 bytes): smaller to shuffle than text,
 and byte order is numeric order.  Text is rendered after aggregation.
@@ -8,159 +8,134 @@ from __future__ import annotations
 
 import ipaddress
 
-from pyspark.sql import Column, functions as F
+from . import any_of, let
 
-from . import octets
 
+def address(value: str) -> str:
+    """BINARY literal of an address."""
+    return f"X'{ipaddress.ip_address(value).packed.hex()}'"
 
-def _lit(address: str) -> Column:
-    return F.expr(f"X'{ipaddress.ip_address(address).packed.hex()}'")
+
+def _range(x: str, cidr: str) -> str:
+    net = ipaddress.ip_network(cidr, strict=False)
+    low, high = net.network_address.packed.hex(), net.broadcast_address.packed.hex()
+    return f"{x} = X'{low}'" if low == high else f"{x} BETWEEN X'{low}' AND X'{high}'"
 
 
-def in_network(ip: Column, cidr: str) -> Column:
+def in_network(x: str, cidr: str) -> str:
     """True when the binary address lies in ``cidr``."""
-    net = ipaddress.ip_network(cidr, strict=False)
-    return (
-        (F.length(ip) == len(net.network_address.packed))
-        & (ip >= _lit(str(net.network_address)))
-        & (ip <= _lit(str(net.broadcast_address)))
-    )
+    size = ipaddress.ip_network(cidr, strict=False).max_prefixlen // 8
+    return f"(length({x}) = {size} AND {_range(x, cidr)})"
 
 
-def from_text(text: Column) -> Column:
+def from_text(x: str) -> str:
     """Address text to BINARY; null for anything that is not an address."""
-    octet = [
-        F.substring_index(F.substring_index(text, ".", i), ".", -1).try_cast("bigint")
-        for i in range(1, 5)
-    ]
-    packed = (
-        F.lit(1 << 32)
-        + F.shiftleft(octet[0], 24)
-        + F.shiftleft(octet[1], 16)
-        + F.shiftleft(octet[2], 8)
-        + octet[3]
+    octet = [f"try_cast(substring_index(substring_index({x}, '.', {i}), '.', -1) AS BIGINT)" for i in range(1, 5)]
+    packed = f"4294967296 + {octet[0]} * 16777216 + {octet[1]} * 65536 + {octet[2]} * 256 + {octet[3]}"
+    return (
+        f"CASE WHEN contains({x}, ':') THEN {_v6_from_text(x)}"
+        f" WHEN {x} RLIKE '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$' AND greatest({', '.join(octet)}) <= 255"
+        f" THEN unhex(substring(hex({packed}), 2, 8)) END"
     )
-    v4 = F.when(
-        text.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & (F.greatest(*octet) <= 255),
-        F.unhex(F.substring(F.hex(packed), 2, 8)),
+
+
+def _v6_from_text(x: str) -> str:
+    quad = [f"lpad(hex(try_cast(substring_index(substring_index(q, '.', {i}), '.', -1) AS BIGINT)), 2, '0')" for i in range(1, 5)]
+    # a dotted tail becomes two ordinary groups
+    dotted = let(
+        f"substring_index({x}, ':', -1)", "q",
+        f"concat(substring({x}, 1, length({x}) - length(q)), {quad[0]}, {quad[1]}, ':', {quad[2]}, {quad[3]})",
     )
-    return F.when(F.contains(text, F.lit(":")), _v6_from_text(text)).otherwise(v4)
-
-
-def _v6_from_text(text: Column) -> Column:
-    tail = F.substring_index(text, ":", -1)
-    quad = [
-        F.lpad(F.hex(F.substring_index(F.substring_index(tail, ".", i), ".", -1).try_cast("bigint")), 2, "0")
-        for i in range(1, 5)
-    ]
-    plain = F.when(
-        F.contains(tail, F.lit(".")),
-        F.concat(
-            F.substring(text, F.lit(1), F.length(text) - F.length(tail)),
-            quad[0], quad[1], F.lit(":"), quad[2], quad[3],
-        ),
-    ).otherwise(text)
-
-    def groups(half: Column) -> Column:
-        return F.filter(F.split(F.coalesce(half, F.lit("")), ":"), lambda g: g != "")
-
-    halves = F.split(plain, "::")
-    left, right = groups(F.try_element_at(halves, F.lit(1))), groups(F.try_element_at(halves, F.lit(2)))
-    missing = F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0))
-    digits = F.array_join(
-        F.transform(F.concat(left, F.array_repeat(F.lit("0"), missing), right), lambda g: F.lpad(g, 4, "0")),
-        "",
+    plain = f"CASE WHEN contains({x}, '.') THEN {dotted} ELSE {x} END"
+    halves = [f"filter(split(coalesce(try_element_at(split(p, '::'), {i}), ''), ':'), g -> g <> '')" for i in (1, 2)]
+    filled = "concat(h[0], array_repeat('0', greatest(8 - size(h[0]) - size(h[1]), 0)), h[1])"
+    digits = let(
+        plain, "p", let(f"array({halves[0]}, {halves[1]})", "h", f"array_join(transform({filled}, g -> lpad(g, 4, '0')), '')")
     )
-    return F.when(digits.rlike("^[0-9A-Fa-f]{32}$"), F.unhex(digits))
+    return let(digits, "d", "CASE WHEN d RLIKE '^[0-9A-Fa-f]{32}$' THEN unhex(d) END")
 
 
-def to_text(ip: Column) -> Column:
+def to_text(x: str) -> str:
     """BINARY address to canonical text (RFC 5952 short form for IPv6)."""
-    return F.when(F.length(ip) == 4, _v4_text(ip)).when(F.length(ip) == 16, _v6_text(ip))
+    return f"CASE WHEN length({x}) = 4 THEN {_v4_text(x)} WHEN length({x}) = 16 THEN {_v6_text(x)} END"
 
 
-def _v4_text(ip: Column) -> Column:
-    n = F.conv(F.hex(ip), 16, 10).cast("bigint")
-    return F.concat_ws(".", *[F.shiftright(n, s).bitwiseAND(F.lit(255)) for s in (24, 16, 8, 0)])
+def _v4_text(x: str) -> str:
+    return "concat_ws('.', " + ", ".join(f"conv(hex(substring({x}, {i}, 1)), 16, 10)" for i in range(1, 5)) + ")"
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it many times inside ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _short_v6(plain: Column) -> Column:
+def _v6_text(x: str) -> str:
     # The longest run of two or more zero groups becomes "::", the first one on a tie.
-    short = plain
-    for run in range(2, 9):
-        pattern = rf"^(.*?)(?:^|:)0(?::0){{{run - 1}}}(?::|$)(.*)$"
-        short = F.when(plain.rlike(pattern), F.regexp_replace(plain, pattern, "$1::$2")).otherwise(short)
-    return short
+    cases = []
+    for run in range(8, 1, -1):
+        pattern = f"^(.*?)(?:^|:)0(?::0){{{run - 1}}}(?::|$)(.*)$"
+        cases.append(f"WHEN p RLIKE '{pattern}' THEN regexp_replace(p, '{pattern}', '$1::$2')")
+    short = f"CASE {' '.join(cases)} ELSE p END"
+    groups = "concat_ws(':', transform(sequence(0, 7), i -> substring(d, i * 4 + 1, 4)))"
+    plain = f"regexp_replace({groups}, '(^|:)0{{1,3}}(?=[0-9a-f])', '$1')"
+    mapped = f"concat('::ffff:', {_v4_text(f'substring({x}, 13, 4)')})"
+    return let(
+        f"lower(hex({x}))", "d",
+        f"CASE WHEN startswith(d, '00000000000000000000ffff') THEN {mapped} ELSE {let(plain, 'p', short)} END",
+    )
 
 
-def _v6_text(ip: Column) -> Column:
-    digits = F.lower(F.hex(ip))
-    groups = F.concat_ws(
-        ":", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substring(digits, i * 4 + 1, F.lit(4)))
-    )
-    plain = F.regexp_replace(groups, "(^|:)0{1,3}(?=[0-9a-f])", "$1")
-    return F.when(
-        F.startswith(digits, F.lit("00000000000000000000ffff")),
-        F.concat(F.lit("::ffff:"), _v4_text(F.substring(ip, 13, 4))),
-    ).otherwise(_let(plain, _short_v6))
+# --- fixed values: special address ranges by family
+_SCOPES = {
+    4: [("unspecified", ["0.0.0.0/32"]), ("loopback", ["127.0.0.0/8"]),
+        ("private", ["10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16"]), ("link_local", ["169.254.0.0/16"]),
+        ("broadcast", ["255.255.255.255/32"]), ("multicast", ["224.0.0.0/4"])],
+    16: [("unspecified", ["::/128"]), ("loopback", ["::1/128"]), ("private", ["fc00::/7"]),
+         ("link_local", ["fe80::/10"]), ("multicast", ["ff00::/8"])],
+}
+LOCAL_SCOPES = ("loopback", "private", "link_local")
 
 
-def scope(ip: Column) -> Column:
+def scope(x: str) -> str:
     """unspecified, loopback, private, link_local, multicast, broadcast or public."""
+    families = []
+    for size, scopes in _SCOPES.items():
+        whens = " ".join(f"WHEN {any_of([_range(x, n) for n in nets])} THEN '{name}'" for name, nets in scopes)
+        families.append(f"WHEN length({x}) = {size} THEN CASE {whens} ELSE 'public' END")
+    return f"CASE {' '.join(families)} END"
 
-    def nets(*cidrs: str) -> Column:
-        hit = in_network(ip, cidrs[0])
-        for cidr in cidrs[1:]:
-            hit = hit | in_network(ip, cidr)
-        return hit
 
-    return (
-        F.when(nets("0.0.0.0/32", "::/128"), "unspecified")
-        .when(nets("127.0.0.0/8", "::1/128"), "loopback")
-        .when(nets("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "fc00::/7"), "private")
-        .when(nets("169.254.0.0/16", "fe80::/10"), "link_local")
-        .when(nets("255.255.255.255/32"), "broadcast")
-        .when(nets("224.0.0.0/4", "ff00::/8"), "multicast")
-        .when(ip.isNotNull(), "public")
-    )
+def in_scopes(x: str, *names: str) -> str:
+    """Membership in some scopes, without naming the scope."""
+    families = []
+    for size, scopes in _SCOPES.items():
+        nets = [_range(x, n) for name, cidrs in scopes if name in names for n in cidrs]
+        families.append(f"WHEN length({x}) = {size} THEN {any_of(nets)}")
+    return f"(CASE {' '.join(families)} END)"
 
 
-def is_loopback(ip: Column) -> Column:
-    return in_network(ip, "127.0.0.0/8") | in_network(ip, "::1/128")
+def is_loopback(x: str) -> str:
+    return in_scopes(x, "loopback")
 
 
-def is_unspecified(ip: Column) -> Column:
-    return in_network(ip, "0.0.0.0/32") | in_network(ip, "::/128")
+def is_unspecified(x: str) -> str:
+    return in_scopes(x, "unspecified")
 
 
-def is_local_side(ip: Column) -> Column:
+def is_local_side(x: str) -> str:
     """Private, link-local or loopback: the rule for orientation, direction and labels."""
-    return scope(ip).isin("loopback", "private", "link_local")
+    return in_scopes(x, *LOCAL_SCOPES)
 
 
-def has_public_name(ip: Column) -> Column:
+def has_public_name(x: str) -> str:
     """Addresses worth a reverse lookup: not private, link-local or of a special scope."""
-    return scope(ip) == "public"
+    return f"({scope(x)} = 'public')"
 
 
-def order_key(ip: Column) -> list[Column]:
-    """Sort columns: IPv4 before IPv6, then numeric."""
-    return [F.length(ip), ip]
+def order_key(x: str) -> list[str]:
+    """Sort expressions: IPv4 before IPv6, then numeric."""
+    return [f"length({x})", x]
 
 
-def after(left_ip: Column, left_port: Column, right_ip: Column, right_port: Column) -> Column:
+def after(left: str, left_port: str, right: str, right_port: str) -> str:
     """(left ip, left port) sorts after (right ip, right port); a missing port sorts first."""
-    l_len, r_len = F.length(left_ip), F.length(right_ip)
     return (
-        F.when(l_len != r_len, l_len > r_len)
-        .when(left_ip != right_ip, left_ip > right_ip)
-        .otherwise(F.coalesce(left_port, F.lit(-1)) > F.coalesce(right_port, F.lit(-1)))
+        f"(CASE WHEN length({left}) <> length({right}) THEN length({left}) > length({right})"
+        f" WHEN {left} <> {right} THEN {left} > {right}"
+        f" ELSE coalesce({left_port}, -1) > coalesce({right_port}, -1) END)"
     )
-
-
-prefix_int = octets.be_int

@@ -1,38 +1,36 @@
-"""Integer reads from BINARY and hex-text columns."""
+"""Integer reads from BINARY and hex-text expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
 
+def be_int(data: str, offset: int, size: int) -> str:
+    """Big-endian unsigned integer at a fixed byte offset of a BINARY."""
+    return f"CAST(conv(hex(substring({data}, {offset + 1}, {size})), 16, 10) AS BIGINT)"
 
-def be_int(data: Column, offset: int, size: int) -> Column:
-    """Big-endian unsigned integer at a fixed byte offset of a BINARY column."""
-    return F.conv(F.hex(F.substring(data, offset + 1, size)), 16, 10).cast("bigint")
 
+def chunk(data: str, at: str, size: int) -> str:
+    """Hex text of ``size`` bytes at a byte offset (shorter at the end of the data)."""
+    return f"hex(substring({data}, CAST({at} + 1 AS INT), {size}))"
 
-def hex_int(digits: Column, offset: Column | int, size: int) -> Column:
-    """Big-endian unsigned integer at a byte offset of a hex-text column; null past its end."""
-    at = F.lit(offset) if isinstance(offset, int) else offset
-    piece = F.substring(digits, at * 2 + 1, F.lit(size * 2))
-    return F.when(
-        (at >= 0) & (F.length(piece) == size * 2), F.conv(piece, 16, 10).cast("bigint")
-    )
+
+def hex_at(digits: str, offset: int, size: int) -> str:
+    """Unsigned integer at a fixed byte offset of hex text known to be long enough."""
+    return f"CAST(conv(substring({digits}, {offset * 2 + 1}, {size * 2}), 16, 10) AS BIGINT)"
 
 
-def hex_int_le(digits: Column, offset: Column | int, size: int) -> Column:
-    """Little-endian variant of :func:`hex_int`."""
-    at = F.lit(offset) if isinstance(offset, int) else offset
-    total = hex_int(digits, at, 1)
-    for i in range(1, size):
-        total = total + F.shiftleft(hex_int(digits, at + i, 1), 8 * i)
-    return total
+def hex_at_le(digits: str, offset: int, size: int) -> str:
+    """Little-endian variant of :func:`hex_at`."""
+    swapped = ", ".join(f"substring({digits}, {(offset + i) * 2 + 1}, 2)" for i in reversed(range(size)))
+    return f"CAST(conv(concat({swapped}), 16, 10) AS BIGINT)"
 
 
-def hex_slice(digits: Column, offset: Column, size: Column | int) -> Column:
-    """Bytes ``offset .. offset+size`` of a hex-text column as BINARY."""
-    count = F.lit(size) if isinstance(size, int) else size
-    return F.unhex(F.substring(digits, offset * 2 + 1, count * 2))
+def hex_int(digits: str, offset: str, size: int) -> str:
+    """Unsigned integer at a computed byte offset of hex text; null when it runs past the end."""
+    return (
+        f"CASE WHEN {offset} >= 0 AND ({offset} + {size}) * 2 <= length({digits}) THEN"
+        f" CAST(conv(substring({digits}, CAST(({offset}) * 2 + 1 AS INT), {size * 2}), 16, 10) AS BIGINT) END"
+    )
 
 
-def has_flag(flags: Column, mask: int) -> Column:
-    return flags.bitwiseAND(F.lit(mask)) != 0
+def has_flag(flags: str, mask: int) -> str:
+    return f"(({flags} & {mask}) <> 0)"

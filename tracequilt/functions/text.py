@@ -2,85 +2,83 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+from collections.abc import Iterable
 
-from pyspark.sql import Column, functions as F
+from . import any_of, lit
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-def ascii_lower(value: Column) -> Column:
+
+def ascii_lower(x: str) -> str:
     """Lower-case A-Z only, as the server-side filters do."""
-    return F.translate(value, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return f"translate({x}, '{_UPPER}', '{_LOWER}')"
+
+
+def _fold_ascii(value: str) -> str:
+    return value.translate(str.maketrans(_UPPER, _LOWER))
 
 
-def _py_ascii_lower(value: str) -> str:
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in value)
+def or_empty(x: str) -> str:
+    return f"coalesce({x}, '')"
 
 
-def blank_or_contains(wanted: str | None, value: Column) -> Column:
+def blank_or_contains(wanted: str | None, x: str) -> str:
     """A blank filter passes everything; otherwise case-insensitive 'contains'."""
     token = (wanted or "").strip()
-    if not token:
-        return F.lit(True)
-    return F.contains(ascii_lower(F.coalesce(value, F.lit(""))), F.lit(_py_ascii_lower(token)))
+    return f"contains({ascii_lower(or_empty(x))}, {lit(_fold_ascii(token))})" if token else "true"
 
 
-def folded_contains(value: Column, token: str) -> Column:
+def folded_contains(x: str, token: str) -> str:
     """Contains, ignoring case over all of Unicode (the client-side rule)."""
-    return F.contains(F.lower(F.coalesce(value, F.lit(""))), F.lit(token.strip().lower()))
+    return f"contains(lower({or_empty(x)}), {lit(token.strip().lower())})"
 
 
-def any_pattern(value: Column, patterns: list[str]) -> Column:
-    """Some non-blank pattern is a case-insensitive substring of ``value``.
+def any_pattern(x: str, patterns: Iterable[str]) -> str:
+    """Some non-blank pattern is a case-insensitive substring of ``x``.
 
-    Patterns are driver-side configuration, so they become one array literal and
-    the test runs inside the scan: no join.
+    Patterns are driver-side configuration, so the test runs inside the scan: no join.
     """
-    tokens = sorted({_py_ascii_lower(p.strip()) for p in patterns if p.strip()})
-    if not tokens:
-        return F.lit(False)
-    text = ascii_lower(F.coalesce(value, F.lit("")))
-    if len(tokens) <= 8:
-        return reduce(or_, [F.contains(text, F.lit(t)) for t in tokens])
-    return F.exists(F.array(*[F.lit(t) for t in tokens]), lambda t: F.contains(text, t))
-
-
-def blank_to_empty(value: Column) -> Column:
-    return F.coalesce(value, F.lit(""))
+    tokens = sorted({_fold_ascii(p.strip()) for p in patterns if p.strip()})
+    folded = ascii_lower(or_empty(x))
+    if len(tokens) > 8:
+        return f"exists(array({', '.join(lit(t) for t in tokens)}), t -> contains({folded}, t))"
+    return any_of([f"contains({folded}, {lit(t)})" for t in tokens])
 
 
-def owner_code(label: Column) -> Column:
+def owner_code(label: str) -> str:
     """Short owner code at the head of a label such as ``US · United States``."""
-    norm = F.trim(F.coalesce(label, F.lit("")))
-    dot = F.instr(norm, "·")
-    cut = F.when(dot > 0, dot).otherwise(F.instr(norm, " "))
-    code = F.trim(F.when(cut > 1, F.substring(norm, F.lit(1), cut - 1)).otherwise(norm))
-    return F.when(F.length(code).between(2, 6), F.upper(code)).otherwise(F.lit(""))
+    norm = f"trim({or_empty(label)})"
+    cut = f"CASE WHEN instr({norm}, '·') > 0 THEN instr({norm}, '·') ELSE instr({norm}, ' ') END"
+    code = f"trim(CASE WHEN {cut} > 1 THEN substring({norm}, 1, {cut} - 1) ELSE {norm} END)"
+    return f"CASE WHEN length({code}) BETWEEN 2 AND 6 THEN upper({code}) ELSE '' END"
 
 
-def display_name(address: Column, owner_label: Column, hostname: Column, sni: Column) -> Column:
+def display_name(address: str, owner_label: str, hostname: str, sni: str) -> str:
     """SNI, else PTR name, else address; followed by the owner code when there is one."""
-    host = F.trim(F.coalesce(address, F.lit("")))
-    name = F.coalesce(
-        F.nullif(F.trim(F.coalesce(sni, F.lit(""))), F.lit("")), F.trim(F.coalesce(hostname, F.lit("")))
-    )
-    shown = F.when((name != "") & (F.lower(name) != F.lower(host)), name).otherwise(host)
-    return F.concat_ws(" · ", shown, F.nullif(owner_code(owner_label), F.lit("")))
+    host = f"trim({or_empty(address)})"
+    name = f"coalesce(nullif(trim({or_empty(sni)}), ''), trim({or_empty(hostname)}))"
+    shown = f"CASE WHEN {name} <> '' AND lower({name}) <> lower({host}) THEN {name} ELSE {host} END"
+    return f"concat_ws(' · ', {shown}, nullif({owner_code(owner_label)}, ''))"
 
 
-def process_label(name: Column, pid: Column) -> Column:
-    blank = F.trim(F.coalesce(name, F.lit(""))) == ""
+def process_label(name: str, pid: str) -> str:
     return (
-        F.when(blank, F.lit("—"))
-        .when(F.coalesce(pid, F.lit(0)) == 0, name)
-        .otherwise(F.concat_ws(" · ", name, pid.cast("string")))
+        f"CASE WHEN trim({or_empty(name)}) = '' THEN '—' WHEN coalesce({pid}, 0) = 0 THEN {name}"
+        f" ELSE concat_ws(' · ', {name}, CAST({pid} AS STRING)) END"
     )
 
 
-def bundle_name(path: Column) -> Column:
+def bundle_name(path: str) -> str:
     """Last path component before the first ``.app``, without the suffix."""
-    return F.regexp_extract(F.coalesce(path, F.lit("")), r"([^/]+?)(?:\.app)+(?:/|$)", 1)
+    return f"regexp_extract({or_empty(path)}, '([^/]+?)(?:[.]app)+(?:/|$)', 1)"
+
+
+def endpoint(ip_text: str, port: str) -> str:
+    return f"concat({ip_text}, ':', CAST(coalesce({port}, 0) AS STRING))"
+
 
+def looks_peer_to_peer(service: str) -> str:
+    """Service names of peer-to-peer traffic."""
+    from ..constants import SERVICE_NEEDLES
 
-def endpoint(ip_text: Column, port: Column) -> Column:
-    return F.concat_ws(":", ip_text, F.coalesce(port, F.lit(0)).cast("string"))
+    return f"({any_pattern(service, SERVICE_NEEDLES)} OR {ascii_lower(or_empty(service))} = 'dht')"

@@ -1,4 +1,4 @@
-"""Server name of a TLS ClientHello, as one Column expression.
+"""Server name of a TLS ClientHello, as one SQL expression.
 
 The payload window is read as hex text.  Two bounded folds walk the extension
 list and the name list; they run only for rows whose payload looks like a
@@ -7,108 +7,71 @@ ClientHello (the CASE guards them), so ordinary packets never pay for them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 from .. import constants as C
+from . import let
 from .octets import hex_int
 
-
-def _let(value: Column, body) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
+_NONE = "named_struct('pos', CAST({start} AS BIGINT), 'done', false, 'at', -1L, 'size', 0L)"
 
 
-def _walk(hello: Column, start: Column, stop: Column, head: int, size_at: int, wanted, steps: int) -> Column:
-    """First list entry for which ``wanted(type)`` holds: struct(at, size), at = -1 if none.
+def _walk(start: str, stop: str, head: int, kind_size: int, wanted: str, steps: int) -> str:
+    """First list entry with ``wanted``: struct whose ``at`` is -1 if there is none.
 
-    An entry is ``head`` bytes (its last two are the length) and a body; an entry
-    that does not fit ends the walk.
+    An entry is ``head`` bytes (type, then a two-byte length) and a body.  One
+    that does not fit ends the walk.  ``wanted`` sees ``k`` (type), ``e.pos``
+    and ``n`` (length).
     """
-
-    def step(state: Column, _: Column) -> Column:
-        pos = state["pos"]
-        size = hex_int(hello, pos + size_at, 2)
-        fits = (pos + head <= stop) & (pos + head + size <= stop)
-        match = fits & wanted(hex_int(hello, pos, 2 if head == 4 else 1), pos + head, size)
-        return F.when(state["done"], state).otherwise(
-            F.struct(
-                F.when(F.coalesce(fits, F.lit(False)), pos + head + size).otherwise(pos).alias("pos"),
-                (~F.coalesce(fits, F.lit(False)) | F.coalesce(match, F.lit(False))).alias("done"),
-                F.when(F.coalesce(match, F.lit(False)), pos + head).otherwise(F.lit(-1).cast("bigint")).alias("at"),
-                F.when(F.coalesce(match, F.lit(False)), size).otherwise(F.lit(0).cast("bigint")).alias("size"),
-            )
-        )
-
-    begin = F.struct(
-        start.cast("bigint").alias("pos"), F.lit(False).alias("done"),
-        F.lit(-1).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("size"),
+    inner = let(
+        f"named_struct('n', {hex_int('t', f'e.pos + {kind_size}', 2)}, 'k', {hex_int('t', 'e.pos', kind_size)})", "v",
+        let(
+            f"coalesce(e.pos + {head} + v.n <= {stop}, false)", "fits",
+            let(
+                f"coalesce(fits AND {wanted}, false)", "hit",
+                f"named_struct('pos', CASE WHEN fits THEN e.pos + {head} + v.n ELSE e.pos END, 'done', NOT fits OR hit,"
+                f" 'at', CASE WHEN hit THEN e.pos + {head} ELSE -1L END, 'size', CASE WHEN hit THEN v.n ELSE 0L END)",
+            ),
+        ),
     )
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), begin, step)
-
-
-def _trimmed(hello: Column, at: Column, size: Column) -> Column:
-    """Name text of a list entry; null when it is not UTF-8."""
-    raw = F.unhex(F.substring(hello, (at * 2 + 1).cast("int"), (size * 2).cast("int")))
-    return F.regexp_replace(F.try_validate_utf8(raw.cast("string")), r"^\s+|\s+$", "")
-
-
-def _from_hello(hello: Column, end: Column, window: int) -> Column:
-    def after(pos: Column, width: int) -> Column:
-        """Skip a length-prefixed field; null when its length byte is missing."""
-        return F.when(pos + width <= end, pos + width + hex_int(hello, pos, width))
-
-    ciphers = after(F.lit(9 + 34), 1)
-    compression = _let(ciphers, lambda p: after(p, 2))
-    extensions = _let(compression, lambda p: after(p, 1))
-
-    def in_extensions(pos: Column) -> Column:
-        stop = F.least(pos + 2 + hex_int(hello, pos, 2), end)
-        found = _walk(hello, pos + 2, stop, 4, 2, lambda kind, at, size: kind == 0, window // 4 + 1)
-        return _let(F.when(pos + 2 <= end, found), in_names)
+    return f"aggregate(sequence(1, {steps}), {_NONE.format(start=start)}, (e, i) -> CASE WHEN e.done THEN e ELSE {inner} END)"
 
-    def in_names(ext: Column) -> Column:
-        at = ext["at"]
-        stop = F.least(at + 2 + hex_int(hello, at, 2), at + ext["size"])
 
-        def usable(kind: Column, pos: Column, size: Column) -> Column:
-            name = _trimmed(hello, pos, size)
-            fits = (F.octet_length(name) > 0) & (F.octet_length(name) <= C.SNI_MAX_NAME)
-            # a host name that is not UTF-8 ends the search
-            return (kind == 0) & (name.isNull() | fits)
+def _name(at: str, size: str) -> str:
+    """Trimmed text of a list entry; null when it is not UTF-8."""
+    raw = f"CAST(unhex(substring(t, CAST(({at}) * 2 + 1 AS INT), CAST(({size}) * 2 AS INT))) AS STRING)"
+    return f"regexp_replace(try_validate_utf8({raw}), '^[ \\\\t\\\\r\\\\n\\\\x0B\\\\f]+|[ \\\\t\\\\r\\\\n\\\\x0B\\\\f]+$', '')"
 
-        entry = _walk(hello, at + 2, stop, 3, 1, usable, window // 3 + 1)
-        return _let(
-            F.when((at >= 0) & (ext["size"] >= 2), entry),
-            lambda e: F.when(e["at"] >= 0, _trimmed(hello, e["at"], e["size"])),
-        )
 
-    return _let(extensions, in_extensions)
-
-
-def server_name(payload: Column, window: int = C.SNI_WINDOW_DEFAULT) -> Column:
+def server_name(payload: str, window: int = C.SNI_WINDOW_DEFAULT) -> str:
     """SNI host name in the first ``window`` bytes of one TCP payload, else null.
 
     No reassembly: a truncated hello, or anything that is not one, gives null.
     """
     window = max(0, min(window, C.SNI_WINDOW_MAX))
-    if window == 0:
-        return F.lit(None).cast("string")
-    hello = F.hex(F.substring(payload, 1, window))
-
-    def parse(text: Column) -> Column:
-        size = div2(F.length(text))
-        end = F.least(F.lit(9) + hex_int(text, 6, 3), size)
-        # version and random must be inside the hello body
-        return F.when(end - 9 >= 34, _let(end, lambda e: _from_hello(text, e, window)))
-
-    looks_right = (
-        (F.substring(payload, 1, 1) == F.expr("X'16'"))
-        & (F.substring(payload, 6, 1) == F.expr("X'01'"))
-        & (F.length(payload) >= 9)
-    )
     if window < 9:
-        return F.lit(None).cast("string")
-    return F.when(looks_right, _let(hello, parse))
+        return "CAST(NULL AS STRING)"
 
+    def after(pos: str, width: int) -> str:
+        """Position past a length-prefixed field; null when the field leaves the hello."""
+        return f"CASE WHEN {pos} + {width} <= z THEN {pos} + {width} + {hex_int('t', pos, width)} END"
 
-def div2(value: Column) -> Column:
-    return F.shiftright(value, 1)
+    usable = f"v.k = 0 AND {let(_name('e.pos + 3', 'v.n'), 's', f's IS NULL OR octet_length(s) BETWEEN 1 AND {C.SNI_MAX_NAME}')}"
+    names = let(
+        _walk("x.at + 2", f"least(x.at + 2 + {hex_int('t', 'x.at', 2)}, x.at + x.size)", 3, 1, usable, window // 3 + 1),
+        "y", f"CASE WHEN y.at >= 0 THEN {_name('y.at', 'y.size')} END",
+    )
+    in_extension = f"CASE WHEN x.at >= 0 AND x.size >= 2 THEN {names} END"
+    extensions = let(
+        _walk("c + 2", f"least(c + 2 + {hex_int('t', 'c', 2)}, z)", 4, 2, "v.k = 0", window // 4 + 1), "x", in_extension
+    )
+    in_hello = let(
+        after("43", 1), "a",
+        let(after("a", 2), "b", let(after("b", 1), "c", f"CASE WHEN c + 2 <= z THEN {extensions} END")),
+    )
+    # 9 bytes of record and handshake header, then at least version and random
+    body = let(
+        f"least(9 + {hex_int('t', '6', 3)}, length(t) div 2)", "z", f"CASE WHEN z >= 43 THEN {in_hello} END"
+    )
+    return (
+        f"CASE WHEN length({payload}) >= 9 AND substring({payload}, 1, 1) = X'16' AND substring({payload}, 6, 1) = X'01'"
+        f" THEN {let(f'hex(substring({payload}, 1, {window}))', 't', body)} END"
+    )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
 from ..functions import ip, text
+from ..runtime import computed
 from . import classify
 from .rollup import FIN, INIT, RST, rollup
 
@@ -15,35 +16,23 @@ FLOW_KEY = ("a_bin", "b_bin", "a_port", "b_port", "proto")
 def classified(rolled: DataFrame, local_addresses: DataFrame | None = None, offline: bool = True) -> DataFrame:
     """Decoded rollup rows with direction, service, confidence rank and local flags."""
     sides = classify.with_local_sides(rolled.where("decoded"), local_addresses)
-    way = classify.direction(
-        F.col("src_bin"), F.col("dst_bin"), F.col("src_is_local"), F.col("dst_is_local"), offline
-    )
-    sides = sides.withColumn("direction", way)
-    name, rank = classify.service(
-        F.col("proto"), F.col("src_port"), F.col("dst_port"), F.col("arp_op"), F.col("direction")
-    )
-    return sides.withColumns({"service": name, "confidence_rank": rank})
+    return classify.with_service(computed(sides, direction=classify.direction(offline)))
+
 
+def _aggs(df: DataFrame, keys: list[str], aggregates: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.expr(a) for a in aggregates])
 
-def _way_sums() -> list[Column]:
-    def part(way: str, column: str) -> Column:
-        return F.sum(F.when(F.col("direction") == way, F.col(column)).otherwise(0))
 
-    return [
-        F.sum("packets").alias("packets"),
-        F.sum("bytes").alias("bytes"),
-        part("inbound", "packets").alias("packets_in"),
-        part("outbound", "packets").alias("packets_out"),
-        part("inbound", "bytes").alias("bytes_in"),
-        part("outbound", "bytes").alias("bytes_out"),
-    ]
+def _way(way: str, column: str) -> str:
+    return f"sum(CASE WHEN direction = '{way}' THEN {column} ELSE 0 END)"
 
 
-def _seen() -> list[Column]:
-    return [
-        F.min_by("first_us", "first_seq").alias("first_us"),
-        F.max_by("last_us", "last_seq").alias("last_us"),
-    ]
+WAY_SUMS = [
+    "sum(packets) AS packets", "sum(bytes) AS bytes",
+    f"{_way('inbound', 'packets')} AS packets_in", f"{_way('outbound', 'packets')} AS packets_out",
+    f"{_way('inbound', 'bytes')} AS bytes_in", f"{_way('outbound', 'bytes')} AS bytes_out",
+]
+SEEN = ["min_by(first_us, first_seq) AS first_us", "max_by(last_us, last_seq) AS last_us"]
 
 
 def flows(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -53,159 +42,120 @@ def flows(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     function of the flow key, so flow counters and session state come out of
     one aggregation and need no join.
     """
-    swap = classify.swap_endpoints(
-        F.col("src_bin"), F.col("dst_bin"), F.col("src_port"), F.col("dst_port"),
-        F.col("src_is_local"), F.col("dst_is_local"), F.col("has_locals"),
-    )
-    # The sides trade places with the endpoints.
-    oriented = rows.withColumn("_swap", swap).withColumns(
-        {
-            "a_bin": F.when(F.col("_swap"), F.col("dst_bin")).otherwise(F.col("src_bin")),
-            "b_bin": F.when(F.col("_swap"), F.col("src_bin")).otherwise(F.col("dst_bin")),
-            "a_port": F.when(F.col("_swap"), F.col("dst_port")).otherwise(F.col("src_port")),
-            "b_port": F.when(F.col("_swap"), F.col("src_port")).otherwise(F.col("dst_port")),
-            "a_is_local": F.when(F.col("_swap"), F.col("dst_is_local")).otherwise(F.col("src_is_local")),
-            "b_is_local": F.when(F.col("_swap"), F.col("src_is_local")).otherwise(F.col("dst_is_local")),
-            # 1 = the flow's first endpoint sent the packets of this rollup row
-            "_by_a": F.when(F.col("_swap"), 0).otherwise(1),
-            # packets of a tracked TCP session; null elsewhere, which the aggregates skip
-            "_tseq": F.when(F.col("tracked"), F.col("last_seq")),
-            "_tfirst": F.when(F.col("tracked"), F.col("first_seq")),
-        }
-    )
-    tracked_sum = lambda c: F.sum(F.when(F.col("tracked"), F.col(c)).otherwise(0))
-    grouped = oriented.groupBy("capture_id", *by, *FLOW_KEY).agg(
-        *_way_sums(),
-        *_seen(),
-        F.max("a_is_local").alias("a_is_local"),
-        F.max("b_is_local").alias("b_is_local"),
-        F.max("has_locals").alias("has_locals"),
-        F.min_by("sni", F.when(F.col("sni").isNotNull(), F.col("first_seq"))).alias("sni"),
-        tracked_sum("packets").alias("tcp_packets"),
-        tracked_sum("bytes").alias("tcp_bytes"),
-        F.sum("payload_bytes").alias("tcp_payload_bytes"),
-        F.sum("syn_count").alias("syn_count"),
-        F.sum("fin_count").alias("fin_count"),
-        F.sum("rst_count").alias("rst_count"),
-        F.min_by("first_us", "_tfirst").alias("tcp_first_us"),
-        F.max_by("last_us", "_tseq").alias("tcp_last_us"),
-        F.max_by("payload_us", "payload_seq").alias("tcp_payload_us"),
-        F.max_by("last_class", "_tseq").alias("_last"),
-        F.max_by("other_class", "other_seq").alias("_other"),
-        F.max_by("_by_a", "init_seq").alias("initiator_is_a"),
+    def side(name: str, src: str, dst: str, flipped: bool = False) -> str:
+        first, second = (src, dst) if flipped else (dst, src)
+        return f"CASE WHEN _swap THEN {first} ELSE {second} END AS {name}"
+
+    oriented = rows.selectExpr("*", f"{classify.swap_endpoints()} AS _swap").selectExpr(
+        "*",
+        side("a_bin", "src_bin", "dst_bin"), side("b_bin", "src_bin", "dst_bin", True),
+        side("a_port", "src_port", "dst_port"), side("b_port", "src_port", "dst_port", True),
+        side("a_is_local", "src_is_local", "dst_is_local"), side("b_is_local", "src_is_local", "dst_is_local", True),
+        # 1 = the flow's first endpoint sent the packets of this rollup row
+        "CASE WHEN _swap THEN 0 ELSE 1 END AS _by_a",
+        # order of the packets of a tracked TCP session; null elsewhere, which aggregates skip
+        "CASE WHEN tracked THEN last_seq END AS _tlast", "CASE WHEN tracked THEN first_seq END AS _tfirst",
     )
+
+    def tracked(column: str) -> str:
+        return f"sum(CASE WHEN tracked THEN {column} ELSE 0 END)"
+
+    grouped = _aggs(oriented, ["capture_id", *by, *FLOW_KEY], [
+        *WAY_SUMS, *SEEN,
+        "bool_or(a_is_local) AS a_is_local", "bool_or(b_is_local) AS b_is_local", "bool_or(has_locals) AS has_locals",
+        "min_by(sni, CASE WHEN sni IS NOT NULL THEN first_seq END) AS sni",
+        f"{tracked('packets')} AS tcp_packets", f"{tracked('bytes')} AS tcp_bytes",
+        "sum(payload_bytes) AS tcp_payload_bytes",
+        "sum(syn_count) AS syn_count", "sum(fin_count) AS fin_count", "sum(rst_count) AS rst_count",
+        "min_by(first_us, _tfirst) AS tcp_first_us", "max_by(last_us, _tlast) AS tcp_last_us",
+        "max_by(payload_us, payload_seq) AS tcp_payload_us",
+        "max_by(last_class, _tlast) AS _last", "max_by(other_class, other_seq) AS _other",
+        "max_by(_by_a, init_seq) AS initiator_is_a",
+    ])
     # The latest packet decides, except that a bare SYN cannot leave RST or FIN.
-    state = (
-        F.when(F.col("_last") != INIT, F.col("_last"))
-        .when(F.col("_other").isin(RST, FIN), F.col("_other"))
-        .otherwise(INIT)
+    state = f"CASE WHEN _last <> {INIT} THEN _last WHEN _other IN ({RST}, {FIN}) THEN _other ELSE {INIT} END"
+    labels = ", ".join(repr(s) for s in C.TCP_STATES)
+    kept = [c for c in grouped.columns if c not in ("_last", "_other")]
+    return grouped.selectExpr(
+        *kept, f"CASE WHEN tcp_packets > 0 THEN element_at(array({labels}), {state} + 1) END AS tcp_state"
     )
-    label = F.element_at(F.array(*[F.lit(s) for s in C.TCP_STATES]), state + 1)
-    return grouped.withColumn("tcp_state", F.when(F.col("tcp_packets") > 0, label)).drop("_last", "_other")
 
 
 def tcp_sessions(flow_rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """TCP sessions: a projection of the flows, endpoints ordered by address text then port."""
-    named = flow_rows.where(F.col("tcp_packets") > 0).withColumns(
-        {"_a": ip.to_text(F.col("a_bin")), "_b": ip.to_text(F.col("b_bin"))}
-    )
-    flip = F.struct("_a", "a_port") > F.struct("_b", "b_port")
-
-    def pick(left: str, right: str) -> tuple[Column, Column]:
-        return (
-            F.when(flip, F.col(right)).otherwise(F.col(left)),
-            F.when(flip, F.col(left)).otherwise(F.col(right)),
-        )
-
-    a_ip, b_ip = pick("_a", "_b")
-    a_bin, b_bin = pick("a_bin", "b_bin")
-    a_port, b_port = pick("a_port", "b_port")
-    sender = F.when(
-        F.col("initiator_is_a").isNotNull(),
-        F.when(F.col("initiator_is_a") == 1, text.endpoint(F.col("_a"), F.col("a_port"))).otherwise(
-            text.endpoint(F.col("_b"), F.col("b_port"))
-        ),
-    )
-    return named.select(
+    named = computed(flow_rows.where("tcp_packets > 0"), _a=ip.to_text("a_bin"), _b=ip.to_text("b_bin"))
+    named = computed(named, _flip="(_a > _b OR (_a = _b AND a_port > b_port))")
+
+    def first(a: str, b: str) -> str:
+        return f"CASE WHEN _flip THEN {b} ELSE {a} END"
+
+    sender = f"CASE initiator_is_a WHEN 1 THEN {text.endpoint('_a', 'a_port')} WHEN 0 THEN {text.endpoint('_b', 'b_port')} END"
+    return named.selectExpr(
         "capture_id", *by,
-        a_ip.alias("endpoint_a_ip"), a_port.alias("endpoint_a_port"),
-        b_ip.alias("endpoint_b_ip"), b_port.alias("endpoint_b_port"),
-        a_bin.alias("endpoint_a_bin"), b_bin.alias("endpoint_b_bin"),
-        F.col("tcp_state").alias("state"),
-        "syn_count", "fin_count", "rst_count",
-        F.col("tcp_packets").alias("packets"), F.col("tcp_bytes").alias("bytes"),
-        F.col("tcp_payload_bytes").alias("payload_bytes"),
-        sender.alias("initiator"),
-        F.col("tcp_first_us").alias("first_us"), F.col("tcp_last_us").alias("last_us"),
-        F.col("tcp_payload_us").alias("last_payload_us"),
+        f"{first('_a', '_b')} AS endpoint_a_ip", f"{first('a_port', 'b_port')} AS endpoint_a_port",
+        f"{first('_b', '_a')} AS endpoint_b_ip", f"{first('b_port', 'a_port')} AS endpoint_b_port",
+        f"{first('a_bin', 'b_bin')} AS endpoint_a_bin", f"{first('b_bin', 'a_bin')} AS endpoint_b_bin",
+        "tcp_state AS state", "syn_count", "fin_count", "rst_count",
+        "tcp_packets AS packets", "tcp_bytes AS bytes", "tcp_payload_bytes AS payload_bytes",
+        f"{sender} AS initiator",
+        "tcp_first_us AS first_us", "tcp_last_us AS last_us", "tcp_payload_us AS last_payload_us",
     )
 
 
 def hosts(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Per-address counters: each packet is outbound for its source and inbound for its
     destination (twice the same address counts twice).  The SNI names the destination."""
-    roles = F.explode(
-        F.array(
-            F.struct(F.col("src_bin").alias("host_bin"), F.lit("outbound").alias("role")),
-            F.struct(F.col("dst_bin").alias("host_bin"), F.lit("inbound").alias("role")),
-        )
-    )
-    named = (F.col("role") == "inbound") & (F.col("src_bin") != F.col("dst_bin")) & F.col("sni").isNotNull()
-    return (
-        rows.withColumn("_role", roles)
-        .withColumns({"host_bin": F.col("_role.host_bin"), "role": F.col("_role.role")})
-        .withColumn("direction", F.col("role"))
-        .groupBy("capture_id", *by, "host_bin")
-        .agg(*_way_sums(), *_seen(), F.min_by("sni", F.when(named, F.col("first_seq"))).alias("sni"))
-    )
+    roles = rows.selectExpr(
+        "capture_id", *by, "packets", "bytes", "first_us", "first_seq", "last_us", "last_seq",
+        "CASE WHEN src_bin <> dst_bin THEN sni END AS _sni",
+        "explode(array(named_struct('host_bin', src_bin, 'direction', 'outbound'),"
+        " named_struct('host_bin', dst_bin, 'direction', 'inbound'))) AS _role",
+    ).selectExpr("*", "_role.host_bin", "_role.direction")
+    named = "min_by(_sni, CASE WHEN direction = 'inbound' AND _sni IS NOT NULL THEN first_seq END) AS sni"
+    return _aggs(roles, ["capture_id", *by, "host_bin"], [*WAY_SUMS, *SEEN, named])
 
 
 def services(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Counters by service name and transport; confidence is the best one seen."""
-    return (
-        rows.groupBy("capture_id", *by, "service", "proto")
-        .agg(*_way_sums(), F.max("confidence_rank").alias("confidence_rank"))
-        .withColumn("confidence", classify.confidence_label(F.col("confidence_rank")))
-    )
+    grouped = _aggs(rows, ["capture_id", *by, "service", "proto"], [*WAY_SUMS, "max(confidence_rank) AS confidence_rank"])
+    return grouped.selectExpr("*", f"{classify.confidence_label()} AS confidence")
 
 
 def totals(packets: DataFrame) -> DataFrame:
     """Session totals and times over every observed frame, decodable or not."""
-    return packets.groupBy("capture_id").agg(
-        F.count(F.lit(1)).alias("packets"),
-        F.sum("packet_len").alias("bytes"),
-        F.min_by("ts_us", "seq").alias("started_us"),
-        F.max_by("ts_us", "seq").alias("ended_us"),
-    )
+    return _aggs(packets, ["capture_id"], [
+        "count(1) AS packets", "sum(packet_len) AS bytes",
+        "min_by(ts_us, seq) AS started_us", "max_by(ts_us, seq) AS ended_us",
+    ])
 
 
-def capture_quality(packets: DataFrame, as_of_us: Column | None = None, dropped: DataFrame | None = None) -> DataFrame:
+def capture_quality(packets: DataFrame, as_of_us: str | None = None, dropped: DataFrame | None = None) -> DataFrame:
     """Seen, decoded, failed and dropped frames and the age of the last packet.
 
     ``dropped(capture_id, dropped_packets)`` is capture metadata; files have none.
     """
-    seen = packets.groupBy("capture_id").agg(
-        F.count(F.lit(1)).alias("packets_seen"),
-        F.sum("packet_len").alias("bytes_seen"),
-        F.count_if(F.col("decoded")).alias("packets_decoded"),
-        F.count_if(~F.col("decoded")).alias("packets_failed"),
-        F.max_by("ts_us", "seq").alias("last_packet_us"),
-    )
+    seen = _aggs(packets, ["capture_id"], [
+        "count(1) AS packets_seen", "sum(packet_len) AS bytes_seen",
+        "count_if(decoded) AS packets_decoded", "count_if(NOT decoded) AS packets_failed",
+        "max_by(ts_us, seq) AS last_packet_us",
+    ])
     if dropped is None:
-        seen = seen.withColumn("packets_dropped", F.lit(0).cast("bigint"))
+        seen = seen.selectExpr("*", "0L AS packets_dropped")
     else:
-        seen = seen.join(
-            dropped.select("capture_id", F.col("dropped_packets").cast("bigint").alias("packets_dropped")),
-            "capture_id", "left",
-        ).withColumn("packets_dropped", F.coalesce("packets_dropped", F.lit(0)))
+        lost = dropped.selectExpr("capture_id", "CAST(dropped_packets AS BIGINT) AS _lost")
+        seen = seen.join(lost, "capture_id", "left").selectExpr(*seen.columns, "coalesce(_lost, 0L) AS packets_dropped")
     if as_of_us is not None:
-        seen = seen.withColumn("last_packet_age_us", F.greatest(as_of_us - F.col("last_packet_us"), F.lit(0)))
+        seen = seen.selectExpr("*", f"greatest({as_of_us} - last_packet_us, 0L) AS last_packet_age_us")
     return seen
 
 
 def capture_tables(packets: DataFrame, local_addresses: DataFrame | None = None, offline: bool = True,
                    by: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """All session tables of a set of captures from one rollup."""
+    """All session tables of a set of captures from one rollup.
+
+    A job that writes several of them should :func:`~tracequilt.runtime.materialize`
+    the rollup rows first and pass them to the single functions.
+    """
     rows = classified(rollup(packets, by), local_addresses, offline)
     flow_rows = flows(rows, by)
     return {

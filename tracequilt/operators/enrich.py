@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
 from ..functions import ip, text
+from ..runtime import computed
 from . import classify
 from .lookup import latest_within, range_lookup
 
@@ -15,72 +16,48 @@ from .lookup import latest_within, range_lookup
 def geo_blocks(df: DataFrame) -> DataFrame:
     """Range table with text bounds (``start_ip``, ``end_ip``) to binary bounds."""
     rest = [c for c in df.columns if c not in ("start_ip", "end_ip")]
-    return df.select(
-        ip.from_text(F.col("start_ip")).alias("start_bin"), ip.from_text(F.col("end_ip")).alias("end_bin"), *rest
-    )
+    return df.selectExpr(f"{ip.from_text('start_ip')} AS start_bin", f"{ip.from_text('end_ip')} AS end_bin", *rest)
 
 
-def _public(col: Column) -> Column:
-    """Geo lookups skip loopback, private and link-local addresses only."""
-    return ~ip.is_local_side(col)
+# Geo lookups skip loopback, private and link-local addresses only.
+_LOOKED_UP = f"NOT {ip.is_local_side('ip_bin')}"
 
 
 def resolve_country(ips: DataFrame, geo_country: DataFrame) -> DataFrame:
     """``ips(ip_bin)`` to ``ip_bin, country_code, country_name, country_kind, country_label``."""
-    hits = range_lookup(ips.where(_public(F.col("ip_bin"))), geo_country.select("start_bin", "end_bin", "code", "name"))
-    code, name = F.col("code"), F.coalesce("name", "code")
+    hits = range_lookup(ips.where(_LOOKED_UP), geo_country.select("start_bin", "end_bin", "code", "name"))
     kind = (
-        F.when(ip.is_loopback(F.col("ip_bin")), "loopback")
-        .when(ip.is_local_side(F.col("ip_bin")), "local")
-        .when(code.isNotNull(), "country")
-        .otherwise("unknown")
+        f"CASE WHEN {ip.is_loopback('ip_bin')} THEN 'loopback' WHEN {ip.is_local_side('ip_bin')} THEN 'local'"
+        " WHEN code IS NOT NULL THEN 'country' ELSE 'unknown' END"
     )
 
-    def by_kind(loopback: str, local: str, unknown: str, country: Column) -> Column:
-        k = F.col("country_kind")
-        return F.when(k == "loopback", loopback).when(k == "local", local).when(k == "country", country).otherwise(unknown)
-
-    return (
-        ips.join(hits, "ip_bin", "left")
-        .withColumn("country_kind", kind)
-        .select(
-            "ip_bin",
-            by_kind("LO", "LOCAL", "ZZ", code).alias("country_code"),
-            by_kind("Loopback", "Local", "Unknown", name).alias("country_name"),
-            "country_kind",
-            by_kind("Loopback", "Local", "Unknown", F.concat_ws(" · ", code, name)).alias("country_label"),
-        )
+    def by_kind(loopback: str, local: str, unknown: str, country: str) -> str:
+        return f"CASE country_kind WHEN 'loopback' THEN '{loopback}' WHEN 'local' THEN '{local}' WHEN 'country' THEN {country} ELSE '{unknown}' END"
+
+    return computed(ips.join(hits, "ip_bin", "left"), country_kind=kind).selectExpr(
+        "ip_bin",
+        f"{by_kind('LO', 'LOCAL', 'ZZ', 'code')} AS country_code",
+        f"{by_kind('Loopback', 'Local', 'Unknown', 'coalesce(name, code)')} AS country_name",
+        "country_kind",
+        by_kind("Loopback", "Local", "Unknown", "concat(code, ' · ', coalesce(name, code))") + " AS country_label",
     )
 
 
-def asn_label(number: Column, organization: Column) -> Column:
-    tag = F.concat(F.lit("AS"), number.cast("string"))
-    return F.when(number == 0, "").otherwise(F.concat_ws(" · ", tag, F.nullif(organization, F.lit(""))))
+def asn_label(number: str = "asn_number", organization: str = "asn_organization") -> str:
+    return f"CASE WHEN {number} = 0 THEN '' ELSE concat_ws(' · ', concat('AS', {number}), nullif({organization}, '')) END"
 
 
 def resolve_asn(ips: DataFrame, geo_asn: DataFrame) -> DataFrame:
     """``ips(ip_bin)`` to ``ip_bin, asn_number, asn_organization, asn_label``; 0 is unknown."""
-    hits = range_lookup(
-        ips.where(_public(F.col("ip_bin"))), geo_asn.where(F.col("asn") != 0).select("start_bin", "end_bin", "asn", "organization")
-    )
-    return (
-        ips.join(hits, "ip_bin", "left")
-        .select(
-            "ip_bin",
-            F.coalesce(F.col("asn").cast("bigint"), F.lit(0)).alias("asn_number"),
-            F.coalesce("organization", F.lit("")).alias("asn_organization"),
-        )
-        .withColumn("asn_label", asn_label(F.col("asn_number"), F.col("asn_organization")))
-    )
+    hits = range_lookup(ips.where(_LOOKED_UP), geo_asn.where("asn <> 0").select("start_bin", "end_bin", "asn", "organization"))
+    return ips.join(hits, "ip_bin", "left").selectExpr(
+        "ip_bin", "coalesce(CAST(asn AS BIGINT), 0L) AS asn_number", "coalesce(organization, '') AS asn_organization"
+    ).selectExpr("*", f"{asn_label()} AS asn_label")
 
 
 def distinct_ips(df: DataFrame, *columns: str) -> DataFrame:
     """Distinct addresses of the given columns: lookups run on these, not on rows."""
-    return (
-        df.select(F.explode(F.array(*[F.col(c) for c in columns])).alias("ip_bin"))
-        .where(F.col("ip_bin").isNotNull())
-        .distinct()
-    )
+    return df.selectExpr(f"explode(array({', '.join(columns)})) AS ip_bin").where("ip_bin IS NOT NULL").distinct()
 
 
 def add_geo(df: DataFrame, ip_column: str, geo_country: DataFrame | None = None,
@@ -93,18 +70,16 @@ def add_geo(df: DataFrame, ip_column: str, geo_country: DataFrame | None = None,
     if geo_asn is not None:
         tables.append(resolve_asn(ips, geo_asn))
     found = reduce(lambda a, b: a.join(b, "ip_bin"), tables)
-    renamed = found.select(
-        F.col("ip_bin").alias(ip_column), *[F.col(c).alias(prefix + c) for c in found.columns if c != "ip_bin"]
-    )
+    renamed = found.selectExpr(f"ip_bin AS {ip_column}", *[f"{c} AS {prefix}{c}" for c in found.columns if c != "ip_bin"])
     return df.join(renamed, ip_column, "left")
 
 
 def remote_hosts(hosts: DataFrame, geo_country: DataFrame, local_addresses: DataFrame | None = None) -> DataFrame:
     """Hosts with a country, without the capture's own, private and loopback addresses."""
-    named = add_geo(hosts, "host_bin", geo_country).where(~F.col("country_kind").isin("local", "loopback"))
+    named = add_geo(hosts, "host_bin", geo_country).where("country_kind NOT IN ('local', 'loopback')")
     if local_addresses is None:
         return named
-    own = local_addresses.select("capture_id", ip.from_text(F.col("ip")).alias("host_bin")).distinct()
+    own = local_addresses.selectExpr("capture_id", f"{ip.from_text('ip')} AS host_bin").distinct()
     return named.join(own, ["capture_id", "host_bin"], "left_anti")
 
 
@@ -114,29 +89,25 @@ def resolve_names(probes: DataFrame, ptr_records: DataFrame, at: str = "as_of_us
     The latest record decides: a positive one lives 300 s, a negative one 45 s
     (which gives no name either way).
     """
-    name = F.nullif(F.rtrim(F.trim(F.col("hostname")), F.lit(".")), F.lit(""))
-    records = ptr_records.select(
-        ip.from_text(F.col("ip")).alias("ip_bin"), "observed_us",
-        F.when(name != F.col("ip"), name).alias("hostname"),
+    records = ptr_records.selectExpr("ip", "observed_us", "nullif(trim(TRAILING '.' FROM trim(hostname)), '') AS _name").selectExpr(
+        f"{ip.from_text('ip')} AS ip_bin", "observed_us", "CASE WHEN _name <> ip THEN _name END AS hostname"
     )
-    asked = probes.where(ip.has_public_name(F.col("ip_bin")))
+    asked = probes.where(ip.has_public_name("ip_bin"))
     found = latest_within(
-        asked, records, ["ip_bin"], C.PTR_TTL_SECONDS, F.struct("hostname"), at
-    ).select("ip_bin", at, F.col("found.hostname").alias("hostname"))
+        asked, records, ["ip_bin"], C.PTR_TTL_SECONDS, "named_struct('hostname', hostname)", at
+    ).selectExpr("ip_bin", at, "found.hostname")
     return probes.join(found, ["ip_bin", at], "left")
 
 
-def candidate_ports(flows: DataFrame) -> Column:
+def candidate_ports() -> str:
     """Local ports to ask for the owning process, best first."""
-    a, b = F.col("a_port"), F.col("b_port")
-    own = F.filter(
-        F.array(F.when(F.col("a_is_local"), a), F.when(F.col("b_is_local"), b)), lambda p: p.isNotNull() & (p != 0)
-    )
-    first = F.when(F.col("bytes_out") >= F.col("bytes_in"), F.array(a, b)).otherwise(F.array(b, a))
-    usable = F.filter(first, lambda p: p.isNotNull() & (p != 0))
-    both = F.concat(F.filter(usable, lambda p: p >= 1024), F.filter(usable, lambda p: p < 1024))
-    chosen = F.when(F.size(own) > 0, own).otherwise(both)
-    return F.array_distinct(chosen)
+    def usable(ports: str) -> str:
+        return f"filter({ports}, p -> p IS NOT NULL AND p <> 0)"
+
+    own = usable("array(CASE WHEN a_is_local THEN a_port END, CASE WHEN b_is_local THEN b_port END)")
+    first = usable("CASE WHEN bytes_out >= bytes_in THEN array(a_port, b_port) ELSE array(b_port, a_port) END")
+    both = f"concat(filter({first}, p -> p >= 1024), filter({first}, p -> p < 1024))"
+    return f"array_distinct(CASE WHEN size({own}) > 0 THEN {own} ELSE {both} END)"
 
 
 def attribute_processes(flows: DataFrame, socket_inventory: DataFrame, at: str = "as_of_us") -> DataFrame:
@@ -145,44 +116,32 @@ def attribute_processes(flows: DataFrame, socket_inventory: DataFrame, at: str =
     Candidate ports are tried in order.  The latest inventory entry of a port
     answers: it lives 60 s with a process and 3 s without one.
     """
-    key = ["capture_id", "a_bin", "b_bin", "a_port", "b_port", "proto", at]
-    asked = (
-        flows.where(F.col("proto").isin("tcp", "udp"))
-        .select(*key, F.posexplode(candidate_ports(flows)).alias("_pos", "port"))
-    )
-    sockets = socket_inventory.select(
-        "capture_id", "proto", F.col("port").cast("int").alias("port"), "observed_us", "name", "pid", "path"
+    asked = flows.where("proto IN ('tcp', 'udp')").selectExpr(
+        "capture_id", "a_bin", "b_bin", "a_port", "b_port", "proto", at, f"posexplode({candidate_ports()}) AS (_pos, port)"
     )
+    sockets = socket_inventory.selectExpr("capture_id", "proto", "CAST(port AS INT) AS port", "observed_us", "name", "pid", "path")
     answers = latest_within(
         asked, sockets, ["capture_id", "proto", "port"], C.PROCESS_TTL_SECONDS,
-        F.struct("name", "pid", "path"), at,
-    ).where(F.col("found.name").isNotNull())
+        "named_struct('name', name, 'pid', pid, 'path', path)", at,
+    ).where("found.name IS NOT NULL").drop("observed_us")
+    ports = ["coalesce(a_port, -1) AS _ap", "coalesce(b_port, -1) AS _bp"]
     best = (
         asked.join(answers, ["capture_id", "proto", "port", at])
-        .groupBy("capture_id", "a_bin", "b_bin", "a_port", "b_port", "proto", at)
+        .groupBy("capture_id", "a_bin", "b_bin", *[F.expr(p) for p in ports], "proto", at)
         .agg(F.min_by("found", "_pos").alias("_process"))
-        .withColumns({"_ap": F.coalesce("a_port", F.lit(-1)), "_bp": F.coalesce("b_port", F.lit(-1))})
-        .drop("a_port", "b_port")
     )
-    out = (
-        flows.withColumns({"_ap": F.coalesce("a_port", F.lit(-1)), "_bp": F.coalesce("b_port", F.lit(-1))})
-        .join(best, ["capture_id", "a_bin", "b_bin", "_ap", "_bp", "proto", at], "left")
-        .drop("_ap", "_bp")
+    out = flows.selectExpr("*", *ports).join(best, ["capture_id", "a_bin", "b_bin", "_ap", "_bp", "proto", at], "left")
+    return out.selectExpr(
+        *flows.columns,
+        "coalesce(_process.name, '') AS process_name", "coalesce(CAST(_process.pid AS BIGINT), 0L) AS process_pid",
+        "coalesce(_process.path, '') AS process_path", f"{text.bundle_name('_process.path')} AS process_bundle",
+        "_process IS NOT NULL AS process_inferred",
     )
-    return out.withColumns(
-        {
-            "process_name": F.coalesce("_process.name", F.lit("")),
-            "process_pid": F.coalesce(F.col("_process.pid").cast("bigint"), F.lit(0)),
-            "process_path": F.coalesce("_process.path", F.lit("")),
-            "process_bundle": text.bundle_name(F.col("_process.path")),
-            "process_inferred": F.col("_process").isNotNull(),
-        }
-    ).drop("_process")
 
 
 def process_bytes(connections: DataFrame) -> DataFrame:
     """One entry per ranked connection with a process (not summed by process)."""
-    return connections.where(F.col("process_name") != "").select("capture_id", "rank", "process_name", "bytes")
+    return connections.where("process_name <> ''").select("capture_id", "rank", "process_name", "bytes")
 
 
 def top_regions(flows: DataFrame, geo_country: DataFrame, geo_asn: DataFrame, top_n: int | None = None) -> DataFrame:
@@ -192,29 +151,25 @@ def top_regions(flows: DataFrame, geo_country: DataFrame, geo_asn: DataFrame, to
     equal flows the later in rank order wins.  Flows are first summed per
     (capture, destination), so enrichment touches addresses and not flows.
     """
-    later = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(
-        [F.col("bytes"), -F.col("packets"), *ip.order_key(F.col("a_bin")), *ip.order_key(F.col("b_bin")),
-         F.coalesce("a_port", F.lit(-1)), F.coalesce("b_port", F.lit(-1)), classify.proto_rank(F.col("proto"))]
-    )])
+    later = (
+        f"max(struct(bytes, -packets, length(a_bin), a_bin, length(b_bin), b_bin, coalesce(a_port, -1), coalesce(b_port, -1),"
+        f" {classify.proto_rank()})) AS _latest"
+    )
     per_ip = (
-        flows.where(_public(F.col("b_bin")))
-        .groupBy("capture_id", "b_bin")
-        .agg(F.sum("bytes").alias("bytes"), F.max(later).alias("_latest"))
+        flows.where(f"NOT {ip.is_local_side('b_bin')}").groupBy("capture_id", "b_bin")
+        .agg(F.sum("bytes").alias("bytes"), F.expr(later))
     )
-    placed = add_geo(per_ip, "b_bin", geo_country, geo_asn).where(F.col("country_kind") == "country")
-    known = F.when(F.col("asn_number") != 0, F.col("_latest"))
+    placed = add_geo(per_ip, "b_bin", geo_country, geo_asn).where("country_kind = 'country'")
     regions = placed.groupBy("capture_id", "country_code", "country_label").agg(
         F.sum("bytes").alias("bytes"),
-        F.max_by(F.struct("asn_number", "asn_organization", "asn_label"), known).alias("_asn"),
+        F.expr("max_by(struct(asn_number, asn_organization, asn_label), CASE WHEN asn_number <> 0 THEN _latest END) AS _asn"),
     )
-    whole = F.sum("bytes").over(Window.partitionBy("capture_id"))
-    order = Window.partitionBy("capture_id").orderBy(F.col("bytes").desc(), "country_code")
-    shaped = regions.select(
+    whole = "sum(bytes) OVER (PARTITION BY capture_id)"
+    shaped = regions.selectExpr(
         "capture_id", "country_code", "country_label", "bytes",
-        F.when(whole == 0, F.lit(0.0)).otherwise(F.col("bytes") / whole).alias("ratio"),
-        F.coalesce("_asn.asn_number", F.lit(0).cast("bigint")).alias("asn_number"),
-        F.coalesce("_asn.asn_organization", F.lit("")).alias("asn_organization"),
-        F.coalesce("_asn.asn_label", F.lit("")).alias("asn_label"),
-        F.row_number().over(order).alias("rank"),
+        f"CASE WHEN {whole} = 0 THEN 0.0D ELSE CAST(bytes AS DOUBLE) / {whole} END AS ratio",
+        "coalesce(_asn.asn_number, 0L) AS asn_number", "coalesce(_asn.asn_organization, '') AS asn_organization",
+        "coalesce(_asn.asn_label, '') AS asn_label",
+        "row_number() OVER (PARTITION BY capture_id ORDER BY bytes DESC, country_code) AS rank",
     )
-    return shaped if top_n is None else shaped.where(F.col("rank") <= top_n)
+    return shaped if top_n is None else shaped.where(f"rank <= {top_n}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import __version__, constants as C
 from ..functions import cef, clock, ip
@@ -28,114 +28,94 @@ class Exporter:
 
 def export_summary(findings: DataFrame) -> DataFrame:
     """Findings with the exported summary: the detail follows when there is one."""
-    detail = F.trim(F.coalesce("detail", F.lit("")))
-    return findings.withColumn(
-        "summary", F.when(detail == "", F.col("summary")).otherwise(F.concat_ws(" — ", "summary", "detail"))
-    )
+    joined = "CASE WHEN trim(coalesce(detail, '')) = '' THEN summary ELSE concat(summary, ' — ', detail) END AS summary"
+    return findings.selectExpr(*[joined if c == "summary" else c for c in findings.columns])
 
 
-def signal_cef(at_us: Column, exporter: Exporter = Exporter()) -> Column:
+def signal_cef(at_us: str, exporter: Exporter = Exporter()) -> str:
     """CEF body of a finding row (after :func:`export_summary`)."""
-    kind, summary = F.col("kind"), F.col("summary")
-    signature = F.when(kind == "", "signal").otherwise(kind)
-    name = F.when(summary == "", signature).otherwise(F.substring_index(summary, " — ", 1))
-    pivot, value = F.col("pivot_kind"), F.col("pivot_value")
-    pivots = (pivot != "") & (pivot != "none")
-    valued = pivots & (value != "")
+    signature = "CASE WHEN kind = '' THEN 'signal' ELSE kind END"
+    name = f"CASE WHEN summary = '' THEN {signature} ELSE substring_index(summary, ' — ', 1) END"
+    pivots = "pivot_kind NOT IN ('', 'none')"
+    valued = f"{pivots} AND pivot_value <> ''"
     pairs = [
-        cef.pair("rt", clock.epoch_millis(at_us)), cef.pair("cat", "signal"), cef.pair("externalId", F.col("id")),
-        cef.pair("msg", summary),
-        cef.pair("cs1", F.col("subject")), cef.pair("cs1Label", "Subject"),
-        cef.pair("cs2", F.col("mode")), cef.pair("cs2Label", "Mode"),
-        cef.pair("cs3", F.col("status")), cef.pair("cs3Label", "Status"),
-        cef.pair("cs4", kind), cef.pair("cs4Label", "SignalKind"),
-        cef.pair("cs5", pivot, pivots), cef.pair("cs5Label", "PivotKind", pivots),
-        cef.pair("cs6", value, valued), cef.pair("cs6Label", "PivotValue", valued),
-        cef.pair("dst", value, valued & (pivot == "host")),
-        cef.pair("request", value, valued & (pivot == "sni")),
-        cef.pair("sproc", value, valued & (pivot == "process")),
-        cef.pair("sourceProcessName", value, valued & (pivot == "process")),
-        cef.pair("app", value, valued & (pivot == "service")),
-        cef.pair("cfp1", F.format_string("%.2f", F.col("confidence"))), cef.pair("cfp1Label", "Confidence"),
-        cef.pair("outcome", F.col("status")),
+        cef.pair("rt", clock.epoch_millis(at_us)), cef.label("cat", "signal"), cef.pair("externalId", "id"),
+        cef.pair("msg", "summary"),
+        cef.pair("cs1", "subject"), cef.label("cs1Label", "Subject"),
+        cef.pair("cs2", "mode"), cef.label("cs2Label", "Mode"),
+        cef.pair("cs3", "status"), cef.label("cs3Label", "Status"),
+        cef.pair("cs4", "kind"), cef.label("cs4Label", "SignalKind"),
+        cef.pair("cs5", "pivot_kind", pivots), cef.label("cs5Label", "PivotKind", pivots),
+        cef.pair("cs6", "pivot_value", valued), cef.label("cs6Label", "PivotValue", valued),
+        cef.pair("dst", "pivot_value", f"{valued} AND pivot_kind = 'host'"),
+        cef.pair("request", "pivot_value", f"{valued} AND pivot_kind = 'sni'"),
+        cef.pair("sproc", "pivot_value", f"{valued} AND pivot_kind = 'process'"),
+        cef.pair("sourceProcessName", "pivot_value", f"{valued} AND pivot_kind = 'process'"),
+        cef.pair("app", "pivot_value", f"{valued} AND pivot_kind = 'service'"),
+        cef.pair("cfp1", "format_string('%.2f', confidence)"), cef.label("cfp1Label", "Confidence"),
+        cef.pair("outcome", "status"),
     ]
-    return cef.header(exporter.device, signature, name, cef.severity_0_10(F.col("severity")), pairs)
+    return cef.header(exporter.device, signature, name, cef.severity_0_10("severity"), pairs)
 
 
-def signal_lines(findings: DataFrame, at_us: Column, exporter: Exporter = Exporter()) -> DataFrame:
-    """One RFC 5424 line per finding."""
-    rows = export_summary(findings)
+def signal_lines(findings: DataFrame, at_us: str, exporter: Exporter = Exporter()) -> DataFrame:
+    """One RFC 5424 line per finding; ``at_us`` is the export instant (SQL expression)."""
     line = cef.syslog_line(
-        signal_cef(at_us, exporter), cef.severity_0_7(F.col("severity")), at_us,
-        exporter.host, exporter.app, exporter.facility,
+        signal_cef(at_us, exporter), cef.severity_0_7("severity"), at_us, exporter.host, exporter.app, exporter.facility
     )
-    return rows.select("capture_id", "dedupe_key", line.alias("value"))
-
+    return export_summary(findings).selectExpr("capture_id", "dedupe_key", f"{line} AS value")
 
-def flow_cef(at_us: Column, exporter: Exporter = Exporter()) -> Column:
-    """CEF body of an exported flow row.
 
-    Needs ``event, src, sport, dst, dport, protocol, service, sni, process,
-    direction, packets, bytes_in, bytes_out``.
-    """
-    event = F.when(F.coalesce("event", F.lit("")) == "", "active").otherwise(F.col("event"))
-    act = F.when(event.isin("closed", "end", "finish"), "end").when(event.isin("start", "new"), "start").otherwise("update")
-    proto = F.lower(F.trim(F.col("protocol")))
-    proto = F.when(proto == "6", "tcp").when(proto == "17", "udp").when(proto == "1", "icmp").otherwise(proto)
-    way = F.lower(F.col("direction"))
-    process, sni = F.col("process"), F.col("sni")
+def flow_cef(at_us: str, exporter: Exporter = Exporter()) -> str:
+    """CEF body of an exported flow row in the shape of :func:`flow_events`."""
+    act = "CASE WHEN event IN ('closed', 'end', 'finish') THEN 'end' WHEN event IN ('start', 'new') THEN 'start' ELSE 'update' END"
+    proto = "CASE lower(trim(protocol)) WHEN '6' THEN 'tcp' WHEN '17' THEN 'udp' WHEN '1' THEN 'icmp' ELSE lower(trim(protocol)) END"
+    message = (
+        "concat('flow ', event, ' ', src, ':', sport, ' -> ', dst, ':', dport, ' out=', bytes_out, ' in=', bytes_in, ' pkts=', packets)"
+    )
     pairs = [
-        cef.pair("rt", clock.epoch_millis(at_us)), cef.pair("cat", "traffic"),
-        cef.pair("src", F.col("src")), cef.pair("dst", F.col("dst")),
-        cef.pair("spt", F.col("sport"), F.col("sport") > 0), cef.pair("dpt", F.col("dport"), F.col("dport") > 0),
-        cef.pair("proto", proto), cef.pair("in", F.col("bytes_in")), cef.pair("out", F.col("bytes_out")),
-        cef.pair("cn1", F.col("packets")), cef.pair("cn1Label", "Packets"), cef.pair("act", act),
-        cef.pair("app", F.col("service")),
-        cef.pair("request", sni), cef.pair("destinationDnsDomain", sni),
-        cef.pair("sproc", process), cef.pair("sourceProcessName", process), cef.pair("cs1", process),
-        cef.pair("cs1Label", "Process", process != ""),
-        cef.pair("cs2", F.col("direction")), cef.pair("cs2Label", "Direction", F.col("direction") != ""),
-        cef.pair("deviceDirection", "0", way.isin("in", "inbound", "download")),
-        cef.pair("deviceDirection", "1", way.isin("out", "outbound", "upload")),
-        cef.pair("msg", F.concat(
-            F.lit("flow "), event, F.lit(" "), F.col("src"), F.lit(":"), F.col("sport").cast("string"),
-            F.lit(" -> "), F.col("dst"), F.lit(":"), F.col("dport").cast("string"),
-            F.lit(" out="), F.col("bytes_out").cast("string"), F.lit(" in="), F.col("bytes_in").cast("string"),
-            F.lit(" pkts="), F.col("packets").cast("string"),
-        )),
+        cef.pair("rt", clock.epoch_millis(at_us)), cef.label("cat", "traffic"),
+        cef.pair("src", "src"), cef.pair("dst", "dst"),
+        cef.pair("spt", "sport", "sport > 0"), cef.pair("dpt", "dport", "dport > 0"),
+        cef.pair("proto", proto), cef.pair("in", "bytes_in"), cef.pair("out", "bytes_out"),
+        cef.pair("cn1", "packets"), cef.label("cn1Label", "Packets"), cef.pair("act", act),
+        cef.pair("app", "service"), cef.pair("request", "sni"), cef.pair("destinationDnsDomain", "sni"),
+        cef.pair("sproc", "process"), cef.pair("sourceProcessName", "process"), cef.pair("cs1", "process"),
+        cef.label("cs1Label", "Process", "process <> ''"),
+        cef.pair("cs2", "direction"), cef.label("cs2Label", "Direction", "direction <> ''"),
+        cef.label("deviceDirection", "0", "lower(direction) IN ('in', 'inbound', 'download')"),
+        cef.label("deviceDirection", "1", "lower(direction) IN ('out', 'outbound', 'upload')"),
+        cef.pair("msg", message),
     ]
-    return cef.header(
-        exporter.device, F.concat(F.lit("flow:"), act), F.concat(F.lit("Network flow "), act), F.lit(0), pairs
-    )
+    return cef.header(exporter.device, f"concat('flow:', {act})", f"concat('Network flow ', {act})", "0", pairs)
 
 
 def flow_events(flows: DataFrame) -> DataFrame:
     """Flow rows (gate output, closed keys or plain flows) in the shape of :func:`flow_cef`."""
     have = set(flows.columns)
 
-    def given(name: str, default, source: str | None = None) -> Column:
+    def given(name: str, default: str, source: str | None = None) -> str:
         column = source or name
-        return F.coalesce(F.col(column) if column in have else F.lit(None), F.lit(default)).alias(name)
+        return f"coalesce({column}, {default}) AS {name}" if column in have else f"{default} AS {name}"
 
     keep = [c for c in ("tick", "rank") if c in have]
-    return flows.select(
-        "capture_id", *keep, given("event", "active"),
-        ip.to_text(F.col("a_bin")).alias("src"), given("sport", 0, "a_port"),
-        ip.to_text(F.col("b_bin")).alias("dst"), given("dport", 0, "b_port"),
-        F.col("proto").alias("protocol"), given("service", ""), given("sni", ""),
-        given("process", "", "process_name"), given("direction", "session"),
-        given("packets", 0), given("bytes_in", 0), given("bytes_out", 0),
+    return flows.selectExpr(
+        "capture_id", *keep,
+        "CASE WHEN coalesce(event, '') = '' THEN 'active' ELSE event END AS event" if "event" in have else "'active' AS event",
+        f"{ip.to_text('a_bin')} AS src", given("sport", "0", "a_port"),
+        f"{ip.to_text('b_bin')} AS dst", given("dport", "0", "b_port"),
+        "proto AS protocol", given("service", "''"), given("sni", "''"), given("process", "''", "process_name"),
+        given("direction", "'session'"), given("packets", "0L"), given("bytes_in", "0L"), given("bytes_out", "0L"),
     )
 
 
-def flow_lines(flows: DataFrame, at_us: Column, exporter: Exporter = Exporter()) -> DataFrame:
-    """One RFC 5424 line per exported flow."""
-    rows = flow_events(flows).withColumn("_at", at_us)
+def flow_lines(flows: DataFrame, at_us: str, exporter: Exporter = Exporter()) -> DataFrame:
+    """One RFC 5424 line per exported flow; ``at_us`` may use the columns of :func:`flow_events`."""
     line = cef.syslog_line(
-        flow_cef(F.col("_at"), exporter), F.lit(C.FLOW_SYSLOG_SEVERITY), F.col("_at"),
-        exporter.host, exporter.app, exporter.facility,
+        flow_cef(at_us, exporter), str(C.FLOW_SYSLOG_SEVERITY), at_us, exporter.host, exporter.app, exporter.facility
     )
-    return rows.select("capture_id", *[c for c in ("tick", "rank") if c in rows.columns], line.alias("value"))
+    rows = flow_events(flows)
+    return rows.selectExpr("capture_id", *[c for c in ("tick", "rank") if c in rows.columns], f"{line} AS value")
 
 
 def write_lines(lines: DataFrame, path: str) -> None:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import constants as C
-from ..functions import ip, text
-from ..runtime import div
+from ..functions import all_of, any_of, ip, lit, text
+from ..runtime import computed
 from . import ranking
 from .classify import proto_rank
 
@@ -80,84 +80,65 @@ class Session:
         return "finding" if self.offline else "active"
 
 
-def _order(detector: int, kind: str) -> Column:
-    """Evaluation order of an occurrence: detector, then rank order of its row."""
-    by_kind = {
-        "session": [],
-        "flows": [*ip.order_key(F.col("a_bin")), *ip.order_key(F.col("b_bin")),
-                  F.coalesce("a_port", F.lit(-1)), F.coalesce("b_port", F.lit(-1)), proto_rank(F.col("proto"))],
-        "hosts": ip.order_key(F.col("host_bin")),
-        "services": [F.col("service"), proto_rank(F.col("proto"))],
-        "tcp": [*ip.order_key(F.col("endpoint_a_bin")), F.col("endpoint_a_port"),
-                *ip.order_key(F.col("endpoint_b_bin")), F.col("endpoint_b_port")],
-        "processes": [F.col("rank")],
-    }[kind]
-    # one shape for all detectors so that their outputs union
-    lengths = [F.lit(detector), -F.col("bytes"), -F.col("packets") if kind != "processes" else F.lit(0)]
-    nums: list[Column] = [F.lit(0).cast("bigint")] * 4
-    bins: list[Column] = [F.lit(b"").cast("binary")] * 2
-    name: Column = F.lit("")
+def _key(x: str) -> str:
+    """Address as one sortable binary: family length, then the bytes."""
+    return f"concat(CASE WHEN length({x}) = 4 THEN X'04' ELSE X'10' END, {x})"
+
+
+def _order(detector: int, kind: str) -> str:
+    """Evaluation order of an occurrence: detector, then rank order of its row.
+
+    One struct shape for all detectors, so that their outputs union.
+    """
+    name, first, port, second, more = "''", "X''", "0", "X''", ["0", "0"]
+    sent, count = "-bytes", "-packets"
     if kind == "flows":
-        bins = [F.concat(F.unhex(F.lpad(F.hex(F.length("a_bin")), 2, "0")), F.col("a_bin")),
-                F.concat(F.unhex(F.lpad(F.hex(F.length("b_bin")), 2, "0")), F.col("b_bin"))]
-        nums = [F.lit(0), by_kind[4], by_kind[5], by_kind[6]]
+        first, second, more = _key("a_bin"), _key("b_bin"), ["coalesce(a_port, -1)", f"coalesce(b_port, -1) * 10 + {proto_rank()}"]
     elif kind == "hosts":
-        bins = [F.concat(F.unhex(F.lpad(F.hex(F.length("host_bin")), 2, "0")), F.col("host_bin")), bins[1]]
+        first = _key("host_bin")
     elif kind == "services":
-        name, nums = F.col("service"), [F.lit(0), F.lit(0), F.lit(0), proto_rank(F.col("proto"))]
+        name, more = "service", [proto_rank(), "0"]
     elif kind == "tcp":
         # rank compares the first endpoint's port before the second address
-        bins = [F.concat(F.unhex(F.lpad(F.hex(F.length("endpoint_a_bin")), 2, "0")), F.col("endpoint_a_bin")),
-                F.concat(F.unhex(F.lpad(F.hex(F.length("endpoint_b_bin")), 2, "0")), F.col("endpoint_b_bin"))]
-        nums = [F.col("endpoint_a_port"), F.col("endpoint_b_port"), F.lit(0), F.lit(0)]
+        first, port, second, more = _key("endpoint_a_bin"), "endpoint_a_port", _key("endpoint_b_bin"), ["endpoint_b_port", "0"]
     elif kind == "processes":
-        lengths = [F.lit(detector), F.lit(0), F.lit(0)]
-        nums = [F.col("rank"), F.lit(0), F.lit(0), F.lit(0)]
-    parts = [
-        lengths[0].cast("bigint").alias("detector"), lengths[1].cast("bigint").alias("neg_bytes"),
-        lengths[2].cast("bigint").alias("neg_packets"), name.alias("name"), bins[0].alias("first"),
-        nums[0].cast("bigint").alias("port"), bins[1].alias("second"),
-        *[n.cast("bigint").alias(f"n{i}") for i, n in enumerate(nums[1:])],
-    ]
-    return F.struct(*parts)
-
-
-def _occurrence(df: DataFrame, session: Session, order: Column, *, kind: str, severity: str, subject: Column,
-                summary: str, detail: Column, key: Column, tag: Column, confidence: Column | float,
-                pivot_kind: Column | str, pivot_value: Column, first_us: Column | None = None,
-                last_us: Column | None = None, cooldown: str = "entity") -> DataFrame:
-    now = F.col("as_of_us")
-    seconds = div(now, 1_000_000).cast("string")
-    conf = F.lit(confidence) if isinstance(confidence, float) else confidence
-    pivot = F.lit(pivot_kind) if isinstance(pivot_kind, str) else pivot_kind
-    return df.select(
-        "capture_id",
-        F.concat_ws("-", tag, seconds).alias("id"),
-        F.lit(kind).alias("kind"), F.lit(session.mode).alias("mode"), F.lit(session.status).alias("status"),
-        F.lit(severity).alias("severity"), subject.alias("subject"), F.lit(summary).alias("summary"),
-        detail.alias("detail"),
-        F.coalesce(first_us, now).alias("first_us") if first_us is not None else now.alias("first_us"),
-        F.coalesce(last_us, now).alias("last_us") if last_us is not None else now.alias("last_us"),
-        conf.alias("confidence"), key.alias("dedupe_key"), pivot.alias("pivot_kind"), pivot_value.alias("pivot_value"),
-        F.lit(cooldown).alias("cooldown"), now.alias("as_of_us"), order.alias("ord"),
+        sent, count, more = "rank", "0", ["0", "0"]
+    numbers = [f"CAST({n} AS BIGINT)" for n in (detector, sent, count, port, *more)]
+    return (
+        f"named_struct('detector', {numbers[0]}, 'sent', {numbers[1]}, 'count', {numbers[2]}, 'name', {name}, 'first', {first},"
+        f" 'port', {numbers[3]}, 'second', {second}, 'm', {numbers[4]}, 'n', {numbers[5]})"
     )
 
 
-def _phrase(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+def _phrase(*parts: str) -> str:
+    """concat of literal text and ``{expression}`` parts."""
+    return "concat(" + ", ".join(p[1:-1] if p.startswith("{") else lit(p) for p in parts) + ")"
+
+
+def _occurrence(df: DataFrame, session: Session, order: str, *, kind: str, severity: str, subject: str,
+                summary: str, detail: str, key: str, tag: str, confidence: str, pivot_kind: str, pivot_value: str,
+                seen: bool = False, cooldown: str = "entity") -> DataFrame:
+    """Shape detector hits.  ``seen`` takes first and last time from the row, else the evaluation instant."""
+    return df.selectExpr(
+        "capture_id", f"concat({tag}, '-', as_of_us div 1000000) AS id",
+        f"{lit(kind)} AS kind", f"{lit(session.mode)} AS mode", f"{lit(session.status)} AS status",
+        f"{lit(severity)} AS severity", f"{subject} AS subject", f"{lit(summary)} AS summary", f"{detail} AS detail",
+        "first_us AS first_us" if seen else "as_of_us AS first_us", "last_us AS last_us" if seen else "as_of_us AS last_us",
+        f"{confidence} AS confidence", f"{key} AS dedupe_key", f"{pivot_kind} AS pivot_kind", f"{pivot_value} AS pivot_value",
+        f"'{cooldown}' AS cooldown", "as_of_us", f"{order} AS ord",
+    )
 
 
 def threshold(totals: DataFrame, policy: Policy, session: Session = Session()) -> DataFrame:
     """Session bytes at or over the threshold (0 turns it off)."""
     limit = policy.data_threshold_bytes
-    hit = totals.where((F.lit(limit) > 0) & (F.col("bytes") >= limit))
     return _occurrence(
-        hit, session, _order(0, "session"), kind="DataThresholdExceeded", severity="warning",
-        subject=F.lit(session.source_label),
+        totals.where(f"{limit} > 0 AND bytes >= {limit}"), session, _order(0, "session"),
+        kind="DataThresholdExceeded", severity="warning", subject=lit(session.source_label),
         summary="Data threshold exceeded" + (" (offline finding)" if session.offline else ""),
-        detail=_phrase("Observed ", F.col("bytes"), f" bytes (threshold {limit})."),
-        key=F.lit(f"DataThresholdExceeded|{limit}"), tag=F.lit("threshold"), confidence=0.9,
-        pivot_kind="none", pivot_value=F.lit(""), cooldown="threshold",
+        detail=_phrase("Observed ", "{bytes}", f" bytes (threshold {limit})."),
+        key=lit(f"DataThresholdExceeded|{limit}"), tag="'threshold'", confidence="0.9D",
+        pivot_kind="'none'", pivot_value="''", cooldown="threshold",
     )
 
 
@@ -167,45 +148,46 @@ def _state(session: Session, what: str) -> str:
 
 def watched_hosts(hosts: DataFrame, policy: Policy, session: Session = Session()) -> list[DataFrame]:
     """Hosts whose address or SNI contains a watched or known-bad pattern."""
-    rows = hosts.withColumns({"_host": ip.to_text(F.col("host_bin")), "_sni": text.blank_to_empty(F.col("sni"))})
-    host, sni, sent = F.col("_host"), F.col("_sni"), F.col("bytes")
+    rows = computed(hosts, _host=ip.to_text("host_bin"), _sni="coalesce(sni, '')")
 
-    def hit(patterns):
-        return text.any_pattern(host, patterns) | text.any_pattern(sni, patterns)
+    def hit(patterns: tuple[str, ...]) -> str:
+        return any_of([text.any_pattern("_host", patterns), text.any_pattern("_sni", patterns)])
 
-    suffix = F.when(sni == "", "").otherwise(F.concat(F.lit(" (sni="), sni, F.lit(")")))
     watched = _occurrence(
         rows.where(hit(policy.watched_hosts)), session, _order(1, "hosts"),
-        kind="WatchedEntityTransmitted", severity="info", subject=host, summary=_state(session, "Watched host"),
-        detail=_phrase(host, " transmitted ", sent, " bytes", suffix, "."),
-        key=_phrase("WatchedEntityTransmitted|host|", host), tag=_phrase("watch-host-", host), confidence=0.85,
-        pivot_kind=F.when(sni == "", "host").otherwise("sni"), pivot_value=F.when(sni == "", host).otherwise(sni),
+        kind="WatchedEntityTransmitted", severity="info", subject="_host", summary=_state(session, "Watched host"),
+        detail=_phrase(
+            "{_host}", " transmitted ", "{bytes}", " bytes",
+            "{CASE WHEN _sni = '' THEN '' ELSE concat(' (sni=', _sni, ')') END}", ".",
+        ),
+        key=_phrase("WatchedEntityTransmitted|host|", "{_host}"), tag=_phrase("watch-host-", "{_host}"),
+        confidence="0.85D", pivot_kind="CASE WHEN _sni = '' THEN 'host' ELSE 'sni' END",
+        pivot_value="CASE WHEN _sni = '' THEN _host ELSE _sni END",
     )
     bad = _occurrence(
         rows.where(hit(policy.bad_hosts)), session, _order(1, "hosts"),
-        kind="KnownBadHostTransmitted", severity="error", subject=host, summary=_state(session, "Known-bad host"),
-        detail=_phrase(host, " matched a known-bad entry (", sent, " bytes)."),
-        key=_phrase("KnownBadHostTransmitted|host|", host), tag=_phrase("bad-host-", host), confidence=0.9,
-        pivot_kind="host", pivot_value=host,
+        kind="KnownBadHostTransmitted", severity="error", subject="_host", summary=_state(session, "Known-bad host"),
+        detail=_phrase("{_host}", " matched a known-bad entry (", "{bytes}", " bytes)."),
+        key=_phrase("KnownBadHostTransmitted|host|", "{_host}"), tag=_phrase("bad-host-", "{_host}"),
+        confidence="0.9D", pivot_kind="'host'", pivot_value="_host",
     )
     return [watched, bad]
 
 
 def watched_services(services: DataFrame, policy: Policy, session: Session = Session()) -> list[DataFrame]:
-    name, sent = F.col("service"), F.col("bytes")
     watched = _occurrence(
-        services.where(text.any_pattern(name, policy.watched_services)), session, _order(2, "services"),
-        kind="WatchedEntityTransmitted", severity="info", subject=name, summary=_state(session, "Watched service"),
-        detail=_phrase("Service `", name, "` transmitted ", sent, " bytes."),
-        key=_phrase("WatchedEntityTransmitted|service|", name), tag=_phrase("watch-svc-", name), confidence=0.8,
-        pivot_kind="service", pivot_value=name,
+        services.where(text.any_pattern("service", policy.watched_services)), session, _order(2, "services"),
+        kind="WatchedEntityTransmitted", severity="info", subject="service", summary=_state(session, "Watched service"),
+        detail=_phrase("Service `", "{service}", "` transmitted ", "{bytes}", " bytes."),
+        key=_phrase("WatchedEntityTransmitted|service|", "{service}"), tag=_phrase("watch-svc-", "{service}"),
+        confidence="0.8D", pivot_kind="'service'", pivot_value="service",
     )
     bad = _occurrence(
-        services.where(text.any_pattern(name, policy.bad_services)), session, _order(2, "services"),
-        kind="KnownBadHostTransmitted", severity="error", subject=name, summary=_state(session, "Known-bad service"),
-        detail=_phrase("Service `", name, "` matched a known-bad entry (", sent, " bytes)."),
-        key=_phrase("KnownBadHostTransmitted|service|", name), tag=_phrase("bad-svc-", name), confidence=0.85,
-        pivot_kind="service", pivot_value=name,
+        services.where(text.any_pattern("service", policy.bad_services)), session, _order(2, "services"),
+        kind="KnownBadHostTransmitted", severity="error", subject="service", summary=_state(session, "Known-bad service"),
+        detail=_phrase("Service `", "{service}", "` matched a known-bad entry (", "{bytes}", " bytes)."),
+        key=_phrase("KnownBadHostTransmitted|service|", "{service}"), tag=_phrase("bad-svc-", "{service}"),
+        confidence="0.85D", pivot_kind="'service'", pivot_value="service",
     )
     return [watched, bad]
 
@@ -215,39 +197,37 @@ def watched_processes(processes: DataFrame, policy: Policy, session: Session = S
 
     ``processes(capture_id, rank, process_name, bytes, as_of_us)``: one row per ranked connection.
     """
-    rows = processes.where(F.col("process_name") != "")
-    name, sent = F.col("process_name"), F.col("bytes")
-    common = dict(subject=name, pivot_kind="process", pivot_value=name)
+    rows, name = processes.where("process_name <> ''"), "{process_name}"
+    common = dict(subject="process_name", pivot_kind="'process'", pivot_value="process_name")
     watched = _occurrence(
-        rows.where(text.any_pattern(name, policy.watched_processes)), session, _order(6, "processes"),
+        rows.where(text.any_pattern("process_name", policy.watched_processes)), session, _order(6, "processes"),
         kind="WatchedEntityTransmitted", severity="info", summary=_state(session, "Watched process"),
-        detail=_phrase("Process `", name, "` transmitted ", sent, " bytes."),
+        detail=_phrase("Process `", name, "` transmitted ", "{bytes}", " bytes."),
         key=_phrase("WatchedEntityTransmitted|process|", name), tag=_phrase("watch-proc-", name),
-        confidence=0.8, **common,
+        confidence="0.8D", **common,
     )
     bad = _occurrence(
-        rows.where(text.any_pattern(name, policy.bad_processes)), session, _order(6, "processes"),
+        rows.where(text.any_pattern("process_name", policy.bad_processes)), session, _order(6, "processes"),
         kind="KnownBadHostTransmitted", severity="error", summary=_state(session, "Known-bad process"),
-        detail=_phrase("Process `", name, "` matched a known-bad entry (", sent, " bytes)."),
+        detail=_phrase("Process `", name, "` matched a known-bad entry (", "{bytes}", " bytes)."),
         key=_phrase("KnownBadHostTransmitted|process|", name), tag=_phrase("bad-proc-", name),
-        confidence=0.85, **common,
-    )
-    tooling = (
-        F.lit(policy.p2p_enabled)
-        & text.any_pattern(name, list(C.PROCESS_NEEDLES))
-        & ~allowed(_phrase("process:", name), policy)
+        confidence="0.85D", **common,
     )
+    tooling = all_of([
+        str(policy.p2p_enabled).lower(), text.any_pattern("process_name", C.PROCESS_NEEDLES),
+        f"NOT {allowed(_phrase('process:', name), policy)}",
+    ])
     p2p = _occurrence(
         rows.where(tooling), session, _order(6, "processes"),
         kind="UnauthorizedP2pOrProxy", severity="warning", summary="Unauthorized P2P or proxy process",
-        detail=_phrase("Process `", name, "` matched built-in P2P/proxy heuristics (", sent, " bytes)."),
+        detail=_phrase("Process `", name, "` matched built-in P2P/proxy heuristics (", "{bytes}", " bytes)."),
         key=_phrase("UnauthorizedP2pOrProxy|process|", name), tag=_phrase("p2p-proc-", name),
-        confidence=0.85, cooldown="dpi", **common,
+        confidence="0.85D", cooldown="dpi", **common,
     )
     return [watched, bad, p2p]
 
 
-def allowed(token: Column, policy: Policy) -> Column:
+def allowed(token: str, policy: Policy) -> str:
     """Allow-list: the entry, bare or as ``process:entry``, is part of the token.
 
     An entry contained in the token covers its longer ``process:`` form, except
@@ -259,10 +239,10 @@ def allowed(token: Column, policy: Policy) -> Column:
     return text.any_pattern(token, entries)
 
 
-def one_decimal(numerator: Column, denominator: Column) -> Column:
+def one_decimal(numerator: str, denominator: str) -> str:
     """Ratio with one decimal, rounded half up in exact integer arithmetic."""
-    tenths = div(numerator * 20 + denominator, denominator * 2)
-    return F.concat(div(tenths, 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    tenths = f"(({numerator} * 20 + {denominator}) div ({denominator} * 2))"
+    return f"concat({tenths} div 10, '.', {tenths} % 10)"
 
 
 def _number(value: float) -> str:
@@ -271,105 +251,84 @@ def _number(value: float) -> str:
 
 def exfil(flows: DataFrame, policy: Policy, session: Session = Session()) -> DataFrame:
     """One-sided large transfers: bytes out over a minimum and a multiple of bytes in."""
-    out, inn = F.col("bytes_out"), F.col("bytes_in")
-    floor = F.greatest(inn, F.lit(1))
-    hit = flows.where(
-        F.lit(policy.exfil_enabled) & (out >= policy.exfil_min_bytes) & (out / floor >= policy.exfil_ratio)
-    )
-    peer, port = ip.to_text(F.col("b_bin")), F.coalesce("b_port", F.lit(0))
-    hit = hit.withColumn("_peer", peer)
-    peer = F.col("_peer")
+    floor = "greatest(bytes_in, 1L)"
+    test = all_of([
+        str(policy.exfil_enabled).lower(), f"bytes_out >= {policy.exfil_min_bytes}",
+        f"CAST(bytes_out AS DOUBLE) / {floor} >= {float(policy.exfil_ratio)!r}D",
+    ])
+    hit = computed(flows.where(test), _peer=ip.to_text("b_bin"))
     return _occurrence(
-        hit, session, _order(3, "flows"), kind="UnidirectionalLargeTransfer", severity="warning", subject=peer,
+        hit, session, _order(3, "flows"), kind="UnidirectionalLargeTransfer", severity="warning", subject="_peer",
         summary="Unidirectional large transfer (possible exfil)",
         detail=_phrase(
-            "Outbound ", out, " bytes vs inbound ", inn, " (ratio ", one_decimal(out, floor),
-            f"x, min {policy.exfil_min_bytes}, ratio≥{_number(policy.exfil_ratio)}). peer=", peer,
-            " sni/service≈", F.coalesce("sni", F.lit("unknown")),
+            "Outbound ", "{bytes_out}", " bytes vs inbound ", "{bytes_in}", " (ratio ", "{" + one_decimal("bytes_out", floor) + "}",
+            f"x, min {policy.exfil_min_bytes}, ratio≥{_number(policy.exfil_ratio)}). peer=", "{_peer}",
+            " sni/service≈", "{coalesce(sni, 'unknown')}",
         ),
-        key=_phrase("UnidirectionalLargeTransfer|", peer, "|", port), tag=_phrase("exfil-", peer),
-        confidence=0.8, pivot_kind="host", pivot_value=peer,
-        first_us=F.col("first_us"), last_us=F.col("last_us"), cooldown="dpi",
+        key=_phrase("UnidirectionalLargeTransfer|", "{_peer}", "|", "{coalesce(b_port, 0)}"), tag=_phrase("exfil-", "{_peer}"),
+        confidence="0.8D", pivot_kind="'host'", pivot_value="_peer", seen=True, cooldown="dpi",
     )
 
 
 def idle_tcp(sessions: DataFrame, policy: Policy, session: Session = Session()) -> DataFrame:
     """Established sessions that are old, small and silent as of ``as_of_us``."""
-    def sec(c: str) -> Column:
-        return div(F.col(c), 1_000_000)
-
-    rows = sessions.withColumns(
-        {
-            "_age": F.greatest(sec("as_of_us") - sec("first_us"), F.lit(0)),
-            "_silence": F.greatest(
-                sec("as_of_us") - F.coalesce(sec("last_payload_us"), sec("first_us")), F.lit(0)
-            ),
-            "_a": text.endpoint(F.col("endpoint_a_ip"), F.col("endpoint_a_port")),
-            "_b": text.endpoint(F.col("endpoint_b_ip"), F.col("endpoint_b_port")),
-        }
-    ).where(
-        F.lit(policy.idle_enabled)
-        & (F.col("state") == "ESTABLISHED")
-        & (F.col("bytes") <= policy.idle_max_bytes)
-        & (F.col("_age") >= policy.idle_min_age_seconds)
-        & (F.col("_silence") >= policy.idle_silence_seconds)
-    )
-    a, b = F.col("_a"), F.col("_b")
+    rows = sessions.selectExpr(
+        "*",
+        "greatest(as_of_us div 1000000 - first_us div 1000000, 0L) AS _age",
+        "greatest(as_of_us div 1000000 - coalesce(last_payload_us, first_us) div 1000000, 0L) AS _silence",
+        f"{text.endpoint('endpoint_a_ip', 'endpoint_a_port')} AS _a", f"{text.endpoint('endpoint_b_ip', 'endpoint_b_port')} AS _b",
+    ).where(all_of([
+        str(policy.idle_enabled).lower(), "state = 'ESTABLISHED'", f"bytes <= {policy.idle_max_bytes}",
+        f"_age >= {policy.idle_min_age_seconds}", f"_silence >= {policy.idle_silence_seconds}",
+    ]))
     return _occurrence(
         rows, session, _order(4, "tcp"), kind="LongIdleTcpConnection", severity="info",
-        subject=F.concat_ws(" ↔ ", a, b), summary="Long-lived idle TCP connection",
+        subject="concat(_a, ' ↔ ', _b)", summary="Long-lived idle TCP connection",
         detail=_phrase(
-            "Established age=", F.col("_age"), "s silence=", F.col("_silence"), "s total_bytes=", F.col("bytes"),
-            " payload_bytes=", F.col("payload_bytes"),
-            f" (min_age={policy.idle_min_age_seconds}s silence≥{policy.idle_silence_seconds}s"
-            f" max_bytes={policy.idle_max_bytes})",
+            "Established age=", "{_age}", "s silence=", "{_silence}", "s total_bytes=", "{bytes}", " payload_bytes=", "{payload_bytes}",
+            f" (min_age={policy.idle_min_age_seconds}s silence≥{policy.idle_silence_seconds}s max_bytes={policy.idle_max_bytes})",
         ),
-        key=_phrase("LongIdleTcpConnection|", a, "-", b), tag=_phrase("idle-", a), confidence=0.75,
-        pivot_kind="host", pivot_value=F.col("endpoint_b_ip"),
-        first_us=F.col("first_us"), last_us=F.col("last_us"), cooldown="dpi",
+        key=_phrase("LongIdleTcpConnection|", "{_a}", "-", "{_b}"), tag=_phrase("idle-", "{_a}"), confidence="0.75D",
+        pivot_kind="'host'", pivot_value="endpoint_b_ip", seen=True, cooldown="dpi",
     )
 
 
 def p2p_connections(flows: DataFrame, policy: Policy, session: Session = Session()) -> DataFrame:
     """Proxy or peer-to-peer ports on either side, or a proxy-infrastructure SNI, not allow-listed."""
-    listed = sorted(C.PROXY_PORTS + C.P2P_PORTS)
-    rows = flows.withColumns(
-        {
-            "_dport": F.coalesce("b_port", F.lit(0)), "_sport": F.coalesce("a_port", F.lit(0)),
-            "_sni": text.blank_to_empty(F.col("sni")), "_peer": ip.to_text(F.col("b_bin")),
-        }
-    )
-    dport, sport, sni, peer = F.col("_dport"), F.col("_sport"), F.col("_sni"), F.col("_peer")
-    port_hit = dport.isin(*listed) | sport.isin(*listed)
-    sni_hit = text.any_pattern(sni, list(C.SNI_NEEDLES))
-    cleared = (
-        allowed(_phrase("port:", dport), policy)
-        | allowed(_phrase("port:", sport), policy)
-        | ((sni != "") & allowed(_phrase("sni:", sni), policy))
+    listed = ", ".join(str(p) for p in sorted(C.PROXY_PORTS + C.P2P_PORTS))
+    rows = flows.selectExpr(
+        "*", "coalesce(b_port, 0) AS _dport", "coalesce(a_port, 0) AS _sport", "coalesce(sni, '') AS _sni",
+        f"coalesce(a_port IN ({listed}), false) OR coalesce(b_port IN ({listed}), false) AS _port_hit",
+        f"{text.any_pattern('sni', C.SNI_NEEDLES)} AS _sni_hit",
     )
-    hit = rows.where(F.lit(policy.p2p_enabled) & (port_hit | sni_hit) & ~cleared)
+    cleared = any_of([
+        allowed(_phrase("port:", "{_dport}"), policy), allowed(_phrase("port:", "{_sport}"), policy),
+        f"(_sni <> '' AND {allowed(_phrase('sni:', '{_sni}'), policy)})",
+    ])
+    hit = rows.where(all_of([str(policy.p2p_enabled).lower(), "(_port_hit OR _sni_hit)", f"NOT {cleared}"]))
+    hit = computed(hit, _peer=ip.to_text("b_bin"))
     return _occurrence(
-        hit, session, _order(5, "flows"), kind="UnauthorizedP2pOrProxy", severity="warning", subject=peer,
+        hit, session, _order(5, "flows"), kind="UnauthorizedP2pOrProxy", severity="warning", subject="_peer",
         summary="Unauthorized P2P or proxy traffic",
         detail=_phrase(
-            "Heuristic match sport=", sport, " dport=", dport, " sni=", sni, " peer=", peer, " bytes=", F.col("bytes")
+            "Heuristic match sport=", "{_sport}", " dport=", "{_dport}", " sni=", "{_sni}", " peer=", "{_peer}", " bytes=", "{bytes}"
         ),
-        key=_phrase("UnauthorizedP2pOrProxy|port|", dport, "|", peer), tag=_phrase("p2p-", dport, "-", peer),
-        confidence=F.when(port_hit & sni_hit, F.lit(0.9)).when(port_hit, F.lit(0.55)).otherwise(F.lit(0.6)),
-        pivot_kind=F.when(sni == "", "host").otherwise("sni"), pivot_value=F.when(sni == "", peer).otherwise(sni),
-        first_us=F.col("first_us"), last_us=F.col("last_us"), cooldown="dpi",
+        key=_phrase("UnauthorizedP2pOrProxy|port|", "{_dport}", "|", "{_peer}"), tag=_phrase("p2p-", "{_dport}", "-", "{_peer}"),
+        confidence="CASE WHEN _port_hit AND _sni_hit THEN 0.9D WHEN _port_hit THEN 0.55D ELSE 0.6D END",
+        pivot_kind="CASE WHEN _sni = '' THEN 'host' ELSE 'sni' END",
+        pivot_value="CASE WHEN _sni = '' THEN _peer ELSE _sni END", seen=True, cooldown="dpi",
     )
 
 
 def occurrences(totals: DataFrame, tables: dict[str, DataFrame], policy: Policy, session: Session = Session(),
-                as_of_us: Column | None = None, processes: DataFrame | None = None,
+                as_of_us: str | None = None, processes: DataFrame | None = None,
                 pool: int | None = None) -> DataFrame:
     """All detectors over session tables: the union of their hits.
 
     ``as_of_us`` defaults to the capture's last packet.  ``pool`` limits each
     ranking first, as a display-bound tool does; ``None`` looks at all rows.
     """
-    timed = totals.withColumn("as_of_us", F.col("ended_us") if as_of_us is None else as_of_us)
+    timed = totals.selectExpr("*", f"{as_of_us or 'ended_us'} AS as_of_us")
     clock_rows = timed.select("capture_id", "as_of_us")
 
     def ready(kind: str) -> DataFrame:
@@ -399,18 +358,16 @@ def merge(hits: DataFrame, session: Session = Session(), keep: int | None = C.MA
     The first occurrence fixes identity, the last one the changing fields; the
     newest key comes first.  ``keep=None`` keeps all.
     """
-    when = F.struct(F.col("as_of_us"), F.col("ord"))
-    fixed = F.struct("id", "kind", "severity", "subject", "first_us", "confidence", "pivot_kind", "pivot_value")
-    moving = F.struct("last_us", "detail", "summary", "mode")
-    merged = hits.groupBy("capture_id", "dedupe_key").agg(
-        F.min_by(fixed, when).alias("f"), F.max_by(moving, when).alias("m"),
-        F.count(F.lit(1)).alias("update_count"), F.min(when).alias("_first"),
-    )
+    when = "struct(as_of_us, ord)"
+    fixed = "struct(id, kind, severity, subject, first_us, confidence, pivot_kind, pivot_value)"
+    merged = hits.groupBy("capture_id", "dedupe_key").agg(*[F.expr(e) for e in (
+        f"min_by({fixed}, {when}) AS f", f"max_by(struct(last_us, detail, summary, mode), {when}) AS m",
+        "count(1) AS update_count", f"min({when}) AS _first",
+    )])
     repeat = "finding" if session.offline else "updated"
-    log = merged.select(
+    log = merged.selectExpr(
         "capture_id", "dedupe_key", "f.*", "m.*", "update_count",
-        F.when(F.col("update_count") > 1, repeat).otherwise(session.status).alias("status"),
-        "_first",
+        f"CASE WHEN update_count > 1 THEN '{repeat}' ELSE '{session.status}' END AS status", "_first",
     )
     if keep is None:
         return log.drop("_first")
@@ -421,7 +378,7 @@ def merge(hits: DataFrame, session: Session = Session(), keep: int | None = C.MA
 
 
 def batch_findings(totals: DataFrame, tables: dict[str, DataFrame], policy: Policy, offline: bool = True,
-                   top_n: int | None = None, as_of_us: Column | None = None) -> DataFrame:
+                   top_n: int | None = None, as_of_us: str | None = None) -> DataFrame:
     """Findings of finished captures; there is no process data in this path."""
     session = Session() if offline else Session.live()
     return merge(occurrences(totals, tables, policy, session, as_of_us, None, top_n), session)

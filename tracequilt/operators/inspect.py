@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import ipaddress
 from functools import reduce
-from operator import and_
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as C
-from ..functions import ip, text
+from ..functions import all_of, any_of, ip, lit, text
+from ..runtime import computed
 from . import classify
 from .enrich import distinct_ips, resolve_country
 
@@ -25,23 +26,17 @@ def packet_filter(proto: str | None = None, host: str | None = None, net: str |
     """
     if side not in ("any", "src", "dst"):
         raise ValueError("side must be any, src or dst")
-
-    def on_sides(test) -> Column:
-        if side == "any":
-            return test("src") | test("dst")
-        return test(side)
-
+    sides = ("src", "dst") if side == "any" else (side,)
     parts = []
     if proto is not None:
-        parts.append(F.col("proto") == proto)
+        parts.append(f"proto = {lit(proto)}")
     if host is not None:
-        packed = F.expr(f"X'{ipaddress.ip_address(host).packed.hex()}'")
-        parts.append(on_sides(lambda s: F.col(f"{s}_bin") == packed))
+        parts.append(any_of([f"{s}_bin = {ip.address(host)}" for s in sides]))
     if net is not None:
-        parts.append(on_sides(lambda s: ip.in_network(F.col(f"{s}_bin"), net)))
+        parts.append(any_of([ip.in_network(f"{s}_bin", net) for s in sides]))
     if port is not None:
-        parts.append(on_sides(lambda s: F.col(f"{s}_port") == port))
-    test = F.coalesce(reduce(and_, parts), F.lit(False)) if parts else F.lit(True)
+        parts.append(any_of([f"{s}_port = {int(port)}" for s in sides]))
+    test = F.expr(f"coalesce({all_of(parts)}, false)")
     return ~test if negate else test
 
 
@@ -53,8 +48,8 @@ def exclude_endpoint(address: str, port: int) -> Column:
     if port == 0:
         return F.lit(True)
     hosts = ["127.0.0.1", "::1"] if ipaddress.ip_address(address).is_unspecified else [address]
-    own = reduce(lambda a, b: a | b, [packet_filter(host=h) for h in hosts])
-    return ~(packet_filter(proto="tcp") & own & packet_filter(port=port))
+    own = reduce(or_, [packet_filter(host=h) for h in hosts])
+    return ~(packet_filter(proto="tcp", port=port) & own)
 
 
 # ---- row shaping --------------------------------------------------------------
@@ -66,64 +61,52 @@ def connection_rows(flows: DataFrame, service: str = "ports") -> DataFrame:
     direction; ``service='short'`` knows https and dns only.
     """
     have = set(flows.columns)
-    way = classify.session_direction(
-        F.col("a_bin"), F.col("b_bin"), F.col("bytes_in"), F.col("bytes_out"),
-        F.col("a_is_local"), F.col("b_is_local"), F.col("has_locals"),
+    shaped = computed(
+        flows, direction=classify.session_direction(), source_address=ip.to_text("a_bin"), destination_address=ip.to_text("b_bin")
     )
-    shaped = flows.withColumn("direction", way)
     if service == "short":
-        name = classify.projection_service(F.col("a_port"), F.col("b_port"))
+        shaped = computed(shaped, service=classify.projection_service())
     else:
-        name, _ = classify.service(
-            F.col("proto"), F.col("a_port"), F.col("b_port"), F.lit(None).cast("int"), F.col("direction")
-        )
+        shaped = classify.with_service(shaped, "proto", "a_port", "b_port", "CAST(NULL AS INT)")
 
-    def given(column: str, default) -> Column:
-        value = F.col(column) if column in have else F.lit(None)
-        return F.coalesce(value, F.lit(default)).alias(column)
+    def given(column: str, default: str) -> str:
+        return f"coalesce({column}, {default}) AS {column}" if column in have else f"{default} AS {column}"
 
     extra = [c for c in ("rank", "a_bin", "b_bin", "remote_asn_label") if c in have]
-    return shaped.select(
-        "capture_id",
-        *extra,
-        ip.to_text(F.col("a_bin")).alias("source_address"),
-        F.coalesce("a_port", F.lit(0)).alias("source_port"),
-        ip.to_text(F.col("b_bin")).alias("destination_address"),
-        F.coalesce("b_port", F.lit(0)).alias("destination_port"),
-        F.col("proto").alias("protocol"),
-        name.alias("service_name"),
-        "direction", "packets", "bytes", "bytes_in", "bytes_out",
-        given("process_name", ""), given("process_pid", 0), given("process_path", ""),
-        given("process_bundle", ""), given("process_inferred", False),
-        text.blank_to_empty(F.col("sni")).alias("sni"),
+    return shaped.selectExpr(
+        "capture_id", *extra,
+        "source_address", "coalesce(a_port, 0) AS source_port",
+        "destination_address", "coalesce(b_port, 0) AS destination_port",
+        "proto AS protocol", "service AS service_name", "direction", "packets", "bytes", "bytes_in", "bytes_out",
+        given("process_name", "''"), given("process_pid", "0L"), given("process_path", "''"),
+        given("process_bundle", "''"), given("process_inferred", "false"), "coalesce(sni, '') AS sni",
     )
 
 
 def host_rows(hosts: DataFrame) -> DataFrame:
     have = set(hosts.columns)
-    texts = ("country_label", "hostname", "asn_organization", "asn_label")
-    return hosts.select(
+
+    def given(column: str, default: str) -> str:
+        return f"coalesce({column}, {default}) AS {column}" if column in have else f"{default} AS {column}"
+
+    return hosts.selectExpr(
         "capture_id", *(["rank"] if "rank" in have else []),
-        ip.to_text(F.col("host_bin")).alias("host"), "packets", "bytes",
-        *[F.coalesce(F.col(c) if c in have else F.lit(None), F.lit("")).alias(c) for c in texts],
-        F.coalesce(F.col("asn_number") if "asn_number" in have else F.lit(None), F.lit(0)).cast("bigint").alias("asn_number"),
-        text.blank_to_empty(F.col("sni")).alias("sni"),
+        f"{ip.to_text('host_bin')} AS host", "packets", "bytes",
+        *[given(c, "''") for c in ("country_label", "hostname", "asn_organization", "asn_label", "sni")],
+        given("asn_number", "0L"),
     )
 
 
 def service_rows(services: DataFrame) -> DataFrame:
     extra = ["rank"] if "rank" in services.columns else []
-    return services.select(
-        "capture_id", *extra, F.col("service").alias("name"), F.col("proto").alias("transport"), "packets", "bytes"
-    )
+    return services.selectExpr("capture_id", *extra, "service AS name", "proto AS transport", "packets", "bytes")
 
 
 def tcp_rows(sessions: DataFrame) -> DataFrame:
     extra = ["rank"] if "rank" in sessions.columns else []
-    return sessions.select(
-        "capture_id", *extra,
-        F.col("endpoint_a_ip").alias("endpoint_a_address"), "endpoint_a_port",
-        F.col("endpoint_b_ip").alias("endpoint_b_address"), "endpoint_b_port",
+    return sessions.selectExpr(
+        "capture_id", *extra, "endpoint_a_ip AS endpoint_a_address", "endpoint_a_port",
+        "endpoint_b_ip AS endpoint_b_address", "endpoint_b_port",
         "state", "syn_count", "fin_count", "rst_count", "packets", "bytes", "first_us", "last_us",
     )
 
@@ -135,6 +118,7 @@ FILTER_FIELDS = {
     "protocol": "protocol", "direction": "direction", "process": "process_name", "sni": "sni",
 }
 SEARCH_FIELDS = ("source_address", "destination_address", "service_name", "protocol", "process_name", "sni")
+_A, _B = (text.endpoint(f"endpoint_{s}_address", f"endpoint_{s}_port") for s in "ab")
 
 
 def connection_filter(**fields: str | None) -> Column:
@@ -142,71 +126,58 @@ def connection_filter(**fields: str | None) -> Column:
     unknown = set(fields) - set(FILTER_FIELDS)
     if unknown:
         raise ValueError(f"unknown filter fields: {sorted(unknown)}")
-    tests = [text.blank_or_contains(v, F.col(FILTER_FIELDS[k])) for k, v in fields.items()]
-    return reduce(and_, tests, F.lit(True))
+    return F.expr(all_of([text.blank_or_contains(v, FILTER_FIELDS[k]) for k, v in fields.items()]))
 
 
 def search_filter(query: str | None) -> Column:
     """Free text over six columns, any of which may contain it."""
     if not (query or "").strip():
         return F.lit(True)
-    return reduce(lambda a, b: a | b, [text.folded_contains(F.col(c), query) for c in SEARCH_FIELDS])
+    return F.expr(any_of([text.folded_contains(c, query) for c in SEARCH_FIELDS]))
 
 
 def tcp_filter(address: str | None = None, port: str | None = None, state: str | None = None) -> Column:
     """Address or ``ip:port`` contains, port digits contain, state contains."""
-    a = text.endpoint(F.col("endpoint_a_address"), F.col("endpoint_a_port"))
-    b = text.endpoint(F.col("endpoint_b_address"), F.col("endpoint_b_port"))
-    tests = [text.blank_or_contains(state, F.col("state"))]
+    tests = [text.blank_or_contains(state, "state")]
     if (address or "").strip():
         # the bare address is a prefix of its "ip:port" form, so two tests cover all four
-        tests.append(text.blank_or_contains(address, a) | text.blank_or_contains(address, b))
+        tests.append(any_of([text.blank_or_contains(address, _A), text.blank_or_contains(address, _B)]))
     if (port or "").strip():
-        digits = F.lit(port.strip())
-        tests.append(
-            F.contains(F.col("endpoint_a_port").cast("string"), digits)
-            | F.contains(F.col("endpoint_b_port").cast("string"), digits)
-        )
-    return reduce(and_, tests)
+        digits = lit(port.strip())
+        tests.append(any_of([f"contains(CAST(endpoint_{s}_port AS STRING), {digits})" for s in "ab"]))
+    return F.expr(all_of(tests))
 
 
 def tcp_search(query: str | None = None, address: str | None = None, port: str | None = None,
                state: str | None = None) -> Column:
     """Free text over the label ``a:p ↔ b:p`` or the state, and the same on its parts."""
-    label = F.concat(
-        text.endpoint(F.col("endpoint_a_address"), F.col("endpoint_a_port")), F.lit(" ↔ "),
-        text.endpoint(F.col("endpoint_b_address"), F.col("endpoint_b_port")),
-    )
-    tests = [F.lit(True)]
+    label = f"concat({_A}, ' ↔ ', {_B})"
+    tests = []
     if (query or "").strip():
-        tests.append(text.folded_contains(label, query) | text.folded_contains(F.col("state"), query))
-    for value, column in ((address, label), (port, label), (state, F.col("state"))):
+        tests.append(any_of([text.folded_contains(label, query), text.folded_contains("state", query)]))
+    for value, column in ((address, label), (port, label), (state, "state")):
         if (value or "").strip():
             tests.append(text.folded_contains(column, value))
-    return reduce(and_, tests)
+    return F.expr(all_of(tests))
 
 
 def filter_country(rows: DataFrame, geo_country: DataFrame, token: str | None) -> DataFrame:
     """Rows whose source or destination country label contains the token.
 
-    Matching addresses are found once per distinct address; a left-semi join
-    keeps the rows, so no row is duplicated.
+    Labels are resolved once per distinct address; the matching addresses join
+    each side at most once, so no row is duplicated.
     """
     if not (token or "").strip():
         return rows
-    ips = distinct_ips(rows, "a_bin", "b_bin")
     matched = (
-        resolve_country(ips, geo_country)
-        .where(text.folded_contains(F.col("country_label"), token))
-        .select("ip_bin")
+        resolve_country(distinct_ips(rows, "a_bin", "b_bin"), geo_country)
+        .where(text.folded_contains("country_label", token))
     )
-    sides = matched.withColumn("_hit", F.lit(True))
+    hit_a = matched.selectExpr("ip_bin AS a_bin", "true AS _ha")
+    hit_b = matched.selectExpr("ip_bin AS b_bin", "true AS _hb")
     return (
-        rows.join(sides.select(F.col("ip_bin").alias("a_bin"), F.col("_hit").alias("_ha")), "a_bin", "left")
-        .join(sides.select(F.col("ip_bin").alias("b_bin"), F.col("_hit").alias("_hb")), "b_bin", "left")
-        .where(F.coalesce("_ha", "_hb").isNotNull())
-        .drop("_ha", "_hb")
-        .select(*rows.columns)
+        rows.join(hit_a, "a_bin", "left").join(hit_b, "b_bin", "left")
+        .where("_ha OR _hb").select(*rows.columns)
     )
 
 
@@ -231,7 +202,7 @@ def pivot_filter(kind: str, value: str) -> Column:
         return search_filter(value)
     if target == "country":
         raise ValueError("a country pivot is a lookup; use apply_pivot")
-    return text.folded_contains(F.col(FILTER_FIELDS[target]), value)
+    return F.expr(text.folded_contains(FILTER_FIELDS[target], value))
 
 
 def apply_pivot(rows: DataFrame, kind: str, value: str, geo_country: DataFrame | None = None) -> DataFrame:
@@ -256,11 +227,10 @@ def inspect(ranked_rows: DataFrame, top_n: int | None = C.TOP_N_DEFAULT, search:
 
 def summarize(pool: DataFrame, visible: Column) -> DataFrame:
     """Pool size, visible rows and the packets and bytes of the visible ones."""
-    return pool.groupBy("capture_id").agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_if(visible).alias("visible_rows"),
-        F.coalesce(F.sum(F.when(visible, F.col("packets"))), F.lit(0)).alias("total_packets"),
-        F.coalesce(F.sum(F.when(visible, F.col("bytes"))), F.lit(0)).alias("total_bytes"),
+    return pool.withColumn("_v", visible).groupBy("capture_id").agg(
+        F.count(F.lit(1)).alias("total_rows"), F.count_if("_v").alias("visible_rows"),
+        F.expr("sum(CASE WHEN _v THEN packets ELSE 0 END) AS total_packets"),
+        F.expr("sum(CASE WHEN _v THEN bytes ELSE 0 END) AS total_bytes"),
     )
 
 
@@ -274,59 +244,39 @@ def evidence(findings: DataFrame, rows: DataFrame) -> DataFrame:
     have, and joined by equality.  Work follows distinct texts and true
     matches; nothing is compared pairwise.
     """
-    target = reduce(
-        lambda acc, kv: acc.when(F.lower(F.trim("pivot_kind")) == kv[0], kv[1]), PIVOTS.items(), F.when(F.lit(False), "")
-    ).otherwise("search")
-    asked = findings.where(F.trim(F.coalesce("pivot_value", F.lit(""))) != "").select(
-        "capture_id", "dedupe_key", target.alias("_target"), F.lower(F.trim("pivot_value")).alias("_piece")
+    whens = " ".join(f"WHEN '{kind}' THEN '{target}'" for kind, target in PIVOTS.items())
+    asked = findings.where("trim(coalesce(pivot_value, '')) <> ''").selectExpr(
+        "capture_id", "dedupe_key", f"CASE lower(trim(pivot_kind)) {whens} ELSE 'search' END AS _target",
+        "lower(trim(pivot_value)) AS _piece",
+    ).where("_target <> 'country'")
+
+    def fields(searched: bool) -> str:
+        flag = ", '_searched', {}" if searched else ""
+        return ", ".join(
+            f"named_struct('_field', '{name}', '_text', lower({column})" + flag.format(str(column in SEARCH_FIELDS).lower()) + ")"
+            for name, column in FILTER_FIELDS.items()
+        )
+
+    texts = (
+        rows.selectExpr("capture_id", f"explode(array({fields(True)})) AS _t").select("capture_id", "_t.*")
+        .where("_text <> ''").distinct()
     )
-    asked = asked.where(F.col("_target") != "country")
-    searched = set(SEARCH_FIELDS)
-    texts = rows.select(
-        "capture_id",
-        F.explode(
-            F.array(*[
-                F.struct(
-                    F.lower(F.col(column)).alias("_text"),
-                    F.lit(name).alias("_field"),
-                    F.lit(column in searched).alias("_searched"),
-                )
-                for name, column in FILTER_FIELDS.items()
-            ])
-        ).alias("_t"),
-    ).select("capture_id", "_t.*").where(F.col("_text") != "").distinct()
-    lengths = asked.groupBy("capture_id").agg(F.collect_set(F.length("_piece")).alias("_lengths"))
+    lengths = asked.groupBy("capture_id").agg(F.expr("collect_set(length(_piece)) AS _lengths"))
     pieces = (
         texts.join(lengths, "capture_id")
-        .withColumn("_len", F.explode("_lengths"))
-        .where(F.col("_len") <= F.length("_text"))
-        .withColumn(
-            "_piece",
-            F.explode(
-                F.array_distinct(
-                    F.transform(
-                        F.sequence(F.lit(1), F.length("_text") - F.col("_len") + 1),
-                        lambda at: F.substring(F.col("_text"), at, F.col("_len")),
-                    )
-                )
-            ),
+        .selectExpr("*", "explode(_lengths) AS _len").where("_len <= length(_text)")
+        .selectExpr(
+            "capture_id", "_field", "_text", "_searched",
+            "explode(array_distinct(transform(sequence(1, length(_text) - _len + 1), i -> substring(_text, i, _len)))) AS _piece",
         )
     )
-    hits = pieces.join(asked, ["capture_id", "_piece"]).where(
-        (F.col("_target") == F.col("_field")) | ((F.col("_target") == "search") & F.col("_searched"))
-    ).select("capture_id", "dedupe_key", "_field", "_text").distinct()
-    row_texts = rows.withColumn(
-        "_t",
-        F.explode(F.array(*[
-            F.struct(F.lit(name).alias("_field"), F.lower(F.col(column)).alias("_text"))
-            for name, column in FILTER_FIELDS.items()
-        ])),
-    ).select(*rows.columns, "_t.*")
-    return (
-        row_texts.join(hits, ["capture_id", "_field", "_text"])
-        .select("dedupe_key", *rows.columns)
-        .distinct()
+    hits = (
+        pieces.join(asked, ["capture_id", "_piece"])
+        .where("_target = _field OR (_target = 'search' AND _searched)")
+        .select("capture_id", "dedupe_key", "_field", "_text").distinct()
     )
+    by_text = rows.selectExpr("*", f"explode(array({fields(False)})) AS _t").select(*rows.columns, "_t.*")
+    return by_text.join(hits, ["capture_id", "_field", "_text"]).select("dedupe_key", *rows.columns).distinct()
 
 
 def nearest_point(findings: DataFrame, timeline: DataFrame) -> DataFrame:
@@ -351,11 +301,7 @@ def nearest_point(findings: DataFrame, timeline: DataFrame) -> DataFrame:
     after = F.last("_point", ignorenulls=True).over(backward)
     both = stream.withColumns({"_before": before, "_after": after}).where(F.col("dedupe_key").isNotNull())
     near = (
-        F.when(F.col("_before").isNull(), F.col("_after"))
-        .when(F.col("_after").isNull(), F.col("_before"))
-        .when(F.col("_at") - F.col("_before") <= F.col("_after") - F.col("_at"), F.col("_before"))
-        .otherwise(F.col("_after"))
+        "CASE WHEN _before IS NULL THEN _after WHEN _after IS NULL OR _at - _before <= _after - _at THEN _before"
+        " ELSE _after END"
     )
-    return both.select("capture_id", "dedupe_key", F.col("_at").alias("second"), near.alias("point_second"))
-
-
+    return both.selectExpr("capture_id", "dedupe_key", "_at AS second", f"{near} AS point_second")

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import octets
-from ..runtime import div
 
 # Blocks that span more fine buckets than this are filed under coarse buckets.
 WIDE = 256
 
 
-def _prefixes(ip: Column) -> tuple[Column, Column]:
+def _prefixes(ip: str) -> tuple[str, str]:
     """Fine and coarse bucket: /16 and /8 for IPv4, /32 and /16 for IPv6."""
-    v4 = F.length(ip) == 4
-    fine = F.when(v4, octets.be_int(ip, 0, 2)).otherwise(octets.be_int(ip, 0, 4))
-    coarse = F.when(v4, octets.be_int(ip, 0, 1)).otherwise(octets.be_int(ip, 0, 2))
+    v4 = f"length({ip}) = 4"
+    fine = f"CASE WHEN {v4} THEN {octets.be_int(ip, 0, 2)} ELSE {octets.be_int(ip, 0, 4)} END"
+    coarse = f"CASE WHEN {v4} THEN {octets.be_int(ip, 0, 1)} ELSE {octets.be_int(ip, 0, 2)} END"
     return fine, coarse
 
 
@@ -30,38 +29,29 @@ def range_lookup(ips: DataFrame, blocks: DataFrame) -> DataFrame:
     when it is small, else sort-merges with skew splitting.
     """
     payload = [c for c in blocks.columns if c not in ("start_bin", "end_bin")]
-    lo_fine, lo_coarse = _prefixes(F.col("start_bin"))
-    hi_fine, hi_coarse = _prefixes(F.col("end_bin"))
-    family = F.length("start_bin")
-    spread = blocks.withColumns(
-        {"_lf": lo_fine, "_hf": hi_fine, "_lc": lo_coarse, "_hc": hi_coarse}
-    ).withColumn("_wide", F.col("_hf") - F.col("_lf") >= WIDE)
-    filed = spread.select(
-        "start_bin", "end_bin", *payload,
-        family.alias("_family"), "_wide",
-        F.explode(
-            F.when(F.col("_wide"), F.sequence("_lc", "_hc")).otherwise(
-                F.sequence("_lf", F.when(F.col("_wide"), F.col("_lf")).otherwise(F.col("_hf")))
-            )
-        ).alias("_bucket"),
+    (lo_fine, lo_coarse), (hi_fine, hi_coarse) = _prefixes("start_bin"), _prefixes("end_bin")
+    filed = (
+        blocks.selectExpr("*", f"{lo_fine} AS _lf", f"{hi_fine} AS _hf", f"{lo_coarse} AS _lc", f"{hi_coarse} AS _hc")
+        .selectExpr("*", f"_hf - _lf >= {WIDE} AS _wide")
+        .selectExpr(
+            "start_bin", "end_bin", *payload, "length(start_bin) AS _family", "_wide",
+            "explode(CASE WHEN _wide THEN sequence(_lc, _hc) ELSE sequence(_lf, CASE WHEN _wide THEN _lf ELSE _hf END) END) AS _bucket",
+        )
     )
-    fine, coarse = _prefixes(F.col("ip_bin"))
-    probes = ips.select(
-        "ip_bin",
-        F.length("ip_bin").alias("_family"),
-        F.explode(
-            F.array(
-                F.struct(F.lit(False).alias("_wide"), fine.alias("_bucket")),
-                F.struct(F.lit(True).alias("_wide"), coarse.alias("_bucket")),
-            )
-        ).alias("_p"),
+    fine, coarse = _prefixes("ip_bin")
+    probes = ips.selectExpr(
+        "ip_bin", "length(ip_bin) AS _family",
+        f"explode(array(named_struct('_wide', false, '_bucket', {fine}), named_struct('_wide', true, '_bucket', {coarse}))) AS _p",
     ).select("ip_bin", "_family", "_p.*")
-    hit = (F.col("ip_bin") >= F.col("start_bin")) & (F.col("ip_bin") <= F.col("end_bin"))
-    return probes.join(filed, ["_family", "_wide", "_bucket"]).where(hit).select("ip_bin", *payload)
+    return (
+        probes.join(filed, ["_family", "_wide", "_bucket"])
+        .where("ip_bin BETWEEN start_bin AND end_bin")
+        .select("ip_bin", *payload)
+    )
 
 
 def latest_within(probes: DataFrame, observations: DataFrame, keys: list[str], ttl_seconds: int,
-                  value: Column, at: str = "as_of_us") -> DataFrame:
+                  value: str, at: str = "as_of_us") -> DataFrame:
     """As-of join: for each distinct (keys, ``at``) the latest observation not after it
     and younger than the TTL.  Adds ``observed_us`` and ``found`` (the struct ``value``).
 
@@ -70,15 +60,13 @@ def latest_within(probes: DataFrame, observations: DataFrame, keys: list[str], t
     by what one key observes in two slots, not by its history.
     """
     ttl = ttl_seconds * 1_000_000
-    asked = probes.select(*keys, at).distinct().withColumn("_slot", div(F.col(at), ttl))
-    slot = div(F.col("observed_us"), ttl)
-    filed = observations.select(*keys, "observed_us", value.alias("found")).withColumn(
-        "_slot", F.explode(F.array(slot, slot + 1))
+    asked = probes.select(*keys, at).distinct().selectExpr("*", f"{at} div {ttl} AS _slot")
+    filed = observations.selectExpr(
+        *keys, "observed_us", f"{value} AS found", f"explode(array(observed_us div {ttl}, observed_us div {ttl} + 1)) AS _slot"
     )
-    age = F.col(at) - F.col("observed_us")
     return (
         asked.join(filed, [*keys, "_slot"])
-        .where((age >= 0) & (age < ttl))
+        .where(f"observed_us <= {at} AND {at} - observed_us < {ttl}")
         .groupBy(*keys, at)
         .agg(F.max("observed_us").alias("observed_us"), F.max_by("found", "observed_us").alias("found"))
     )

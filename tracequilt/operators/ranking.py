@@ -10,38 +10,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as C
-from ..functions import ip, text
+from ..functions import any_of, ip, text
 from .classify import proto_rank
 
 
-def connection_key() -> list[Column]:
-    return [
-        *ip.order_key(F.col("a_bin")), *ip.order_key(F.col("b_bin")),
-        F.col("a_port").asc_nulls_first(), F.col("b_port").asc_nulls_first(),
-        proto_rank(F.col("proto")),
-    ]
+def connection_key() -> list[str]:
+    return [*ip.order_key("a_bin"), *ip.order_key("b_bin"), "a_port", "b_port", proto_rank()]
 
 
-def host_key() -> list[Column]:
-    return ip.order_key(F.col("host_bin"))
+def host_key() -> list[str]:
+    return ip.order_key("host_bin")
 
 
-def service_key() -> list[Column]:
-    return [F.col("service"), proto_rank(F.col("proto"))]
+def service_key() -> list[str]:
+    return ["service", proto_rank()]
 
 
-def tcp_key() -> list[Column]:
-    return [
-        *ip.order_key(F.col("endpoint_a_bin")), F.col("endpoint_a_port"),
-        *ip.order_key(F.col("endpoint_b_bin")), F.col("endpoint_b_port"),
-    ]
+def tcp_key() -> list[str]:
+    return [*ip.order_key("endpoint_a_bin"), "endpoint_a_port", *ip.order_key("endpoint_b_bin"), "endpoint_b_port"]
 
 
 KEYS = {"flows": connection_key, "hosts": host_key, "services": service_key, "tcp": tcp_key}
 
 
 def traffic_order(kind: str) -> list[Column]:
-    return [F.col("bytes").desc(), F.col("packets").desc(), *KEYS[kind]()]
+    """Bytes desc, packets desc, then the key; a missing port sorts first (Spark's default)."""
+    return [F.col("bytes").desc(), F.col("packets").desc(), *[F.expr(k) for k in KEYS[kind]()]]
 
 
 def rank_by_traffic(df: DataFrame, kind: str, limit: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
@@ -84,9 +78,7 @@ def focus_reorder(ranked: DataFrame, focus: str, columns: list[str]) -> DataFram
     token = focus.strip()
     if not token:
         return ranked.orderBy("capture_id", "rank")
-    hit = F.lit(False)
-    for column in columns:
-        hit = hit | text.folded_contains(F.col(column), token)
+    hit = F.expr(any_of([text.folded_contains(column, token) for column in columns]))
     window = Window.partitionBy("capture_id").orderBy(F.col("_hit").desc(), "rank")
     return (
         ranked.withColumn("_hit", hit)

@@ -8,7 +8,7 @@ already collapsed inside each scan task before anything is shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
 from ..functions.octets import has_flag
@@ -17,16 +17,15 @@ INIT, SYN_ACK, ESTABLISHED, FIN, RST = range(5)
 
 KEY = ("src_bin", "dst_bin", "src_port", "dst_port", "proto", "arp_op", "sni")
 
+TRACKED = "proto = 'tcp' AND tcp_flags IS NOT NULL AND src_port IS NOT NULL AND dst_port IS NOT NULL"
 
-def tcp_class(flags: Column) -> Column:
+
+def tcp_class(flags: str = "tcp_flags") -> str:
     """Class of one TCP packet: reset, then finish, then the SYN combinations."""
     syn, ack = has_flag(flags, C.SYN), has_flag(flags, C.ACK)
     return (
-        F.when(has_flag(flags, C.RST), RST)
-        .when(has_flag(flags, C.FIN), FIN)
-        .when(syn & ~ack, INIT)
-        .when(syn, SYN_ACK)
-        .when(flags.isNotNull(), ESTABLISHED)
+        f"CASE WHEN {has_flag(flags, C.RST)} THEN {RST} WHEN {has_flag(flags, C.FIN)} THEN {FIN}"
+        f" WHEN {syn} AND NOT {ack} THEN {INIT} WHEN {syn} THEN {SYN_ACK} ELSE {ESTABLISHED} END"
     )
 
 
@@ -35,41 +34,25 @@ def rollup(packets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
     Undecodable frames collapse into one row per capture with ``decoded = false``.
     """
-    tracked = (
-        (F.col("proto") == "tcp")
-        & F.col("tcp_flags").isNotNull()
-        & F.col("src_port").isNotNull()
-        & F.col("dst_port").isNotNull()
-    )
-    seq, ts = F.col("seq"), F.col("ts_us")
-    kind = F.col("_class")
-    flags = F.col("tcp_flags")
-    other = F.when(kind != INIT, seq)
-    paid = F.when(F.col("tracked") & (F.col("payload_len") > 0), seq)
-
-    def flagged(mask: int) -> Column:
-        return F.sum(F.when(F.col("tracked") & has_flag(flags, mask), 1).otherwise(0))
-
+    def flagged(mask: int, name: str) -> str:
+        return f"sum(CASE WHEN tracked AND {has_flag('tcp_flags', mask)} THEN 1 ELSE 0 END) AS {name}"
+
+    paid = "CASE WHEN tracked AND payload_len > 0 THEN seq END"
+    other = f"CASE WHEN _class <> {INIT} THEN seq END"
+    aggregates = [
+        "count(1) AS packets", "sum(packet_len) AS bytes",
+        "min(seq) AS first_seq", "min_by(ts_us, seq) AS first_us",
+        "max(seq) AS last_seq", "max_by(ts_us, seq) AS last_us",
+        "sum(CASE WHEN tracked THEN payload_len ELSE 0 END) AS payload_bytes",
+        f"max({paid}) AS payload_seq", f"max_by(ts_us, {paid}) AS payload_us",
+        flagged(C.SYN, "syn_count"), flagged(C.FIN, "fin_count"), flagged(C.RST, "rst_count"),
+        "max_by(_class, seq) AS last_class",
+        f"max({other}) AS other_seq", f"max_by(_class, {other}) AS other_class",
+        f"max(CASE WHEN _class = {INIT} THEN seq END) AS init_seq",
+    ]
     return (
-        packets.withColumn("tracked", F.coalesce(tracked, F.lit(False)))
-        .withColumn("_class", F.when(F.col("tracked"), tcp_class(flags)))
+        packets.selectExpr("*", f"coalesce({TRACKED}, false) AS tracked")
+        .selectExpr("*", f"CASE WHEN tracked THEN {tcp_class()} END AS _class")
         .groupBy("capture_id", *by, "decoded", "tracked", *KEY)
-        .agg(
-            F.count(F.lit(1)).alias("packets"),
-            F.sum("packet_len").alias("bytes"),
-            F.min(seq).alias("first_seq"),
-            F.min_by(ts, seq).alias("first_us"),
-            F.max(seq).alias("last_seq"),
-            F.max_by(ts, seq).alias("last_us"),
-            F.sum(F.when(F.col("tracked"), F.col("payload_len")).otherwise(0)).alias("payload_bytes"),
-            F.max(paid).alias("payload_seq"),
-            F.max_by(ts, paid).alias("payload_us"),
-            flagged(C.SYN).alias("syn_count"),
-            flagged(C.FIN).alias("fin_count"),
-            flagged(C.RST).alias("rst_count"),
-            F.max_by(kind, seq).alias("last_class"),
-            F.max(other).alias("other_seq"),
-            F.max_by(kind, other).alias("other_class"),
-            F.max(F.when(kind == INIT, seq)).alias("init_seq"),
-        )
+        .agg(*[F.expr(a) for a in aggregates])
     )

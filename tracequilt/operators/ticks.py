@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import constants as C
 from ..functions import clock
-from ..runtime import div
 from . import classify
 
 BLOCK_SEQS = 1 << 20
@@ -24,12 +23,12 @@ def assign_ticks(packets: DataFrame, late: str = "fold", block_seqs: int = BLOCK
 
     ``late='event_time'``: the packet's own second; no shuffle at all.
     """
-    second = clock.second_of(F.col("ts_us"))
+    second = F.expr(clock.second_of("ts_us"))
     if late == "event_time":
         return packets.withColumn("tick", second)
     if late != "fold":
         raise ValueError("late must be 'fold' or 'event_time'")
-    blocked = packets.withColumns({"_block": div(F.col("seq"), block_seqs), "_sec": second})
+    blocked = packets.selectExpr("*", f"seq div {block_seqs} AS _block", f"{clock.second_of('ts_us')} AS _sec")
     peaks = blocked.groupBy("capture_id", "_block").agg(F.max("_sec").alias("_peak"))
     carried = peaks.select(
         "capture_id", "_block",
@@ -51,31 +50,21 @@ def assign_ticks(packets: DataFrame, late: str = "fold", block_seqs: int = BLOCK
 def with_direction(packets: DataFrame, local_addresses: DataFrame | None = None, offline: bool = True) -> DataFrame:
     """Per-packet direction, for sums that need no flow key; null when undecodable."""
     sides = classify.with_local_sides(packets, local_addresses)
-    way = classify.direction(
-        F.col("src_bin"), F.col("dst_bin"), F.col("src_is_local"), F.col("dst_is_local"), offline
-    )
-    return sides.withColumn("direction", F.when(F.col("decoded"), way)).drop(
-        "src_is_local", "dst_is_local", "has_locals"
-    )
+    return sides.selectExpr(*packets.columns, f"CASE WHEN decoded THEN {classify.direction(offline)} END AS direction")
 
 
 def tick_table(ticked: DataFrame, local_addresses: DataFrame | None = None, offline: bool = True) -> DataFrame:
     """One row per (capture, tick): totals over all frames, in/out bytes over decoded ones,
     sequence number, closing packet time and the silent seconds that follow."""
-    def way_sum(way: str) -> Column:
-        return F.sum(F.when(F.col("direction") == way, F.col("packet_len")).otherwise(0))
-
-    per_tick = (
-        with_direction(ticked, local_addresses, offline)
-        .groupBy("capture_id", "tick")
-        .agg(
-            F.count(F.lit(1)).alias("packets"),
-            F.sum("packet_len").alias("bytes"),
-            way_sum("inbound").alias("bytes_in"),
-            way_sum("outbound").alias("bytes_out"),
-            F.min_by("ts_us", "seq").alias("_first_us"),
-            F.max_by("ts_us", "seq").alias("_last_us"),
-        )
+    def way_sum(way: str) -> str:
+        return f"sum(CASE WHEN direction = '{way}' THEN packet_len ELSE 0 END)"
+
+    per_tick = with_direction(ticked, local_addresses, offline).groupBy("capture_id", "tick").agg(
+        *[F.expr(a) for a in (
+            "count(1) AS packets", "sum(packet_len) AS bytes",
+            f"{way_sum('inbound')} AS bytes_in", f"{way_sum('outbound')} AS bytes_out",
+            "min_by(ts_us, seq) AS _first_us", "max_by(ts_us, seq) AS _last_us",
+        )]
     )
     order = Window.partitionBy("capture_id").orderBy("tick")
     return per_tick.select(
@@ -152,28 +141,21 @@ def timeline_compressed(ticks: DataFrame, points: int = C.TIMELINE_POINTS) -> Da
     span = span.withColumn(
         "_n", F.least(F.col("_to") - F.col("_from") + 1, F.lit(points).cast("bigint"))
     )
-    flat = (F.col("_n") <= 1) | (F.col("_to") <= F.col("_from"))
-    bucket = F.when(flat, F.lit(0).cast("bigint")).otherwise(
-        div((F.col("tick") - F.col("_from")) * (F.col("_n") - 1), F.greatest(F.col("_to") - F.col("_from"), F.lit(1)))
-    )
+    flat = "(_n <= 1 OR _to <= _from)"
+    bucket = f"CASE WHEN {flat} THEN 0L ELSE ((tick - _from) * (_n - 1)) div greatest(_to - _from, 1L) END"
     sums = (
         ticks.join(span, "capture_id")
-        .groupBy("capture_id", bucket.alias("point"))
+        .groupBy("capture_id", F.expr(bucket).alias("point"))
         .agg(F.sum("bytes_in").alias("_in"), F.sum("bytes_out").alias("_out"))
     )
-    axis = span.withColumn("point", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
+    axis = span.selectExpr("*", "explode(sequence(0L, _n - 1)) AS point")
     second = (
-        F.when(flat, F.col("_from"))
-        .when(F.col("point") == F.col("_n") - 1, F.col("_to"))
-        .otherwise(
-            F.col("_from")
-            + div((F.col("_to") - F.col("_from")) * F.col("point"), F.greatest(F.col("_n") - 1, F.lit(1)))
-        )
+        f"CASE WHEN {flat} THEN _from WHEN point = _n - 1 THEN _to"
+        f" ELSE _from + ((_to - _from) * point) div greatest(_n - 1, 1L) END"
     )
-    return axis.join(sums, ["capture_id", "point"], "left").select(
-        "capture_id", "point", second.alias("second"),
-        F.coalesce("_in", F.lit(0).cast("bigint")).alias("bytes_in"),
-        F.coalesce("_out", F.lit(0).cast("bigint")).alias("bytes_out"),
+    return axis.join(sums, ["capture_id", "point"], "left").selectExpr(
+        "capture_id", "point", f"{second} AS second",
+        "coalesce(_in, 0L) AS bytes_in", "coalesce(_out, 0L) AS bytes_out",
     )
 
 

@@ -7,72 +7,48 @@ flag combination and detector trigger the operators need.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from .. import schema
-from ..functions import clock
-from ..runtime import div
 
 CAPTURE = "file:events"
+REMOTES = ("8.8.8.8", "1.1.1.1", "93.184.216.34", "35.223.238.178", "210.140.92.187", "10.0.200.1", "2606:4700::2", "127.0.0.1")
+K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"
+REMOTE = f"element_at(array({', '.join(repr(r) for r in REMOTES)}), k % 8 + 1)"
 
 
 def packets_from_events(events: DataFrame) -> DataFrame:
-    u = F.col("user_id")
-    e = events.select(
-        "event_id", "ts", u.alias("u"), F.col("event_type").alias("et"),
-        F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"),
-        (F.lit(60) + F.round(F.col("value") * 100).cast("bigint") % 1400).alias("len"),
-    )
-    k8, k16 = F.col("k") % 8, F.col("k") % 16
-    u = F.col("u")
-    local = (
-        F.when(k8 == 6, F.concat(F.lit("fd00::"), (u % 256 + 1).cast("string")))
-        .when(k8 == 7, "127.0.0.1")
-        .otherwise(F.concat(F.lit("10.0."), div(u, 256).cast("string"), F.lit("."), (u % 256).cast("string")))
-    )
-    remotes = ["8.8.8.8", "1.1.1.1", "93.184.216.34", "35.223.238.178", "210.140.92.187",
-               "10.0.200.1", "2606:4700::2", "127.0.0.1"]
-    service_ports = {0: 53, 8: 443, 1: 853, 9: 853, 4: 80, 12: 80, 6: 6881, 14: 6881, 7: 9050, 15: 9050}
-    port_of = F.lit(443)
-    for slot, number in service_ports.items():
-        port_of = F.when(k16 == slot, number).otherwise(port_of)
-    p = e.select(
+    staged = events.selectExpr(
+        "event_id", "ts", "user_id AS u", "event_type AS et", f"{K} AS k",
+        "60 + CAST(round(value * 100) AS BIGINT) % 1400 AS len",
+    ).selectExpr(
         "event_id", "ts", "et", "k", "len",
-        local.alias("loc"),
-        F.element_at(F.array(*[F.lit(r) for r in remotes]), k8 + 1).alias("rem"),
-        F.when(k16 == 5, "arp").when(k16 == 13, "icmp").when(k8 == 0, "udp").otherwise("tcp").alias("proto"),
-        port_of.alias("svc_port"),
-        (F.lit(49152) + (u % 16384).cast("int")).alias("cli_port"),
-        F.col("et").isin("view", "purchase").alias("inb"),
-    )
-    ported, tcp = F.col("proto").isin("tcp", "udp"), F.col("proto") == "tcp"
-    flags = (
-        F.when(F.col("et") == "signup", 2).when(F.col("et") == "view", 18)
-        .when(F.col("et") == "purchase", 24).when(F.col("et") == "click", 16)
-        .when(F.col("event_id") % 2 == 0, 4).otherwise(17)
+        "CASE k % 8 WHEN 6 THEN concat('fd00::', u % 256 + 1) WHEN 7 THEN '127.0.0.1'"
+        " ELSE concat('10.0.', u div 256, '.', u % 256) END AS loc",
+        f"{REMOTE} AS rem",
+        "CASE WHEN k % 16 = 5 THEN 'arp' WHEN k % 16 = 13 THEN 'icmp' WHEN k % 8 = 0 THEN 'udp' ELSE 'tcp' END AS proto",
+        "CASE k % 16 WHEN 0 THEN 53 WHEN 8 THEN 443 WHEN 1 THEN 853 WHEN 9 THEN 853 WHEN 4 THEN 80 WHEN 12 THEN 80"
+        " WHEN 6 THEN 6881 WHEN 14 THEN 6881 WHEN 7 THEN 9050 WHEN 15 THEN 9050 ELSE 443 END AS svc_port",
+        "49152 + CAST(u % 16384 AS INT) AS cli_port",
+        "et IN ('view', 'purchase') AS inb",
     )
 
-    def by_way(inbound: str, outbound: str):
-        return F.when(F.col("inb"), F.col(inbound)).otherwise(F.col(outbound))
+    def by_way(inbound: str, outbound: str) -> str:
+        return f"CASE WHEN inb THEN {inbound} ELSE {outbound} END"
 
-    return p.select(
-        F.lit(CAPTURE).alias("capture_id"),
-        F.col("event_id").alias("seq"),
-        clock.ntz_micros("ts").alias("ts_us"),
-        by_way("rem", "loc").alias("src_ip"),
-        by_way("loc", "rem").alias("dst_ip"),
-        F.when(ported, by_way("svc_port", "cli_port")).alias("src_port"),
-        F.when(ported, by_way("cli_port", "svc_port")).alias("dst_port"),
+    return staged.selectExpr(
+        f"'{CAPTURE}' AS capture_id", "event_id AS seq", "ts",
+        f"{by_way('rem', 'loc')} AS src_ip", f"{by_way('loc', 'rem')} AS dst_ip",
+        f"CASE WHEN proto IN ('tcp', 'udp') THEN {by_way('svc_port', 'cli_port')} END AS src_port",
+        f"CASE WHEN proto IN ('tcp', 'udp') THEN {by_way('cli_port', 'svc_port')} END AS dst_port",
         "proto",
-        F.when(tcp, flags).alias("tcp_flags"),
-        F.col("len").alias("packet_len"),
-        F.when(tcp & (F.col("et") == "purchase"), F.col("len") - 54).otherwise(0).alias("payload_len"),
-        F.when(
-            tcp & ~F.col("inb") & (F.col("svc_port") == 443),
-            F.concat(F.lit("h"), (F.col("k") % 5).cast("string"), F.lit(".example.com")),
-        ).alias("sni"),
-        F.when(F.col("proto") == "arp", 1 + F.col("event_id") % 2).cast("int").alias("arp_op"),
-        (F.col("event_id") % 97 != 0).alias("decoded"),
+        "CASE WHEN proto = 'tcp' THEN CASE et WHEN 'signup' THEN 2 WHEN 'view' THEN 18 WHEN 'purchase' THEN 24"
+        " WHEN 'click' THEN 16 ELSE CASE WHEN event_id % 2 = 0 THEN 4 ELSE 17 END END END AS tcp_flags",
+        "len AS packet_len",
+        "CASE WHEN proto = 'tcp' AND et = 'purchase' THEN len - 54 ELSE 0 END AS payload_len",
+        "CASE WHEN proto = 'tcp' AND NOT inb AND svc_port = 443 THEN concat('h', k % 5, '.example.com') END AS sni",
+        "CASE WHEN proto = 'arp' THEN 1 + event_id % 2 END AS arp_op",
+        "event_id % 97 <> 0 AS decoded",
     )
 
 

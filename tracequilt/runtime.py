@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -21,6 +21,7 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
@@ -52,6 +53,13 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def div(left: Column, right: Column | int) -> Column:
-    """Integer division in integers (``/`` would go through DOUBLE)."""
-    return F.call_function("div", left, F.lit(right) if isinstance(right, int) else right)
+def computed(df: DataFrame, **expressions: str) -> DataFrame:
+    """Add columns that later filters and projections see as plain columns.
+
+    Spark pushes a filter below a projection by copying the projected
+    expression into it, once per mention.  For long expressions such as a
+    rendered address that multiplies both planning and work; a generator of
+    exactly one row keeps each evaluated once.
+    """
+    fields = ", ".join(f"'{name}', {expression}" for name, expression in expressions.items())
+    return df.selectExpr("*", f"inline(array(named_struct({fields})))")

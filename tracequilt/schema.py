@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 from .functions import clock, ip
+from .runtime import computed
 
 FRAMES = T.StructType(
     [
@@ -51,29 +52,31 @@ def conform_packets(df: DataFrame) -> DataFrame:
     Decoded fields of undecodable frames are blanked so they cannot form groups.
     """
     have = set(df.columns)
-    decoded = F.coalesce(F.col("decoded"), F.lit(True)) if "decoded" in have else F.lit(True)
+    parsed = {
+        f"{side}_bin": ip.from_text(f"{side}_ip")
+        for side in ("src", "dst") if f"{side}_bin" not in have and f"{side}_ip" in have
+    }
+    if parsed:
+        df = computed(df, **parsed)
+        have |= set(parsed)
+    decoded = "coalesce(decoded, true)" if "decoded" in have else "true"
 
-    def source(name: str) -> Column:
-        if name in have:
-            return F.col(name)
-        if name in ("src_bin", "dst_bin") and f"{name[:3]}_ip" in have:
-            return ip.from_text(F.col(f"{name[:3]}_ip"))
-        if name == "ts_us" and "ts" in have:
-            if isinstance(df.schema["ts"].dataType, T.TimestampNTZType):
-                return clock.ntz_micros("ts")
-            return F.unix_micros("ts")
+    def source(name: str) -> str:
         if name == "decoded":
             return decoded
-        if name == "payload_len":
-            return F.lit(0)
-        return F.lit(None)
+        if name in have:
+            return name
+        if name == "ts_us" and "ts" in have:
+            ntz = isinstance(df.schema["ts"].dataType, T.TimestampNTZType)
+            return clock.ntz_micros("ts") if ntz else "unix_micros(ts)"
+        return "NULL"
 
-    def value(field: T.StructField) -> Column:
+    def value(field: T.StructField) -> str:
         column = source(field.name)
         if field.name == "payload_len":
-            column = F.coalesce(column, F.lit(0))
+            column = f"coalesce({column}, 0)"
         if field.name in DECODED_FIELDS:
-            column = F.when(decoded, column)
-        return column.cast(field.dataType).alias(field.name)
+            column = f"CASE WHEN {decoded} THEN {column} END"
+        return f"CAST({column} AS {field.dataType.simpleString()}) AS {field.name}"
 
-    return df.select(*[value(f) for f in PACKETS.fields])
+    return df.selectExpr(*[value(f) for f in PACKETS.fields])
