@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
 from ..functions import ip, text
-from ..runtime import computed
+from ..runtime import computed, materialize
 from . import classify
 from .rollup import FIN, INIT, RST, rollup
 
@@ -42,19 +42,18 @@ def flows(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     function of the flow key, so flow counters and session state come out of
     one aggregation and need no join.
     """
-    def side(name: str, src: str, dst: str, flipped: bool = False) -> str:
-        first, second = (src, dst) if flipped else (dst, src)
-        return f"CASE WHEN _swap THEN {first} ELSE {second} END AS {name}"
-
-    oriented = rows.selectExpr("*", f"{classify.swap_endpoints()} AS _swap").selectExpr(
-        "*",
-        side("a_bin", "src_bin", "dst_bin"), side("b_bin", "src_bin", "dst_bin", True),
-        side("a_port", "src_port", "dst_port"), side("b_port", "src_port", "dst_port", True),
-        side("a_is_local", "src_is_local", "dst_is_local"), side("b_is_local", "src_is_local", "dst_is_local", True),
+    def side(src: str, dst: str) -> str:
+        return f"CASE WHEN _swap THEN {dst} ELSE {src} END"
+
+    oriented = computed(
+        computed(rows, _swap=classify.swap_endpoints()),
+        a_bin=side("src_bin", "dst_bin"), b_bin=side("dst_bin", "src_bin"),
+        a_port=side("src_port", "dst_port"), b_port=side("dst_port", "src_port"),
+        a_is_local=side("src_is_local", "dst_is_local"), b_is_local=side("dst_is_local", "src_is_local"),
         # 1 = the flow's first endpoint sent the packets of this rollup row
-        "CASE WHEN _swap THEN 0 ELSE 1 END AS _by_a",
+        _by_a="CASE WHEN _swap THEN 0 ELSE 1 END",
         # order of the packets of a tracked TCP session; null elsewhere, which aggregates skip
-        "CASE WHEN tracked THEN last_seq END AS _tlast", "CASE WHEN tracked THEN first_seq END AS _tfirst",
+        _tlast="CASE WHEN tracked THEN last_seq END", _tfirst="CASE WHEN tracked THEN first_seq END",
     )
 
     def tracked(column: str) -> str:
@@ -150,18 +149,33 @@ def capture_quality(packets: DataFrame, as_of_us: str | None = None, dropped: Da
 
 
 def capture_tables(packets: DataFrame, local_addresses: DataFrame | None = None, offline: bool = True,
-                   by: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+                   by: tuple[str, ...] = (), store: bool = False) -> dict[str, DataFrame]:
     """All session tables of a set of captures from one rollup.
 
-    A job that writes several of them should :func:`~tracequilt.runtime.materialize`
-    the rollup rows first and pass them to the single functions.
+    ``store=True`` writes the rollup and the flows to the shared folder first.
+    Use it when several tables feed one job: the packets are then scanned once,
+    whatever the number of tables.
     """
-    rows = classified(rollup(packets, by), local_addresses, offline)
+    rolled = rollup(packets, by)
+    if store:
+        rolled = materialize(rolled, "rollup")
+    rows = classified(rolled, local_addresses, offline)
     flow_rows = flows(rows, by)
+    if store:
+        flow_rows = materialize(flow_rows, "flows")
     return {
+        "totals": totals_of(rolled),
         "rows": rows,
         "flows": flow_rows,
         "tcp": tcp_sessions(flow_rows, by),
         "hosts": hosts(rows, by),
         "services": services(rows, by),
     }
+
+
+def totals_of(rolled: DataFrame) -> DataFrame:
+    """:func:`totals` from rollup rows instead of packets."""
+    return _aggs(rolled, ["capture_id"], [
+        "sum(packets) AS packets", "sum(bytes) AS bytes",
+        "min_by(first_us, first_seq) AS started_us", "max_by(last_us, last_seq) AS ended_us",
+    ])

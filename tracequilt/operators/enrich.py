@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
@@ -19,88 +17,87 @@ def geo_blocks(df: DataFrame) -> DataFrame:
     return df.selectExpr(f"{ip.from_text('start_ip')} AS start_bin", f"{ip.from_text('end_ip')} AS end_bin", *rest)
 
 
-# Geo lookups skip loopback, private and link-local addresses only.
-_LOOKED_UP = f"NOT {ip.is_local_side('ip_bin')}"
-
+def add_country(df: DataFrame, ip_column: str, geo_country: DataFrame, prefix: str = "") -> DataFrame:
+    """Add ``country_code``, ``country_name``, ``country_kind`` and ``country_label`` of an address.
 
-def resolve_country(ips: DataFrame, geo_country: DataFrame) -> DataFrame:
-    """``ips(ip_bin)`` to ``ip_bin, country_code, country_name, country_kind, country_label``."""
-    hits = range_lookup(ips.where(_LOOKED_UP), geo_country.select("start_bin", "end_bin", "code", "name"))
+    Loopback and private or link-local addresses are never looked up.
+    """
+    blocks = geo_country.selectExpr("start_bin", "end_bin", "code", "coalesce(name, code) AS name")
     kind = (
-        f"CASE WHEN {ip.is_loopback('ip_bin')} THEN 'loopback' WHEN {ip.is_local_side('ip_bin')} THEN 'local'"
-        " WHEN code IS NOT NULL THEN 'country' ELSE 'unknown' END"
+        f"CASE WHEN {ip.is_loopback(ip_column)} THEN 'loopback' WHEN {ip.is_local_side(ip_column)} THEN 'local'"
+        " WHEN _geo.code IS NOT NULL THEN 'country' ELSE 'unknown' END"
     )
 
     def by_kind(loopback: str, local: str, unknown: str, country: str) -> str:
-        return f"CASE country_kind WHEN 'loopback' THEN '{loopback}' WHEN 'local' THEN '{local}' WHEN 'country' THEN {country} ELSE '{unknown}' END"
-
-    return computed(ips.join(hits, "ip_bin", "left"), country_kind=kind).selectExpr(
-        "ip_bin",
-        f"{by_kind('LO', 'LOCAL', 'ZZ', 'code')} AS country_code",
-        f"{by_kind('Loopback', 'Local', 'Unknown', 'coalesce(name, code)')} AS country_name",
-        "country_kind",
-        by_kind("Loopback", "Local", "Unknown", "concat(code, ' · ', coalesce(name, code))") + " AS country_label",
-    )
+        return f"CASE _kind WHEN 'loopback' THEN '{loopback}' WHEN 'local' THEN '{local}' WHEN 'country' THEN {country} ELSE '{unknown}' END"
+
+    found = computed(range_lookup(df, ip_column, blocks, "_geo"), _kind=kind)
+    return computed(
+        found,
+        **{
+            f"{prefix}country_code": by_kind("LO", "LOCAL", "ZZ", "_geo.code"),
+            f"{prefix}country_name": by_kind("Loopback", "Local", "Unknown", "_geo.name"),
+            f"{prefix}country_kind": "_kind",
+            f"{prefix}country_label": by_kind("Loopback", "Local", "Unknown", "concat(_geo.code, ' · ', _geo.name)"),
+        },
+    ).drop("_geo", "_kind")
 
 
 def asn_label(number: str = "asn_number", organization: str = "asn_organization") -> str:
     return f"CASE WHEN {number} = 0 THEN '' ELSE concat_ws(' · ', concat('AS', {number}), nullif({organization}, '')) END"
 
 
-def resolve_asn(ips: DataFrame, geo_asn: DataFrame) -> DataFrame:
-    """``ips(ip_bin)`` to ``ip_bin, asn_number, asn_organization, asn_label``; 0 is unknown."""
-    hits = range_lookup(ips.where(_LOOKED_UP), geo_asn.where("asn <> 0").select("start_bin", "end_bin", "asn", "organization"))
-    return ips.join(hits, "ip_bin", "left").selectExpr(
-        "ip_bin", "coalesce(CAST(asn AS BIGINT), 0L) AS asn_number", "coalesce(organization, '') AS asn_organization"
-    ).selectExpr("*", f"{asn_label()} AS asn_label")
-
-
-def distinct_ips(df: DataFrame, *columns: str) -> DataFrame:
-    """Distinct addresses of the given columns: lookups run on these, not on rows."""
-    return df.selectExpr(f"explode(array({', '.join(columns)})) AS ip_bin").where("ip_bin IS NOT NULL").distinct()
+def add_asn(df: DataFrame, ip_column: str, geo_asn: DataFrame, prefix: str = "") -> DataFrame:
+    """Add ``asn_number`` (0 = unknown), ``asn_organization`` and ``asn_label`` of an address."""
+    blocks = geo_asn.where("asn <> 0").selectExpr("start_bin", "end_bin", "CAST(asn AS BIGINT) AS asn", "organization")
+    hit = f"NOT {ip.is_local_side(ip_column)} AND _asn.asn IS NOT NULL"
+    number, organization = f"{prefix}asn_number", f"{prefix}asn_organization"
+    found = computed(range_lookup(df, ip_column, blocks, "_asn"), **{
+        number: f"CASE WHEN {hit} THEN _asn.asn ELSE 0L END",
+        organization: f"CASE WHEN {hit} THEN coalesce(_asn.organization, '') ELSE '' END",
+    }).drop("_asn")
+    return computed(found, **{f"{prefix}asn_label": asn_label(number, organization)})
 
 
 def add_geo(df: DataFrame, ip_column: str, geo_country: DataFrame | None = None,
             geo_asn: DataFrame | None = None, prefix: str = "") -> DataFrame:
-    """Left-join country and ASN columns for one address column."""
-    ips = distinct_ips(df, ip_column)
-    tables = []
+    """Country and ASN columns for one address column."""
     if geo_country is not None:
-        tables.append(resolve_country(ips, geo_country))
-    if geo_asn is not None:
-        tables.append(resolve_asn(ips, geo_asn))
-    found = reduce(lambda a, b: a.join(b, "ip_bin"), tables)
-    renamed = found.selectExpr(f"ip_bin AS {ip_column}", *[f"{c} AS {prefix}{c}" for c in found.columns if c != "ip_bin"])
-    return df.join(renamed, ip_column, "left")
+        df = add_country(df, ip_column, geo_country, prefix)
+    return df if geo_asn is None else add_asn(df, ip_column, geo_asn, prefix)
+
+
+def distinct_ips(df: DataFrame, *columns: str) -> DataFrame:
+    """Distinct addresses of the given columns."""
+    return df.selectExpr(f"explode(array({', '.join(columns)})) AS ip_bin").where("ip_bin IS NOT NULL").distinct()
 
 
 def remote_hosts(hosts: DataFrame, geo_country: DataFrame, local_addresses: DataFrame | None = None) -> DataFrame:
     """Hosts with a country, without the capture's own, private and loopback addresses."""
-    named = add_geo(hosts, "host_bin", geo_country).where("country_kind NOT IN ('local', 'loopback')")
+    named = add_country(hosts, "host_bin", geo_country).where("country_kind NOT IN ('local', 'loopback')")
     if local_addresses is None:
         return named
     own = local_addresses.selectExpr("capture_id", f"{ip.from_text('ip')} AS host_bin").distinct()
     return named.join(own, ["capture_id", "host_bin"], "left_anti")
 
 
-def resolve_names(probes: DataFrame, ptr_records: DataFrame, at: str = "as_of_us") -> DataFrame:
-    """Reverse names as of an instant: ``probes(ip_bin, as_of_us)`` to ``+ hostname``.
+def resolve_names(rows: DataFrame, ptr_records: DataFrame, ip_column: str = "ip_bin", at: str = "as_of_us") -> DataFrame:
+    """Add ``hostname``: the reverse name of an address as of an instant.
 
     The latest record decides: a positive one lives 300 s, a negative one 45 s
     (which gives no name either way).
     """
     records = ptr_records.selectExpr("ip", "observed_us", "nullif(trim(TRAILING '.' FROM trim(hostname)), '') AS _name").selectExpr(
-        f"{ip.from_text('ip')} AS ip_bin", "observed_us", "CASE WHEN _name <> ip THEN _name END AS hostname"
+        f"{ip.from_text('ip')} AS _ip", "observed_us", "CASE WHEN _name <> ip THEN _name END AS hostname"
     )
-    asked = probes.where(ip.has_public_name("ip_bin"))
-    found = latest_within(
-        asked, records, ["ip_bin"], C.PTR_TTL_SECONDS, "named_struct('hostname', hostname)", at
-    ).selectExpr("ip_bin", at, "found.hostname")
-    return probes.join(found, ["ip_bin", at], "left")
+    # addresses that have no public name carry no key and so match nothing
+    asked = computed(rows, _ip=f"CASE WHEN {ip.has_public_name(ip_column)} THEN {ip_column} END")
+    found = latest_within(asked, records, ["_ip"], C.PTR_TTL_SECONDS, "named_struct('hostname', hostname)", "_ptr", at)
+    return found.selectExpr(*rows.columns, "_ptr.hostname AS hostname")
 
 
 def candidate_ports() -> str:
-    """Local ports to ask for the owning process, best first."""
+    """Local ports to ask for the owning process, best first; at most two."""
     def usable(ports: str) -> str:
         return f"filter({ports}, p -> p IS NOT NULL AND p <> 0)"
 
@@ -116,22 +113,17 @@ def attribute_processes(flows: DataFrame, socket_inventory: DataFrame, at: str =
     Candidate ports are tried in order.  The latest inventory entry of a port
     answers: it lives 60 s with a process and 3 s without one.
     """
-    asked = flows.where("proto IN ('tcp', 'udp')").selectExpr(
-        "capture_id", "a_bin", "b_bin", "a_port", "b_port", "proto", at, f"posexplode({candidate_ports()}) AS (_pos, port)"
-    )
-    sockets = socket_inventory.selectExpr("capture_id", "proto", "CAST(port AS INT) AS port", "observed_us", "name", "pid", "path")
-    answers = latest_within(
-        asked, sockets, ["capture_id", "proto", "port"], C.PROCESS_TTL_SECONDS,
-        "named_struct('name', name, 'pid', pid, 'path', path)", at,
-    ).where("found.name IS NOT NULL").drop("observed_us")
-    ports = ["coalesce(a_port, -1) AS _ap", "coalesce(b_port, -1) AS _bp"]
-    best = (
-        asked.join(answers, ["capture_id", "proto", "port", at])
-        .groupBy("capture_id", "a_bin", "b_bin", *[F.expr(p) for p in ports], "proto", at)
-        .agg(F.min_by("found", "_pos").alias("_process"))
+    asked = computed(flows, _ports=f"CASE WHEN proto IN ('tcp', 'udp') THEN {candidate_ports()} ELSE CAST(array() AS ARRAY<INT>) END")
+    entry = "named_struct('name', name, 'pid', pid, 'path', path)"
+    for turn in (1, 2):
+        port = f"_port{turn}"
+        asked = computed(asked, **{port: f"try_element_at(_ports, {turn})"})
+        sockets = socket_inventory.selectExpr("capture_id", "proto", f"CAST(port AS INT) AS {port}", "observed_us", "name", "pid", "path")
+        asked = latest_within(asked, sockets, ["capture_id", "proto", port], C.PROCESS_TTL_SECONDS, entry, f"_found{turn}", at)
+    best = computed(
+        asked, _process="CASE WHEN _found1.name IS NOT NULL THEN _found1 WHEN _found2.name IS NOT NULL THEN _found2 END"
     )
-    out = flows.selectExpr("*", *ports).join(best, ["capture_id", "a_bin", "b_bin", "_ap", "_bp", "proto", at], "left")
-    return out.selectExpr(
+    return best.selectExpr(
         *flows.columns,
         "coalesce(_process.name, '') AS process_name", "coalesce(CAST(_process.pid AS BIGINT), 0L) AS process_pid",
         "coalesce(_process.path, '') AS process_path", f"{text.bundle_name('_process.path')} AS process_bundle",
@@ -149,7 +141,7 @@ def top_regions(flows: DataFrame, geo_country: DataFrame, geo_asn: DataFrame, to
 
     The dominant ASN is the one of the largest single flow that has one; among
     equal flows the later in rank order wins.  Flows are first summed per
-    (capture, destination), so enrichment touches addresses and not flows.
+    (capture, destination), so the lookup sees addresses and not flows.
     """
     later = (
         f"max(struct(bytes, -packets, length(a_bin), a_bin, length(b_bin), b_bin, coalesce(a_port, -1), coalesce(b_port, -1),"

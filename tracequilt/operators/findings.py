@@ -356,25 +356,23 @@ def merge(hits: DataFrame, session: Session = Session(), keep: int | None = C.MA
     """The finding log: one row per (capture, dedupe key).
 
     The first occurrence fixes identity, the last one the changing fields; the
-    newest key comes first.  ``keep=None`` keeps all.
+    newest key comes first (``first_order`` descending).  ``keep=None`` keeps all.
     """
     when = "struct(as_of_us, ord)"
     fixed = "struct(id, kind, severity, subject, first_us, confidence, pivot_kind, pivot_value)"
     merged = hits.groupBy("capture_id", "dedupe_key").agg(*[F.expr(e) for e in (
         f"min_by({fixed}, {when}) AS f", f"max_by(struct(last_us, detail, summary, mode), {when}) AS m",
-        "count(1) AS update_count", f"min({when}) AS _first",
+        "count(1) AS update_count", f"min({when}) AS first_order",
     )])
     repeat = "finding" if session.offline else "updated"
     log = merged.selectExpr(
         "capture_id", "dedupe_key", "f.*", "m.*", "update_count",
-        f"CASE WHEN update_count > 1 THEN '{repeat}' ELSE '{session.status}' END AS status", "_first",
+        f"CASE WHEN update_count > 1 THEN '{repeat}' ELSE '{session.status}' END AS status", "first_order",
     )
     if keep is None:
-        return log.drop("_first")
-    newest = Window.partitionBy("capture_id").orderBy(F.col("_first").desc())
-    return (
-        log.withColumn("position", F.row_number().over(newest)).where(F.col("position") <= keep).drop("_first")
-    )
+        return log
+    newest = Window.partitionBy("capture_id").orderBy(F.col("first_order").desc())
+    return log.withColumn("position", F.row_number().over(newest)).where(F.col("position") <= keep)
 
 
 def batch_findings(totals: DataFrame, tables: dict[str, DataFrame], policy: Policy, offline: bool = True,

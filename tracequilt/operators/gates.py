@@ -158,8 +158,14 @@ def _port_keys() -> dict[str, Column]:
 
 
 def new_signals(findings: DataFrame) -> DataFrame:
-    """Each finding once per capture: by id, else by kind, subject and summary."""
-    named = F.when(F.coalesce("id", F.lit("")) != "", F.col("id")).otherwise(
-        F.concat_ws("|", "kind", "subject", "summary")
+    """Each finding once per capture: by id, else by kind, subject and summary.
+
+    Of several findings with one id the log's newest is kept, as it comes first.
+    """
+    named = "CASE WHEN coalesce(id, '') <> '' THEN id ELSE concat_ws('|', kind, subject, summary) END"
+    row = f"struct({', '.join(findings.columns)})"
+    return (
+        findings.groupBy("capture_id", F.expr(named).alias("_key"))
+        .agg(F.expr(f"max_by({row}, struct(first_order, dedupe_key))").alias("_row"))
+        .select("_row.*")
     )
-    return findings.withColumn("export_key", named).dropDuplicates(["capture_id", "export_key"])

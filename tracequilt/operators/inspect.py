@@ -12,7 +12,7 @@ from .. import constants as C
 from ..functions import all_of, any_of, ip, lit, text
 from ..runtime import computed
 from . import classify
-from .enrich import distinct_ips, resolve_country
+from .enrich import add_country
 
 
 # ---- packet filter ------------------------------------------------------------
@@ -162,23 +162,12 @@ def tcp_search(query: str | None = None, address: str | None = None, port: str |
 
 
 def filter_country(rows: DataFrame, geo_country: DataFrame, token: str | None) -> DataFrame:
-    """Rows whose source or destination country label contains the token.
-
-    Labels are resolved once per distinct address; the matching addresses join
-    each side at most once, so no row is duplicated.
-    """
+    """Rows whose source or destination country label contains the token."""
     if not (token or "").strip():
         return rows
-    matched = (
-        resolve_country(distinct_ips(rows, "a_bin", "b_bin"), geo_country)
-        .where(text.folded_contains("country_label", token))
-    )
-    hit_a = matched.selectExpr("ip_bin AS a_bin", "true AS _ha")
-    hit_b = matched.selectExpr("ip_bin AS b_bin", "true AS _hb")
-    return (
-        rows.join(hit_a, "a_bin", "left").join(hit_b, "b_bin", "left")
-        .where("_ha OR _hb").select(*rows.columns)
-    )
+    placed = add_country(add_country(rows, "a_bin", geo_country, "_a_"), "b_bin", geo_country, "_b_")
+    test = any_of([text.folded_contains(f"_{s}_country_label", token) for s in "ab"])
+    return placed.where(test).select(*rows.columns)
 
 
 PIVOTS = {

@@ -340,7 +340,7 @@ def all_hits(pool: int | None) -> list[str]:
         s_threshold("0 AS det, 0 AS rk,"), s_hosts("rh", "1 AS det, rk,"), s_services("rs", "2 AS det, rk,"),
         s_exfil("rf", "3 AS det, rk,"), s_idle("rt", "4 AS det, rk,"), s_p2p("rf", "5 AS det, rk,"),
     ]
-    hits = "hits AS (SELECT *, det * 1000000000 + rk AS o FROM (" + " UNION ALL ".join(parts) + "))"
+    hits = "hits AS (SELECT *, CAST(det AS BIGINT) * 1000000000 + rk AS o FROM (" + " UNION ALL ".join(parts) + "))"
     log = """lg AS (SELECT capture_id, dedupe_key, arg_min(id, o) AS id, arg_min(kind, o) AS kind, 'offline' AS mode, 'finding' AS status,
   arg_min(severity, o) AS severity, arg_min(subject, o) AS subject, arg_max(summary, o) AS summary, arg_max(detail, o) AS detail,
   arg_min(first_us, o) AS first_us, arg_max(last_us, o) AS last_us, arg_min(confidence, o) AS confidence,
@@ -520,7 +520,7 @@ def oracles() -> dict[str, str]:
       || ' cs1=' || subject || ' cs1Label=Subject cs2=offline cs2Label=Mode cs3=finding cs3Label=Status cs4=' || kind || ' cs4Label=SignalKind'
       || CASE WHEN pivot_kind = 'none' THEN '' ELSE ' cs5=' || pivot_kind || ' cs5Label=PivotKind cs6=' || pivot_value || ' cs6Label=PivotValue '
            || CASE pivot_kind WHEN 'host' THEN 'dst=' WHEN 'sni' THEN 'request=' ELSE 'app=' END || pivot_value END
-      || ' cfp1=' || printf('%.2f', confidence) || ' cfp1Label=Confidence outcome=finding' AS value FROM (SELECT DISTINCT ON (capture_id, id) * FROM lg)"""
+      || ' cfp1=' || printf('%.2f', confidence) || ' cfp1Label=Confidence outcome=finding' AS value FROM (SELECT DISTINCT ON (capture_id, id) * FROM lg ORDER BY fo DESC)"""
     q["report_rows"] = with_(d_cte(), S_CTE, TOT) + f"""SELECT tot.capture_id, '{{"capture_id":"' || tot.capture_id || '","packets":' || CAST(tot.packets AS STRING) || ',"bytes":' || CAST(tot.bytes AS STRING)
       || ',"top_services":[' || n.body || ']}}' AS document FROM tot JOIN (
         SELECT capture_id, string_agg('{{"rank":' || CAST(rank AS STRING) || ',"service":"' || service || '","bytes":' || CAST(bytes AS STRING) || '}}', ',' ORDER BY rank) AS body FROM (

@@ -12,7 +12,7 @@ from ..operators import aggregates as agg
 from ..operators import classify, decode, enrich, export, findings as fnd, gates, inspect as ins, ranking, ticks
 from ..operators.findings import Policy, Session
 from ..operators.rollup import rollup
-from ..runtime import scratch_path
+from ..runtime import materialize, scratch_path
 from ..sources import pcap
 from . import dimensions as dim
 from .event_frames import load_frames
@@ -383,13 +383,13 @@ def service_share(spark, sf):
 @query
 def country_lookup(spark, sf):
     ips = enrich.distinct_ips(rollup(_packets(spark, sf)), "src_bin", "dst_bin")
-    return _named(enrich.resolve_country(ips, dim.geo_country(spark)))
+    return _named(enrich.add_country(ips, "ip_bin", dim.geo_country(spark)))
 
 
 @query
 def asn_lookup(spark, sf):
     ips = enrich.distinct_ips(rollup(_packets(spark, sf)), "src_bin", "dst_bin")
-    return _named(enrich.resolve_asn(ips, dim.geo_asn(spark)))
+    return _named(enrich.add_asn(ips, "ip_bin", dim.geo_asn(spark)))
 
 
 @query
@@ -459,17 +459,11 @@ FINDING_COLUMNS = ("capture_id", "id", "kind", "mode", "status", "severity", "su
 
 
 def _timed(spark, sf, kind: str) -> DataFrame:
-    packets = _packets(spark, sf)
-    totals = agg.totals(packets).withColumn("as_of_us", F.col("ended_us"))
+    tables = agg.capture_tables(_packets(spark, sf))
+    totals = tables["totals"].selectExpr("*", "ended_us AS as_of_us")
     if kind == "totals":
         return totals
-    rows = agg.classified(rollup(packets))
-    if kind in ("hosts", "services"):
-        table = getattr(agg, kind)(rows)
-    else:
-        table = agg.flows(rows)
-        table = agg.tcp_sessions(table) if kind == "tcp" else table
-    return table.join(totals.select("capture_id", "as_of_us"), "capture_id")
+    return tables[kind].join(totals.select("capture_id", "as_of_us"), "capture_id")
 
 
 def _both(parts: list[DataFrame]) -> DataFrame:
@@ -516,8 +510,8 @@ def signals_p2p(spark, sf):
 
 
 def _session_hits(spark, sf, pool: int | None = None) -> DataFrame:
-    packets = _packets(spark, sf)
-    return fnd.occurrences(agg.totals(packets), agg.capture_tables(packets), POLICY, SESSION, pool=pool)
+    tables = agg.capture_tables(_packets(spark, sf), store=True)
+    return fnd.occurrences(tables["totals"], tables, POLICY, SESSION, pool=pool)
 
 
 @query
@@ -536,8 +530,9 @@ def findings_batch(spark, sf):
 
 @query
 def finding_evidence(spark, sf):
-    log = fnd.merge(_session_hits(spark, sf, pool=50), SESSION)
-    hits = ins.evidence(log, _display(spark, sf))
+    tables = agg.capture_tables(_packets(spark, sf), store=True)
+    log = fnd.merge(fnd.occurrences(tables["totals"], tables, POLICY, SESSION, pool=50), SESSION)
+    hits = ins.evidence(materialize(log, "findings"), ins.connection_rows(tables["flows"]))
     return hits.select("dedupe_key", *ROW_COLUMNS)
 
 
@@ -551,11 +546,11 @@ def nearest_timeline_point(spark, sf):
 @query
 def live_cooldown(spark, sf):
     """Host and peer-to-peer hits of every tick, thinned by the live cooldowns."""
-    rows = _tick_rows(spark, sf).withColumn("as_of_us", F.col("tick") * clock.MICROS)
-    at = rows.select("capture_id", "tick", "as_of_us").distinct()
+    rows = materialize(_tick_rows(spark, sf), "tick-rows")
     live = Session.live()
-    hosts = agg.hosts(rows, ("tick",)).join(at, ["capture_id", "tick"])
-    flows = agg.flows(rows, ("tick",)).join(at, ["capture_id", "tick"])
+    hosts, flows = (
+        table.selectExpr("*", f"tick * {clock.MICROS} AS as_of_us") for table in (agg.hosts(rows, ("tick",)), agg.flows(rows, ("tick",)))
+    )
     hits = fnd.watched_hosts(hosts, POLICY, live)
     both = hits[0].unionByName(hits[1]).unionByName(fnd.p2p_connections(flows, POLICY, live))
     return gates.cooldown(both)
@@ -578,7 +573,7 @@ def closed_flows(spark, sf):
     """Flows exported in the first half of the capture that carry no packet in the second."""
     packets = _packets(spark, sf)
     half = F.lit(1_705_363_200)  # 2024-01-16
-    ticked = ticks.assign_ticks(packets)
+    ticked = materialize(ticks.assign_ticks(packets), "ticked")
     early = agg.flows(agg.classified(rollup(ticked.where(F.col("tick") < half), ("tick",))), ("tick",))
     late = agg.flows(agg.classified(rollup(ticked.where(F.col("tick") >= half))))
     exported = gates.export_gate(gates.running_flows(early), 2_000, 4_000, 86_400)
