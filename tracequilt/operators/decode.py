@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import constants as C, schema
 from ..functions import let, tls
 from ..functions.octets import chunk, hex_at, hex_at_le, hex_int
+from ..runtime import computed
 
 ETH_IPV4, ETH_ARP, ETH_IPV6 = 0x0800, 0x0806, 0x86DD
 VLAN_TAGS = (0x8100, 0x88A8, 0x9100)
@@ -136,7 +137,11 @@ def decode(frames: DataFrame, sni_window: int = C.SNI_WINDOW_DEFAULT, sni: bool
         ).selectExpr("*", f"{tls.server_name('_hello', window)} AS sni")
     else:
         done = done.selectExpr("*", "CAST(NULL AS STRING) AS sni")
-    return done.selectExpr(*[f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema.PACKETS.fields])
+    # filters on decoded fields stay above the byte arithmetic
+    made = {f.name: f"CAST({f.name} AS {f.dataType.simpleString()})" for f in schema.PACKETS.fields if f.name not in keep}
+    renamed = {f"_{name}": expression for name, expression in made.items()}
+    packed = computed(done.select(*[c for c in done.columns if c not in ("data", "_hello")]), **renamed)
+    return packed.selectExpr(*[f.name if f.name in keep else f"_{f.name} AS {f.name}" for f in schema.PACKETS.fields])
 
 
 def link_types(frames: DataFrame) -> DataFrame:

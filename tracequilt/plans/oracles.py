@@ -580,4 +580,11 @@ def oracles() -> dict[str, str]:
     q["decoded_top_connections"] = q["top_connections"]
     q["pcap_round_trip"] = with_() + f"""SELECT {seen.format('proto')} AS proto, decoded, CAST(count(*) AS BIGINT) AS packets, CAST(sum(len) AS BIGINT) AS bytes, min(us) AS first_us,
       max(us) AS last_us, CAST(sum({pay}) AS BIGINT) AS payload_bytes, CAST(count({seen.format('sni')}) AS BIGINT) AS hellos FROM p GROUP BY 1, 2"""
+    # streams: the watermark leaves the last second open
+    q["stream_running_totals"] = with_() + """SELECT capture_id, CAST(count(*) AS BIGINT) AS packets, CAST(sum(len) AS BIGINT) AS bytes, max(us) AS last_packet_us
+      FROM p GROUP BY capture_id"""
+    q["stream_running_services"] = with_(d_cte()) + "SELECT capture_id, service, proto, CAST(count(*) AS BIGINT) AS packets, CAST(sum(len) AS BIGINT) AS bytes FROM d GROUP BY ALL"
+    q["stream_ticks"] = with_(d_cte()) + """SELECT p.capture_id, CAST(count(DISTINCT p.sec) AS BIGINT) AS ticks, CAST(count(*) AS BIGINT) AS packets, CAST(sum(p.len) AS BIGINT) AS bytes,
+      CAST(coalesce(sum(p.len) FILTER (WHERE dir = 'inbound'), 0) AS BIGINT) AS bytes_in, CAST(coalesce(sum(p.len) FILTER (WHERE dir = 'outbound'), 0) AS BIGINT) AS bytes_out
+      FROM p LEFT JOIN d ON p.seq = d.seq WHERE (p.sec + 1) * 1000000 <= (SELECT max(us) FROM p) - 1000000 GROUP BY p.capture_id"""
     return q

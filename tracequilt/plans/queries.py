@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from .. import constants as C
+from .. import constants as C, schema
 from ..functions import cef, clock, ip, octets, text
 from ..operators import aggregates as agg
 from ..operators import classify, decode, enrich, export, findings as fnd, gates, inspect as ins, ranking, ticks
@@ -14,9 +14,10 @@ from ..operators.findings import Policy, Session
 from ..operators.rollup import rollup
 from ..runtime import materialize, scratch_path
 from ..sources import pcap
+from ..streaming import jobs
 from . import dimensions as dim
 from .event_frames import load_frames
-from .event_packets import load_packets
+from .event_packets import load_packets, packets_from_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -673,3 +674,45 @@ def pcap_round_trip(spark, sf):
         F.max("ts_us").alias("last_us"), F.sum("payload_len").alias("payload_bytes"), F.count("sni").alias("hellos"),
     )
 
+
+
+# ---- streaming ----------------------------------------------------------------
+
+def _packet_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """``events`` as a packet stream; the same derivation as in batch."""
+    columns = spark.read.parquet(f"{sf}/events.parquet").schema
+    source = spark.readStream.schema(columns).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return schema.conform_packets(packets_from_events(source))
+
+
+def _drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Run a stream to its end and read what it wrote."""
+    spark = stream.sparkSession
+    out, marks = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True)
+    if mode == "append":
+        running = writer.format("parquet").option("path", out).start()
+    else:
+        running = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(out)).start()
+    running.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query
+def stream_ticks(spark, sf):
+    """Closed one-second ticks of the stream, without the still open end."""
+    closed = _drain(jobs.stream_ticks(_packet_stream(spark, sf), offline=True, delay="1 second"), "ticks")
+    return closed.groupBy("capture_id").agg(
+        F.count(F.lit(1)).alias("ticks"), F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"),
+        F.sum("bytes_in").alias("bytes_in"), F.sum("bytes_out").alias("bytes_out"),
+    )
+
+
+@query
+def stream_running_totals(spark, sf):
+    return _drain(jobs.running_totals(_packet_stream(spark, sf)), "totals", "complete")
+
+
+@query
+def stream_running_services(spark, sf):
+    return _drain(jobs.running_services(_packet_stream(spark, sf), offline=True), "services", "complete")
