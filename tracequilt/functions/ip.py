@@ -48,7 +48,8 @@ def _v6_from_text(x: str) -> str:
     )
     plain = f"CASE WHEN contains({x}, '.') THEN {dotted} ELSE {x} END"
     halves = [f"filter(split(coalesce(try_element_at(split(p, '::'), {i}), ''), ':'), g -> g <> '')" for i in (1, 2)]
-    filled = "concat(h[0], array_repeat('0', greatest(8 - size(h[0]) - size(h[1]), 0)), h[1])"
+    # only '::' stands for missing groups
+    filled = "concat(h[0], array_repeat('0', CASE WHEN contains(p, '::') THEN greatest(8 - size(h[0]) - size(h[1]), 0) ELSE 0 END), h[1])"
     digits = let(
         plain, "p", let(f"array({halves[0]}, {halves[1]})", "h", f"array_join(transform({filled}, g -> lpad(g, 4, '0')), '')")
     )
