@@ -1,7 +1,9 @@
 """Stateful operators on ``transformWithState`` (RocksDB state store).
 
-Each keeps a few numbers per key, so memory follows live keys and not traffic;
-state expires by TTL where silence makes it irrelevant.
+Each keeps a few numbers per key, so memory follows live keys and not traffic.
+Expiry (TTL and close timers) runs on processing time: Spark then keeps a stream
+going without data, so use it with a processing-time trigger and leave it off
+for ``availableNow`` runs.
 """
 
 from __future__ import annotations
@@ -24,8 +26,11 @@ def use_rocksdb(spark: SparkSession) -> None:
 class Cooldown(StatefulProcessor):
     """Emit an occurrence unless its key was emitted less than its cooldown before."""
 
+    def __init__(self, expire_ms: int | None) -> None:
+        self.expire_ms = expire_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "us bigint", ttlDurationMs=86_400_000)
+        self.last = handle.getValueState("last", "us bigint", ttlDurationMs=self.expire_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).drop_duplicates("as_of_us").sort_values("as_of_us")
@@ -46,13 +51,21 @@ class Cooldown(StatefulProcessor):
         pass
 
 
-def cooldown(occurrences: DataFrame) -> DataFrame:
-    """Streaming form of :func:`tracequilt.operators.gates.cooldown`."""
+def cooldown(occurrences: DataFrame, expire_seconds: int | None = None) -> DataFrame:
+    """Streaming form of :func:`tracequilt.operators.gates.cooldown`.
+
+    ``expire_seconds`` forgets silent keys; it must exceed the longest cooldown.
+    """
+    if expire_seconds is not None and expire_seconds <= max(C.COOLDOWN_SECONDS.values()):
+        raise ValueError("expire_seconds must exceed the longest cooldown")
     out = "capture_id string, dedupe_key string, cooldown string, as_of_us bigint, emitted boolean"
     return (
         occurrences.select("capture_id", "dedupe_key", "cooldown", "as_of_us")
         .groupBy("capture_id", "dedupe_key")
-        .transformWithStateInPandas(Cooldown(), outputStructType=out, outputMode="Append", timeMode="ProcessingTime")
+        .transformWithStateInPandas(
+            Cooldown(None if expire_seconds is None else expire_seconds * 1000), outputStructType=out,
+            outputMode="Append", timeMode="None" if expire_seconds is None else "ProcessingTime",
+        )
     )
 
 
@@ -121,7 +134,9 @@ def export_gate(tick_flows: DataFrame, min_bytes: int = C.FLOW_EXPORT_MIN_BYTES,
     return (
         tick_flows.select("capture_id", "flow", "tick", "packets", "bytes", "bytes_in", "bytes_out")
         .groupBy("capture_id", "flow")
-        .transformWithStateInPandas(gate, outputStructType=out, outputMode="Append", timeMode="ProcessingTime")
+        .transformWithStateInPandas(
+            gate, outputStructType=out, outputMode="Append", timeMode="ProcessingTime" if close_after_seconds else "None"
+        )
     )
 
 
@@ -158,7 +173,7 @@ def fold_late(runs: DataFrame) -> DataFrame:
     """
     out = "capture_id string, tick bigint, packets bigint, bytes bigint"
     return runs.groupBy("capture_id").transformWithStateInPandas(
-        FoldLate(), outputStructType=out, outputMode="Append", timeMode="ProcessingTime"
+        FoldLate(), outputStructType=out, outputMode="Append", timeMode="None"
     )
 
 
