@@ -33,7 +33,7 @@ def drain(stream, tmp, mode="append"):
 
 def sample(spark):
     rng = random.Random(11)
-    rows = [dict(seq=i, ts_us=i * SEC // 3, src_ip="10.0.0.1", dst_ip=rng.choice(["8.8.8.8", "9.9.9.9"]), src_port=rng.choice([1, 2]), dst_port=443, proto="tcp",
+    rows = [dict(seq=i, ts_us=(i + 300) * SEC // 3, src_ip="10.0.0.1", dst_ip=rng.choice(["8.8.8.8", "9.9.9.9"]), src_port=rng.choice([1, 2]), dst_port=443, proto="tcp",
                  tcp_flags=rng.choice([2, 16, 17]), packet_len=rng.randint(60, 900), decoded=i % 10 != 0) for i in range(200)]
     return packets(spark, rows)
 
