@@ -38,12 +38,18 @@ def traffic_order(kind: str) -> list[Column]:
     return [F.col("bytes").desc(), F.col("packets").desc(), *[F.expr(k) for k in KEYS[kind]()]]
 
 
-def rank_by_traffic(df: DataFrame, kind: str, limit: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """Bytes desc, packets desc, then key; at most ``limit`` rows per capture with a ``rank``."""
-    if limit is None:
+def rank_by_traffic(df: DataFrame, kind: str, limit: int | None = None, by: tuple[str, ...] = (),
+                    numbered: bool = False) -> DataFrame:
+    """Bytes desc, packets desc, then key; at most ``limit`` rows per capture with a ``rank``.
+
+    ``numbered`` adds the rank without a limit; use it where a group is bounded,
+    such as one second of one capture.
+    """
+    if limit is None and not numbered:
         return df.orderBy("capture_id", *by, *traffic_order(kind))
     window = Window.partitionBy("capture_id", *by).orderBy(*traffic_order(kind))
-    return df.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= limit)
+    ranked = df.withColumn("rank", F.row_number().over(window))
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 def normalize_top_n(top_n: int | None) -> int:

@@ -231,19 +231,19 @@ def _tick_rows(spark, sf) -> DataFrame:
 @query
 def tick_connections(spark, sf):
     """All flows of every second, ranked inside the second."""
-    ranked = ranking.rank_by_traffic(agg.flows(_tick_rows(spark, sf), ("tick",)), "flows", 1 << 30, by=("tick",))
+    ranked = ranking.rank_by_traffic(agg.flows(_tick_rows(spark, sf), ("tick",)), "flows", by=("tick",), numbered=True)
     return _named(ranked.select("tick", "rank", *FLOW_COLUMNS, "tcp_state"))
 
 
 @query
 def tick_hosts(spark, sf):
-    ranked = ranking.rank_by_traffic(agg.hosts(_tick_rows(spark, sf), ("tick",)), "hosts", 1 << 30, by=("tick",))
+    ranked = ranking.rank_by_traffic(agg.hosts(_tick_rows(spark, sf), ("tick",)), "hosts", by=("tick",), numbered=True)
     return _named(ranked.select("tick", "rank", *HOST_COLUMNS))
 
 
 @query
 def tick_services(spark, sf):
-    ranked = ranking.rank_by_traffic(agg.services(_tick_rows(spark, sf), ("tick",)), "services", 1 << 30, by=("tick",))
+    ranked = ranking.rank_by_traffic(agg.services(_tick_rows(spark, sf), ("tick",)), "services", by=("tick",), numbered=True)
     return ranked.select("capture_id", "tick", "rank", "service", "proto", "packets", "bytes", "confidence")
 
 
