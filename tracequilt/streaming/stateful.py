@@ -178,10 +178,11 @@ def fold_late(runs: DataFrame) -> DataFrame:
 
 
 def arrival_runs(batch: DataFrame, run_seqs: int = 4096) -> DataFrame:
-    """Packets of a stream to runs for :func:`fold_late`: one row per packet.
+    """Packets of a stream to runs for :func:`fold_late`.
 
-    Collapsing neighbours needs order inside a partition, which
-    ``mapInPandas`` keeps: consecutive packets of one second and capture merge.
+    Neighbours of one capture and second with consecutive sequence numbers merge
+    while still in the scan task, in the order the source yields them.  Sources
+    whose numbers are not dense (byte offsets) give one run per packet.
     """
 
     def collapse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
