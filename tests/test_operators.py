@@ -160,8 +160,8 @@ def test_timelines(spark):
     assert [(p.second, p.bytes_in) for p in points] == [(10, 2), (11, 0), (12, 0), (13, 0), (14, 4)]
     assert sorted((p.second, p.bytes_in) for p in ticks.timeline_live(short).collect()) == [(10, 2), (13, 0), (14, 4)]
     assert sorted((r.tick, r.filled) for r in ticks.fill_gaps(short).collect()) == [(10, False), (11, True), (12, True), (13, True), (14, False)]
-    with pytest.raises(Exception, match="gap longer"):
-        ticks.fill_gaps(short, max_gap_seconds=2).collect()
+    wide = ticks.fill_gaps(tick_frame(spark, [(5, 1, 1, 1, 1, 200_000), (200_006, 1, 1, 1, 1, 0)]))
+    assert [tuple(r) for r in wide.selectExpr("count(1)", "count(distinct tick)", "min(tick)", "max(tick)").collect()] == [(200_002, 200_002, 5, 200_006)]
     long = ticks.timeline_compressed(tick_frame(spark, [(60 * i, 1, 3, 1, 2, 59) for i in range(241)])).orderBy("point").collect()
     assert (len(long), long[0].second, long[-1].second, sum(p.bytes_in for p in long), sum(p.bytes_out for p in long)) == (160, 0, 14400, 241, 482)
     assert ticks.last_ticks(short, 1).first().tick == 14 and ticks.timeline_peak(ticks.timeline_compressed(short)).first().peak == 4
@@ -303,6 +303,7 @@ def test_export_gate_equals_fold(spark):
         rows += [("c", bytearray(key), bytearray(b"\x08\x08\x08\x08"), port, port, "tcp", t, 1, b, 0, b) for t, b in series]
         want[key] = gate_fold(series, 3000, 5000, 90)
     frame = spark.createDataFrame(rows, "capture_id string, a_bin binary, b_bin binary, a_port int, b_port int, proto string, tick bigint, packets bigint, bytes bigint, bytes_in bigint, bytes_out bigint")
+    frame = frame.selectExpr("*", "CAST(NULL AS STRING) AS sni")
     out = gates.export_gate(frame.repartition(3), 3000, 5000, 90, start_on_first=True).collect()
     got = {}
     for r in sorted(out, key=lambda r: r.tick):
@@ -321,8 +322,9 @@ def test_pivots_filters_and_evidence(spark):
         ins.connection_filter(nope="x")
     log = spark.createDataFrame([("c", "k1", "host", "1.1.1.1"), ("c", "k2", "sni", "H2.example.com"), ("c", "k3", "none", ""), ("c", "k4", "service", "nothing")],
                                 "capture_id string, dedupe_key string, pivot_kind string, pivot_value string")
-    got = sorted((r.dedupe_key, r.destination_address) for r in ins.evidence(log, shown).collect())
-    assert got == [("k1", "1.1.1.1"), ("k1", "1.1.1.10"), ("k2", "1.1.1.2")]
+    log = log.unionByName(log.selectExpr("capture_id", "concat(dedupe_key, 'b') AS dedupe_key", "pivot_kind", "pivot_value"))
+    got = sorted((r.pivot_kind, r.destination_address) for r in ins.evidence(log, shown).collect())
+    assert got == [("host", "1.1.1.1"), ("host", "1.1.1.10"), ("sni", "1.1.1.2")]
     summary = ins.summarize(shown, ins.search_filter("1.1.1.1")).first()
     assert (summary.total_rows, summary.visible_rows) == (3, 2)
 

@@ -13,7 +13,11 @@ PCAP_MAGICS = {
     b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000),
 }
 PCAPNG_MAGIC = b"\x0a\x0d\x0d\x0a"
+BYTE_ORDERS = {b"\x4d\x3c\x2b\x1a": "<", b"\x1a\x2b\x3c\x4d": ">"}
 SECTION, INTERFACE, ENHANCED = 0x0A0D0D0A, 1, 6
+#: fixed parts of the blocks that are read, without type and lengths
+LEAST_BODY = {SECTION: 16, INTERFACE: 8, ENHANCED: 20}
+END_OF_OPTIONS, TIME_RESOLUTION = 0, 9
 GLOBAL_HEADER = 24
 RECORD_HEADER = 16
 MAX_RECORD = 1 << 26
@@ -72,74 +76,69 @@ def pcap_records(stream: BinaryIO, header: PcapHeader, start: int, end: int | No
         raise CaptureFormatError(f"file ends inside the record at {at}")
 
 
-def _resolution(options: bytes, order: str) -> int:
-    """Time units per second of an interface (option 9; default microseconds)."""
-    at = 0
-    while at + 4 <= len(options):
-        code, size = struct.unpack(order + "HH", options[at:at + 4])
-        at += 4
-        if code == 0:
+def _options(raw: bytes, order: str) -> dict[int, bytes]:
+    """Options of a block by code; of repeated codes the first counts."""
+    found: dict[int, bytes] = {}
+    view = memoryview(raw)
+    while len(view) >= 4:
+        code, size = struct.unpack_from(order + "HH", view)
+        if code == END_OF_OPTIONS:
             break
-        if at + size > len(options):
+        value, view = view[4 : 4 + size], view[4 + -(-size // 4) * 4 :]
+        if len(value) < size:
             raise CaptureFormatError("option runs past its block")
-        if code == 9 and size >= 1:
-            exponent = options[at]
-            base, power = (10, exponent) if exponent < 0x80 else (2, exponent & 0x7F)
-            if base == 10:
-                return min(10**power, (1 << 64) - 1)
-            return 1 << power if power < 64 else 1
-        at += (size + 3) & ~3
-    return 1_000_000
+        found.setdefault(code, bytes(value))
+    return found
 
 
-def pcapng_records(stream: BinaryIO, on_truncated: str = "fail") -> Iterator[Record]:
-    """Enhanced packet blocks; every other block is skipped, as are unknown interfaces."""
-    stream.seek(0)
-    order = "<"
-    interfaces: list[tuple[int, int]] = []
-    at = 0
-    while True:
-        head = stream.read(8)
-        if len(head) < 8:
-            return
+def _units_per_second(options: dict[int, bytes]) -> int:
+    """Exact: the option's top bit says whether its other bits are a power of two or of ten."""
+    (stated,) = options.get(TIME_RESOLUTION, b"")[:1] or b"\x06"
+    return 2 ** (stated & 0x7F) if stated & 0x80 else 10**stated
+
+
+def _blocks(stream: BinaryIO, on_truncated: str) -> Iterator[tuple[int, str, int, bytes]]:
+    """(offset, byte order, type, body) of every block; a section header sets the order for what follows."""
+    order, at, size = "<", 0, stream.seek(0, 2)
+    while at + 8 <= size:
+        stream.seek(at)
+        head = stream.read(12)
         if head[:4] == PCAPNG_MAGIC:
-            magic = stream.read(4)
-            if magic == b"\x4d\x3c\x2b\x1a":
-                order = "<"
-            elif magic == b"\x1a\x2b\x3c\x4d":
-                order = ">"
-            else:
+            if head[8:] not in BYTE_ORDERS:
                 raise CaptureFormatError("bad byte-order magic")
-            stream.seek(at + 8)
-        kind, size = struct.unpack(order + "II", head)
-        if size < 12:
-            raise CaptureFormatError(f"block at {at} has length {size}")
-        body = stream.read(size - 12)
-        tail = stream.read(4)
-        if len(body) < size - 12 or len(tail) < 4:
+            order = BYTE_ORDERS[head[8:]]
+        kind, length = struct.unpack_from(order + "II", head)
+        if length < 12:
+            raise CaptureFormatError(f"block at {at} has length {length}")
+        if at + length > size:
             if on_truncated == "stop":
                 return
             raise CaptureFormatError(f"file ends inside the block at {at}")
+        stream.seek(at + 8)
+        body = stream.read(length - 12)
+        if len(body) < LEAST_BODY.get(kind, 0):
+            raise CaptureFormatError(f"block at {at} is too short for its type")
+        yield at, order, kind, body
+        at += length
+
+
+def pcapng_records(stream: BinaryIO, on_truncated: str = "fail") -> Iterator[Record]:
+    """Enhanced packet blocks; every other block is skipped, as are unknown interfaces."""
+    interfaces: list[tuple[int, int]] = []  # link type, time units per second; anew in every section
+    for at, order, kind, body in _blocks(stream, on_truncated):
         if kind == SECTION:
-            if len(body) < 16:
-                raise CaptureFormatError("section header too short")
             interfaces = []
         elif kind == INTERFACE:
-            if len(body) < 8:
-                raise CaptureFormatError("interface block too short")
-            interfaces.append((struct.unpack(order + "H", body[:2])[0], _resolution(body[8:], order)))
+            (link_type,) = struct.unpack_from(order + "H", body)
+            interfaces.append((link_type, _units_per_second(_options(body[8:], order))))
         elif kind == ENHANCED:
-            if len(body) < 20:
-                raise CaptureFormatError("packet block too short")
-            number, high, low, captured, original = struct.unpack(order + "IIIII", body[:20])
-            if number < len(interfaces):
-                if len(body) < 20 + captured:
-                    raise CaptureFormatError("packet data is cut short")
-                link_type, per_second = interfaces[number]
-                seconds, left = divmod(high << 32 | low, per_second)
-                ts_us = seconds * 1_000_000 + left * 1_000_000 // per_second
-                yield at, ts_us, captured, original, link_type, body[20:20 + captured]
-        at += size
+            number, high, low, captured, original = struct.unpack_from(order + "5I", body)
+            if number >= len(interfaces):
+                continue
+            if 20 + captured > len(body):
+                raise CaptureFormatError("packet data is cut short")
+            link_type, units = interfaces[number]
+            yield at, (high << 32 | low) * 1_000_000 // units, captured, original, link_type, body[20 : 20 + captured]
 
 
 def sync_point(stream: BinaryIO, header: PcapHeader, start: int, end: int, size: int, run: int = 8) -> int | None:

@@ -36,7 +36,8 @@ ARROW = pa.schema(
         ("packet_len", pa.int64()), ("link_type", pa.int32()), ("data", pa.binary()),
     ]
 )
-SUFFIXES = (".pcap", ".pcapng", ".cap")
+#: a capture's suffix, with the number that size rotation appends (x.pcap1, x.pcap.002)
+CAPTURE_NAME = re.compile(r"\.(pcap|pcapng|cap)(\.?[0-9]+)?$", re.IGNORECASE)
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -59,7 +60,7 @@ def list_captures(path: str) -> list[tuple[str, int]]:
     return sorted(
         (prefix + f.path, f.size)
         for f in found
-        if f.type == pafs.FileType.File and f.path.lower().endswith(SUFFIXES)
+        if f.type == pafs.FileType.File and CAPTURE_NAME.search(f.path)
         and "/_" not in f.path[len(inner):] and "/." not in f.path[len(inner):]
     )
 
@@ -138,10 +139,12 @@ class PcapReader(DataSourceReader):
 
 
 class PcapStreamReader(DataSourceStreamReader):
-    """New capture files of a folder, in name order; the offset is the last name read.
+    """New capture files of a folder, in any order of names and times.
 
-    Suits rotating capture writers whose names sort by time: a file must be
-    complete when it appears (write elsewhere, then rename).
+    The offset is the set of files that are there, so a file that comes late
+    under a smaller name or with an older time is read like any other. Files moved
+    away leave the next offset, which keeps it as small as the folder. A file must
+    be complete when it appears (write elsewhere, then rename).
     """
 
     def __init__(self, options: dict[str, str]) -> None:
@@ -149,16 +152,14 @@ class PcapStreamReader(DataSourceStreamReader):
         self.on_truncated = options.get("ontruncated") or options.get("onTruncated") or "fail"
 
     def initialOffset(self) -> dict:
-        return {"after": ""}
+        return {"files": []}
 
     def latestOffset(self) -> dict:
-        files = list_captures(self.path)
-        return {"after": files[-1][0] if files else ""}
+        return {"files": [path for path, _ in list_captures(self.path)]}
 
     def partitions(self, start: dict, end: dict) -> list[CaptureSplit]:
-        return [
-            CaptureSplit(path) for path, _ in list_captures(self.path) if start["after"] < path <= end["after"]
-        ]
+        read = set(start["files"])
+        return [CaptureSplit(path) for path in end["files"] if path not in read]
 
     def read(self, partition: CaptureSplit) -> Iterator[pa.RecordBatch]:
         return read_split(partition, None, self.on_truncated)

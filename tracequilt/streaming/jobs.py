@@ -20,14 +20,18 @@ def with_event_time(packets: DataFrame, delay: str = WATERMARK) -> DataFrame:
 
 
 def stream_ticks(packets: DataFrame, local_addresses: DataFrame | None = None, offline: bool = False,
-                 delay: str = WATERMARK) -> DataFrame:
+                 delay: str | None = WATERMARK) -> DataFrame:
     """One-second tumbling ticks on packet time.
 
-    A tick is emitted when the watermark passes it (append mode).  Packets later
-    than the watermark are dropped and counted by Spark
-    (``numRowsDroppedByWatermark``); :func:`stateful.fold_late` keeps them instead.
+    Without a ``delay`` every packet counts in its second however late it is, and
+    ticks are published again when they change (update or complete mode): state is
+    one row per second of each capture.  With one a tick is emitted once, when the
+    watermark passes it (append mode); packets later than that are dropped and
+    counted by Spark (``numRowsDroppedByWatermark``), and the last ticks wait for
+    packets that never come when the input is finite.
     """
-    timed = with_event_time(ticks.with_direction(packets, local_addresses, offline), delay)
+    sided = ticks.with_direction(packets, local_addresses, offline)
+    timed = sided.withColumn("ts", F.timestamp_micros("ts_us")) if delay is None else with_event_time(sided, delay)
 
     def way_sum(way: str) -> str:
         return f"sum(CASE WHEN direction = '{way}' THEN packet_len ELSE 0 END) AS bytes_{'in' if way == 'inbound' else 'out'}"
