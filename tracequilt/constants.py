@@ -69,4 +69,3 @@ SNI_MAX_NAME = 253
 PTR_TTL_SECONDS, PTR_NEGATIVE_TTL_SECONDS = 300, 45
 PROCESS_TTL_SECONDS, PROCESS_NEGATIVE_TTL_SECONDS = 60, 3
 FLOW_EXPORT_MIN_BYTES, FLOW_EXPORT_DELTA_BYTES, FLOW_EXPORT_INTERVAL_SECONDS = 10_000, 1_000_000, 60
-RESIDENT_FLOWS, RESIDENT_HOSTS, RESIDENT_TCP, RESIDENT_SERVICES = 30_000, 15_000, 30_000, 512

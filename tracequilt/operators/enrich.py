@@ -132,8 +132,8 @@ def attribute_processes(flows: DataFrame, socket_inventory: DataFrame, at: str =
 
 
 def process_bytes(connections: DataFrame) -> DataFrame:
-    """One entry per ranked connection with a process (not summed by process)."""
-    return connections.where("process_name <> ''").select("capture_id", "rank", "process_name", "bytes")
+    """One entry per connection with a process (not summed by process)."""
+    return connections.where("process_name <> ''")
 
 
 def top_regions(flows: DataFrame, geo_country: DataFrame, geo_asn: DataFrame, top_n: int | None = None) -> DataFrame:

@@ -92,7 +92,7 @@ def _order(detector: int, kind: str) -> str:
     """
     name, first, port, second, more = "''", "X''", "0", "X''", ["0", "0"]
     sent, count = "-bytes", "-packets"
-    if kind == "flows":
+    if kind in ("flows", "processes"):
         first, second, more = _key("a_bin"), _key("b_bin"), ["coalesce(a_port, -1)", f"coalesce(b_port, -1) * 10 + {proto_rank()}"]
     elif kind == "hosts":
         first = _key("host_bin")
@@ -101,8 +101,6 @@ def _order(detector: int, kind: str) -> str:
     elif kind == "tcp":
         # rank compares the first endpoint's port before the second address
         first, port, second, more = _key("endpoint_a_bin"), "endpoint_a_port", _key("endpoint_b_bin"), ["endpoint_b_port", "0"]
-    elif kind == "processes":
-        sent, count, more = "rank", "0", ["0", "0"]
     numbers = [f"CAST({n} AS BIGINT)" for n in (detector, sent, count, port, *more)]
     return (
         f"named_struct('detector', {numbers[0]}, 'sent', {numbers[1]}, 'count', {numbers[2]}, 'name', {name}, 'first', {first},"
@@ -195,7 +193,7 @@ def watched_services(services: DataFrame, policy: Policy, session: Session = Ses
 def watched_processes(processes: DataFrame, policy: Policy, session: Session = Session()) -> list[DataFrame]:
     """Watched, known-bad and peer-to-peer / proxy processes.
 
-    ``processes(capture_id, rank, process_name, bytes, as_of_us)``: one row per ranked connection.
+    ``processes``: one row per connection, with the flow's key, packets and bytes, ``process_name`` and ``as_of_us``.
     """
     rows, name = processes.where("process_name <> ''"), "{process_name}"
     common = dict(subject="process_name", pivot_kind="'process'", pivot_value="process_name")

@@ -85,6 +85,7 @@ def running_flows(tick_flows: DataFrame) -> DataFrame:
     return tick_flows.select(
         *FLOW_KEY, "tick",
         *[F.sum(c).over(order).alias(c) for c in ("packets", "bytes", "bytes_in", "bytes_out")],
+        F.first("sni", ignorenulls=True).over(order).alias("sni"),
     )
 
 
@@ -138,23 +139,25 @@ def export_gate(running: DataFrame, min_bytes: int = C.FLOW_EXPORT_MIN_BYTES,
 
     out = (
         "capture_id string, a_bin binary, b_bin binary, a_port int, b_port int, proto string, tick bigint,"
-        " packets bigint, bytes bigint, bytes_in bigint, bytes_out bigint, event string"
+        " packets bigint, bytes bigint, bytes_in bigint, bytes_out bigint, sni string, event string"
     )
     return rows.select(
-        "_h", *FLOW_KEY, "tick", "packets", "bytes", "bytes_in", "bytes_out"
+        "_h", *FLOW_KEY, "tick", "packets", "bytes", "bytes_in", "bytes_out", "sni"
     ).mapInPandas(gate, out)
 
 
-def closed_flows(exported: DataFrame, present: DataFrame) -> DataFrame:
-    """Exported flow keys that are no longer in the visible set."""
-    gone = exported.select(*FLOW_KEY).distinct().withColumns(_port_keys())
-    here = present.select(*FLOW_KEY).distinct().withColumns(_port_keys()).drop("a_port", "b_port")
-    on = ["capture_id", "a_bin", "b_bin", "_ap", "_bp", "proto"]
-    return gone.join(here, on, "left_anti").select(*FLOW_KEY, F.lit("closed").alias("event"))
+def closed_flows(running: DataFrame, ends: DataFrame, visible_seconds: int, min_bytes: int = C.FLOW_EXPORT_MIN_BYTES) -> DataFrame:
+    """Flows that were exported and have left the visible set: no packet for ``visible_seconds``.
 
-
-def _port_keys() -> dict[str, Column]:
-    return {"_ap": F.coalesce("a_port", F.lit(-1)), "_bp": F.coalesce("b_port", F.lit(-1))}
+    A flow is exported once it reaches ``min_bytes``; it closes at the tick at
+    which it has been silent long enough, if its capture lasts till then.
+    ``ends(capture_id, end_tick)`` has every capture's last tick.
+    """
+    last = running.groupBy(*FLOW_KEY).agg(F.max("bytes").alias("_bytes"), (F.max("tick") + visible_seconds).alias("tick"))
+    return (
+        last.where(F.col("_bytes") >= min_bytes).join(ends, "capture_id").where("tick <= end_tick")
+        .select(*FLOW_KEY, "tick", F.lit("closed").alias("event"))
+    )
 
 
 def new_signals(findings: DataFrame) -> DataFrame:

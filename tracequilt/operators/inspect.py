@@ -226,7 +226,9 @@ def summarize(pool: DataFrame, visible: Column) -> DataFrame:
 # ---- evidence -----------------------------------------------------------------
 
 def evidence(findings: DataFrame, rows: DataFrame) -> DataFrame:
-    """Connections behind each finding: those its pivot filter would show.
+    """Connections behind each pivot of the findings: those its filter would show.
+
+    Findings with the same pivot share its rows, which come once.
 
     'Contains' is turned into equality: the distinct texts of the connection
     table are cut into substrings of exactly the lengths that pivot values
@@ -235,9 +237,9 @@ def evidence(findings: DataFrame, rows: DataFrame) -> DataFrame:
     """
     whens = " ".join(f"WHEN '{kind}' THEN '{target}'" for kind, target in PIVOTS.items())
     asked = findings.where("trim(coalesce(pivot_value, '')) <> ''").selectExpr(
-        "capture_id", "dedupe_key", f"CASE lower(trim(pivot_kind)) {whens} ELSE 'search' END AS _target",
+        "capture_id", "pivot_kind", "pivot_value", f"CASE lower(trim(pivot_kind)) {whens} ELSE 'search' END AS _target",
         "lower(trim(pivot_value)) AS _piece",
-    ).where("_target <> 'country'")
+    ).where("_target <> 'country'").distinct()
 
     def fields(searched: bool) -> str:
         flag = ", '_searched', {}" if searched else ""
@@ -262,10 +264,10 @@ def evidence(findings: DataFrame, rows: DataFrame) -> DataFrame:
     hits = (
         pieces.join(asked, ["capture_id", "_piece"])
         .where("_target = _field OR (_target = 'search' AND _searched)")
-        .select("capture_id", "dedupe_key", "_field", "_text").distinct()
+        .select("capture_id", "pivot_kind", "pivot_value", "_field", "_text").distinct()
     )
     by_text = rows.selectExpr("*", f"explode(array({fields(False)})) AS _t").select(*rows.columns, "_t.*")
-    return by_text.join(hits, ["capture_id", "_field", "_text"]).select("dedupe_key", *rows.columns).distinct()
+    return by_text.join(hits, ["capture_id", "_field", "_text"]).select("pivot_kind", "pivot_value", *rows.columns).distinct()
 
 
 def nearest_point(findings: DataFrame, timeline: DataFrame) -> DataFrame:

@@ -70,15 +70,6 @@ def take(ranked: DataFrame, top_n: int, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def resident_pools(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The bounded maps of a long-running capture, exact in batch: the largest rows by bytes."""
-    caps = {
-        "flows": C.RESIDENT_FLOWS, "hosts": C.RESIDENT_HOSTS,
-        "tcp": C.RESIDENT_TCP, "services": C.RESIDENT_SERVICES,
-    }
-    return {kind: rank_by_traffic(tables[kind], kind, cap) for kind, cap in caps.items()}
-
-
 def focus_reorder(ranked: DataFrame, focus: str, columns: list[str]) -> DataFrame:
     """Rows that mention the focus text first, otherwise in rank order."""
     token = focus.strip()

@@ -15,11 +15,11 @@ def assign_ticks(packets: DataFrame, late: str = "fold", block_seqs: int = BLOCK
     """Add ``tick``, the second a packet is counted in.
 
     ``late='fold'``: a packet older than the open second counts in the open one,
-    i.e. the running maximum of the second in arrival order.  The maximum is
-    taken per block of ``block_seqs`` sequence numbers (a bounded window even if
-    one capture holds all rows); block maxima, a few thousand rows, carry over
-    by a second small window.  The carry table is joined on the key the blocks
-    are already partitioned by.
+    i.e. the running maximum of the second in arrival order.  A small table says
+    for every second at which sequence number it opened and at which a later one
+    did.  A packet that came before the latter counts in its own second; this is
+    one equi-join on (capture, second) without a sort of packets.  Only late
+    packets look for the second that was open, among the opened ones.
 
     ``late='event_time'``: the packet's own second; no shuffle at all.
     """
@@ -28,22 +28,41 @@ def assign_ticks(packets: DataFrame, late: str = "fold", block_seqs: int = BLOCK
         return packets.withColumn("tick", second)
     if late != "fold":
         raise ValueError("late must be 'fold' or 'event_time'")
-    blocked = packets.selectExpr("*", f"seq div {block_seqs} AS _block", f"{clock.second_of('ts_us')} AS _sec")
-    peaks = blocked.groupBy("capture_id", "_block").agg(F.max("_sec").alias("_peak"))
-    carried = peaks.select(
-        "capture_id", "_block",
-        F.max("_peak").over(
-            Window.partitionBy("capture_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-        ).alias("_carry"),
+    timed = packets.withColumn("_sec", second)
+    later = Window.partitionBy("_of").orderBy("_second").rowsBetween(1, Window.unboundedFollowing)
+    opened = (
+        timed.groupBy(F.col("capture_id").alias("_of"), F.col("_sec").alias("_second")).agg(F.min("seq").alias("_opens"))
+        .withColumn("_closes", F.min("_opens").over(later))
     )
-    running = Window.partitionBy("capture_id", "_block").orderBy("seq").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    placed = timed.join(opened, (F.col("capture_id") == F.col("_of")) & (F.col("_sec") == F.col("_second")))
+    on_time = F.col("_closes").isNull() | (F.col("seq") < F.col("_closes"))
+    punctual = placed.where(on_time).select(*packets.columns, F.col("_sec").alias("tick"))
+    # A second that was passed over before its first packet came never opened.
+    openers = opened.where("_closes IS NULL OR _opens < _closes").select(F.col("_of").alias("capture_id"), F.col("_opens").alias("seq"), F.col("_second").alias("_sec"))
+    return punctual.unionByName(_fold(placed.where(~on_time).select(*packets.columns), openers, block_seqs))
+
+
+def _fold(stragglers: DataFrame, openers: DataFrame, block_seqs: int) -> DataFrame:
+    """Late packets with the latest second opened before them, found within blocks of sequence numbers."""
+    block = F.expr(f"seq div {block_seqs}").alias("_block")
+    marks = openers.select("*", block)
+    carried = marks.groupBy("capture_id", "_block").agg(F.max("_sec").alias("_peak"))
+    stream = stragglers.select("*", block, F.lit(True).alias("_asks")).unionByName(
+        marks.select("*", F.lit(False).alias("_asks")), allowMissingColumns=True
+    ).unionByName(
+        # what was open at the start of a block: the peak of the blocks before it, filed under each block that asks
+        _open_at_start(stragglers.select("capture_id", block).distinct(), carried, block_seqs), allowMissingColumns=True
     )
-    return (
-        blocked.withColumn("_run", F.max("_sec").over(running))
-        .join(carried, ["capture_id", "_block"])
-        .withColumn("tick", F.greatest("_run", "_carry"))
-        .drop("_block", "_sec", "_run", "_carry")
+    running = Window.partitionBy("capture_id", "_block").orderBy("seq", "_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return stream.withColumn("tick", F.max("_sec").over(running)).where("_asks").select(*stragglers.columns, "tick")
+
+
+def _open_at_start(asking: DataFrame, peaks: DataFrame, block_seqs: int) -> DataFrame:
+    """One row per asking block at its first sequence number: the second open there.  Blocks are few thousand rows."""
+    both = peaks.select("*", F.lit(False).alias("_ask")).unionByName(asking.select("*", F.lit(True).alias("_ask")), allowMissingColumns=True)
+    before = Window.partitionBy("capture_id").orderBy("_block").rangeBetween(Window.unboundedPreceding, -1)
+    return both.withColumn("_sec", F.max("_peak").over(before)).where("_ask").select(
+        "capture_id", F.expr(f"_block * {block_seqs}").alias("seq"), "_sec", "_block", F.lit(False).alias("_asks")
     )
 
 
@@ -84,22 +103,21 @@ def gaps(ticks: DataFrame) -> DataFrame:
     )
 
 
-def fill_gaps(ticks: DataFrame, max_gap_seconds: int = 10_000_000) -> DataFrame:
+def fill_gaps(ticks: DataFrame) -> DataFrame:
     """Ticks plus one zero tick per silent second, as a live capture shows them.
 
-    A longer gap is a broken clock rather than silence: it raises instead of
-    being cut short.
+    A gap is cut into hours first and each hour into seconds, so that no row ever
+    holds more than a few thousand numbers per step however long the silence.
     """
-    length = F.when(
-        F.col("gap_seconds") > max_gap_seconds,
-        F.raise_error(F.lit("gap longer than max_gap_seconds")).cast("bigint"),
-    ).otherwise(F.col("gap_seconds"))
     zero = F.lit(0).cast("bigint")
-    silent = ticks.where(F.col("gap_seconds") > 0).select(
-        "capture_id",
-        F.explode(F.sequence(F.col("tick") + 1, F.col("tick") + length)).alias("tick"),
-        *[zero.alias(c) for c in ("packets", "bytes", "bytes_in", "bytes_out")],
-        F.lit(True).alias("filled"),
+    silent = (
+        ticks.where(F.col("gap_seconds") > 0)
+        .selectExpr("capture_id", "tick + 1 AS _from", "tick + gap_seconds AS _to")
+        # a day first: even a gap of ten thousand years is under four million of them
+        .selectExpr("*", "explode(sequence(_from, _to, 86400L)) AS _day")
+        .selectExpr("*", "explode(sequence(_day, least(_day + 86399L, _to), 3600L)) AS _hour")
+        .selectExpr("capture_id", "explode(sequence(_hour, least(_hour + 3599L, _day + 86399L, _to))) AS tick")
+        .select("capture_id", "tick", *[zero.alias(c) for c in ("packets", "bytes", "bytes_in", "bytes_out")], F.lit(True).alias("filled"))
     )
     real = ticks.select(
         "capture_id", "tick", "packets", "bytes", "bytes_in", "bytes_out", F.lit(False).alias("filled")
@@ -137,25 +155,27 @@ def timeline_live(ticks: DataFrame) -> DataFrame:
 
 def timeline_compressed(ticks: DataFrame, points: int = C.TIMELINE_POINTS) -> DataFrame:
     """At most ``points`` points over each capture's span; sums are preserved."""
-    span = ticks.groupBy("capture_id").agg(F.min("tick").alias("_from"), F.max("tick").alias("_to"))
-    span = span.withColumn(
-        "_n", F.least(F.col("_to") - F.col("_from") + 1, F.lit(points).cast("bigint"))
-    )
+    whole = Window.partitionBy("capture_id")
+    spanned = ticks.select(
+        "capture_id", "tick", "bytes_in", "bytes_out", F.min("tick").over(whole).alias("_from"), F.max("tick").over(whole).alias("_to")
+    ).withColumn("_n", F.least(F.col("_to") - F.col("_from") + 1, F.lit(points).cast("bigint")))
     flat = "(_n <= 1 OR _to <= _from)"
     bucket = f"CASE WHEN {flat} THEN 0L ELSE ((tick - _from) * (_n - 1)) div greatest(_to - _from, 1L) END"
-    sums = (
-        ticks.join(span, "capture_id")
-        .groupBy("capture_id", F.expr(bucket).alias("point"))
-        .agg(F.sum("bytes_in").alias("_in"), F.sum("bytes_out").alias("_out"))
+    sums = spanned.groupBy("capture_id", "_from", "_to", "_n", F.expr(bucket).alias("point")).agg(
+        F.sum("bytes_in").alias("_in"), F.sum("bytes_out").alias("_out")
+    )
+    # The axis comes from the same rows: each point fills up to the next one with traffic; the first tick is point 0.
+    order = Window.partitionBy("capture_id").orderBy("point")
+    axis = sums.withColumn("_next", F.coalesce(F.lead("point").over(order), F.col("_n"))).selectExpr(
+        "*", "explode(sequence(point, _next - 1)) AS at"
     )
-    axis = span.selectExpr("*", "explode(sequence(0L, _n - 1)) AS point")
     second = (
-        f"CASE WHEN {flat} THEN _from WHEN point = _n - 1 THEN _to"
-        f" ELSE _from + ((_to - _from) * point) div greatest(_n - 1, 1L) END"
+        f"CASE WHEN {flat} THEN _from WHEN at = _n - 1 THEN _to"
+        f" ELSE _from + ((_to - _from) * at) div greatest(_n - 1, 1L) END"
     )
-    return axis.join(sums, ["capture_id", "point"], "left").selectExpr(
-        "capture_id", "point", f"{second} AS second",
-        "coalesce(_in, 0L) AS bytes_in", "coalesce(_out, 0L) AS bytes_out",
+    return axis.selectExpr(
+        "capture_id", "at AS point", f"{second} AS second",
+        "CASE WHEN at = point THEN _in ELSE 0L END AS bytes_in", "CASE WHEN at = point THEN _out ELSE 0L END AS bytes_out",
     )
 
 

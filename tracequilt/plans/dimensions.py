@@ -33,8 +33,8 @@ def geo_asn(spark: SparkSession) -> DataFrame:
 
 
 def ptr_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reverse-lookup observations taken from ``events``: one per third event, some negative."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 3 = 0")
+    """Reverse-lookup observations taken from ``events``: one per event, every fourth one negative."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.selectExpr("*", f"{K} AS k").selectExpr(
         f"{REMOTE} AS ip",
         "CASE WHEN event_id % 4 <> 0 THEN concat('host', k % 8, '.example.net.') END AS hostname",
@@ -44,11 +44,11 @@ def ptr_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def socket_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Socket observations taken from ``events``: the client port of each event's user."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 2 = 0")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     name = "element_at(array('firefox', 'Clash for Windows', 'sshd', 'Transmission'), CAST(user_id % 4 AS INT) + 1)"
     found = "CASE WHEN event_id % 6 <> 0 THEN"
     return e.selectExpr(
-        f"'{CAPTURE}' AS capture_id",
+        f"{CAPTURE.format(user='user_id')} AS capture_id",
         f"CASE WHEN {K} % 8 = 0 THEN 'udp' ELSE 'tcp' END AS proto",
         "CAST(49152 + user_id % 16384 AS INT) AS port",
         f"{clock.ntz_micros('ts')} AS observed_us",
@@ -58,8 +58,9 @@ def socket_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def local_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses of the capturing host: the private side of every fourth user."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id % 4 = 0")
+    """Addresses of the capturing hosts.  A capture has a few of its addresses on its own
+    machine, so the set selects: the private side of every fourth user of it."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id div 6 % 4 = 0")
     return e.selectExpr(
-        f"'{CAPTURE}' AS capture_id", "concat('10.0.', user_id div 256, '.', user_id % 256) AS ip"
+        f"{CAPTURE.format(user='user_id')} AS capture_id", "concat('10.0.', user_id div 256, '.', user_id % 256) AS ip"
     ).distinct()

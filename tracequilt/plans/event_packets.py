@@ -1,8 +1,8 @@
 """A packet table derived from the ``events`` test table.
 
 The driver's tables hold no packets; this deterministic projection of
-``events`` supplies one of the same size, with every address scope, protocol,
-flag combination and detector trigger the operators need.
+``events`` supplies one of the same size, in several captures, with every address
+scope, protocol, flag combination and detector trigger the operators need.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import schema
 
-CAPTURE = "file:events"
+#: Five captures by user, one with a third of the packets.
+CAPTURE = "CASE WHEN {user} % 3 = 0 THEN 'file:main' ELSE concat('file:part', {user} % 6) END"
 REMOTES = ("8.8.8.8", "1.1.1.1", "93.184.216.34", "35.223.238.178", "210.140.92.187", "10.0.200.1", "2606:4700::2", "127.0.0.1")
 K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"
 REMOTE = f"element_at(array({', '.join(repr(r) for r in REMOTES)}), k % 8 + 1)"
@@ -22,7 +23,7 @@ def packets_from_events(events: DataFrame) -> DataFrame:
         "event_id", "ts", "user_id AS u", "event_type AS et", f"{K} AS k",
         "60 + CAST(round(value * 100) AS BIGINT) % 1400 AS len",
     ).selectExpr(
-        "event_id", "ts", "et", "k", "len",
+        "event_id", "ts", "et", "k", "len", f"{CAPTURE.format(user='u')} AS capture_id",
         "CASE k % 8 WHEN 6 THEN concat('fd00::', u % 256 + 1) WHEN 7 THEN '127.0.0.1'"
         " ELSE concat('10.0.', u div 256, '.', u % 256) END AS loc",
         f"{REMOTE} AS rem",
@@ -37,7 +38,7 @@ def packets_from_events(events: DataFrame) -> DataFrame:
         return f"CASE WHEN inb THEN {inbound} ELSE {outbound} END"
 
     return staged.selectExpr(
-        f"'{CAPTURE}' AS capture_id", "event_id AS seq", "ts",
+        "capture_id", "event_id AS seq", "ts",
         f"{by_way('rem', 'loc')} AS src_ip", f"{by_way('loc', 'rem')} AS dst_ip",
         f"CASE WHEN proto IN ('tcp', 'udp') THEN {by_way('svc_port', 'cli_port')} END AS src_port",
         f"CASE WHEN proto IN ('tcp', 'udp') THEN {by_way('cli_port', 'svc_port')} END AS dst_port",

@@ -24,7 +24,7 @@ p0 AS (
          49152 + CAST(u % 16384 AS INT) AS cli_port, et IN ('view', 'purchase') AS inb
   FROM e),
 p AS (
-  SELECT 'file:events' AS capture_id, event_id AS seq, epoch_us(ts) AS us, CAST(floor(epoch(ts)) AS BIGINT) AS sec,
+  SELECT CASE WHEN u % 3 = 0 THEN 'file:main' ELSE concat('file:part', CAST(u % 6 AS STRING)) END AS capture_id, event_id AS seq, epoch_us(ts) AS us, CAST(floor(epoch(ts)) AS BIGINT) AS sec,
          CASE WHEN inb THEN rem ELSE loc END AS src, CASE WHEN inb THEN loc ELSE rem END AS dst,
          CASE WHEN proto IN ('tcp', 'udp') THEN CASE WHEN inb THEN svc_port ELSE cli_port END END AS sp,
          CASE WHEN proto IN ('tcp', 'udp') THEN CASE WHEN inb THEN cli_port ELSE svc_port END END AS dp,
@@ -56,14 +56,14 @@ def near(x: str) -> str:
 PROTO_RANK = "CASE proto WHEN 'tcp' THEN 1 WHEN 'udp' THEN 2 WHEN 'icmp' THEN 3 WHEN 'icmpv6' THEN 4 WHEN 'arp' THEN 5 ELSE 6 END"
 
 LOCALS = """
-own AS (SELECT DISTINCT concat('10.0.', CAST(user_id // 256 AS STRING), '.', CAST(user_id % 256 AS STRING)) AS ip
-        FROM events WHERE user_id % 4 = 0)"""
+own AS (SELECT DISTINCT CASE WHEN user_id % 3 = 0 THEN 'file:main' ELSE concat('file:part', CAST(user_id % 6 AS STRING)) END AS capture_id, concat('10.0.', CAST(user_id // 256 AS STRING), '.', CAST(user_id % 256 AS STRING)) AS ip
+        FROM events WHERE user_id // 6 % 4 = 0)"""
 
 
 def d_cte(local: bool = False) -> str:
     """Decoded packets with direction, service and orientation."""
     if local:
-        sl, dl = "src IN (SELECT ip FROM own)", "dst IN (SELECT ip FROM own)"
+        sl, dl = "(capture_id, src) IN (SELECT (capture_id, ip) FROM own)", "(capture_id, dst) IN (SELECT (capture_id, ip) FROM own)"
         way = "WHEN sl AND dl THEN 'loopback' WHEN sl THEN 'outbound' WHEN dl THEN 'inbound' ELSE 'unknown' END"
     else:
         sl, dl = near("src"), near("dst")
@@ -218,7 +218,7 @@ ptr AS (SELECT CASE CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 8 WHEN 0
           WHEN 2 THEN '93.184.216.34' WHEN 3 THEN '35.223.238.178' WHEN 4 THEN '210.140.92.187' WHEN 5 THEN '10.0.200.1'
           WHEN 6 THEN '2606:4700::2' ELSE '127.0.0.1' END AS ip,
         CASE WHEN event_id % 4 <> 0 THEN 'host' || CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 8 AS STRING) || '.example.net' END AS hostname,
-        epoch_us(ts) AS ous FROM events WHERE event_id % 3 = 0)"""
+        epoch_us(ts) AS ous FROM events)"""
 
 
 def ptr_query(probes: str, extra: str) -> str:
@@ -233,25 +233,24 @@ SOCK = """
 sock AS (SELECT CASE WHEN CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 8 = 0 THEN 'udp' ELSE 'tcp' END AS proto,
            49152 + CAST(user_id % 16384 AS INT) AS port, epoch_us(ts) AS ous,
            CASE WHEN event_id % 6 <> 0 THEN CASE user_id % 4 WHEN 0 THEN 'firefox' WHEN 1 THEN 'Clash for Windows' WHEN 2 THEN 'sshd' ELSE 'Transmission' END END AS name,
-           CASE WHEN event_id % 6 <> 0 THEN user_id END AS pid FROM events WHERE event_id % 2 = 0)"""
+           CASE WHEN event_id % 6 <> 0 THEN user_id END AS pid, CASE WHEN user_id % 3 = 0 THEN 'file:main' ELSE concat('file:part', CAST(user_id % 6 AS STRING)) END AS capture_id FROM events)"""
 
 
 def process_cte(source: str) -> str:
     """Process of each row of ``source`` (flow columns): candidates in order, latest answer of each."""
-    own = near("b")
-    _ = own
+    key = "capture_id, a, b, ap, bp, proto"
+    ckey = ", ".join(f"c.{k}" for k in key.split(", "))
     return f"""
 fl AS (SELECT *, CASE WHEN bytes_out >= bytes_in THEN [ap, bp] ELSE [bp, ap] END AS o FROM {source}),
-fc AS (SELECT *, list_distinct([x for x in o if x IS NOT NULL AND x >= 1024]) AS hi0, [x for x in o if x IS NOT NULL AND x < 1024 AND x <> 0] AS lo,
-         [x for x in o if x IS NOT NULL AND x >= 1024] AS hi FROM fl),
-cand AS (SELECT capture_id, a, b, ap, bp, proto, last_us, unnest(list_concat(hi, lo)) AS port,
+fc AS (SELECT *, [x for x in o if x IS NOT NULL AND x < 1024 AND x <> 0] AS lo, [x for x in o if x IS NOT NULL AND x >= 1024] AS hi FROM fl),
+cand AS (SELECT {key}, last_us, unnest(list_concat(hi, lo)) AS port,
            generate_subscripts(list_concat(hi, lo), 1) AS pos FROM fc WHERE proto IN ('tcp', 'udp')),
-ans AS (SELECT c.a, c.b, c.ap, c.bp, c.proto, c.pos, max(ous) AS ous, (list(s.name ORDER BY ous DESC))[1] AS name, (list(s.pid ORDER BY ous DESC))[1] AS pid
-        FROM cand c JOIN sock s ON s.proto = c.proto AND s.port = c.port AND ous <= c.last_us AND c.last_us - ous < 60000000
-        GROUP BY c.a, c.b, c.ap, c.bp, c.proto, c.pos),
-best AS (SELECT a, b, ap, bp, proto, arg_min(name, pos) AS name, arg_min(pid, pos) AS pid FROM ans WHERE name IS NOT NULL GROUP BY a, b, ap, bp, proto),
-pr AS (SELECT {source}.*, coalesce(best.name, '') AS process_name, coalesce(best.pid, 0) AS process_pid FROM {source} LEFT JOIN best
-       ON {source}.a = best.a AND {source}.b = best.b AND {source}.ap = best.ap AND {source}.bp = best.bp AND {source}.proto = best.proto)"""
+ans AS (SELECT {ckey}, c.pos, max(ous) AS ous, (list(s.name ORDER BY ous DESC))[1] AS name, (list(s.pid ORDER BY ous DESC))[1] AS pid
+        FROM cand c JOIN sock s ON s.capture_id = c.capture_id AND s.proto = c.proto AND s.port = c.port AND ous <= c.last_us AND c.last_us - ous < 60000000
+        GROUP BY {ckey}, c.pos),
+best AS (SELECT {key}, arg_min(name, pos) AS name, arg_min(pid, pos) AS pid FROM ans WHERE name IS NOT NULL GROUP BY {key}),
+pr AS (SELECT x.*, coalesce(best.name, '') AS process_name, coalesce(best.pid, 0) AS process_pid FROM {source} x LEFT JOIN best
+       ON x.capture_id = best.capture_id AND x.a = best.a AND x.b = best.b AND x.ap = best.ap AND x.bp = best.bp AND x.proto = best.proto)"""
 
 
 NOW = 1_735_689_600_000_000
@@ -329,6 +328,24 @@ def s_p2p(src: str, cols: str = "") -> str:
         f" AND NOT contains('port:' || CAST({sp} AS STRING), 'port:9050') AND NOT contains('port:' || CAST({dp} AS STRING), 'port:9050')")
 
 
+def s_processes(src: str, cols: str = "") -> str:
+    name = "process_name"
+
+    def one(kind: str, severity: str, summary: str, detail: str, conf: str, tag: str, test: str) -> str:
+        return finding(kind, severity, name, summary, f"'Process `' || {name} || '` {detail}", "ended_us", "ended_us", f"CAST({conf} AS DOUBLE)",
+                       f"'{kind}|process|' || {name}", f"'{tag}-' || {name}", "'process'", name, cols=cols) + f" FROM {with_now(src)} WHERE {test}"
+
+    return " UNION ALL ".join([
+        one("WatchedEntityTransmitted", "info", "Watched process (offline finding)", "transmitted ' || CAST(bytes AS STRING) || ' bytes.'",
+            "0.8", "watch-proc", f"{name} = 'firefox'"),
+        one("KnownBadHostTransmitted", "error", "Known-bad process (offline finding)",
+            "matched a known-bad entry (' || CAST(bytes AS STRING) || ' bytes).'", "0.85", "bad-proc", f"{name} = 'sshd'"),
+        one("UnauthorizedP2pOrProxy", "warning", "Unauthorized P2P or proxy process",
+            "matched built-in P2P/proxy heuristics (' || CAST(bytes AS STRING) || ' bytes).'", "0.85", "p2p-proc",
+            f"{name} IN ('Clash for Windows', 'Transmission')"),
+    ])
+
+
 def all_hits(pool: int | None) -> list[str]:
     """CTEs ending in ``hits``: every detector's rows with a global evaluation order ``o``."""
     cut = f" WHERE rk <= {pool}" if pool else ""
@@ -340,13 +357,18 @@ def all_hits(pool: int | None) -> list[str]:
         s_threshold("0 AS det, 0 AS rk,"), s_hosts("rh", "1 AS det, rk,"), s_services("rs", "2 AS det, rk,"),
         s_exfil("rf", "3 AS det, rk,"), s_idle("rt", "4 AS det, rk,"), s_p2p("rf", "5 AS det, rk,"),
     ]
+    named = []
+    if pool is None:
+        # a finished capture's batch report has no process data
+        parts.append(s_processes("pr", "6 AS det, rk,"))
+        named = [SOCK, process_cte("rf")]
     hits = "hits AS (SELECT *, CAST(det AS BIGINT) * 1000000000 + rk AS o FROM (" + " UNION ALL ".join(parts) + "))"
     log = """lg AS (SELECT capture_id, dedupe_key, arg_min(id, o) AS id, arg_min(kind, o) AS kind, 'offline' AS mode, 'finding' AS status,
   arg_min(severity, o) AS severity, arg_min(subject, o) AS subject, arg_max(summary, o) AS summary, arg_max(detail, o) AS detail,
   arg_min(first_us, o) AS first_us, arg_max(last_us, o) AS last_us, arg_min(confidence, o) AS confidence,
   arg_min(pivot_kind, o) AS pivot_kind, arg_min(pivot_value, o) AS pivot_value, CAST(count(*) AS BIGINT) AS update_count, min(o) AS fo
   FROM hits GROUP BY capture_id, dedupe_key)"""
-    return [d_cte(), f_cte(), H_CTE, S_CTE, TOT, SES, rf, rh, rs, rt, hits, log]
+    return [d_cte(), f_cte(), H_CTE, S_CTE, TOT, SES, rf, *named, rh, rs, rt, hits, log]
 
 
 FINDING_OUT = """capture_id, id, kind, mode, status, severity, subject, summary, detail, first_us, last_us, confidence, dedupe_key,
@@ -413,9 +435,9 @@ def oracles() -> dict[str, str]:
     ts = S_CTE.replace("FROM d ", "FROM dt ").replace("capture_id, service, proto", "capture_id, tick, service, proto")
     q["tick_services"] = with_(*TICK_D, ts) + ranked("s", f"bytes DESC, packets DESC, service, {PROTO_RANK}", None,
                                                      f"capture_id, tick, service, proto, packets, bytes, {CONF} AS confidence", "capture_id, tick")
-    q["rolling_ticks"] = with_(d_cte(), T_CTE) + "SELECT capture_id, tick, packets, bytes, bytes_in, bytes_out FROM t ORDER BY tick DESC LIMIT 30"
+    q["rolling_ticks"] = with_(d_cte(), T_CTE) + "SELECT capture_id, tick, packets, bytes, bytes_in, bytes_out FROM t QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY tick DESC) <= 30"
     q["window_totals"] = with_(d_cte(), T_CTE) + """SELECT capture_id, CAST(count(*) AS BIGINT) AS ticks, CAST(sum(bytes_in) AS BIGINT) AS window_bytes_in,
-      CAST(sum(bytes_out) AS BIGINT) AS window_bytes_out FROM (SELECT * FROM t ORDER BY tick DESC LIMIT 30) GROUP BY capture_id"""
+      CAST(sum(bytes_out) AS BIGINT) AS window_bytes_out FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY tick DESC) <= 30) GROUP BY capture_id"""
     q["timeline_live"] = with_(d_cte(), T_CTE) + """SELECT capture_id, tick AS second, bytes_in, bytes_out FROM t
       UNION ALL SELECT capture_id, tick + gap, 0, 0 FROM t WHERE gap > 0"""
     q["timeline_compressed"] = with_(d_cte(), T_CTE, COMPRESSED) + "SELECT * FROM tl"
@@ -427,8 +449,8 @@ def oracles() -> dict[str, str]:
     q["session_directions"] = rows + "SELECT capture_id, direction, CAST(count(*) AS BIGINT) AS flows, CAST(sum(bytes) AS BIGINT) AS bytes FROM c GROUP BY ALL"
     q["inspect_connections"] = rows + ranked("(SELECT * FROM c WHERE service_name LIKE '%http%' AND proto LIKE '%tcp%' AND contains(a, '10.0.0'))",
                                              FLOW_ORDER, 10, row_out())
-    q["inspect_pool"] = rows + f"""SELECT rank, {row_out('short_name')} FROM (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {FLOW_ORDER}) AS rank FROM c)
-      WHERE rank <= 100 AND proto = 'tcp' AND short_name = 'https' ORDER BY rank LIMIT 10)"""
+    q["inspect_pool"] = rows + f"""SELECT rank, {row_out('short_name')} FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY {FLOW_ORDER}) AS rank FROM c)
+      WHERE rank <= 100 AND proto = 'tcp' AND short_name = 'https' QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY rank) <= 10)"""
     q["inspect_search"] = rows + f"SELECT {row_out()} FROM c WHERE {search('h2.example')}"
     q["inspect_tcp"] = with_(*flows(), SES) + f"""SELECT {TCP_ROW_OUT} FROM tcp WHERE (contains(ea || ':' || CAST(eap AS STRING), '1.1.1.1:85') OR
       contains(eb || ':' || CAST(ebp AS STRING), '1.1.1.1:85')) AND (contains(CAST(eap AS STRING), '491') OR contains(CAST(ebp AS STRING), '491')) AND state = 'ESTABLISHED'"""
@@ -442,15 +464,15 @@ def oracles() -> dict[str, str]:
     q["pivot_host"] = rows + f"SELECT {row_out()} FROM c WHERE {search('1.1.1.1')}"
     q["pivot_sni"] = rows + f"SELECT {row_out()} FROM c WHERE contains(coalesce(sni, ''), 'h3.example.com')"
     q["country_filter"] = rows + f"SELECT {row_out()} FROM c WHERE a LIKE '210.%' OR b LIKE '210.%'"
-    q["focus_order"] = rows + f"""SELECT row_number() OVER (ORDER BY CASE WHEN contains(a, '210.140') OR contains(b, '210.140') THEN 0 ELSE 1 END, rank) AS focus_rank,
-      rank, a AS source_address, b AS destination_address, bytes FROM (SELECT *, row_number() OVER (ORDER BY {FLOW_ORDER}) AS rank FROM c) WHERE rank <= 100"""
-    q["service_share"] = with_(d_cte(), S_CTE) + f"""SELECT rank, service, proto, bytes, bytes / sum(bytes) OVER () AS share FROM (
-      SELECT *, row_number() OVER (ORDER BY bytes DESC, packets DESC, service, {PROTO_RANK}) AS rank FROM s) WHERE rank <= 10"""
+    q["focus_order"] = rows + f"""SELECT row_number() OVER (PARTITION BY capture_id ORDER BY CASE WHEN contains(a, '210.140') OR contains(b, '210.140') THEN 0 ELSE 1 END, rank) AS focus_rank,
+      rank, a AS source_address, b AS destination_address, bytes FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY {FLOW_ORDER}) AS rank FROM c) WHERE rank <= 100"""
+    q["service_share"] = with_(d_cte(), S_CTE) + f"""SELECT rank, service, proto, bytes, bytes / sum(bytes) OVER (PARTITION BY capture_id) AS share FROM (
+      SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY bytes DESC, packets DESC, service, {PROTO_RANK}) AS rank FROM s) WHERE rank <= 10"""
     # enrichment
     q["country_lookup"] = with_(d_cte(), G_CTE) + "SELECT ip, code AS country_code, name AS country_name, kind AS country_kind, label AS country_label FROM g"
     q["asn_lookup"] = with_(d_cte(), G_CTE) + "SELECT ip, CAST(asn AS BIGINT) AS asn_number, org AS asn_organization, asn_label FROM g"
     q["top_remote_hosts"] = with_(LOCALS, d_cte(), H_CTE, G_CTE) + ranked(
-        "(SELECT h.*, g.label FROM h JOIN g ON h.host = g.ip WHERE g.kind NOT IN ('local', 'loopback') AND h.host NOT IN (SELECT ip FROM own))",
+        "(SELECT h.*, g.label FROM h JOIN g ON h.host = g.ip WHERE g.kind NOT IN ('local', 'loopback') AND (h.capture_id, h.host) NOT IN (SELECT (capture_id, ip) FROM own))",
         "bytes DESC, packets DESC, hk", 10, "capture_id, host, packets, bytes, label AS country_label")
     order = f"row_number() OVER (PARTITION BY capture_id ORDER BY {FLOW_ORDER})"
     q["top_regions"] = with_(*flows(), G_CTE) + f"""
@@ -463,15 +485,15 @@ def oracles() -> dict[str, str]:
         CAST(coalesce(asn, 0) AS BIGINT) AS asn_number, coalesce(org, '') AS asn_organization, coalesce(asn_label, '') AS asn_label,
         row_number() OVER (PARTITION BY capture_id ORDER BY bytes DESC, code) AS rank FROM reg"""
     q["remote_asn"] = with_(*flows(True), G_CTE) + """SELECT z.capture_id, z.a AS a_ip, CAST(z.ap AS BIGINT) AS a_port, z.b AS b_ip, CAST(z.bp AS BIGINT) AS b_port,
-      z.proto, z.r AS remote_ip, g.asn_label FROM (SELECT *, CASE WHEN b IN (SELECT ip FROM own) AND a NOT IN (SELECT ip FROM own) THEN a ELSE b END AS r FROM f) z
+      z.proto, z.r AS remote_ip, g.asn_label FROM (SELECT *, CASE WHEN (capture_id, b) IN (SELECT (capture_id, ip) FROM own) AND (capture_id, a) NOT IN (SELECT (capture_id, ip) FROM own) THEN a ELSE b END AS r FROM f) z
       JOIN g ON z.r = g.ip"""
     q["ptr_enrichment"] = with_(d_cte(), H_CTE, PTR) + ptr_query("SELECT capture_id, host AS ip, last_us AS as_of_us FROM h", "q.capture_id,")
     q["ptr_enrichment_flows"] = with_(*flows(), PTR) + ptr_query("SELECT DISTINCT capture_id, b AS ip, last_us AS as_of_us FROM f", "q.capture_id,")
     q["process_attribution"] = with_(*flows(), SOCK, process_cte("f")) + """SELECT capture_id, a AS a_ip, b AS b_ip, CAST(ap AS BIGINT) AS a_port,
       CAST(bp AS BIGINT) AS b_port, proto, process_name, process_pid, process_name AS process_bundle,
       CASE WHEN process_name = '' THEN '—' WHEN process_pid = 0 THEN process_name ELSE process_name || ' · ' || CAST(process_pid AS STRING) END AS process_label FROM pr"""
-    top = f"rf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY {FLOW_ORDER}) AS rank FROM f) WHERE rank <= 1000)"
-    q["process_bytes"] = with_(*flows(), top, SOCK, process_cte("rf")) + "SELECT capture_id, rank, process_name, bytes FROM pr WHERE process_name <> ''"
+    q["process_bytes"] = with_(*flows(), SOCK, process_cte("f")) + """SELECT capture_id, a AS a_ip, b AS b_ip, CAST(ap AS BIGINT) AS a_port,
+      CAST(bp AS BIGINT) AS b_port, proto, process_name, packets, bytes FROM pr WHERE process_name <> ''"""
     q["display_names"] = with_(d_cte(), H_CTE, G_CTE) + """SELECT capture_id, host, coalesce(sni, host) || CASE kind WHEN 'country' THEN ' · ' || code
       WHEN 'local' THEN ' · LOCAL' ELSE '' END AS display_name, CASE kind WHEN 'country' THEN code WHEN 'local' THEN 'LOCAL' ELSE '' END AS owner_code
       FROM h JOIN g ON h.host = g.ip"""
@@ -479,92 +501,109 @@ def oracles() -> dict[str, str]:
     q["signals_threshold"] = with_(TOT) + s_threshold()
     q["signals_watch_hosts"] = with_(d_cte(), H_CTE, TOT) + s_hosts("h")
     q["signals_watch_services"] = with_(d_cte(), S_CTE, TOT) + s_services("s")
-    now = str(NOW)
-    name = "process_name"
-    procs = " UNION ALL ".join([
-        finding("WatchedEntityTransmitted", "info", name, "Watched process (offline finding)",
-                f"'Process `' || {name} || '` transmitted ' || CAST(bytes AS STRING) || ' bytes.'", now, now, "CAST(0.8 AS DOUBLE)",
-                f"'WatchedEntityTransmitted|process|' || {name}", f"'watch-proc-' || {name}", "'process'", name, now) + " FROM pr WHERE process_name = 'firefox'",
-        finding("KnownBadHostTransmitted", "error", name, "Known-bad process (offline finding)",
-                f"'Process `' || {name} || '` matched a known-bad entry (' || CAST(bytes AS STRING) || ' bytes).'", now, now, "CAST(0.85 AS DOUBLE)",
-                f"'KnownBadHostTransmitted|process|' || {name}", f"'bad-proc-' || {name}", "'process'", name, now) + " FROM pr WHERE process_name = 'sshd'",
-        finding("UnauthorizedP2pOrProxy", "warning", name, "Unauthorized P2P or proxy process",
-                f"'Process `' || {name} || '` matched built-in P2P/proxy heuristics (' || CAST(bytes AS STRING) || ' bytes).'", now, now, "CAST(0.85 AS DOUBLE)",
-                f"'UnauthorizedP2pOrProxy|process|' || {name}", f"'p2p-proc-' || {name}", "'process'", name, now)
-        + " FROM pr WHERE process_name IN ('Clash for Windows', 'Transmission')",
-    ])
-    q["signals_watch_processes"] = with_(*flows(), top, SOCK, process_cte("rf")) + procs
+    q["signals_watch_processes"] = with_(*flows(), TOT, SOCK, process_cte("f")) + s_processes("pr")
     q["signals_exfil"] = with_(*flows(), TOT) + s_exfil("f")
     q["signals_idle_tcp"] = with_(*flows(), SES, TOT) + s_idle("tcp")
     q["signals_p2p"] = with_(*flows(), TOT) + s_p2p("f")
     q["findings_merged"] = with_(*all_hits(None)) + f"SELECT {FINDING_OUT}, update_count FROM lg"
-    q["findings_batch"] = with_(*all_hits(50)) + f"SELECT * FROM (SELECT row_number() OVER (ORDER BY fo DESC) AS position, {FINDING_OUT}, update_count FROM lg) WHERE position <= 30"
+    q["findings_batch"] = with_(*all_hits(50)) + f"SELECT * FROM (SELECT row_number() OVER (PARTITION BY capture_id ORDER BY fo DESC) AS position, {FINDING_OUT}, update_count FROM lg) WHERE position <= 30"
     match = f"""CASE lg.pivot_kind WHEN 'sni' THEN contains(coalesce(c.sni, ''), lg.pivot_value) WHEN 'service' THEN contains(c.service_name, lg.pivot_value)
+      WHEN 'process' THEN contains(c.process_name, lg.pivot_value)
       ELSE (contains(c.a, lg.pivot_value) OR contains(c.b, lg.pivot_value) OR contains(c.service_name, lg.pivot_value) OR contains(c.proto, lg.pivot_value)
             OR contains(coalesce(c.sni, ''), lg.pivot_value)) END"""
-    q["finding_evidence"] = with_(*all_hits(50), C_CTE) + f"""SELECT dedupe_key, {row_out().replace('capture_id', 'z.capture_id')} FROM (
-      SELECT lg.dedupe_key, c.* FROM (SELECT * FROM lg ORDER BY fo DESC LIMIT 30) lg JOIN c ON lg.pivot_value <> '' AND {match}) z"""
+    q["finding_evidence"] = with_(*all_hits(None), C_CTE) + f"""
+      , cp AS (SELECT c.*, pr.process_name FROM c JOIN pr ON c.capture_id = pr.capture_id AND c.a = pr.a AND c.b = pr.b AND c.proto = pr.proto
+               AND c.ap IS NOT DISTINCT FROM pr.ap AND c.bp IS NOT DISTINCT FROM pr.bp)
+      SELECT pivot_kind, pivot_value, process_name, {row_out()} FROM (
+        SELECT lg.pivot_kind, lg.pivot_value, c.* FROM (SELECT DISTINCT capture_id, pivot_kind, pivot_value FROM lg) lg JOIN cp c
+        ON lg.capture_id = c.capture_id AND lg.pivot_value <> '' AND {match}) z"""
     q["nearest_timeline_point"] = with_(*all_hits(None), T_CTE, COMPRESSED) + """SELECT m.capture_id, m.dedupe_key, m.second,
       arg_min(tl.second, abs(tl.second - m.second) * 1000 + point) AS point_second
       FROM (SELECT capture_id, dedupe_key, last_us // 1000000 AS second FROM lg) m JOIN tl ON m.capture_id = tl.capture_id GROUP BY ALL"""
     # export
-    q["cef_flow_lines"] = with_(*flows()) + f"""SELECT rank, '<134>1 2025-01-01T00:00:00.123Z spark tracequilt - - CEF:0|tracequilt|tracequilt|0.1.0|flow:update|Network flow update|0|rt=1735689600123 cat=traffic src='
-      || a || ' dst=' || b || CASE WHEN ap > 0 THEN ' spt=' || CAST(ap AS STRING) ELSE '' END || CASE WHEN bp > 0 THEN ' dpt=' || CAST(bp AS STRING) ELSE '' END
-      || ' proto=' || proto || ' in=' || CAST(bytes_in AS STRING) || ' out=' || CAST(bytes_out AS STRING) || ' cn1=' || CAST(packets AS STRING) || ' cn1Label=Packets act=update'
-      || CASE WHEN sni IS NOT NULL THEN ' request=' || sni || ' destinationDnsDomain=' || sni ELSE '' END || ' cs2=session cs2Label=Direction msg=flow active ' || a || ':' || CAST(coalesce(ap, 0) AS STRING)
-      || ' -> ' || b || ':' || CAST(coalesce(bp, 0) AS STRING) || ' out\\=' || CAST(bytes_out AS STRING) || ' in\\=' || CAST(bytes_in AS STRING) || ' pkts\\=' || CAST(packets AS STRING) AS value
-      FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY {FLOW_ORDER}) AS rank FROM f) WHERE rank <= 50"""
     sev = "CASE severity WHEN 'info' THEN {} WHEN 'warning' THEN {} WHEN 'error' THEN {} END"
     q["cef_signal_lines"] = with_(*all_hits(None)) + f"""SELECT dedupe_key, '<' || CAST(128 + {sev.format(6, 4, 3)} AS STRING) || '>1 2025-01-01T00:00:00.123Z spark tracequilt - - CEF:0|tracequilt|tracequilt|0.1.0|'
       || kind || '|' || summary || '|' || CAST({sev.format(3, 6, 8)} AS STRING) || '|rt=1735689600123 cat=signal externalId=' || id || ' msg=' || replace(summary || ' — ' || detail, '=', '\\=')
       || ' cs1=' || subject || ' cs1Label=Subject cs2=offline cs2Label=Mode cs3=finding cs3Label=Status cs4=' || kind || ' cs4Label=SignalKind'
       || CASE WHEN pivot_kind = 'none' THEN '' ELSE ' cs5=' || pivot_kind || ' cs5Label=PivotKind cs6=' || pivot_value || ' cs6Label=PivotValue '
-           || CASE pivot_kind WHEN 'host' THEN 'dst=' WHEN 'sni' THEN 'request=' ELSE 'app=' END || pivot_value END
+           || CASE pivot_kind WHEN 'host' THEN 'dst=' || pivot_value WHEN 'sni' THEN 'request=' || pivot_value
+             WHEN 'process' THEN 'sproc=' || pivot_value || ' sourceProcessName=' || pivot_value ELSE 'app=' || pivot_value END END
       || ' cfp1=' || printf('%.2f', confidence) || ' cfp1Label=Confidence outcome=finding' AS value FROM (SELECT DISTINCT ON (capture_id, id) * FROM lg ORDER BY fo DESC)"""
-    q["report_rows"] = with_(d_cte(), S_CTE, TOT) + f"""SELECT tot.capture_id, '{{"capture_id":"' || tot.capture_id || '","packets":' || CAST(tot.packets AS STRING) || ',"bytes":' || CAST(tot.bytes AS STRING)
-      || ',"top_services":[' || n.body || ']}}' AS document FROM tot JOIN (
-        SELECT capture_id, string_agg('{{"rank":' || CAST(rank AS STRING) || ',"service":"' || service || '","bytes":' || CAST(bytes AS STRING) || '}}', ',' ORDER BY rank) AS body FROM (
-          SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY bytes DESC, packets DESC, service, {PROTO_RANK}) AS rank FROM s) WHERE rank <= 3 GROUP BY capture_id) n
-      ON tot.capture_id = n.capture_id"""
+    def nested(name: str, row: str, source: str, order: str) -> str:
+        """Top three rows of ``source`` per capture as JSON text."""
+        return f"""{name} AS (SELECT capture_id, string_agg('{{"rank":' || CAST(rank AS STRING) || {row} || '}}', ',' ORDER BY rank) AS body FROM (
+          SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY {order}) AS rank FROM {source}) WHERE rank <= 3 GROUP BY capture_id)"""
+
+    def member(key: str, value: str, text: bool = True) -> str:
+        return f"""',"{key}":' || """ + (f"""'"' || {value} || '"'""" if text else f"CAST({value} AS STRING)")
+
+    placed = [member("country_label", "g.label"), member("asn_label", "g.asn_label")]
+    host_row = " || ".join([member("host", "host"), member("bytes", "bytes", False), *placed]).replace("g.", "")
+    flow_row = " || ".join([member("a_ip", "a"), member("b_ip", "b"), member("bytes", "bytes", False), *placed]).replace("g.", "")
+    lists = [
+        nested("nh", host_row, "(SELECT h.*, g.label, g.asn_label FROM h JOIN g ON h.host = g.ip)", "bytes DESC, packets DESC, hk"),
+        nested("nf", flow_row, "(SELECT f.*, g.label, g.asn_label FROM f JOIN g ON f.b = g.ip)", FLOW_ORDER),
+        nested("ns", member("service", "service") + " || " + member("bytes", "bytes", False), "s", f"bytes DESC, packets DESC, service, {PROTO_RANK}"),
+        nested("nl", member("dedupe_key", "dedupe_key") + " || " + member("severity", "severity"), "lg", "fo DESC"),
+    ]
+    q["report_rows"] = with_(*all_hits(3), T_CTE, G_CTE, *lists) + """SELECT tot.capture_id, '{"capture_id":"' || tot.capture_id || '","packets":' || CAST(tot.packets AS STRING)
+      || ',"bytes":' || CAST(tot.bytes AS STRING) || ',"ticks":' || CAST(n.ticks AS STRING) || ',"gaps":' || CAST(n.gaps AS STRING) || ',"silent_seconds":' || CAST(n.silent AS STRING)
+      || ',"top_hosts":[' || nh.body || '],"top_connections":[' || nf.body || '],"top_services":[' || ns.body || '],"findings":[' || nl.body || ']}' AS document
+      FROM tot JOIN (SELECT capture_id, count(*) AS ticks, count(*) FILTER (WHERE gap > 0) AS gaps, CAST(sum(gap) AS BIGINT) AS silent FROM t GROUP BY capture_id) n
+        ON tot.capture_id = n.capture_id JOIN nh ON nh.capture_id = tot.capture_id JOIN nf ON nf.capture_id = tot.capture_id
+        JOIN ns ON ns.capture_id = tot.capture_id JOIN nl ON nl.capture_id = tot.capture_id"""
     q["severity_map"] = with_(*all_hits(None)) + f"SELECT DISTINCT severity, CAST({sev.format(3, 6, 8)} AS BIGINT) AS cef_severity, CAST(128 + {sev.format(6, 4, 3)} AS BIGINT) AS priority FROM hits"
     q["escaped_texts"] = """SELECT page_id, md5(replace(replace(replace(replace(html, '\\', '\\\\'), '=', '\\='), chr(10), '\\n'), chr(13), '')) AS value_md5,
       md5(replace(replace(replace(replace(url, '\\', '\\\\'), '|', '\\|'), chr(10), ' '), chr(13), ' ')) AS header_md5 FROM pages"""
     # recurrences, written as recursive SQL
-    q["live_cooldown"] = with_(*TICK_D) + f"""
-      , hx AS (SELECT tick, host, bool_or(coalesce(hsni, '') <> '') AS x, coalesce(arg_min(hsni, seq) FILTER (WHERE hsni IS NOT NULL), '') AS sni FROM (
-           SELECT tick, seq, src AS host, NULL AS hsni FROM dt UNION ALL SELECT tick, seq, dst, CASE WHEN src <> dst THEN sni END FROM dt) GROUP BY tick, host),
-      fl AS (SELECT tick, a, b, ap, bp, proto FROM dt GROUP BY ALL),
-      occ AS (SELECT 'WatchedEntityTransmitted|host|' || host AS k, 'entity' AS c, 20 AS w, tick FROM hx
+    q["live_cooldown"] = with_(*TICK_D).replace("WITH ", "WITH RECURSIVE ", 1) + """
+      , hx AS (SELECT capture_id, tick, host, coalesce(arg_min(hsni, seq) FILTER (WHERE hsni IS NOT NULL), '') AS sni FROM (
+           SELECT capture_id, tick, seq, src AS host, NULL AS hsni FROM dt UNION ALL
+           SELECT capture_id, tick, seq, dst, CASE WHEN src <> dst THEN sni END FROM dt) GROUP BY capture_id, tick, host),
+      fl AS (SELECT capture_id, tick, a, b, ap, bp, proto FROM dt GROUP BY ALL),
+      occ AS (SELECT capture_id, 'WatchedEntityTransmitted|host|' || host AS k, 'entity' AS c, 20 AS w, tick FROM hx
                 WHERE contains(host, '8.8.8') OR contains(lower(sni), 'h1.example')
-              UNION SELECT 'KnownBadHostTransmitted|host|' || host, 'entity', 20, tick FROM hx WHERE contains(host, '210.140.92.187')
-              UNION SELECT 'UnauthorizedP2pOrProxy|port|' || CAST(coalesce(bp, 0) AS STRING) || '|' || b, 'dpi', 60, tick FROM fl
+              UNION SELECT capture_id, 'KnownBadHostTransmitted|host|' || host, 'entity', 20, tick FROM hx WHERE contains(host, '210.140.92.187')
+              UNION SELECT capture_id, 'UnauthorizedP2pOrProxy|port|' || CAST(coalesce(bp, 0) AS STRING) || '|' || b, 'dpi', 60, tick FROM fl
                 WHERE (bp BETWEEN 6881 AND 6889 OR ap BETWEEN 6881 AND 6889 OR bp = 9050 OR ap = 9050)
                   AND coalesce(bp, 0) NOT BETWEEN 9050 AND 9050 AND coalesce(ap, 0) <> 9050),
-      num AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY tick) AS n FROM occ),
-      step AS (SELECT k, c, w, tick, n, TRUE AS emitted, tick AS last_tick FROM num WHERE n = 1
-               UNION ALL SELECT num.k, num.c, num.w, num.tick, num.n, num.tick - s.last_tick >= num.w,
-                 CASE WHEN num.tick - s.last_tick >= num.w THEN num.tick ELSE s.last_tick END FROM step s JOIN num ON num.k = s.k AND num.n = s.n + 1)
-      SELECT 'file:events' AS capture_id, k AS dedupe_key, c AS cooldown, tick * 1000000 AS as_of_us, emitted FROM step""".replace("{", "{")
-    q["live_cooldown"] = q["live_cooldown"].replace("WITH ", "WITH RECURSIVE ", 1)
-    gate = """
-      , tf AS (SELECT tick, a, b, ap, bp, proto, count(*) AS packets, sum(len) AS bytes, coalesce(sum(len) FILTER (WHERE dir = 'inbound'), 0) AS bytes_in,
-                 coalesce(sum(len) FILTER (WHERE dir = 'outbound'), 0) AS bytes_out FROM {source} GROUP BY ALL),
-      ru AS (SELECT tick, a, b, ap, bp, proto, sum(packets) OVER w AS packets, sum(bytes) OVER w AS bytes, sum(bytes_in) OVER w AS bytes_in,
-               sum(bytes_out) OVER w AS bytes_out FROM tf WINDOW w AS (PARTITION BY a, b, ap, bp, proto ORDER BY tick ROWS UNBOUNDED PRECEDING)),
-      nm AS (SELECT *, a || '|' || b || '|' || coalesce(ap, -1) || '|' || coalesce(bp, -1) || '|' || proto AS k,
-               row_number() OVER (PARTITION BY a, b, ap, bp, proto ORDER BY tick) AS n FROM ru WHERE bytes >= 2000),
+      num AS (SELECT *, row_number() OVER (PARTITION BY capture_id, k ORDER BY tick) AS n FROM occ),
+      step AS (SELECT capture_id, k, c, w, tick, n, TRUE AS emitted, tick AS last_tick FROM num WHERE n = 1
+               UNION ALL SELECT num.capture_id, num.k, num.c, num.w, num.tick, num.n, num.tick - s.last_tick >= num.w,
+                 CASE WHEN num.tick - s.last_tick >= num.w THEN num.tick ELSE s.last_tick END
+               FROM step s JOIN num ON num.capture_id = s.capture_id AND num.k = s.k AND num.n = s.n + 1)
+      SELECT capture_id, k AS dedupe_key, c AS cooldown, tick * 1000000 AS as_of_us, emitted FROM step"""
+    gate = with_(*TICK_D).replace("WITH ", "WITH RECURSIVE ", 1) + """
+      , tf AS (SELECT capture_id, tick, a, b, ap, bp, proto, count(*) AS packets, sum(len) AS bytes, coalesce(sum(len) FILTER (WHERE dir = 'inbound'), 0) AS bytes_in,
+                 coalesce(sum(len) FILTER (WHERE dir = 'outbound'), 0) AS bytes_out, arg_min(sni, seq) FILTER (WHERE sni IS NOT NULL) AS sni FROM dt GROUP BY ALL),
+      ru AS (SELECT capture_id, tick, a, b, ap, bp, proto, sum(packets) OVER w AS packets, sum(bytes) OVER w AS bytes, sum(bytes_in) OVER w AS bytes_in,
+               sum(bytes_out) OVER w AS bytes_out, first_value(sni IGNORE NULLS) OVER w AS sni
+             FROM tf WINDOW w AS (PARTITION BY capture_id, a, b, ap, bp, proto ORDER BY tick ROWS UNBOUNDED PRECEDING)),
+      nm AS (SELECT *, capture_id || '|' || a || '|' || b || '|' || coalesce(ap, -1) || '|' || coalesce(bp, -1) || '|' || proto AS k,
+               row_number() OVER (PARTITION BY capture_id, a, b, ap, bp, proto ORDER BY tick) AS n FROM ru WHERE bytes >= 2000),
       st AS (SELECT k, n, TRUE AS sent, bytes AS lb, tick AS lt FROM nm WHERE n = 1
              UNION ALL SELECT nm.k, nm.n, nm.bytes - st.lb >= 4000 OR nm.tick - st.lt >= 86400,
                CASE WHEN nm.bytes - st.lb >= 4000 OR nm.tick - st.lt >= 86400 THEN nm.bytes ELSE st.lb END,
-               CASE WHEN nm.bytes - st.lb >= 4000 OR nm.tick - st.lt >= 86400 THEN nm.tick ELSE st.lt END FROM st JOIN nm ON nm.k = st.k AND nm.n = st.n + 1)"""
-    q["export_gate"] = (with_(*TICK_D) + gate.replace("{source}", "dt")).replace("WITH ", "WITH RECURSIVE ", 1) + """
-      SELECT 'file:events' AS capture_id, a AS a_ip, b AS b_ip, CAST(ap AS BIGINT) AS a_port, CAST(bp AS BIGINT) AS b_port, proto, tick, CAST(packets AS BIGINT) AS packets,
-        CAST(bytes AS BIGINT) AS bytes, CAST(bytes_in AS BIGINT) AS bytes_in, CAST(bytes_out AS BIGINT) AS bytes_out, 'active' AS event
-      FROM nm JOIN st ON nm.k = st.k AND nm.n = st.n WHERE sent"""
-    q["closed_flows"] = with_(*TICK_D) + """, ear AS (SELECT a, b, ap, bp, proto, sum(len) AS bytes FROM dt WHERE tick < 1705363200 GROUP BY ALL),
-      lat AS (SELECT DISTINCT a, b, coalesce(ap, -1) AS ap, coalesce(bp, -1) AS bp, proto FROM dt WHERE tick >= 1705363200)
-      SELECT 'file:events' AS capture_id, a AS a_ip, b AS b_ip, CAST(ap AS BIGINT) AS a_port, CAST(bp AS BIGINT) AS b_port, proto, 'closed' AS event FROM ear
-      WHERE bytes >= 2000 AND (a, b, coalesce(ap, -1), coalesce(bp, -1), proto) NOT IN (SELECT (a, b, ap, bp, proto) FROM lat)"""
+               CASE WHEN nm.bytes - st.lb >= 4000 OR nm.tick - st.lt >= 86400 THEN nm.tick ELSE st.lt END FROM st JOIN nm ON nm.k = st.k AND nm.n = st.n + 1),
+      ex AS (SELECT capture_id, a, b, ap, bp, proto, tick, CAST(packets AS BIGINT) AS packets, CAST(bytes AS BIGINT) AS bytes,
+               CAST(bytes_in AS BIGINT) AS bytes_in, CAST(bytes_out AS BIGINT) AS bytes_out, sni FROM nm JOIN st ON nm.k = st.k AND nm.n = st.n WHERE sent),
+      cl AS (SELECT f.capture_id, f.a, f.b, f.ap, f.bp, f.proto, f.last + 86400 AS tick FROM (
+               SELECT capture_id, a, b, ap, bp, proto, sum(len) AS bytes, max(tick) AS last FROM dt GROUP BY ALL) f
+             JOIN (SELECT capture_id, max(tick) AS stop FROM px GROUP BY capture_id) e ON f.capture_id = e.capture_id
+             WHERE f.bytes >= 2000 AND f.last + 86400 <= e.stop)"""
+    gate_out = "capture_id, a AS a_ip, b AS b_ip, CAST(ap AS BIGINT) AS a_port, CAST(bp AS BIGINT) AS b_port, proto, tick"
+    q["export_gate"] = gate + f"SELECT {gate_out}, packets, bytes, bytes_in, bytes_out, sni, 'active' AS event FROM ex"
+    q["closed_flows"] = gate + f"SELECT {gate_out}, 'closed' AS event FROM cl"
+    q["cef_flow_lines"] = gate + """
+      , ev AS (SELECT capture_id, tick, 'active' AS event, 'update' AS act, a, b, ap, bp, proto, packets, bytes_in, bytes_out, sni FROM ex
+               UNION ALL SELECT capture_id, tick, 'closed', 'end', a, b, ap, bp, proto, 0, 0, 0, NULL FROM cl)
+      SELECT capture_id, tick, '<134>1 ' || strftime(make_timestamp(tick * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') || ' spark tracequilt - - CEF:0|tracequilt|tracequilt|0.1.0|flow:' || act
+      || '|Network flow ' || act || '|0|rt=' || CAST(tick * 1000 AS STRING) || ' cat=traffic src=' || a || ' dst=' || b
+      || CASE WHEN ap > 0 THEN ' spt=' || CAST(ap AS STRING) ELSE '' END || CASE WHEN bp > 0 THEN ' dpt=' || CAST(bp AS STRING) ELSE '' END
+      || ' proto=' || proto || ' in=' || CAST(bytes_in AS STRING) || ' out=' || CAST(bytes_out AS STRING) || ' cn1=' || CAST(packets AS STRING) || ' cn1Label=Packets act=' || act
+      || CASE WHEN sni IS NOT NULL THEN ' request=' || sni || ' destinationDnsDomain=' || sni ELSE '' END || ' cs2=session cs2Label=Direction msg=flow ' || event || ' ' || a || ':' || CAST(coalesce(ap, 0) AS STRING)
+      || ' -> ' || b || ':' || CAST(coalesce(bp, 0) AS STRING) || ' out\\=' || CAST(bytes_out AS STRING) || ' in\\=' || CAST(bytes_in AS STRING) || ' pkts\\=' || CAST(packets AS STRING) AS value
+      FROM ev"""
     # decode: a ClientHello replaces the payload of packets that carry a name
     pay = "CASE WHEN NOT decoded THEN 0 WHEN sni IS NOT NULL THEN 61 + length(sni) ELSE pay END"
     pay = f"CAST({pay} AS BIGINT)"
@@ -580,11 +619,11 @@ def oracles() -> dict[str, str]:
     q["decoded_top_connections"] = q["top_connections"]
     q["pcap_round_trip"] = with_() + f"""SELECT {seen.format('proto')} AS proto, decoded, CAST(count(*) AS BIGINT) AS packets, CAST(sum(len) AS BIGINT) AS bytes, min(us) AS first_us,
       max(us) AS last_us, CAST(sum({pay}) AS BIGINT) AS payload_bytes, CAST(count({seen.format('sni')}) AS BIGINT) AS hellos FROM p GROUP BY 1, 2"""
-    # streams: the watermark leaves the last second open
+    # streams: every packet in its own second, late ones and the last second included
     q["stream_running_totals"] = with_() + """SELECT capture_id, CAST(count(*) AS BIGINT) AS packets, CAST(sum(len) AS BIGINT) AS bytes, max(us) AS last_packet_us
       FROM p GROUP BY capture_id"""
     q["stream_running_services"] = with_(d_cte()) + "SELECT capture_id, service, proto, CAST(count(*) AS BIGINT) AS packets, CAST(sum(len) AS BIGINT) AS bytes FROM d GROUP BY ALL"
     q["stream_ticks"] = with_(d_cte()) + """SELECT p.capture_id, CAST(count(DISTINCT p.sec) AS BIGINT) AS ticks, CAST(count(*) AS BIGINT) AS packets, CAST(sum(p.len) AS BIGINT) AS bytes,
       CAST(coalesce(sum(p.len) FILTER (WHERE dir = 'inbound'), 0) AS BIGINT) AS bytes_in, CAST(coalesce(sum(p.len) FILTER (WHERE dir = 'outbound'), 0) AS BIGINT) AS bytes_out
-      FROM p LEFT JOIN d ON p.seq = d.seq WHERE (p.sec + 1) * 1000000 <= (SELECT max(us) FROM p) - 1000000 GROUP BY p.capture_id"""
+      FROM p LEFT JOIN d ON p.seq = d.seq GROUP BY p.capture_id"""
     return q

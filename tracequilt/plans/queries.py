@@ -441,7 +441,8 @@ def process_attribution(spark, sf):
 
 @query
 def process_bytes(spark, sf):
-    return enrich.process_bytes(_attributed(spark, sf, _ranked(spark, sf, 1000)))
+    return _named(enrich.process_bytes(_attributed(spark, sf)).select(
+        "capture_id", "a_bin", "b_bin", "a_port", "b_port", "proto", "process_name", "packets", "bytes"))
 
 
 @query
@@ -491,8 +492,9 @@ def signals_watch_services(spark, sf):
 
 @query
 def signals_watch_processes(spark, sf):
-    named = enrich.process_bytes(_attributed(spark, sf, _ranked(spark, sf, 1000)))
-    return _both(fnd.watched_processes(named.selectExpr("*", f"{NOW_US} AS as_of_us"), POLICY, SESSION))
+    named = enrich.process_bytes(_attributed(spark, sf)).drop("as_of_us")
+    clock_rows = _timed(spark, sf, "totals").select("capture_id", "as_of_us")
+    return _both(fnd.watched_processes(named.join(clock_rows, "capture_id"), POLICY, SESSION))
 
 
 @query
@@ -510,9 +512,11 @@ def signals_p2p(spark, sf):
     return fnd.p2p_connections(_timed(spark, sf, "flows"), POLICY, SESSION).select(*FINDING_COLUMNS)
 
 
-def _session_hits(spark, sf, pool: int | None = None) -> DataFrame:
-    tables = agg.capture_tables(_packets(spark, sf), store=True)
-    return fnd.occurrences(tables["totals"], tables, POLICY, SESSION, pool=pool)
+def _session_hits(spark, sf, pool: int | None = None, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Hits of all detectors; without a pool those on processes too, which a finished capture's report lacks."""
+    tables = tables or agg.capture_tables(_packets(spark, sf), store=True)
+    processes = None if pool else enrich.process_bytes(_attributed(spark, sf, tables["flows"])).drop("as_of_us")
+    return fnd.occurrences(tables["totals"], tables, POLICY, SESSION, processes=processes, pool=pool)
 
 
 @query
@@ -524,17 +528,19 @@ def findings_merged(spark, sf):
 
 @query
 def findings_batch(spark, sf):
-    """Detectors over the top 50 of each ranking, the newest 30 findings."""
+    """The report of finished captures: detectors over the top 50 of each ranking, the newest 30 findings."""
     log = fnd.merge(_session_hits(spark, sf, pool=50), SESSION)
     return log.select("position", *FINDING_COLUMNS, "update_count")
 
 
 @query
 def finding_evidence(spark, sf):
+    """Connections behind every pivot that a finding of the whole log has."""
     tables = agg.capture_tables(_packets(spark, sf), store=True)
-    log = fnd.merge(fnd.occurrences(tables["totals"], tables, POLICY, SESSION, pool=50), SESSION)
-    hits = ins.evidence(materialize(log, "findings"), ins.connection_rows(tables["flows"]))
-    return hits.select("dedupe_key", *ROW_COLUMNS)
+    log = fnd.merge(_session_hits(spark, sf, tables=tables), SESSION, keep=None)
+    pivots = materialize(log.select("capture_id", "pivot_kind", "pivot_value").distinct(), "pivots")
+    hits = ins.evidence(pivots, ins.connection_rows(_attributed(spark, sf, tables["flows"])))
+    return hits.select("pivot_kind", "pivot_value", "process_name", *ROW_COLUMNS)
 
 
 @query
@@ -559,32 +565,36 @@ def live_cooldown(spark, sf):
 
 # ---- export -------------------------------------------------------------------
 
-def _exported(spark, sf) -> DataFrame:
-    tick_flows = agg.flows(_tick_rows(spark, sf), ("tick",))
-    return gates.export_gate(gates.running_flows(tick_flows), 2_000, 4_000, 86_400)
+VISIBLE_SECONDS = 86_400
+
+
+def _exported(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Updates that pass the gate, the running flows they are taken from, and the last tick of each capture."""
+    rows = materialize(rollup(ticks.assign_ticks(_packets(spark, sf)), by=("tick",)), "tick-rollup")
+    running = gates.running_flows(agg.flows(agg.classified(rows), ("tick",)))
+    ends = rows.groupBy("capture_id").agg(F.max("tick").alias("end_tick"))
+    return gates.export_gate(running, 2_000, 4_000, 86_400), running, ends
 
 
 @query
 def export_gate(spark, sf):
-    return _named(_exported(spark, sf))
+    return _named(_exported(spark, sf)[0])
 
 
 @query
 def closed_flows(spark, sf):
-    """Flows exported in the first half of the capture that carry no packet in the second."""
-    packets = _packets(spark, sf)
-    half = F.lit(1_705_363_200)  # 2024-01-16
-    ticked = materialize(ticks.assign_ticks(packets), "ticked")
-    early = agg.flows(agg.classified(rollup(ticked.where(F.col("tick") < half), ("tick",))), ("tick",))
-    late = agg.flows(agg.classified(rollup(ticked.where(F.col("tick") >= half))))
-    exported = gates.export_gate(gates.running_flows(early), 2_000, 4_000, 86_400)
-    return _named(gates.closed_flows(exported, late))
+    """Exported flows that have been silent for a day while their capture went on."""
+    _, running, ends = _exported(spark, sf)
+    return _named(gates.closed_flows(running, ends, VISIBLE_SECONDS, 2_000))
 
 
 @query
 def cef_flow_lines(spark, sf):
-    lines = export.flow_lines(_ranked(spark, sf, 50), "1735689600123000L")
-    return lines.select("rank", "value")
+    """A line for every update that passes the gate and for every closed flow."""
+    exported, running, ends = _exported(spark, sf)
+    closed = gates.closed_flows(running, ends, VISIBLE_SECONDS, 2_000)
+    events = exported.drop("bytes").unionByName(closed, allowMissingColumns=True)
+    return export.flow_lines(events, f"tick * {clock.MICROS}")
 
 
 @query
@@ -595,12 +605,24 @@ def cef_signal_lines(spark, sf):
 
 @query
 def report_rows(spark, sf):
-    """JSON report documents: totals with nested top services, one per capture."""
+    """JSON report documents, one per capture: totals, top lists with country and ASN, findings, and the numbers of ticks and gaps."""
     packets = _packets(spark, sf)
-    ranked = ranking.rank_by_traffic(agg.services(agg.classified(rollup(packets))), "services", 3).select(
-        "rank", "capture_id", "service", "bytes"
+    tables = agg.capture_tables(packets, store=True)
+    second = ticks.tick_table(ticks.assign_ticks(packets))
+    counted = second.groupBy("capture_id").agg(
+        F.count(F.lit(1)).alias("ticks"), F.count_if(F.col("gap_seconds") > 0).alias("gaps"), F.sum("gap_seconds").alias("silent_seconds")
     )
-    return export.report_documents(agg.totals(packets).drop("started_us", "ended_us"), {"top_services": ranked}, 3)
+    totals = tables["totals"].drop("started_us", "ended_us").join(counted, "capture_id")
+    hosts = enrich.add_geo(ranking.rank_by_traffic(tables["hosts"], "hosts", 3), "host_bin", dim.geo_country(spark), dim.geo_asn(spark))
+    flows = enrich.add_geo(ranking.rank_by_traffic(tables["flows"], "flows", 3), "b_bin", dim.geo_country(spark), dim.geo_asn(spark))
+    log = fnd.merge(fnd.occurrences(tables["totals"], tables, POLICY, SESSION, pool=3), SESSION, keep=3)
+    ranked = {
+        "top_hosts": _named(hosts).select("rank", "capture_id", "host", "bytes", "country_label", "asn_label"),
+        "top_connections": _named(flows).select("rank", "capture_id", "a_ip", "b_ip", "bytes", "country_label", "asn_label"),
+        "top_services": ranking.rank_by_traffic(tables["services"], "services", 3).select("rank", "capture_id", "service", "bytes"),
+        "findings": log.select(F.col("position").alias("rank"), "capture_id", "dedupe_key", "severity"),
+    }
+    return export.report_documents(totals, ranked, 3)
 
 
 @query
@@ -700,8 +722,8 @@ def _drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 @query
 def stream_ticks(spark, sf):
-    """Closed one-second ticks of the stream, without the still open end."""
-    closed = _drain(jobs.stream_ticks(_packet_stream(spark, sf), offline=True, delay="1 second"), "ticks")
+    """One-second ticks of the whole stream: late packets and the last second included."""
+    closed = _drain(jobs.stream_ticks(_packet_stream(spark, sf), offline=True, delay=None), "ticks", "complete")
     return closed.groupBy("capture_id").agg(
         F.count(F.lit(1)).alias("ticks"), F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"),
         F.sum("bytes_in").alias("bytes_in"), F.sum("bytes_out").alias("bytes_out"),
