@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus
@@ -78,8 +79,23 @@ def test_every_id_lies_in_one_piece(spark, extra):
         ids = whole(WORDS)(text) + [1]
         want += [(str(doc), i, len(ids[i : i + 256]), zlib.crc32(np.array(ids[i : i + 256], "<u4").tobytes()), len(ids)) for i in range(0, len(ids), 256)]
     assert sorted((str(r["doc_id"]), r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == sorted(want)
-    total = sum(w[2] for w in want)
-    assert len(places) <= total / 256 + 2
+    assert sorted(256 - sum(length for _, length in parts) for parts in places.values()) == one_by_one([w[2] for w in want], 256)
+
+
+def test_shards_are_packed_one_after_another(spark):
+    rows = corpus.awkward(3000)
+    docs = corpus.table(spark, rows, extra=True)
+    got = packing.pack_in_order(packing.pieces(docs, WORDS, 256, shard=F.expr("int(coalesce(doc_id, 0) % 3 + 1)")), 256).collect()
+    whole_cut = packing.pack_documents(docs, WORDS, window=256).collect()
+    row = lambda r: (str(r["doc_id"]), r["start"], r["length"], r["ids_crc32"])
+    assert sorted(map(row, got)) == sorted(map(row, whole_cut))
+    assert all(r["sequence_id"] >> 32 == (r["doc_id"] or 0) % 3 + 1 or (r["doc_id"] or 0) < 0 for r in got)
+    filled = defaultdict(list)
+    for r in got:
+        filled[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in filled.values():
+        parts.sort()
+        assert parts[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(parts, parts[1:])) and sum(p[1] for p in parts) <= 256
 
 
 def test_sequences_hold_the_ids(spark):

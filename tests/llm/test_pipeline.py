@@ -34,6 +34,10 @@ def test_stages_take_effect_one_after_another(spark):
     slots = {r["doc_id"]: (r["slot"], r["at"]) for r in mixing.mix(made[2], mixing.temperature_weights(made[2])).collect()}
     in_order = [slots[r["doc_id"]] for r in made[3].selectExpr("doc_id", "_metadata.file_name AS f", "_metadata.row_index AS i").orderBy("f", "i").collect()]
     assert in_order == sorted(in_order)
+    # Sequences come in the order of the mixture's part files.
+    files = {r["doc_id"]: r["f"] for r in made[3].selectExpr("doc_id", "_metadata.file_name AS f").collect()}
+    packed = [files[r["doc_id"]] for r in made[4].orderBy("sequence_id", "offset").collect()]
+    assert packed == sorted(packed) and len(set(packed)) > 1
     pieces = defaultdict(list)
     for r in made[4].collect():
         pieces[r["doc_id"]].append(r)

@@ -65,7 +65,7 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] = TEXTS + NOTICES) -> Dat
     """doc_id, text_digest, license_id, n_notices, notices of every row.
 
     license_id is that of a known text equal to the whole document; of several,
-    the smallest. n_notices counts the lines that are a known text of one line;
+    the smallest. n_notices counts the lines that are a known text by themselves;
     notices lists their distinct ids, sorted and comma-joined, empty if none. Null
     and empty texts, and those of copyright lines alone, have no digest and match
     nothing. Rows without id and repeated rows are scanned like any other; other
@@ -78,8 +78,9 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] = TEXTS + NOTICES) -> Dat
     spark = docs.sparkSession
     listed = materialize(canonical(spark.createDataFrame(known, "license_id string, known_text string"), "known_text"), "licences")
     table = listed.where("digest IS NOT NULL").groupBy(F.col("digest").alias("known")).agg(F.min("license_id").alias("license_id"))
-    # As many numbers as known texts of one line.
-    lengths = [r[0] for r in listed.where("size(lines) = 1").select(F.expr("length(lines[0])")).distinct().collect()]
+    # The length that each known text has as one line: as many numbers as known texts.
+    one_line = F.expr("length(replace(array_join(lines, ''), '    ', '  '))")
+    lengths = [r[0] for r in listed.where("size(lines) > 0").select(one_line).distinct().collect()]
     fits = f"length(x) IN ({', '.join(map(str, lengths))})" if lengths else "false"
     rows = computed(canonical(keyed_text(docs), "text"), copy="xxhash64(text)", some=f"filter(lines, x -> {fits})")
     rows = materialize(rows.select("doc_id", "copy", "digest", F.expr(f"transform(some, x -> sha2({squeezed('x')}, 256))").alias("some")), "licence-rows")

@@ -148,6 +148,8 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
                     "n_tokens": pa.array(ends - starts), "ids_crc32": pa.array(crc, pa.int64()),
                 })
 
+    if manifest.isEmpty():
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     first = manifest.select(
         "file", (F.sum("n_tokens").over(Window.orderBy("part", "sub")) - F.col("n_tokens")).alias("first")
     )
