@@ -1,5 +1,7 @@
 """Golden capture, capture files, decode and server names."""
 
+import io
+import os
 import struct
 
 import pytest
@@ -174,3 +176,30 @@ def test_server_names(spark):
     framed = frames(spark, [(0, 1, 228, ip4("1.1.1.1", "2.2.2.2", 6, tcp(5, 443, 24, payloads[0])))])
     assert decode.decode(framed, sni_window=8).first().sni is None and decode.decode(framed, sni=False).first().sni is None
     assert decode.decode(framed, sni_window=len(payloads[0])).first().sni == "example.com"
+
+
+def test_rotated_and_late_captures_are_found(spark, tmp_path):
+    for name in ("x.pcap", "x.pcap1", "x.pcap.002", "y.PCAPNG3", "notes.txt", "z.pcapx"):
+        write_pcap(str(tmp_path / name), GOLDEN)
+    assert len(pcap.list_captures(str(tmp_path))) == 4
+    reader = pcap.PcapStreamReader({"path": str(tmp_path)})
+    before = reader.latestOffset()
+    (tmp_path / "a").mkdir()
+    write_pcap(str(tmp_path / "a" / "late.pcap"), GOLDEN)
+    os.utime(tmp_path / "a" / "late.pcap", (1, 1))
+    assert [p.path.endswith("a/late.pcap") for p in reader.partitions(before, reader.latestOffset())] == [True]
+    assert len(reader.partitions(reader.initialOffset(), before)) == 4
+
+
+def test_pcapng_power_of_two_resolution_and_broken_options(tmp_path):
+    def capture(option):
+        section = block(0x0A0D0D0A, b"\x4d\x3c\x2b\x1a" + struct.pack("<HHq", 1, 0, -1))
+        interface = block(1, struct.pack("<HHI", 1, 0, 0) + option)
+        packet = block(6, struct.pack("<IIIII", 0, 3, 1 << 31, 4, 4) + b"abcd")
+        return io.BytesIO(section + interface + packet)
+
+    note = struct.pack("<HH5s3x", 1, 5, b"hello")
+    assert [r[1] for r in cf.pcapng_records(capture(note + struct.pack("<HHB3x", 9, 1, 0x80 | 32)))] == [3_500_000]
+    assert [r[1] for r in cf.pcapng_records(capture(struct.pack("<HHB3x", 9, 1, 9)))] == [((3 << 32) + (1 << 31)) // 1000]
+    with pytest.raises(cf.CaptureFormatError, match="past its block"):
+        list(cf.pcapng_records(capture(struct.pack("<HHB3x", 9, 9, 9))))

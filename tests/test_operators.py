@@ -241,7 +241,7 @@ def test_detectors(spark):
     got = {r.dedupe_key: r for r in table_of(spark, rows, policy).collect()}
     assert sorted(got) == ["DataThresholdExceeded|13000", "LongIdleTcpConnection|10.0.0.1:5000-8.8.8.8:9050", "LongIdleTcpConnection|10.0.0.1:5001-9.9.9.9:443",
                            "UnauthorizedP2pOrProxy|port|443|9.9.9.9", "UnauthorizedP2pOrProxy|port|9050|8.8.8.8", "UnidirectionalLargeTransfer|8.8.8.8|9050"]
-    assert "ratio 2.3x, min 9000, ratio≥2.25)" in got["UnidirectionalLargeTransfer|8.8.8.8|9050"].detail
+    assert "ratio 2.2x, min 9000, ratio≥2.25)" in got["UnidirectionalLargeTransfer|8.8.8.8|9050"].detail
     assert got["UnauthorizedP2pOrProxy|port|443|9.9.9.9"].confidence == 0.6
     assert got["UnauthorizedP2pOrProxy|port|443|9.9.9.9"].pivot_value == "x.torproject.org"
     off = fnd.Policy(data_threshold_bytes=0, exfil_enabled=False, idle_enabled=False, p2p_allow=("port:9050", "sni:x"))
@@ -364,3 +364,11 @@ def test_report_and_line_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "r" / "services")).first().service == "dns"
     export.write_lines(export.flow_lines(tables["flows"], "0L"), str(tmp_path / "lines"))
     assert spark.read.text(str(tmp_path / "lines")).count() == 1
+
+
+def test_ratio_is_printed_like_the_exact_double(spark):
+    rng = random.Random(4)
+    pairs = [(403, 20), (81, 4), (83, 4), (1, 8), (5, 100), (199, 100), (999_999_999_999, 7), (25, 100), (75, 100), (7, 7), (0, 3)]
+    pairs += [(rng.randint(0, 10**9), rng.randint(1, 10**5)) for _ in range(300)] + [(2 * rng.randint(0, 999) + 1, 4) for _ in range(100)]
+    got = spark.createDataFrame(pairs, "n bigint, d bigint").selectExpr("n", "d", f"{fnd.one_decimal('n', 'd')} AS t").collect()
+    assert [(r.n, r.d, r.t) for r in got if r.t != f"{r.n / r.d:.1f}"] == []

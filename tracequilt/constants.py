@@ -69,3 +69,15 @@ SNI_MAX_NAME = 253
 PTR_TTL_SECONDS, PTR_NEGATIVE_TTL_SECONDS = 300, 45
 PROCESS_TTL_SECONDS, PROCESS_NEGATIVE_TTL_SECONDS = 60, 3
 FLOW_EXPORT_MIN_BYTES, FLOW_EXPORT_DELTA_BYTES, FLOW_EXPORT_INTERVAL_SECONDS = 10_000, 1_000_000, 60
+
+# --- fixed values: filter fields of a connection, the fields of a free-text search, and what a pivot's kind filters
+FILTER_FIELDS = {
+    "source": "source_address", "destination": "destination_address", "service": "service_name",
+    "protocol": "protocol", "direction": "direction", "process": "process_name", "sni": "sni",
+}
+SEARCH_FIELDS = ("source_address", "destination_address", "service_name", "protocol", "process_name", "sni")
+PIVOTS = {
+    "host": "search", "peer": "search", "connection": "search", "sni": "sni", "service": "service",
+    "process": "process", "src": "source", "source": "source", "dst": "destination",
+    "destination": "destination", "country": "country", "region": "country",
+}

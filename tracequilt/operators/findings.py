@@ -238,9 +238,19 @@ def allowed(token: str, policy: Policy) -> str:
 
 
 def one_decimal(numerator: str, denominator: str) -> str:
-    """Ratio with one decimal, rounded half up in exact integer arithmetic."""
-    tenths = f"(({numerator} * 20 + {denominator}) div ({denominator} * 2))"
-    return f"concat({tenths} div 10, '.', {tenths} % 10)"
+    """The double quotient with one decimal, as exact formatting prints it: nearest, ties to even.
+
+    A double's fraction times 2^59 is a whole number (of doubles from 2^-7 on), so
+    tenths and what is left of them are exact integers.
+    """
+    ratio = f"(CAST({numerator} AS DOUBLE) / {denominator})"
+    unit = 1 << 59
+    scaled = f"(CAST(({ratio} - floor({ratio})) * {float(unit)!r}D AS BIGINT) * 10L)"
+    tenths = f"(CAST(floor({ratio}) AS BIGINT) * 10 + {scaled} div {unit}L)"
+    left = f"({scaled} % {unit}L)"
+    up = f"CASE WHEN {left} > {unit // 2}L OR ({left} = {unit // 2}L AND {tenths} % 2 = 1) THEN 1L ELSE 0L END"
+    rounded = f"({tenths} + {up})"
+    return f"concat({rounded} div 10, '.', {rounded} % 10)"
 
 
 def _number(value: float) -> str:

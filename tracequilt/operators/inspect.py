@@ -113,11 +113,7 @@ def tcp_rows(sessions: DataFrame) -> DataFrame:
 
 # ---- filters ------------------------------------------------------------------
 
-FILTER_FIELDS = {
-    "source": "source_address", "destination": "destination_address", "service": "service_name",
-    "protocol": "protocol", "direction": "direction", "process": "process_name", "sni": "sni",
-}
-SEARCH_FIELDS = ("source_address", "destination_address", "service_name", "protocol", "process_name", "sni")
+FILTER_FIELDS, SEARCH_FIELDS, PIVOTS = C.FILTER_FIELDS, C.SEARCH_FIELDS, C.PIVOTS
 _A, _B = (text.endpoint(f"endpoint_{s}_address", f"endpoint_{s}_port") for s in "ab")
 
 
@@ -170,13 +166,6 @@ def filter_country(rows: DataFrame, geo_country: DataFrame, token: str | None) -
     return placed.where(test).select(*rows.columns)
 
 
-PIVOTS = {
-    "host": "search", "peer": "search", "connection": "search", "sni": "sni", "service": "service",
-    "process": "process", "src": "source", "source": "source", "dst": "destination",
-    "destination": "destination", "country": "country", "region": "country",
-}
-
-
 def pivot_target(kind: str) -> str:
     """The filter field a pivot sets: one of the seven fields, ``search`` or ``country``."""
     return PIVOTS.get(kind.strip().lower(), "search")

@@ -300,7 +300,7 @@ def s_exfil(src: str, cols: str = "") -> str:
     tenths = "((20 * bytes_out + greatest(bytes_in, 1)) // (2 * greatest(bytes_in, 1)))"
     return finding("UnidirectionalLargeTransfer", "warning", "b", "Unidirectional large transfer (possible exfil)",
                    f"'Outbound ' || CAST(bytes_out AS STRING) || ' bytes vs inbound ' || CAST(bytes_in AS STRING) || ' (ratio ' || "
-                   f"CAST({tenths} // 10 AS STRING) || '.' || CAST({tenths} % 10 AS STRING) || 'x, min 2000, ratio≥2). peer=' || b || ' sni/service≈' || coalesce(sni, 'unknown')",
+                   f"{ratio} || 'x, min 2000, ratio≥2). peer=' || b || ' sni/service≈' || coalesce(sni, 'unknown')",
                    "first_us", "last_us", "CAST(0.8 AS DOUBLE)", "'UnidirectionalLargeTransfer|' || b || '|' || CAST(coalesce(bp, 0) AS STRING)",
                    "'exfil-' || b", "'host'", "b", cols=cols) + f" FROM {with_now(src)} WHERE bytes_out >= 2000 AND bytes_out / greatest(bytes_in, 1) >= 2.0"
 
