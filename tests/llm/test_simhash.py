@@ -92,6 +92,10 @@ def test_connected_components_of_chains_stars_and_loops(spark):
 
 def test_keep_one_and_empty_table(spark):
     rows = [(3, corpus.prose(1, 90)), (1, corpus.prose(1, 90)), (1, corpus.prose(1, 90)), (2, corpus.prose(9, 90)), (None, corpus.prose(12, 90))]
-    kept = simhash.keep_one(corpus.table(spark, rows, extra=True)).collect()
-    assert sorted(str(r["doc_id"]) for r in kept) == ["1", "2", "None"]
+    rows += [(None, corpus.prose(13, 90)), (None, corpus.prose(13, 90)), (None, corpus.prose(9, 90)), (None, None), (8, " ")]
+    docs = corpus.table(spark, rows, extra=True)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([
+        ("1", corpus.prose(1, 90)), ("2", corpus.prose(9, 90)), ("None", corpus.prose(12, 90)), ("None", corpus.prose(13, 90)), ("8", " ")])
     assert simhash.near_duplicates(corpus.table(spark, rows).limit(0)).count() == 0

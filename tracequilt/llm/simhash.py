@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracequilt.llm.common import keyed_text
+from tracequilt.llm.common import keyed_text, text_of
 from tracequilt.llm.components import connected_components
 from tracequilt.runtime import materialize
 
@@ -52,7 +52,7 @@ def simhash(text: str, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """``doc_id`` and ``fp`` (the 64 bits as a signed long) of every row.
+    """``doc_id``, ``fp`` (the 64 bits as a signed long) and ``key`` (a hash of id and text) of every row.
 
     Null text is empty; empty text has fingerprint 0; null ids and repeated rows stay as they are.
     """
@@ -60,9 +60,13 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = np.fromiter((simhash(t.as_py(), words, seed) for t in batch["text"]), np.uint64, batch.num_rows)
-            yield pa.record_batch({"doc_id": batch["doc_id"], "fp": bits.view(np.int64)})
+            yield pa.record_batch({"doc_id": batch["doc_id"], "key": batch["key"], "fp": bits.view(np.int64)})
 
-    return keyed_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return keyed_text(docs).withColumn("key", _key("doc_id", "text")).mapInArrow(run, "doc_id long, key long, fp long")
+
+
+def _key(doc_id, text):
+    return F.xxhash64(doc_id, text)
 
 
 def covering_masks(radius: int, positions: list[int], seed: int) -> list[int]:
@@ -203,6 +207,14 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     return found
 
 
+def _grouped(docs: DataFrame, radius: int, words: int, seed: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows, and the component of every distinct one: fp, first_id, root."""
+    marked = materialize(fingerprints(docs, words, seed), "fingerprints")
+    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    found = connected_components(links(distinct, radius, bucket))
+    return marked, distinct.join(found, distinct.fp == found.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` of every row.
 
@@ -212,17 +224,24 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_
     null if there is none. Repeated rows give repeated results, an empty table
     none; columns other than doc_id and text are ignored.
     """
-    marked = materialize(fingerprints(docs, words, seed), "fingerprints")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    found = connected_components(links(distinct, radius, bucket))
-    grouped = distinct.join(found, distinct.fp == found.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    marked, grouped = _grouped(docs, radius, words, seed, bucket)
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = grouped.join(least, "root").select("fp", "component_id")
     return marked.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each component: that with the smallest doc_id (of repeated ids, one row); all columns stay."""
-    first = near_duplicates(docs, radius).where("doc_id IS NOT DISTINCT FROM component_id").select("doc_id").distinct()
-    kept = docs.join(first.withColumnRenamed("doc_id", "_first"), F.col("doc_id").cast("long").eqNullSafe(F.col("_first")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
+    """One row of each component, that with the smallest doc_id; all columns stay.
+
+    A row without id is kept only if its component has none with one. Of rows
+    alike in id and text one stays.
+    """
+    marked, grouped = _grouped(docs, radius, words, seed, bucket)
+    # Rows are counted down to one per fingerprint before components meet.
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "key")).alias("first")
+    kept = (
+        marked.groupBy("fp").agg(first).join(grouped.select("fp", "root"), "fp")
+        .groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"))
+    )
+    keyed = docs.withColumn("_own", _key(F.col("doc_id").cast("long"), text_of("text")))
+    return keyed.join(kept, F.col("_own") == F.col("_key"), "left_semi").dropDuplicates(["_own"]).select(*docs.columns)
