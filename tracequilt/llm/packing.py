@@ -15,7 +15,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracequilt.llm.common import keyed_text, shuffle_partitions
@@ -26,11 +27,14 @@ WINDOW = 2048
 END = 1
 
 
-def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, with_ids: bool = False) -> DataFrame:
+def pieces(
+    docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, with_ids: bool = False, shard: Column | None = None
+) -> DataFrame:
     """Every document's ids, closed by ``end``, cut into full windows and one rest.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, and the ids themselves
-    (32-bit little-endian) if asked for. An empty or null text is the end id
+    (32-bit little-endian) if asked for; with ``shard`` (a whole number per
+    document) that number as well. An empty or null text is the end id
     alone; null ids and repeated rows are documents like any other.
     """
 
@@ -50,15 +54,16 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END
                         out["total"].append(len(ids))
                         if with_ids:
                             out["ids"].append(raw)
-                made = {"doc_id": batch["doc_id"].take(pa.array(out["doc"], pa.int64()))}
+                made = {name: batch[name].take(pa.array(out["doc"], pa.int64())) for name in batch.schema.names if name != "text"}
                 for name, key in (("start", "start"), ("length", "length"), ("ids_crc32", "crc"), ("doc_tokens", "total")):
                     made[name] = pa.array(out[key], pa.int64())
                 if with_ids:
                     made["ids"] = pa.array(out["ids"], pa.binary())
                 yield pa.record_batch(made)
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    return keyed_text(docs).mapInArrow(run, schema + (", ids binary" if with_ids else ""))
+    fields = ["doc_id long", *(["shard int"] if shard is not None else []), "start long", "length long", "ids_crc32 long", "doc_tokens long"]
+    more = () if shard is None else (shard.cast("int").alias("shard"),)
+    return keyed_text(docs, *more).mapInArrow(run, ", ".join(fields + ["ids binary"] * with_ids))
 
 
 class CapacityTree:
@@ -173,31 +178,76 @@ def pack(cut: DataFrame, window: int = WINDOW) -> DataFrame:
         .withColumn("_rank", F.col("_before") + F.col("_row") - 1)
         .select(*cut.columns, "_rank")
     )
-    lots = best_fit_decreasing(counts, window)
-    table = np.array([(x.length, x.first, x.sequence, x.each, x.offset) for x in lots], np.int64).reshape(-1, 5)
-    table = table[np.lexsort((table[:, 1], table[:, 0]))]
+    table = _place(best_fit_decreasing(counts, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # One sortable number of a length and a rank: ranks stay under 2 ** 48.
-        keys = (table[:, 0] << 48) + table[:, 1]
         for batch in batches:
-            length, rank = batch["length"].to_numpy(), batch["_rank"].to_numpy()
-            lot = table[np.searchsorted(keys, (length << 48) + rank, side="right") - 1]
-            place = rank - lot[:, 1]
+            sequence, offset = _assign(table, batch["length"].to_numpy(), batch["_rank"].to_numpy())
             made = {name: batch[name] for name in batch.schema.names if name != "_rank"}
-            made["sequence_id"] = pa.array(lot[:, 2] + place // np.maximum(lot[:, 3], 1))
-            made["offset"] = pa.array(lot[:, 4] + place % np.maximum(lot[:, 3], 1) * length)
-            yield pa.record_batch(made)
+            yield pa.record_batch(made | {"sequence_id": pa.array(sequence), "offset": pa.array(offset)})
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
     return ranked.mapInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
+def _place(lots: list[Lot]) -> np.ndarray:
+    table = np.array([(x.length, x.first, x.sequence, x.each, x.offset) for x in lots], np.int64).reshape(-1, 5)
+    return table[np.lexsort((table[:, 1], table[:, 0]))]
+
+
+def _assign(table: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of pieces by length and rank."""
+    # One sortable number of a length and a rank: ranks stay under 2 ** 48.
+    keys = (table[:, 0] << 48) + table[:, 1]
+    lot = table[np.searchsorted(keys, (length << 48) + rank, side="right") - 1]
+    place, each = rank - lot[:, 1], np.maximum(lot[:, 3], 1)
+    return lot[:, 2] + place // each, lot[:, 4] + place % each * length
+
+
+def pack_in_order(cut: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Like :func:`pack`, but each ``shard`` by itself, in the order of the shards.
+
+    Sequences of a smaller shard come before those of a larger one, so the order
+    of the documents lives on in the order of ``sequence_id``. A shard is one
+    part file of documents, hence one task's thin rows here.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        length, start = group["length"].to_numpy(), group["start"].to_numpy()
+        doc = group["doc_id"].combine_chunks().fill_null(-(1 << 63)).to_numpy()
+        order = np.lexsort((start, doc, length))
+        values, first, counts = np.unique(length[order], return_index=True, return_counts=True)
+        rank = np.empty(len(length), np.int64)
+        rank[order] = np.arange(len(length)) - np.repeat(first, counts)
+        lots = best_fit_decreasing(dict(zip(values.tolist(), counts.tolist())), window)
+        sequence, offset = _assign(_place(lots), length, rank)
+        base = group["shard"][0].as_py() << 32
+        kept = [n for n in group.column_names if n != "shard"]
+        return pa.table({n: group[n] for n in kept} | {"sequence_id": pa.array(base + sequence), "offset": pa.array(offset)})
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema if f.name != "shard")
+    return cut.groupBy("shard").applyInArrow(run, f"{fields}, sequence_id long, offset long")
+
+
+def file_number(docs: DataFrame) -> Column:
+    """The number of the part file that a document was read from; 0 where rows are from no file."""
+    try:
+        docs.select("_metadata.file_name")
+    except AnalysisException:
+        return F.lit(0)
+    return F.coalesce(F.expr("try_cast(regexp_extract(_metadata.file_name, 'part-([0-9]+)', 1) AS INT)"), F.lit(0))
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END) -> DataFrame:
     """The piece table of all documents with its places; see :func:`pieces` and :func:`pack`."""
     return pack(materialize(pieces(docs, tokenizer, window, end), "pieces"), window)
 
 
+def pack_files(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END) -> DataFrame:
+    """The same for documents whose part files are in an order that the sequences are to keep."""
+    return pack_in_order(pieces(docs, tokenizer, window, end, shard=file_number(docs)), window)
+
+
 def sequences(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, pad: int = 0) -> DataFrame:
     """The packed windows themselves: ``sequence_id``, ``n_ids`` and ``ids`` padded to the window with ``pad``.
 
