@@ -372,3 +372,17 @@ def test_ratio_is_printed_like_the_exact_double(spark):
     pairs += [(rng.randint(0, 10**9), rng.randint(1, 10**5)) for _ in range(300)] + [(2 * rng.randint(0, 999) + 1, 4) for _ in range(100)]
     got = spark.createDataFrame(pairs, "n bigint, d bigint").selectExpr("n", "d", f"{fnd.one_decimal('n', 'd')} AS t").collect()
     assert [(r.n, r.d, r.t) for r in got if r.t != f"{r.n / r.d:.1f}"] == []
+
+
+def test_flows_close_after_silence_while_the_capture_goes_on(spark):
+    flow = "capture_id string, a_bin binary, b_bin binary, a_port int, b_port int, proto string, tick bigint, bytes bigint"
+    a, b = bytearray([10, 0, 0, 1]), bytearray([8, 8, 8, 8])
+    rows = [
+        ("c", a, b, 1, 2, "tcp", 10, 500), ("c", a, b, 1, 2, "tcp", 20, 1500),  # closes at 20 + 60
+        ("c", a, b, 1, None, "udp", 10, 900),  # never exported
+        ("c", a, b, 3, 4, "tcp", 90, 5000),  # still seen
+        ("d", a, b, 1, 2, "tcp", 20, 9000),  # its capture ends first
+    ]
+    ends = spark.createDataFrame([("c", 100), ("d", 70)], "capture_id string, end_tick bigint")
+    got = gates.closed_flows(spark.createDataFrame(rows, flow), ends, 60, 1000).collect()
+    assert [(r.capture_id, r.a_port, r.tick, r.event) for r in got] == [("c", 1, 80, "closed")]
