@@ -297,7 +297,7 @@ def s_services(src: str, cols: str = "") -> str:
 
 
 def s_exfil(src: str, cols: str = "") -> str:
-    tenths = "((20 * bytes_out + greatest(bytes_in, 1)) // (2 * greatest(bytes_in, 1)))"
+    ratio = "printf('%.1f', CAST(bytes_out AS DOUBLE) / greatest(bytes_in, 1))"
     return finding("UnidirectionalLargeTransfer", "warning", "b", "Unidirectional large transfer (possible exfil)",
                    f"'Outbound ' || CAST(bytes_out AS STRING) || ' bytes vs inbound ' || CAST(bytes_in AS STRING) || ' (ratio ' || "
                    f"{ratio} || 'x, min 2000, ratio≥2). peer=' || b || ' sni/service≈' || coalesce(sni, 'unknown')",
