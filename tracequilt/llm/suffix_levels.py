@@ -35,8 +35,8 @@ LENGTH = 200
 ANCHOR = 41
 #: Starts that are anchored in one go: a longer text is read in overlapping stretches.
 STRETCH = 1 << 19
-#: Entries of one anchor whose suffixes are sorted in memory; more go through a join on digests.
-GROUP = 4096
+#: Entries of one anchor whose suffixes are sorted in memory, some 350 bytes each; more go on as digests, sorted by Spark.
+GROUP = 16_384
 FACTOR = 0x9E3779B97F4A7C15 | 5
 _UNIT = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -83,8 +83,9 @@ def _stretch(data: bytes, at: int, length: int, anchor: int) -> tuple[np.ndarray
     return grams[here].view(np.int64), first + at, count, here - first
 
 
-#: h: anchor hash, g: content hash, key: document, place: first start, number of starts and anchor distance in one number
-ENTRY = "h long, g long, key long, place long, done boolean"
+#: h: anchor hash, g: content hash, key: document, place: first start, number of starts and anchor distance in one number;
+#: done: the entry's own range is reported already. With ``b`` set a row is a report instead: bytes place to b of a document.
+ENTRY = "h long, g long, key long, place long, done boolean, b long"
 
 
 def _unpack(place):
@@ -97,12 +98,16 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def entries(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """The entries of a batch, in runs sorted by anchor and content."""
+    """The entries of a batch, in runs sorted by anchor and content.
+
+    Equal entries of one run are reported where they are and leave as one, so
+    copies and periodic texts reach the shuffle as one row per run.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for whole in batches:
-            for batch in slices(whole, 512):
+            for batch in slices(whole, 1024):
                 hs, gs, keys, places = [], [], [], []
                 for key, text in zip(batch["key"].to_pylist(), batch["text"]):
                     data = text.as_py().encode()
@@ -112,15 +117,35 @@ def entries(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
                     hs.append(h)
                     keys.append(np.full(len(h), key, np.int64))
                     places.append(first << 16 | count << 8 | away)
-                h, g, key, place = (np.concatenate(x) for x in (hs, gs, keys, places))
-                order = np.lexsort((g, h))
-                yield pa.record_batch({
-                    "h": h[order], "g": g[order], "key": key[order], "place": place[order], "done": np.zeros(len(h), bool),
-                })
+                yield _run(*(np.concatenate(x) for x in (hs, gs, keys, places)), length)
 
     return docs.select("key", "text").mapInArrow(run, ENTRY)
 
 
+def _run(h, g, key, place, length: int) -> pa.RecordBatch:
+    order = np.lexsort((g, h))
+    h, g, key, place = h[order], g[order], key[order], place[order]
+    equal = np.concatenate(([False], (h[1:] == h[:-1]) & (g[1:] == g[:-1]), [False])) if len(h) else np.zeros(1, bool)
+    twice = equal[:-1] | equal[1:]
+    leaves = ~equal[:-1]
+    # The ranges of all repeated entries, united per document: they ascend with their starts.
+    first, count, _ = _unpack(place[twice])
+    owner, end = key[twice], first + count + (length - 1)
+    by = np.lexsort((first, owner))
+    owner, first, end = owner[by], first[by], end[by]
+    opens = np.concatenate(([True], (owner[1:] != owner[:-1]) | (first[1:] > end[:-1]))) if len(by) else np.zeros(0, bool)
+    closes = np.concatenate((opens[1:], [True])) if len(by) else opens
+    owner, first, end = owner[opens], first[opens], end[closes]
+    n, m = int(leaves.sum()), len(owner)
+    return pa.record_batch({
+        # A report goes where its document's key sends it.
+        "h": np.concatenate((h[leaves], owner)), "g": np.concatenate((g[leaves], np.zeros(m, np.int64))),
+        "key": np.concatenate((key[leaves], owner)), "place": np.concatenate((place[leaves], first)),
+        "done": np.concatenate((twice[leaves], np.ones(m, bool))),
+        "b": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(end)]),
+    })
+
+
 SCANNED = ENTRY + ", fresh boolean, lone boolean, beside boolean"
 
 
@@ -136,7 +161,7 @@ def _scan(keep: bool):
         """Rows first..last; those just outside are there to compare with."""
         anchor = np.concatenate(([False], h[1:] == h[:-1], [False]))
         content = anchor & np.concatenate(([False], g[1:] == g[:-1], [False]))
-        whole = content[:-1] | content[1:]
+        whole = content[:-1] | content[1:] | done
         lone = ~whole & (anchor[:-1] | anchor[1:])
         beside = whole & ((anchor[:-1] & ~content[:-1]) | (anchor[1:] & ~content[1:]))
         fresh = whole & ~done
@@ -144,13 +169,24 @@ def _scan(keep: bool):
         pick[first:last] = True
         if not keep:
             pick &= fresh | lone | beside
-        made = dict(h=h, g=g, key=key, place=place, done=done | whole, fresh=fresh, lone=lone, beside=beside)
-        return pa.record_batch({name: column[pick] for name, column in made.items()})
+        made = dict(h=h, g=g, key=key, place=place, done=whole)
+        flags = dict(fresh=fresh, lone=lone, beside=beside)
+        n = int(pick.sum())
+        return pa.record_batch({k: c[pick] for k, c in made.items()} | {"b": pa.nulls(n, pa.int64())} | {k: c[pick] for k, c in flags.items()})
+
+    def passed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        no = pa.array(np.zeros(batch.num_rows, bool))
+        return pa.record_batch({c: batch[c] for c in batch.schema.names} | {"fresh": no, "lone": no, "beside": no})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen = None, 0  # at most two rows: the last one, and the one before it to compare with
         for batch in batches:
-            if not batch.num_rows:
+            # Reports come last in a partition and go through as they are.
+            n = batch["b"].null_count
+            if n < batch.num_rows:
+                yield passed(batch.slice(n))
+                batch = batch.slice(0, n)
+            if not n:
                 continue
             columns = [batch[name].to_numpy(zero_copy_only=False) for name in ("h", "g", "key", "place", "done")]
             if held is not None:
@@ -185,14 +221,14 @@ class SuffixLevels:
             size += 1
         # Levels of the classes that are full become one with the batch, in the pass that looks for matches.
         level = self._pass([batch, *merged], keep=True)
-        self.levels[size] = level
+        self.levels[size] = level.where("b IS NULL")
         self.found.append(level)
         for other in above[len(merged):]:
             self.found.append(self._pass([batch, other], keep=False))
 
     def _pass(self, tables: list[DataFrame], keep: bool) -> DataFrame:
-        rows = reduce(DataFrame.unionByName, [t.select("h", "g", "key", "place", "done") for t in tables])
-        ordered = rows.repartition("h").sortWithinPartitions("h", "g")
+        rows = reduce(DataFrame.unionByName, [t.select("h", "g", "key", "place", "done", "b") for t in tables])
+        ordered = rows.repartition("h").sortWithinPartitions(F.asc_nulls_first("b"), "h", "g")
         return materialize(ordered.mapInArrow(_scan(keep), SCANNED), "suffix-level")
 
     def repeats(self) -> DataFrame:
@@ -201,7 +237,8 @@ class SuffixLevels:
         whole = scanned.where("fresh").selectExpr(
             "key", "shiftright(place, 16) AS a", f"shiftright(place, 16) + (shiftright(place, 8) & 255L) + {self.length - 1}L AS b"
         )
-        return whole.unionByName(self._overlaps(scanned.where("lone OR beside").select("h", "g", "key", "place", "lone")))
+        reported = scanned.where("b IS NOT NULL").select("key", F.col("place").alias("a"), "b")
+        return whole.unionByName(reported).unionByName(self._overlaps(scanned.where("lone OR beside").select("h", "g", "key", "place", "lone")))
 
     def _overlaps(self, parts: DataFrame) -> DataFrame:
         """Ranges of entries that share an anchor with other content: the suffixes of each such group are sorted."""
@@ -216,19 +253,37 @@ class SuffixLevels:
                     for key, text, wanted in zip(batch["key"].to_pylist(), batch["text"], batch["wanted"].to_pylist()):
                         data = text.as_py().encode()
                         for w in wanted:
-                            first, count, _ = _unpack(w["place"])
-                            rows.append((w["h"], key, first, w["lone"], data[first : first + count + length - 1]))
-                    columns = list(zip(*rows)) or [()] * 5
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["h", "key", "first", "lone", "data"])
+                            first, count, away = _unpack(w["place"])
+                            rows.append((w["h"], key, first, w["lone"], data[first : first + count + length - 1], away))
+                    columns = list(zip(*rows)) or [()] * 6
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64())
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["h", "key", "first", "lone", "data", "away"])
 
-        pieces = docs.join(wanted, "key").select("key", "text", "wanted").mapInArrow(fetch, "h long, key long, first long, lone boolean, data binary")
+        pieces = docs.join(wanted, "key").select("key", "text", "wanted").mapInArrow(fetch, "h long, key long, first long, lone boolean, data binary, away long")
         sorted_pieces = pieces.repartition("h").sortWithinPartitions("h")
         out = materialize(sorted_pieces.mapInArrow(_sort_suffixes(length, self.group), "key long, a long, b long, digest binary, lone boolean"), "overlaps")
         ranges = out.where("digest IS NULL").select("key", "a", "b")
-        large = out.where("digest IS NOT NULL")
-        twice = large.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-        return ranges.unionByName(large.where("lone").join(twice, "digest").select("key", "a", "b"))
+        large = out.where("digest IS NOT NULL").repartition("digest").sortWithinPartitions("digest")
+        return ranges.unionByName(large.mapInArrow(_equal_neighbours, "key long, a long, b long"))
+
+
+def _equal_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by digest: the ranges of lone pieces whose digest the row before or after has too."""
+    held = None  # the last row, and whether the one before it had its digest
+    for batch in batches:
+        out = []
+        for row in zip(*(batch[c].to_pylist() for c in ("digest", "lone", "key", "a", "b"))):
+            same = held is not None and held[0][0] == row[0]
+            if held is not None and held[0][1] and (held[1] or same):
+                out.append(held[0][2:])
+            held = (row, same)
+        yield _ranges(out)
+    yield _ranges([held[0][2:]] if held is not None and held[0][1] and held[1] else [])
+
+
+def _ranges(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [(), (), ()]
+    return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["key", "a", "b"])
 
 
 def _sort_suffixes(length: int, limit: int):
@@ -244,27 +299,29 @@ def _sort_suffixes(length: int, limit: int):
         return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def suffix_sort(pieces: list[tuple]) -> list[tuple]:
-        blob = b"".join(p[3] for p in pieces)
-        at = np.cumsum([0] + [len(p[3]) for p in pieces])
-        starts = np.concatenate([np.arange(a, b - length + 1) for a, b in zip(at[:-1], at[1:])]).tolist()
-        order = sorted(starts, key=lambda p: blob[p : p + length])
-        same = np.zeros(len(blob) + 1, bool)
-        before = order[0]
-        for p in order[1:]:
-            if blob[p : p + length] == blob[before : before + length]:
-                same[p] = same[before] = True
-            before = p
+        # Equal strings lie at the same distance from their anchor, so the array is sorted one distance at a time.
+        same = [np.zeros(len(p[3]) - length + 1, np.int8) for p in pieces]
+        by_distance: dict[int, list[int]] = {}
+        for i, p in enumerate(pieces):
+            for start in range(len(same[i])):
+                by_distance.setdefault(p[4] - start, []).append(i)
+        for distance, members in by_distance.items():
+            at = lambda i: pieces[i][4] - distance  # noqa: B023, E731
+            order = sorted((pieces[i][3][at(i) : at(i) + length], i) for i in members)
+            for (x, i), (y, j) in zip(order, order[1:]):
+                if x == y:
+                    same[i][at(i)] = same[j][at(j)] = 1
         out = []
-        for (key, first, lone, data), a in zip(pieces, at.tolist()):
+        for (key, first, lone, _, _), mine in zip(pieces, same):
             if lone:
-                mine = np.flatnonzero(np.diff(np.concatenate(([0], same[a : a + len(data) - length + 1].view(np.int8), [0]))))
-                out += [(key, first + x, first + y - 1 + length, None, True) for x, y in mine.reshape(-1, 2).tolist()]
+                edges = np.flatnonzero(np.diff(np.concatenate(([0], mine, [0]))))
+                out += [(key, first + x, first + y - 1 + length, None, True) for x, y in edges.reshape(-1, 2).tolist()]
         return out
 
     def digests(pieces: list[tuple]) -> list[tuple]:
         return [
             (key, first + i, first + i + length, xxhash.xxh3_128_digest(data[i : i + length]), lone)
-            for key, first, lone, data in pieces for i in range(len(data) - length + 1)
+            for key, first, lone, data, _ in pieces for i in range(len(data) - length + 1)
         ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +329,7 @@ def _sort_suffixes(length: int, limit: int):
         group: list[tuple] = []
         at, over = None, False
         for batch in batches:
-            for h, key, first, lone, data in zip(*(batch[c].to_pylist() for c in ("h", "key", "first", "lone", "data"))):
+            for h, key, first, lone, data, away in zip(*(batch[c].to_pylist() for c in ("h", "key", "first", "lone", "data", "away"))):
                 if h != at:
                     if over and group:
                         yield table(digests(group))
@@ -281,7 +338,7 @@ def _sort_suffixes(length: int, limit: int):
                     if len(ready) >= 1024:
                         yield table(suffix_sort(ready))
                         ready = []
-                group.append((key, first, lone, data))
+                group.append((key, first, lone, data, away))
                 if len(group) > limit or over and len(group) >= 256:
                     yield table(digests(group))
                     group, over = [], True
