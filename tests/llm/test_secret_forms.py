@@ -1,0 +1,41 @@
+import json
+import re
+
+import pytest
+
+import corpus
+from tracequilt.llm import secret_scan as scan
+from test_secret_scan import PKCS8, PUBLIC, RSA, SSH, b64
+
+LINES = {name: re.findall(".{1,64}", b64(key)) for name, key in (("PRIVATE KEY", PKCS8), ("RSA PRIVATE KEY", RSA), ("OPENSSH PRIVATE KEY", SSH))}
+
+
+def armour(name: str) -> str:
+    return f"-----BEGIN {name}-----\n" + "\n".join(LINES[name]) + f"\n-----END {name}-----\n"
+
+
+@pytest.mark.parametrize("name", LINES)
+def test_keys_in_json_in_base64_and_in_bare_lines(name):
+    text = armour(name)
+    forms = [
+        json.dumps({"type": "service_account", "private_key": text}), json.dumps(json.dumps({"private_key": text})),
+        json.dumps({"k": text.replace("/", "\\/")}).replace("\\\\/", "\\/"), json.dumps({"k": text.replace("\n", "\r\n")}),
+        f"tls.key: {b64(text.encode())}\nkind: Secret", "k: " + "\n  ".join(re.findall(".{1,76}", b64(text.encode()))),
+        f"k: {b64(b'#' + text.encode())} k", f"k: {b64(b'# ' + text.encode())} k", f"k: {b64((text + text).encode())} k",
+        "here\n" + "\n".join(LINES[name]) + "\nand on", "here\n    " + "\r\n    ".join(LINES[name]), json.dumps("\n".join(LINES[name])),
+    ]
+    kind = "ssh" if name.startswith("OPEN") else "der"
+    for form in forms:
+        found = scan.confirmed_spans(form)
+        assert found and {scan.KINDS[k] for _, k, _ in found} == {kind}, form
+        left = scan.redacted(form, scan.find_secrets(form), "[SECRET]")
+        assert LINES[name][1] not in left and LINES[name][-1] not in left and b64(text.encode())[80:120] not in left
+        assert len(left) < 120, left
+
+
+def test_other_structures_stay(spark):
+    public = "\n".join(re.findall(".{1,64}", b64(PUBLIC)))
+    for text in (public, b64(f"-----BEGIN PUBLIC KEY-----\n{public}\n-----END PUBLIC KEY-----\n".encode()), "\n".join(LINES["PRIVATE KEY"][:-2])):
+        assert scan.confirmed_spans(text) == []
+    got = scan.redact(corpus.table(spark, [(1, "a\n" + "\n".join(LINES["PRIVATE KEY"]) + "\nb")])).first()["text"]
+    assert got == "a\n[SECRET]\nb"

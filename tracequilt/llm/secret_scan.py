@@ -12,7 +12,9 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,11 +29,19 @@ HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 
 KINDS = ("assign", "access", "hex", "der", "jwt", "ssh")
-PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([\sA-Za-z0-9+/=:,_.-]*?)-----END \1-----", re.A)
-BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([\sA-Za-z0-9+/=:,_.\\-]*?)-----END \1-----", re.A)
+#: Line ends inside a run, real or escaped (once or more), and the escape before a slash.
+BREAK = re.compile(r"(?:\\+[rn]|\\+(?=/)|[\r\n][ \t]*)+")
+ESCAPED = re.compile(r"\\+[rn]")
+#: A first line of 20 or more; what follows breaks belongs to the run whatever its length.
+BASE64_RUN = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{20,}}+(?:{BREAK.pattern}[A-Za-z0-9+/_-]++)*+={{0,2}}")
 HEX_RUN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Za-z])")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])(ey[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)(?:\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*))?")
 SSH_MAGIC = b"openssh-key-v1\0"
+#: "openssh-key-v1" and its zero byte fill base64 letters exactly.
+SSH_START = base64.b64encode(SSH_MAGIC).decode()
+#: What "-----BEGIN " is in base64 after 0, 1 and 2 other bytes, and how many letters before it those bytes begin.
+ARMOUR = (("LS0tLS1CRUdJTi", 0), ("0tLS0tQkVHSU4g", 2), ("tLS0tLUJFR0lOI", 3))
 #: ASN.1 tags
 INTEGER, BIT_STRING, OCTET_STRING, OID, SEQUENCE = 0x02, 0x03, 0x04, 0x06, 0x30
 
@@ -96,10 +106,10 @@ def _starts_with_oid(data: bytes) -> bool:
     return bool(inner) and inner[0][0] == OID
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """Whether bytes are an OpenSSH private key: magic, three strings, a count, and as many keys as it says."""
+def ssh_length(data: bytes) -> int | None:
+    """Bytes of the OpenSSH private key that data begins with: magic, three strings, a count, and as many keys as it says."""
     if not data.startswith(SSH_MAGIC):
-        return False
+        return None
     at = len(SSH_MAGIC)
 
     def string() -> bool:
@@ -111,10 +121,15 @@ def is_ssh_key(data: bytes) -> bool:
         return at <= len(data)
 
     if not (string() and string() and string()) or at + 4 > len(data):
-        return False
+        return None
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
-    return 1 <= keys <= 64 and all(string() for _ in range(keys + 1))
+    return at if 1 <= keys <= 64 and all(string() for _ in range(keys + 1)) else None
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """Whether bytes begin with an OpenSSH private key."""
+    return ssh_length(data) is not None
 
 
 def key_kind(data: bytes | None) -> int | None:
@@ -144,22 +159,99 @@ def _json_object(part: str | None) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
-def confirmed_spans(text: str) -> list[Span]:
-    """Spans whose decoded bytes have the structure of a secret."""
-    out: list[Span] = []
+def pem_spans(text: str) -> list[Span]:
+    """Armoured private keys; line ends may be escaped."""
+    out = []
     for m in PEM.finditer(text) if "-----BEGIN " in text else ():
-        body = "".join(line.strip() for line in m[2].splitlines() if ":" not in line)
+        lines = ESCAPED.sub("\n", m[2]).replace("\\", "").splitlines()
+        body = "".join(line.strip() for line in lines if ":" not in line)
         kind = key_kind(decoded(body)) if body else None
         if kind is None and "ENCRYPTED" in m[2]:
             kind = KINDS.index("der") if decoded(body) else None
         if kind is not None:
             out.append((m.start(), kind, m.end()))
+    return out
+
+
+def _der_letters(run: str, at: int) -> int | None:
+    """Letters of the DER sequence that begins at a letter of a run, if it begins like a key and ends inside the run."""
+    head = decoded(run[at : at + 12]) or b""
+    if len(head) < 9 or head[0] != SEQUENCE:
+        return None
+    n = head[1] & 0x7F if head[1] & 0x80 else 0
+    if n > 4 or head[1] == 0x80:
+        return None
+    length = int.from_bytes(head[2 : 2 + n], "big") if n else head[1]
+    if head[2 + n] != SEQUENCE and (head[2 + n] != INTEGER or head[3 + n] != 1 or head[4 + n] > 1):
+        return None
+    letters = -(-(2 + n + length) * 4 // 3)
+    return letters if at + letters <= len(run) else None
+
+
+def run_spans(run: str) -> list[Span]:
+    """Keys inside a run of base64 letters: at each place where one can start, and as armour inside the decoded bytes.
+
+    A sequence that parses and is no private key is passed over as a whole, so
+    nothing inside a public key or certificate counts.
+    """
+    out: list[Span] = []
+    at = run.find("M")  # 0x30, the first byte of a key, is an M in base64
+    while at >= 0:
+        letters, past = _der_letters(run, at), at + 1
+        if letters:
+            data = decoded(run[at : at + letters])
+            outer = asn1(data) if data else None
+            if outer and is_private_key(data):
+                out.append((at, KINDS.index("der"), at + letters))
+            if outer and asn1(outer[0][1]):
+                past = at + letters
+        at = run.find("M", past)
+    at = run.find(SSH_START)
+    while at >= 0:
+        found = ssh_length(_lenient(run[at:]))
+        if found:
+            out.append((at, KINDS.index("ssh"), at + -(-found * 4 // 3)))
+        at = run.find(SSH_START, at + (-(-found * 4 // 3) if found else 1))
+    for letters, before in ARMOUR:
+        end, at = 0, run.find(letters)
+        while at >= 0:
+            if at >= end and at >= before:
+                first = at - before
+                for a, kind, b in pem_spans(_lenient(run[first:]).decode("latin-1")):
+                    end = first + -(-b * 4 // 3)
+                    out.append((first + a * 4 // 3, kind, end))
+                end = max(end, len(run))  # all armour of this alignment is found in one go
+            at = run.find(letters, at + 1) if at + 1 > end else -1
+    return out
+
+
+def _lenient(run: str) -> bytes:
+    """The whole bytes of a run that may end anywhere."""
+    return decoded(run[:-1] if len(run) % 4 == 1 else run) or b""
+
+
+def confirmed_spans(text: str) -> list[Span]:
+    """Spans whose decoded bytes have the structure of a secret."""
+    out: list[Span] = pem_spans(text)
+    armoured = list(out)
     for m in BASE64_RUN.finditer(text):
-        # 0x30, the first byte of a key, is an M in base64; the magic of the other format starts with b3Bl.
-        if m[0][0] == "M" or m[0].startswith("b3Bl"):
-            kind = key_kind(decoded(m[0]))
-            if kind is not None:
-                out.append((m.start(), kind, m.end()))
+        if m.end() - m.start() < 40:
+            continue
+        whole = m[0].rstrip("=")
+        starts, ends, at = [], [], 0
+        for s in BREAK.finditer(whole):
+            starts.append(at)
+            ends.append(s.start())
+            at = s.end()
+        starts.append(at)
+        ends.append(len(whole))
+        if len(starts) > 1 and any(a <= m.start() < b for a, _, b in armoured):
+            continue  # the lines of a key that is reported with its armour
+        sums = [0, *accumulate(b - a for a, b in zip(starts, ends))]
+        for a, kind, b in run_spans("".join(whole[x:y] for x, y in zip(starts, ends))):
+            i, j = bisect_right(sums, a) - 1, bisect_left(sums, b) - 1
+            end = m.start() + starts[j] + b - sums[j]
+            out.append((m.start() + starts[i] + a - sums[i], kind, m.end() if b == sums[-1] else end))
     for m in HEX_RUN.finditer(text):
         if m[0].startswith("30") or m[0].lower().startswith(SSH_MAGIC[:4].hex()):
             kind = key_kind(bytes.fromhex(m[0]))
@@ -184,8 +276,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row.
 
     Null text is empty and has no spans; null ids and repeated rows are scanned
-    like any other; extra columns are ignored. One pass without a shuffle. A key
-    whose base64 is wrapped over lines is found in its armour only.
+    like any other; extra columns are ignored. One pass without a shuffle. Base64
+    goes on over line ends, real or escaped, and may hold an armoured key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
