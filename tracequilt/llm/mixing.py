@@ -13,7 +13,9 @@ Columns and SQL functions only on the data.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,13 +44,16 @@ def one_period(weights: dict[str, int]) -> dict[str, list[int]]:
     """Slots of each source's blocks in one period: earliest deadline first among the released, ties by name."""
     period = sum(weights.values())
     sent: dict[str, list[int]] = {s: [] for s in weights}
+    released: dict[int, list[str]] = {0: list(weights)}
+    due: list[tuple[int, str]] = []
     for slot in range(period):
-        due = []
-        for source, w in weights.items():
-            i = len(sent[source])
-            if i < w and i * period // w <= slot:
-                due.append((-(-(i + 1) * period // w), source))
-        sent[min(due)[1]].append(slot)
+        for source in released.pop(slot, ()):
+            heappush(due, (-(-(len(sent[source]) + 1) * period // weights[source]), source))
+        source = heappop(due)[1]
+        sent[source].append(slot)
+        i, w = len(sent[source]), weights[source]
+        if i < w:
+            released.setdefault(max(slot + 1, i * period // w), []).append(source)
     return sent
 
 
@@ -73,8 +78,9 @@ def schedule(weights: dict[str, int], blocks: dict[str, int]) -> tuple[dict[str,
 def temperature_weights(docs: DataFrame, total: int = TOTAL_WEIGHT) -> dict[str, int]:
     """Weights that follow the square root of each source's characters, in parts of about ``total``.
 
-    Sources too small for half a part get none. At most ``2 * total`` sources
-    have one, so what reaches the driver is bounded by the parameter.
+    Sources too small for half a part are not listed; mix() with ``share`` gives
+    them a weight in classes. At most ``2 * total`` sources are listed, so what
+    reaches the driver is bounded by the parameter.
     """
     sized = docs.where("source IS NOT NULL").groupBy("source").agg(F.sqrt(F.sum(_size())).alias("root"))
     whole = sized.agg(F.sum("root")).first()[0]
@@ -89,7 +95,7 @@ def _size():
     return F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1)).cast("long")
 
 
-def mix(docs: DataFrame, weights: dict[str, int], block_chars: int = BLOCK_CHARS, seed: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, int], block_chars: int = BLOCK_CHARS, seed: int = 0, carry: tuple[str, ...] = (), share: int | None = None) -> DataFrame:
     """doc_id, source, ``block``, ``slot`` and ``at`` of every row, and the columns in ``carry``.
 
     Sorting by (slot, at) gives the mixture. Within its source a row stands in
@@ -100,6 +106,12 @@ def mix(docs: DataFrame, weights: dict[str, int], block_chars: int = BLOCK_CHARS
     rows each have a place; rows with one id are in order of size, of equal size
     in any order. Without rows there is no schedule and the result is empty.
 
+    With ``share`` every source is in the schedule: the weights are parts of about
+    ``share`` that follow square roots of characters, and sources without one form
+    classes of like size (within a factor of sqrt(2) in characters). A class has
+    the weight of its sources together, one part at least, and sends a block of
+    each of its sources in turn until they run dry: Pfair at equal weights.
+
     A source's running total is made in two steps, within ranges of the digest and
     over these ranges, so a source with most rows is spread like any other.
     """
@@ -111,7 +123,9 @@ def mix(docs: DataFrame, weights: dict[str, int], block_chars: int = BLOCK_CHARS
         F.struct(*carry, F.lit(0).alias("_zero")).alias("_carried"), _size().alias("_size"),
     ).withColumn("_key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     # The sources with a weight are named by it; all others share the name null, kept apart by a flag.
-    rows = rows.withColumn("_queue", F.when(known, F.concat(F.lit("s"), "source")).otherwise(F.lit("")))
+    small = F.col("source").isNotNull() if share else F.lit(False)
+    queue = F.when(known, F.concat(F.lit("s"), "source")).when(small, F.concat(F.lit("t"), "source")).otherwise(F.lit(""))
+    rows = rows.withColumn("_queue", queue)
     rows = rows.withColumn("_range", F.substring("_key", 1, digits))
     sums = rows.groupBy("_queue", "_range").agg(F.sum("_size").alias("_sum"))
     before = sums.select(
@@ -125,31 +139,63 @@ def mix(docs: DataFrame, weights: dict[str, int], block_chars: int = BLOCK_CHARS
         .withColumn("_start", F.col("_before") + F.col("_inside"))
     )
     # Blocks up to the end of a source's last text; one row per weighted source, and one for the rest.
-    totals = {r["_queue"]: r["n"] for r in sums.groupBy("_queue").agg(F.sum("_sum").alias("n")).collect()}
-    blocks = {s: -(-totals["s" + s] // block_chars) for s in good if totals.get("s" + s)}
-    plan, slots = schedule(good, blocks)
-    phases = [("s" + s, [(p.first, p.last, p.weight, p.period, p.start, list(p.slots)) for p in ps]) for s, ps in plan.items()]
+    sized = sums.groupBy("_queue").agg(F.sum("_sum").alias("n"))
+    totals = {r["_queue"]: r["n"] for r in sized.where("_queue NOT LIKE 't%'").collect()}
+    blocks = {"s" + s: -(-totals["s" + s] // block_chars) for s in good if totals.get("s" + s)}
+    parts = {"s" + s: w for s, w in good.items()}
+    others = sized.where("_queue LIKE 't%'").select("_queue", "n", F.expr(f"(n + {block_chars - 1}L) div {block_chars}L").alias("_n"), F.expr("concat('g', int(2 * log2(n)))").alias("_class"))
+    # Two classes for each doubling of a source's characters: at most 126.
+    classes = others.groupBy("_class").agg(F.sum(F.sqrt("n")).alias("root"), F.sum("_n").alias("n")).collect() if share else []
+    whole = sum(math.sqrt(totals["s" + s]) for s in good if totals.get("s" + s)) + sum(r["root"] for r in classes)
+    for r in classes:
+        blocks[r["_class"]], parts[r["_class"]] = r["n"], max(1, round(share * r["root"] / whole))
+    placed = placed.withColumn("block", F.expr(f"_start div {block_chars}L"))
+    if classes:
+        turns = _turns(others, digits)
+        placed = placed.join(turns, (F.col("_queue") == F.col("_q3")) & (F.col("block") == F.col("_i")), "left")
+        placed = placed.withColumn("_line", F.coalesce("_class", "_queue")).withColumn("_place", F.coalesce("_turn", "block"))
+    else:
+        placed = placed.withColumn("_line", F.col("_queue")).withColumn("_place", F.col("block"))
+    plan, slots = schedule(parts, blocks)
+    phases = [(s, [(p.first, p.last, p.weight, p.period, p.start, list(p.slots)) for p in ps]) for s, ps in plan.items()]
     phases.append(("", [(0, 1 << 62, 1, 1, slots, [0])]))
     # Bounded by the weights: sources times the length of a period.
     table = docs.sparkSession.createDataFrame(
         phases, "_q2 string, phases array<struct<first: long, last: long, weight: long, period: long, start: long, slots: array<int>>>"
     )
     found = (
-        placed.join(F.broadcast(table), F.col("_queue") == F.col("_q2"))
-        .withColumn("block", F.expr(f"_start div {block_chars}L"))
-        .withColumn("p", F.expr("filter(phases, p -> p.first <= block AND block < p.last)[0]"))
+        placed.join(F.broadcast(table), F.col("_line") == F.col("_q2"))
+        .withColumn("p", F.expr("filter(phases, p -> p.first <= _place AND _place < p.last)[0]"))
     )
-    slot = F.expr("p.start + (block - p.first) div p.weight * p.period + p.slots[int((block - p.first) % p.weight)]")
+    slot = F.expr("p.start + (_place - p.first) div p.weight * p.period + p.slots[int((_place - p.first) % p.weight)]")
     return found.select(
         "doc_id", "source", "block", slot.cast("long").alias("slot"), (F.col("_start") - F.col("block") * block_chars).alias("at"),
         *([F.col("_carried")] if carry else []),
     )
 
 
-def mixed(docs: DataFrame, weights: dict[str, int], block_chars: int = BLOCK_CHARS, seed: int = 0) -> DataFrame:
+def _turns(sources: DataFrame, digits: int) -> DataFrame:
+    """``_turn`` of every block ``_i`` of every small source ``_q3`` in its class: first blocks first, by a digest of the source.
+
+    Counted within ranges of the digest and over these ranges, so no class is one task's.
+    """
+    each = sources.select(F.col("_queue").alias("_q3"), "_class", F.md5("_queue").alias("_d"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_i"))
+    each = each.withColumn("_part", F.substring("_d", 1, digits))
+    counts = each.groupBy("_class", "_i", "_part").agg(F.count("*").alias("_c"))
+    over = Window.partitionBy("_class").orderBy("_i", "_part")
+    before = counts.select(F.col("_class").alias("_k"), F.col("_i").alias("_j"), F.col("_part").alias("_p"), (F.sum("_c").over(over) - F.col("_c")).alias("_earlier"))
+    inside = F.row_number().over(Window.partitionBy("_class", "_i", "_part").orderBy("_d", "_q3"))
+    return (
+        each.withColumn("_inside", inside)
+        .join(before, (F.col("_class") == F.col("_k")) & (F.col("_i") == F.col("_j")) & (F.col("_part") == F.col("_p")))
+        .select("_q3", "_i", "_class", (F.col("_earlier") + F.col("_inside") - 1).alias("_turn"))
+    )
+
+
+def mixed(docs: DataFrame, weights: dict[str, int], block_chars: int = BLOCK_CHARS, seed: int = 0, share: int | None = None) -> DataFrame:
     """All rows and columns in the order of the mixture: ranges of slots in partition order, sorted inside."""
     others = tuple(c for c in docs.columns)
-    rows = mix(docs, weights, block_chars, seed, others)
+    rows = mix(docs, weights, block_chars, seed, others, share)
     ordered = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "slot", "at").sortWithinPartitions("slot", "at")
     return ordered.select(*[F.col("_carried")[c].alias(c) for c in docs.columns])
 

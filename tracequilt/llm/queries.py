@@ -30,7 +30,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return mixing.mix(docs, mixing.temperature_weights(docs))
+    return mixing.mix(docs, mixing.temperature_weights(docs), share=mixing.TOTAL_WEIGHT)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
