@@ -6,7 +6,7 @@ import random
 import pytest
 from helpers import packets
 
-from tracequilt import constants as C
+from tracequilt import constants as C, schema
 from tracequilt.functions import cef, clock, ip, text
 from tracequilt.operators import aggregates as agg, classify, enrich, export, findings as fnd, gates, inspect as ins, ranking, ticks
 from tracequilt.operators.rollup import rollup
@@ -386,3 +386,20 @@ def test_flows_close_after_silence_while_the_capture_goes_on(spark):
     ends = spark.createDataFrame([("c", 100), ("d", 70)], "capture_id string, end_tick bigint")
     got = gates.closed_flows(spark.createDataFrame(rows, flow), ends, 60, 1000).collect()
     assert [(r.capture_id, r.a_port, r.tick, r.event) for r in got] == [("c", 1, 80, "closed")]
+
+
+def test_ticks_of_a_long_capture_in_linear_time(spark):
+    """A hundred thousand seconds in one capture, every seventh packet late by more than a block of seconds."""
+    rows = spark.range(100_000).selectExpr(
+        "'long' AS capture_id", "id AS seq", "CASE WHEN id % 7 = 3 THEN greatest(id - 5000, 0) ELSE id END * 1000000L AS ts_us", "60L AS packet_len", "'1.1.1.1' AS src_ip",
+        "'2.2.2.2' AS dst_ip", "0 AS payload_len",
+    )
+    table = ticks.tick_table(ticks.assign_ticks(schema.conform_packets(rows), block_seqs=1 << 12))
+    got = [(r.tick, r.packets, r.sequence, r.gap_seconds) for r in table.orderBy("tick").collect()]
+    want, peak = {}, -1
+    for i in range(100_000):
+        peak = max(peak, max(i - 5000, 0) if i % 7 == 3 else i)
+        want[peak] = want.get(peak, 0) + 1
+    seconds = sorted(want)
+    nexts = [*seconds[1:], seconds[-1] + 1]
+    assert got == [(s, want[s], i + 1, n - s - 1) for i, (s, n) in enumerate(zip(seconds, nexts))]

@@ -9,6 +9,8 @@ from ..functions import clock
 from . import classify
 
 BLOCK_SEQS = 1 << 20
+# Seconds of a capture that are scanned in one sorted group; blocks are combined by one row each.
+BLOCK_SECONDS = 1 << 12
 
 
 def assign_ticks(packets: DataFrame, late: str = "fold", block_seqs: int = BLOCK_SEQS) -> DataFrame:
@@ -17,9 +19,10 @@ def assign_ticks(packets: DataFrame, late: str = "fold", block_seqs: int = BLOCK
     ``late='fold'``: a packet older than the open second counts in the open one,
     i.e. the running maximum of the second in arrival order.  A small table says
     for every second at which sequence number it opened and at which a later one
-    did.  A packet that came before the latter counts in its own second; this is
-    one equi-join on (capture, second) without a sort of packets.  Only late
-    packets look for the second that was open, among the opened ones.
+    did.  A packet that came before the latter counts in its own second.  Only
+    late packets look for the second that was open, among the opened ones.  All
+    of this reads three columns; the packets themselves then meet the late ones in
+    one equi-join on (capture, seq), which Spark broadcasts when few are late.
 
     ``late='event_time'``: the packet's own second; no shuffle at all.
     """
@@ -28,18 +31,36 @@ def assign_ticks(packets: DataFrame, late: str = "fold", block_seqs: int = BLOCK
         return packets.withColumn("tick", second)
     if late != "fold":
         raise ValueError("late must be 'fold' or 'event_time'")
-    timed = packets.withColumn("_sec", second)
-    later = Window.partitionBy("_of").orderBy("_second").rowsBetween(1, Window.unboundedFollowing)
-    opened = (
-        timed.groupBy(F.col("capture_id").alias("_of"), F.col("_sec").alias("_second")).agg(F.min("seq").alias("_opens"))
-        .withColumn("_closes", F.min("_opens").over(later))
-    )
-    placed = timed.join(opened, (F.col("capture_id") == F.col("_of")) & (F.col("_sec") == F.col("_second")))
-    on_time = F.col("_closes").isNull() | (F.col("seq") < F.col("_closes"))
-    punctual = placed.where(on_time).select(*packets.columns, F.col("_sec").alias("tick"))
+    timed = packets.select("capture_id", "seq", second.alias("_sec"))
+    opened = _closing(timed.groupBy(F.col("capture_id").alias("_of"), F.col("_sec").alias("_second")).agg(F.min("seq").alias("_opens")))
+    stragglers = (
+        timed.join(opened.where("_closes IS NOT NULL"), (F.col("capture_id") == F.col("_of")) & (F.col("_sec") == F.col("_second")))
+        .where("seq >= _closes").select("capture_id", "seq")
+    )
     # A second that was passed over before its first packet came never opened.
     openers = opened.where("_closes IS NULL OR _opens < _closes").select(F.col("_of").alias("capture_id"), F.col("_opens").alias("seq"), F.col("_second").alias("_sec"))
-    return punctual.unionByName(_fold(placed.where(~on_time).select(*packets.columns), openers, block_seqs))
+    late_ones = _fold(stragglers, openers, block_seqs).select(F.col("capture_id").alias("_of"), F.col("seq").alias("_at"), F.col("tick").alias("_open"))
+    found = packets.join(late_ones, (F.col("capture_id") == F.col("_of")) & (F.col("seq") == F.col("_at")), "left")
+    return found.select(*packets.columns, F.coalesce("_open", second).alias("tick"))
+
+
+def _closing(opened: DataFrame) -> DataFrame:
+    """Add ``_closes``, the lowest opening of any later second: a suffix minimum in two levels.
+
+    Inside a block of seconds the frame runs backwards, so every row adds one
+    value to it; what follows the block is the minimum over one row per block.
+    """
+    blocked = opened.withColumn("_span", F.expr(f"_second div {BLOCK_SECONDS}"))
+    inside = Window.partitionBy("_of", "_span").orderBy(F.col("_second").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = Window.partitionBy("_capture").orderBy(F.col("_at").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    spans = (
+        blocked.groupBy(F.col("_of").alias("_capture"), F.col("_span").alias("_at")).agg(F.min("_opens").alias("_least"))
+        .withColumn("_after", F.min("_least").over(beyond)).where("_after IS NOT NULL")
+    )
+    scanned = blocked.withColumn("_inside", F.min("_opens").over(inside))
+    return scanned.join(spans, (F.col("_of") == F.col("_capture")) & (F.col("_span") == F.col("_at")), "left").select(
+        "_of", "_second", "_opens", F.least("_inside", "_after").alias("_closes")
+    )
 
 
 def _fold(stragglers: DataFrame, openers: DataFrame, block_seqs: int) -> DataFrame:
@@ -85,14 +106,25 @@ def tick_table(ticked: DataFrame, local_addresses: DataFrame | None = None, offl
             "min_by(ts_us, seq) AS _first_us", "max_by(ts_us, seq) AS _last_us",
         )]
     )
-    order = Window.partitionBy("capture_id").orderBy("tick")
-    return per_tick.select(
+    # Numbers and neighbours come from blocks of seconds and, across blocks, from one row per block.
+    blocked = per_tick.withColumn("_span", F.expr(f"tick div {BLOCK_SECONDS}"))
+    inside = Window.partitionBy("capture_id", "_span").orderBy("tick")
+    across = Window.partitionBy("_capture").orderBy("_at")
+    spans = (
+        blocked.groupBy(F.col("capture_id").alias("_capture"), F.col("_span").alias("_at"))
+        .agg(F.count(F.lit(1)).alias("_ticks"), F.min(F.struct("tick", "_first_us")).alias("_head"))
+        .select("_capture", "_at", (F.sum("_ticks").over(across) - F.col("_ticks")).alias("_before"), F.lead("_head").over(across).alias("_head"))
+    )
+    numbered = blocked.select(
+        "*", F.row_number().over(inside).alias("_n"), F.lead(F.struct("tick", "_first_us")).over(inside).alias("_here")
+    ).join(spans, (F.col("capture_id") == F.col("_capture")) & (F.col("_span") == F.col("_at"))).withColumn("_next", F.coalesce("_here", "_head"))
+    return numbered.select(
         "capture_id", "tick",
-        F.row_number().over(order).cast("bigint").alias("sequence"),
+        (F.col("_before") + F.col("_n")).cast("bigint").alias("sequence"),
         "packets", "bytes", "bytes_in", "bytes_out",
         # a tick is closed by the packet that opens the next one
-        F.coalesce(F.lead("_first_us").over(order), F.col("_last_us")).alias("last_packet_us"),
-        F.coalesce(F.lead("tick").over(order) - F.col("tick") - 1, F.lit(0)).alias("gap_seconds"),
+        F.coalesce("_next._first_us", "_last_us").alias("last_packet_us"),
+        F.coalesce(F.col("_next.tick") - F.col("tick") - 1, F.lit(0)).alias("gap_seconds"),
     )
 
 
