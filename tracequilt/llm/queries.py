@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tracequilt.llm import (
-    license_scan, mixing, packing, prefix_hashes, quality, secret_scan, simhash, suffix_levels, token_files, url_filter,
+    license_scan, merkle, mixing, packing, prefix_hashes, quality, secret_scan, simhash, suffix_levels, token_files, url_filter,
 )
 from tracequilt.llm.common import documents
 
@@ -61,11 +61,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(documents(spark, sf_dir), merkle.without_line_ends())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_packing, op3_mixing, op4_suffix_dedup, op5_url_filter, op6_fingerprints, op7_token_files, op8_quality,
-        op9_secrets, op10_simhash,
+        op9_secrets, op10_simhash, op11_merkle_manifest,
     )
 }
 
