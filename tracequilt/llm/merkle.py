@@ -6,11 +6,13 @@ ordered by source, are hashed likewise to the root. A stored node row holds the
 digests of its children and the link to its parent, so a row of the corpus proves
 itself with the siblings on its way up, without any other row.
 
-The levels are built by grouping on ``place div 3``. A Spark recursive query then
-climbs: each step joins the rows to their parents, appends the siblings and folds
-the digest found. Near the root all rows share one parent; a parent is stored in
-one copy per ``SHARE`` leaves below it and rows pick a copy by hash, so no join
-key has more rows than that.
+The levels are built by grouping on the place, two of them at a time: a stored
+node has its grandchildren's digests next to its children's, so half as many rows
+climb. A Spark recursive query then ascends: each step joins the rows to their
+nodes, appends the siblings of two levels and folds the digest found through
+both. Near the root all rows share one node; a node is stored in one copy per
+``SHARE`` leaves below it and rows pick a copy by hash, so no join key has more
+rows than that.
 
 Nulls count as ``-``. Rows without doc_id come first; repeated rows have a place
 and a proof each. An empty table has no root and gives no rows. Texts may be of
@@ -28,8 +30,9 @@ from pyspark.sql import functions as F
 from tracequilt.llm.ranks import numbered
 from tracequilt.runtime import materialize
 
-#: Children of a node.
+#: Children of a node, and the rows that a stored node of two levels takes in.
 ARITY = 3
+STEP = ARITY * ARITY
 #: Leaves below a node for each stored copy of it.
 SHARE = 256
 #: Node numbers are level * SPAN + place.
@@ -72,34 +75,35 @@ def leaves_of(docs: DataFrame, found: Column) -> DataFrame:
 
 
 def _levels(base: DataFrame, widest: int) -> tuple[DataFrame | None, DataFrame]:
-    """Node rows of all levels, and the row at the top of each tree.
+    """Node rows of every second level, and the row at the top of each tree.
 
     ``base`` has ``tree, at, width, digest, below``: place and number of nodes of the
-    tree's lowest level, and the leaves below. ``widest`` is the largest width.
+    tree's lowest level, and the leaves below. ``widest`` is the largest width. A
+    node has ``kids``, the digests of each child's children in a row, and ``digests``,
+    the children's own; where no more than one family is left, it is that family: one
+    child and no digests.
     """
-    level, number, found, tops = base, 0, None, base.where("width = 1").select("tree", "digest", "below", F.lit(0).cast("long").alias("level"))
+    level, number, found, tops = base, 0, None, base.where("width = 1").select("tree", "digest", "below")
+    family = f"aggregate(slice(items, {ARITY} * j + 1, {ARITY}), X'', (s, k) -> concat(s, k.digest))"
     while widest > 1:
-        number, widest = number + 1, -(-widest // ARITY)
-        kids = F.array_sort(F.collect_list(F.struct("at", "digest", "below")))
+        number, widest = number + 1, -(-widest // STEP)
         level = materialize(
             level.where("width > 1")
-            .groupBy("tree", F.expr(f"at div {ARITY}").alias("at"), F.expr(f"(width + {ARITY - 1}) div {ARITY}").alias("width"))
-            .agg(kids.alias("kids"))
-            .selectExpr(
-                "tree", "at", "width", f"concat({', '.join(f'coalesce(get(kids, {i}).digest, X{chr(39) * 2})' for i in range(ARITY))}) AS kids",
-                "aggregate(kids, 0L, (s, k) -> s + k.below) AS below",
-            )
-            .selectExpr("tree", "at", "width", "kids", "below", f"{_fold('kids')} AS digest", f"{number}L AS level"),
+            .groupBy("tree", F.expr(f"at div {STEP}").alias("at"), "width")
+            .agg(F.array_sort(F.collect_list(F.struct("at", "digest", "below"))).alias("items"))
+            .selectExpr("tree", "at", "width", f"transform(sequence(0, (size(items) - 1) div {ARITY}), j -> {family}) AS kids", "aggregate(items, 0L, (s, k) -> s + k.below) AS below")
+            .selectExpr("*", f"IF(width > {ARITY}, aggregate(kids, X'', (s, k) -> concat(s, {_fold('k')})), NULL) AS digests")
+            .selectExpr("tree", "at", f"(width + {STEP - 1}) div {STEP} AS width", "kids", "digests", "below", _fold("coalesce(digests, kids[0])") + " AS digest", f"{number}L AS level"),
             "level",
         )
         found = level if found is None else found.union(level)
-        tops = tops.union(level.where("width = 1").select("tree", "digest", "below", "level"))
+        tops = tops.union(level.where("width = 1").select("tree", "digest", "below"))
     return found, tops
 
 
 def _up(tree: str, level: str, at: str) -> list[str]:
     """The parent link inside a tree: tree, node and the own place below it."""
-    return [f"{tree} AS ptree", f"({level} + 1) * {SPAN} + {at} div {ARITY} AS pnode", f"{at} % {ARITY} AS place"]
+    return [f"{tree} AS ptree", f"({level} + 1) * {SPAN} + {at} div {STEP} AS pnode", f"{at} % {STEP} AS place"]
 
 
 def _copies(below: str) -> str:
@@ -129,21 +133,21 @@ def build(docs: DataFrame, found: Column | None = None) -> Manifest:
         tops.selectExpr("tree AS _tree", "digest AS subroot", "CAST(NULL AS long) AS ptree", "CAST(NULL AS long) AS pnode", "CAST(NULL AS long) AS place")
     rows = []
     if nodes is not None:
-        keep = ("tree", f"level * {SPAN} + at AS node", "kids", "below")
-        rows.append(nodes.where("width > 1").selectExpr(*keep, "CAST(NULL AS binary) AS subroot", *_up("tree", "level", "at"), _copies(f"bigint(pow({ARITY}, level + 1))") + " AS pcopies"))
+        keep = ("tree", f"level * {SPAN} + at AS node", "kids", "digests", "below")
+        rows.append(nodes.where("width > 1").selectExpr(*keep, "CAST(NULL AS binary) AS subroot", *_up("tree", "level", "at"), _copies(f"bigint(pow({STEP}, level + 1))") + " AS pcopies"))
         rows.append(_with_parent_copies(nodes.where("width = 1").selectExpr(*keep).join(link, F.col("tree") == F.col("_tree")).drop("_tree"), over))
     if over is not None:
-        inner = over.selectExpr("tree", f"level * {SPAN} + at AS node", "kids", "below", "CAST(NULL AS binary) AS subroot",
+        inner = over.selectExpr("tree", f"level * {SPAN} + at AS node", "kids", "digests", "below", "CAST(NULL AS binary) AS subroot",
                                 *_up("IF(width > 1, tree, NULL)", "level", "at"))
         rows.append(_with_parent_copies(inner, over))
     linked = None
     for part in rows:
         linked = part if linked is None else linked.unionByName(part)
     # Copies of a node inside a source follow from its level, as its children reckon them.
-    own = f"IF(tree = {TOP}, {_copies('below')}, {_copies(f'bigint(pow({ARITY}, node div {SPAN}))')})"
+    own = f"IF(tree = {TOP}, {_copies('below')}, {_copies(f'bigint(pow({STEP}, node div {SPAN}))')})"
     if linked is not None:
         linked = materialize(linked.selectExpr("*", f"explode(sequence(0L, {own} - 1)) AS copy"), "nodes")
-    inside = placed.where("width > 1").selectExpr("row", "doc_id", "leaf", "found", "CAST(NULL AS binary) AS subroot", *_up("tree", "0L", "at"), _copies(str(ARITY)) + " AS pcopies")
+    inside = placed.where("width > 1").selectExpr("row", "doc_id", "leaf", "found", "CAST(NULL AS binary) AS subroot", *_up("tree", "0L", "at"), _copies(str(STEP)) + " AS pcopies")
     alone = placed.where("width = 1").select("row", "doc_id", "leaf", "found", "tree").join(link, F.col("tree") == F.col("_tree")).drop("tree", "_tree")
     return Manifest(materialize(inside.unionByName(_with_parent_copies(alone, over)), "linked"), linked, root)
 
@@ -166,7 +170,11 @@ def climb(manifest: Manifest) -> DataFrame:
     manifest.leaves.createOrReplaceTempView(f"leaves_{tag}")
     manifest.nodes.createOrReplaceTempView(f"nodes_{tag}")
     spark.conf.set(rows, "-1")
-    before, after = f"substring(n.kids, 1, int(c.place) * {DIGEST})", f"substring(n.kids, int(c.place) * {DIGEST} + {DIGEST + 1})"
+    cut = lambda run, place: (f"substring({run}, 1, int({place}) * {DIGEST})", f"substring({run}, int({place}) * {DIGEST} + {DIGEST + 1})")
+    (before, after), (left, right) = cut(f"n.kids[int(c.place div {ARITY})]", f"c.place % {ARITY}"), cut("n.digests", f"c.place div {ARITY}")
+    lower = _fold(f"concat({before}, c.fold, {after})")
+    fold = f"IF(n.digests IS NULL, {lower}, {_fold(f'concat({left}, {lower}, {right})')})"
+    siblings = f"concat({before}, {after}, coalesce(concat({left}, {right}), X''))"
     pick = "pmod(xxhash64({row}), {copies})"
     try:
         steps = spark.sql(f"""
@@ -174,7 +182,7 @@ def climb(manifest: Manifest) -> DataFrame:
                 SELECT row, 0, ptree, pnode, {pick.format(row='row', copies='pcopies')}, place, found, X'', subroot FROM leaves_{tag}
                 UNION ALL
                 SELECT c.row, c.step + 1, n.ptree, n.pnode, {pick.format(row='c.row', copies='n.pcopies')}, n.place,
-                       {_fold(f'concat({before}, c.fold, {after})')}, concat({before}, {after}), n.subroot
+                       {fold}, {siblings}, n.subroot
                 FROM climb c JOIN nodes_{tag} n ON c.tree = n.tree AND c.node = n.node AND c.copy = n.copy
             ) SELECT row, step, siblings, fold, subroot FROM climb""")
         return materialize(steps, "climb")
