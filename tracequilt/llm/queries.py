@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tracequilt.llm import (
-    license_scan, merkle, mixing, packing, prefix_hashes, quality, secret_scan, simhash, suffix_levels, token_files, url_filter,
+    conversation_trie, license_scan, merkle, mixing, packing, prefix_hashes, quality, secret_scan, simhash, suffix_levels, suffix_search,
+    token_files, url_filter,
 )
 from tracequilt.llm.common import documents
 
@@ -65,11 +66,19 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(documents(spark, sf_dir), merkle.without_line_ends())
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.rebuilt_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_search.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_packing, op3_mixing, op4_suffix_dedup, op5_url_filter, op6_fingerprints, op7_token_files, op8_quality,
-        op9_secrets, op10_simhash, op11_merkle_manifest,
+        op9_secrets, op10_simhash, op11_merkle_manifest, op12_conversation_trie, op13_decontamination,
     )
 }
 
