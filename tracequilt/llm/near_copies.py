@@ -1,14 +1,25 @@
 """Near copies of one corpus: SimHash candidates, each held to the exact Jaccard similarity of word shingles.
 
 Fingerprints have 128 bits, of the set of five-word shingles. At a similarity of
-0.8 about 15 bits in a hundred differ, too many for one covering radius, so the
-bits are cut into four parts of 32 with covering masks for five differing bits
-each. A pair is a candidate if it meets in any table and differs in at most
-``NEAR`` bits; it is a link only if its exact similarity is high enough.
+0.8 about 15 bits in a hundred differ, too many for one covering radius, so
+covering masks are made for four sets of bits, each wide enough that a bucket
+of unlike documents has a few members, however many documents there are.
+
+A bucket streams by in a fixed random order of fingerprints. Its first ``LEADERS``
+members are paired with all later ones if near; as the order is the same in all
+tables, a group of near copies is tied to few of its members. So pairs grow with
+the rows and a task holds the leaders of one bucket. Members beyond the leaders
+that the checked links have not brought together with most of their bucket then
+meet all of the bucket, in a join; so no pair of a large bucket is left out.
+
+Null text is empty; texts without words have one fingerprint and are one group.
+Texts of any length are read whole. Rows alike in id and text count once, rows
+without id go if their group has one with an id. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,17 +30,20 @@ from pyspark.sql import functions as F
 
 from tracequilt.llm.common import keyed_text, text_of
 from tracequilt.llm.components import connected_components
+from tracequilt.llm.ranks import join_unique
 from tracequilt.llm.simhash import LOWER, SEED, covering_masks
 from tracequilt.runtime import materialize
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: Bits of a part, and the differing bits its masks cover.
-PART, RADIUS = 32, 5
+#: Share of differing bits, rounded up, that the masks of a set of bits are to cover: the mean at a similarity of 0.8.
+COVERED = 0.15
 #: Differing bits of 128 up to which a pair is checked: four standard deviations above the mean at a similarity of 0.8.
 NEAR = 36
-#: Members before a fingerprint in its bucket that are paired with it if near; from further before, the nearest alone.
-BEFORE = 16
+#: Members of a bucket that are compared with all later ones while it streams by.
+LEADERS = 24
+#: Parts in which the members of a bucket meet those that no link has brought to them.
+SALTS = 16
 
 
 def shingles(text: str, words: int = SHINGLE_WORDS) -> set[bytes]:
@@ -55,80 +69,109 @@ def fingerprint(text: str, words: int = SHINGLE_WORDS) -> np.ndarray:
     return np.packbits(2 * ones > len(raw)).view("<i8")
 
 
+def _key(doc_id, text) -> list:
+    """128 bits of a row's id and text."""
+    return [F.xxhash64(doc_id, text).alias("key"), F.xxhash64(F.lit(1), text, doc_id).alias("key2")]
+
+
 def _marked(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = np.array([fingerprint(t.as_py(), words) for t in batch["text"]], np.int64).reshape(-1, 2)
-            yield pa.record_batch({"doc_id": batch["doc_id"], "key": batch["key"], "a": pa.array(bits[:, 0].copy()), "b": pa.array(bits[:, 1].copy())})
+            own = {c: batch[c] for c in ("doc_id", "key", "key2")}
+            yield pa.record_batch(own | {"a": pa.array(bits[:, 0].copy()), "b": pa.array(bits[:, 1].copy())})
+
+    rows = keyed_text(docs).select("*", *_key("doc_id", "text"))
+    return rows.mapInArrow(run, "doc_id long, key long, key2 long, a long, b long").withColumn("node", F.xxhash64("a", "b"))
 
-    rows = keyed_text(docs).withColumn("key", F.xxhash64("doc_id", "text"))
-    return rows.mapInArrow(run, "doc_id long, key long, a long, b long").withColumn("node", F.xxhash64("a", "b"))
 
+def tables(documents: int) -> list[tuple[int, int]]:
+    """The masks of both longs of a fingerprint, one pair for each table.
 
-def tables() -> list[tuple[int, int]]:
-    """The masks of both longs of a fingerprint, one pair for each table."""
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    out = []
-    for part in range(128 // PART):
-        at = part * PART % 64
-        masks = [signed(m) for m in covering_masks(RADIUS, list(range(at, at + PART)), seed=part)]
-        out += [(m, 0) if part * PART < 64 else (0, m) for m in masks]
-    return out
+    A mask keeps half the bits of its set. Sets have 32 bits up to some 250,000
+    documents and two more for each doubling, so buckets by chance keep their
+    size while the tables grow about as the fourth root of the documents.
+    """
+    width = min(64, max(32, 2 * (max(documents, 1).bit_length() - 2)))
+    radius, signed = math.ceil(COVERED * width), lambda m: m - (1 << 64) if m >> 63 else m
+    bits = np.concatenate([np.random.default_rng(i).permutation(128) for i in range(2)]).tolist()
+    masks = [m for i in range(4) for m in covering_masks(radius - i // 2, bits[i * width : (i + 1) * width], seed=i)]
+    return [(signed(m & (1 << 64) - 1), signed(m >> 64)) for m in masks]
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near pairs of rows sorted by bucket. The last bucket of a batch is held until it ends."""
-    held = np.zeros((0, 3), np.int64)
+    """Over rows sorted by bucket: near pairs of a member with a leader before it, and the members beyond the leaders."""
+    at, count, lead = None, 0, np.zeros((0, 2), np.uint64)
     for batch in batches:
-        new = np.column_stack([batch[c].to_numpy() for c in ("bucket", "a", "b")])
-        if not len(new):
+        bucket = batch["bucket"].to_numpy()
+        if not len(bucket):
             continue
-        rows = np.concatenate((held, new)) if len(held) and held[0, 0] == new[0, 0] else new
-        done = len(rows) - len(new)
-        bucket = rows[:, 0]
+        if at != bucket[0]:
+            count, lead = 0, lead[:0]
+        held, own = len(lead), np.column_stack([batch[c].to_numpy() for c in ("a", "b")]).view(np.uint64)
+        rows = np.concatenate((lead, own))
         edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        place = np.arange(len(rows)) - np.repeat(edges, np.diff(np.append(edges, len(rows))))
-        bits = np.ascontiguousarray(rows[:, 1:]).view(np.uint64)
-        best = np.full(len(rows), NEAR + 1)
-        nearest = np.zeros(len(rows), np.int64)
-        at = np.flatnonzero(place > 0)
-        at, lag = at[at >= done], 1
+        sizes = np.diff(np.append(edges, len(bucket)))
+        place, base = np.arange(len(bucket)) - np.repeat(edges, sizes), np.repeat(edges + held, sizes)
+        place[: sizes[0]] += count
+        base[: sizes[0]] = 0
         left, right, apart = [], [], []
-        while len(at):
-            distance = np.bitwise_count(bits[at] ^ bits[at - lag]).sum(1, dtype=np.int64)
-            if lag <= BEFORE:
-                near = distance <= NEAR
-                left.append(at[near])
-                right.append(at[near] - lag)
-                apart.append(distance[near])
-            else:
-                better = distance < best[at]
-                best[at[better]], nearest[at[better]] = distance[better], at[better] - lag
-            lag += 1
-            at = at[place[at] >= lag]
-        far = np.flatnonzero(best <= NEAR)
-        i, j = np.concatenate([*left, far]).astype(np.int64), np.concatenate([*right, nearest[far]]).astype(np.int64)
+        ask = np.flatnonzero(place > 0)
+        for t in range(LEADERS):
+            ask = ask[place[ask] > t]
+            if not len(ask):
+                break
+            other = base[ask] + t
+            distance = np.bitwise_count(rows[ask + held] ^ rows[other]).sum(1, dtype=np.int64)
+            near = distance <= NEAR
+            left.append(ask[near] + held)
+            right.append(other[near])
+            apart.append(distance[near])
+        rest = np.flatnonzero(place >= LEADERS)
+        join = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+        i, j, signed = join(left), join(right), rows.view(np.int64)
+        none, blank = pa.nulls(len(i), pa.int64()), pa.nulls(len(rest), pa.int64())
         yield pa.record_batch({
-            "a": pa.array(rows[i, 1]), "b": pa.array(rows[i, 2]), "c": pa.array(rows[j, 1]), "d": pa.array(rows[j, 2]),
-            "apart": pa.array(np.concatenate([*apart, best[far]]).astype(np.int64)),
+            "bucket": pa.concat_arrays([none, pa.array(bucket[rest])]),
+            "a": pa.array(np.concatenate((signed[i, 0], signed[rest + held, 0]))), "b": pa.array(np.concatenate((signed[i, 1], signed[rest + held, 1]))),
+            "c": pa.concat_arrays([pa.array(signed[j, 0]), blank]), "d": pa.concat_arrays([pa.array(signed[j, 1]), blank]),
+            "apart": pa.concat_arrays([pa.array(join(apart)), blank]),
         })
-        held = rows[edges[-1] :]
+        at, count = bucket[-1], int(place[-1]) + 1
+        lead = rows[base[-1] : base[-1] + min(count, LEADERS)].copy()
 
 
-def candidates(distinct: DataFrame) -> DataFrame:
-    """``u`` > ``v`` (nodes) and ``apart`` (differing bits) of near pairs that meet in a table; one row each."""
-    masks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).cast("long").alias("a"), F.lit(n).cast("long").alias("b")) for i, (m, n) in enumerate(tables())])
+def candidates(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Near pairs ``u, v, apart`` (a member, a leader, differing bits), one row each; and ``bucket, node, a, b`` of members beyond the leaders."""
+    masks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).cast("long").alias("a"), F.lit(n).cast("long").alias("b")) for i, (m, n) in enumerate(tables(distinct.count()))])
     spread = distinct.select("a", "b", F.explode(masks).alias("t")).select(F.expr("xxhash64(t.i, a & t.a, b & t.b)").alias("bucket"), "a", "b")
-    found = spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_pairs, "a long, b long, c long, d long, apart long")
-    one, two = F.xxhash64("a", "b"), F.xxhash64("c", "d")
-    return found.select(F.greatest(one, two).alias("u"), F.least(one, two).alias("v"), "apart").where("u <> v").groupBy("u", "v").agg(F.min("apart").alias("apart"))
+    dealt = spread.repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("b", "a"))
+    out = materialize(dealt.mapInArrow(_pairs, "bucket long, a long, b long, c long, d long, apart long"), "buckets")
+    pairs = out.where("c IS NOT NULL").select(F.xxhash64("a", "b").alias("u"), F.xxhash64("c", "d").alias("v"), "apart").where("u <> v")
+    rest = out.where("c IS NULL").select("bucket", F.xxhash64("a", "b").alias("node"), "a", "b")
+    return pairs.groupBy("u", "v").agg(F.min("apart").alias("apart")), rest
+
+
+def strangers(rest: DataFrame, roots: DataFrame) -> DataFrame:
+    """Near pairs, like those of :func:`candidates`, of members beyond the leaders that are not yet joined.
+
+    Most members of a large bucket belong to one component; only those outside of it meet the bucket's members.
+    """
+    known = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    placed = materialize(rest.join(known, F.col("node") == F.col("_node"), "left").select("bucket", "node", "a", "b", F.coalesce("_root", "node").alias("root")), "placed")
+    most = placed.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
+    outside = join_unique(placed, materialize(most, "most"), ["bucket"]).where("root <> most")
+    asking = outside.selectExpr("bucket AS _bucket", "node AS _node", "a AS _a", "b AS _b", "root AS _root", f"explode(sequence(0, {SALTS - 1})) AS _salt")
+    met = placed.withColumn("salt", F.expr(f"int(pmod(xxhash64(node), {SALTS}))")).join(asking, F.expr("bucket = _bucket AND salt = _salt AND root <> _root"))
+    apart = F.expr("bit_count(a ^ _a) + bit_count(b ^ _b)").cast("long")
+    return met.select(F.greatest("node", "_node").alias("u"), F.least("node", "_node").alias("v"), apart.alias("apart")).where(F.col("apart") <= NEAR).groupBy("u", "v").agg(F.min("apart").alias("apart"))
 
 
 def _sets(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """``node`` and ``shingles`` of the fingerprints that have a candidate."""
     wanted = pairs.select(F.col("u").alias("n")).union(pairs.select("v")).distinct()
-    wanted = distinct.join(wanted, F.col("node") == F.col("n"), "left_semi").select("node", F.col("first.key").alias("own"))
-    texts = keyed_text(docs).withColumn("key", F.xxhash64("doc_id", "text"))
+    wanted = distinct.join(wanted, F.col("node") == F.col("n"), "left_semi").select("node", F.col("first.key").alias("own"), F.col("first.key2").alias("own2"))
+    texts = keyed_text(docs).select("*", *_key("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,20 +179,32 @@ def _sets(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, words: int) ->
                 found = np.frombuffer(b"".join(shingles(text.as_py(), words)), "<i8")[::2]
                 yield pa.record_batch({"node": batch["node"].slice(i, 1), "shingles": pa.array([found], pa.list_(pa.int64()))})
 
-    rows = texts.join(wanted, F.col("key") == F.col("own")).dropDuplicates(["node"]).select("node", "text")
+    rows = texts.join(wanted, (F.col("key") == F.col("own")) & (F.col("key2") == F.col("own2"))).dropDuplicates(["node"]).select("node", "text")
     return rows.mapInArrow(run, "node long, shingles array<long>")
 
 
 def links(docs: DataFrame, distinct: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``node`` and ``root`` of every fingerprint that a chain of links joins to another.
+    """``node`` and ``root`` of every fingerprint that a chain of links joins to another."""
+    near, rest = candidates(distinct)
+    near = materialize(near, "pairs")
+    roots = connected_components(near.select("u", "v").limit(0))
+    found, roots = _checked(near, docs, distinct, None, roots, similarity, words)
+    if not rest.isEmpty():
+        near = materialize(strangers(rest, roots), "pairs")
+        _, roots = _checked(near, docs, distinct, found, roots, similarity, words)
+    return roots
+
+
+def _checked(left: DataFrame, docs: DataFrame, distinct: DataFrame, found: DataFrame | None, roots: DataFrame, similarity: float, words: int) -> tuple:
+    """All true links, and the components they give.
 
     Candidates are checked nearest first, in rounds of 4, 8, 16 ... of a node;
     those whose ends are joined by then need no check. All others get one.
     """
-    left = materialize(candidates(distinct), "pairs")
+    if left.isEmpty():
+        return found, roots
     sets = materialize(_sets(docs, distinct, left, words), "shingles")
-    common = F.size(F.array_intersect("x", "y"))
-    found, roots, most = None, connected_components(left.select("u", "v").limit(0)), 4
+    common, most = F.size(F.array_intersect("x", "y")), 4
     while not left.isEmpty():
         ranked = materialize(left.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy("apart", "v"))), "ranked")
         both = (
@@ -164,7 +219,7 @@ def links(docs: DataFrame, distinct: DataFrame, similarity: float = SIMILARITY,
         rest = ranked.where(F.col("rank") > most).join(first, "u", "left").join(second, "v", "left")
         left = materialize(rest.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v", "apart"), "pairs")
         most *= 2
-    return roots
+    return found, roots
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -174,12 +229,13 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHING
     its group has none with one. Of rows alike in id and text one stays.
     """
     marked = materialize(_marked(docs, words), "marked")
-    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "key")).alias("first")
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "key", "key2")).alias("first")
     distinct = materialize(marked.groupBy("node", "a", "b").agg(first), "distinct")
     roots = links(docs, distinct, similarity, words).withColumnRenamed("node", "n")
     kept = (
         distinct.join(roots, F.col("node") == F.col("n"), "left").groupBy(F.coalesce("root", "node").alias("root"))
-        .agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"))
+        .agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"), F.col("first.key2").alias("_key2"))
     )
-    keyed = docs.withColumn("_own", F.xxhash64(F.col("doc_id").cast("long"), text_of("text")))
-    return keyed.join(kept, F.col("_own") == F.col("_key"), "left_semi").dropDuplicates(["_own"]).select(*docs.columns)
+    own = [k.alias(name) for k, name in zip(_key(F.col("doc_id").cast("long"), text_of("text")), ("_own", "_own2"))]
+    keyed = docs.select("*", *own).join(kept, (F.col("_own") == F.col("_key")) & (F.col("_own2") == F.col("_key2")), "left_semi")
+    return keyed.dropDuplicates(["_own", "_own2"]).select(*docs.columns)
