@@ -13,7 +13,8 @@ import hashlib
 import json
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import accumulate
 
 import pyarrow as pa
@@ -29,7 +30,10 @@ HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 
 KINDS = ("assign", "access", "hex", "der", "jwt", "ssh")
-PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([\sA-Za-z0-9+/=:,_.\\-]*?)-----END \1-----", re.A)
+#: Armour of private keys. Both marks are looked up in one pass each, also where they overlap; what stands in between must be clean.
+BEGIN = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----")
+END = re.compile(r"(?=-----END ([A-Z ]*PRIVATE KEY)-----)")
+FOREIGN = re.compile(r"[^\sA-Za-z0-9+/=:,_.\\-]", re.A)
 #: Line ends inside a run, real or escaped (once or more), and the escape before a slash.
 BREAK = re.compile(r"(?:\\+[rn]|\\+(?=/)|[\r\n][ \t]*)+")
 ESCAPED = re.compile(r"\\+[rn]")
@@ -106,30 +110,32 @@ def _starts_with_oid(data: bytes) -> bool:
     return bool(inner) and inner[0][0] == OID
 
 
-def ssh_length(data: bytes) -> int | None:
-    """Bytes of the OpenSSH private key that data begins with: magic, three strings, a count, and as many keys as it says."""
-    if not data.startswith(SSH_MAGIC):
+def ssh_length(read: Callable[[int, int], bytes], size: int) -> int | None:
+    """Bytes of the OpenSSH private key that ``size`` bytes begin with: magic, three strings, a count, and as many keys as it says.
+
+    Only the lengths are read (``read`` gives some bytes at a place), so a start that is none costs the same in any text.
+    """
+    if size < len(SSH_MAGIC) or read(0, len(SSH_MAGIC)) != SSH_MAGIC:
         return None
     at = len(SSH_MAGIC)
 
     def string() -> bool:
         nonlocal at
-        if at + 4 > len(data):
+        if at + 4 > size:
             return False
-        length = int.from_bytes(data[at : at + 4], "big")
-        at += 4 + length
-        return at <= len(data)
+        at += 4 + int.from_bytes(read(at, 4), "big")
+        return at <= size
 
-    if not (string() and string() and string()) or at + 4 > len(data):
+    if not (string() and string() and string()) or at + 4 > size:
         return None
-    keys = int.from_bytes(data[at : at + 4], "big")
+    keys = int.from_bytes(read(at, 4), "big")
     at += 4
     return at if 1 <= keys <= 64 and all(string() for _ in range(keys + 1)) else None
 
 
 def is_ssh_key(data: bytes) -> bool:
     """Whether bytes begin with an OpenSSH private key."""
-    return ssh_length(data) is not None
+    return ssh_length(lambda at, n: data[at : at + n], len(data)) is not None
 
 
 def key_kind(data: bytes | None) -> int | None:
@@ -160,16 +166,32 @@ def _json_object(part: str | None) -> dict | None:
 
 
 def pem_spans(text: str) -> list[Span]:
-    """Armoured private keys; line ends may be escaped."""
-    out = []
-    for m in PEM.finditer(text) if "-----BEGIN " in text else ():
-        lines = ESCAPED.sub("\n", m[2]).replace("\\", "").splitlines()
+    """Armoured private keys; line ends may be escaped. One pass over the marks, however many do not match."""
+    out, done, foreign = [], 0, -1
+    if "-----BEGIN " not in text:
+        return out
+    ends: dict[str, list[int]] = {}
+    for m in END.finditer(text):
+        ends.setdefault(m[1], []).append(m.start())
+    for m in BEGIN.finditer(text) if ends else ():
+        places = ends.get(m[1], [])
+        i = bisect_left(places, m.end())
+        if m.start() < done or i == len(places):
+            continue
+        if foreign < m.end():
+            odd = FOREIGN.search(text, m.end())
+            foreign = odd.start() if odd else len(text)
+        if foreign < places[i]:
+            continue
+        done = places[i] + len(f"-----END {m[1]}-----")
+        inner = text[m.end() : places[i]]
+        lines = ESCAPED.sub("\n", inner).replace("\\", "").splitlines()
         body = "".join(line.strip() for line in lines if ":" not in line)
         kind = key_kind(decoded(body)) if body else None
-        if kind is None and "ENCRYPTED" in m[2]:
+        if kind is None and "ENCRYPTED" in inner:
             kind = KINDS.index("der") if decoded(body) else None
         if kind is not None:
-            out.append((m.start(), kind, m.end()))
+            out.append((m.start(), kind, done))
     return out
 
 
@@ -208,7 +230,7 @@ def run_spans(run: str) -> list[Span]:
         at = run.find("M", past)
     at = run.find(SSH_START)
     while at >= 0:
-        found = ssh_length(_lenient(run[at:]))
+        found = ssh_length(partial(_letters, run, at), (len(run) - at) * 3 // 4)
         if found:
             out.append((at, KINDS.index("ssh"), at + -(-found * 4 // 3)))
         at = run.find(SSH_START, at + (-(-found * 4 // 3) if found else 1))
@@ -225,6 +247,12 @@ def run_spans(run: str) -> list[Span]:
     return out
 
 
+def _letters(run: str, start: int, at: int, n: int) -> bytes:
+    """Up to 15 bytes at a place of what a run encodes from one of its letters on."""
+    first = start + at // 3 * 4
+    return _lenient(run[first : first + 24])[at % 3 : at % 3 + n]
+
+
 def _lenient(run: str) -> bytes:
     """The whole bytes of a run that may end anywhere."""
     return decoded(run[:-1] if len(run) % 4 == 1 else run) or b""
@@ -245,7 +273,8 @@ def confirmed_spans(text: str) -> list[Span]:
             at = s.end()
         starts.append(at)
         ends.append(len(whole))
-        if len(starts) > 1 and any(a <= m.start() < b for a, _, b in armoured):
+        near = bisect_right(armoured, m.start(), key=lambda span: span[0]) - 1
+        if len(starts) > 1 and near >= 0 and m.start() < armoured[near][2]:
             continue  # the lines of a key that is reported with its armour
         sums = [0, *accumulate(b - a for a, b in zip(starts, ends))]
         for a, kind, b in run_spans("".join(whole[x:y] for x, y in zip(starts, ends))):
