@@ -56,3 +56,27 @@ def rollup(packets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         .groupBy("capture_id", *by, "decoded", "tracked", *KEY)
         .agg(*[F.expr(a) for a in aggregates])
     )
+
+
+def packet_rows(packets: DataFrame) -> DataFrame:
+    """Every packet as a rollup row of its own.
+
+    For streams, where one aggregate is all a query may have: flows, sessions and
+    hosts then add up from these rows as they do from a rollup's.
+    """
+    def flagged(mask: int, name: str) -> str:
+        return f"CASE WHEN tracked AND {has_flag('tcp_flags', mask)} THEN 1L ELSE 0L END AS {name}"
+
+    paid, other = "tracked AND payload_len > 0", f"_class <> {INIT}"
+    return (
+        packets.selectExpr("*", f"coalesce({TRACKED}, false) AS tracked")
+        .selectExpr("*", f"CASE WHEN tracked THEN {tcp_class()} END AS _class")
+        .selectExpr(
+            "capture_id", "decoded", "tracked", *KEY, "1L AS packets", "packet_len AS bytes", "seq AS first_seq", "ts_us AS first_us",
+            "seq AS last_seq", "ts_us AS last_us", "CASE WHEN tracked THEN payload_len ELSE 0L END AS payload_bytes",
+            f"CASE WHEN {paid} THEN seq END AS payload_seq", f"CASE WHEN {paid} THEN ts_us END AS payload_us",
+            flagged(C.SYN, "syn_count"), flagged(C.FIN, "fin_count"), flagged(C.RST, "rst_count"), "_class AS last_class",
+            f"CASE WHEN {other} THEN seq END AS other_seq", f"CASE WHEN {other} THEN _class END AS other_class",
+            f"CASE WHEN _class = {INIT} THEN seq END AS init_seq",
+        )
+    )

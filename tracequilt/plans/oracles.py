@@ -626,4 +626,11 @@ def oracles() -> dict[str, str]:
     q["stream_ticks"] = with_(d_cte()) + """SELECT p.capture_id, CAST(count(DISTINCT p.sec) AS BIGINT) AS ticks, CAST(count(*) AS BIGINT) AS packets, CAST(sum(p.len) AS BIGINT) AS bytes,
       CAST(coalesce(sum(p.len) FILTER (WHERE dir = 'inbound'), 0) AS BIGINT) AS bytes_in, CAST(coalesce(sum(p.len) FILTER (WHERE dir = 'outbound'), 0) AS BIGINT) AS bytes_out
       FROM p LEFT JOIN d ON p.seq = d.seq GROUP BY p.capture_id"""
+    # streams that must end where the batch tables are
+    for name, table in (("stream_cooldown", "live_cooldown"), ("stream_idle_ticks", "tick_gap_fill"), ("stream_flow_table", "flow_table"),
+                        ("stream_host_table", "host_table"), ("stream_top_connections", "top_connections"), ("stream_names", "ptr_enrichment"),
+                        ("stream_late_countries", "country_lookup")):
+        q[name] = q[table]
+    q["stream_export_gate"] = f"SELECT * EXCLUDE (sni) FROM ({q['export_gate']})"
+    q["stream_fold_late"] = f"SELECT capture_id, tick, packets, bytes FROM ({q['tick_totals']})"
     return q

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
@@ -14,7 +15,7 @@ from ..operators.findings import Policy, Session
 from ..operators.rollup import rollup
 from ..runtime import materialize, scratch_path
 from ..sources import pcap
-from ..streaming import jobs
+from ..streaming import jobs, stateful
 from . import dimensions as dim
 from .event_frames import load_frames
 from .event_packets import load_packets, packets_from_events
@@ -738,3 +739,170 @@ def stream_running_totals(spark, sf):
 @query
 def stream_running_services(spark, sf):
     return _drain(jobs.running_services(_packet_stream(spark, sf), offline=True), "services", "complete")
+
+
+STAGES = 3
+#: Seconds by which staged rows are out of order, and the delay that allows for it.
+DISORDER = 600
+DELAY = f"{2 * DISORDER} seconds"
+
+
+def _staged(rows: DataFrame, micros: str, disorder_us: int, end: dict) -> DataFrame:
+    """A table as a stream of three micro-batches and a last one of a single clock row.
+
+    Rows go into the batches by their instant plus a hash of up to ``disorder_us``,
+    so batches overlap in time; inside a batch rows have no order. ``end`` has the
+    columns of the clock row; ``{top}`` in it is the highest instant.
+    """
+    spark = rows.sparkSession
+    held = materialize(rows.selectExpr("*", f"{micros} AS _at", f"{micros} + pmod(xxhash64({', '.join(rows.columns)}), {disorder_us}) AS _order"), "staged")
+    cuts = held.select(F.percentile_approx("_order", [i / STAGES for i in range(1, STAGES)], 10_000).alias("c"), F.max("_at").alias("top")).first()
+    path, parts = scratch_path(spark, "stream"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = [None, *cuts["c"], None]
+    for low, high in zip(edges, edges[1:]):
+        part = held if low is None else held.where(F.col("_order") >= low)
+        part = part if high is None else part.where(F.col("_order") < high)
+        part.drop("_at", "_order").repartition(parts).write.mode("append").parquet(path)
+        time.sleep(1.1)  # a file source goes by the second in which a file was written
+    last = held.drop("_at", "_order").limit(1).selectExpr(*[
+        f"CAST({end[f.name].format(top=f'{cuts.top}L') if f.name in end else 'NULL'} AS {f.dataType.simpleString()}) AS {f.name}" for f in rows.schema.fields
+    ])
+    last.write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", parts).parquet(path)
+
+
+def _stateful(spark: SparkSession) -> None:
+    stateful.use_rocksdb(spark)
+
+
+@query
+def stream_cooldown(spark, sf):
+    """The hits of ``live_cooldown`` as a stream out of order."""
+    _stateful(spark)
+    rows = materialize(_tick_rows(spark, sf), "tick-rows")
+    live = Session.live()
+    hosts, flows = (
+        table.selectExpr("*", f"tick * {clock.MICROS} AS as_of_us") for table in (agg.hosts(rows, ("tick",)), agg.flows(rows, ("tick",)))
+    )
+    hits = fnd.watched_hosts(hosts, POLICY, live)
+    both = hits[0].unionByName(hits[1]).unionByName(fnd.p2p_connections(flows, POLICY, live))
+    end = {"capture_id": "''", "dedupe_key": "''", "cooldown": "'entity'", "as_of_us": "{top} + 86400000000L"}
+    staged = _staged(both.select("capture_id", "dedupe_key", "cooldown", "as_of_us"), "as_of_us", DISORDER * clock.MICROS, end)
+    return _drain(stateful.cooldown(staged, DELAY), "cooldown").where("capture_id <> ''")
+
+
+@query
+def stream_export_gate(spark, sf):
+    """The export gate over per-tick flows that come out of order."""
+    _stateful(spark)
+    flows = materialize(agg.flows(_tick_rows(spark, sf), ("tick",)).selectExpr("*", f"{jobs.flow_text()} AS flow"), "tick-flows")
+    counts = ("packets", "bytes", "bytes_in", "bytes_out")
+    end = {"capture_id": "''", "flow": "''", "tick": "{top} div 1000000 + 86400", **{c: "0" for c in counts}}
+    staged = _staged(flows.select("capture_id", "flow", "tick", *counts), f"tick * {clock.MICROS}", DISORDER * clock.MICROS, end)
+    lines = _drain(stateful.export_gate(staged, 2_000, 4_000, 86_400, delay=DELAY), "gate").where("capture_id <> ''")
+    named = flows.select("capture_id", F.col("flow").alias("_flow"), *gates.FLOW_KEY[1:]).distinct().withColumnRenamed("capture_id", "_capture")
+    out = lines.join(named, (F.col("capture_id") == F.col("_capture")) & (F.col("flow") == F.col("_flow")))
+    return _named(out.select(*gates.FLOW_KEY, "tick", *counts, "event"))
+
+
+@query
+def stream_fold_late(spark, sf):
+    """Ticks of packets that come out of order, late ones counted in the second that was open."""
+    _stateful(spark)
+    runs = _packets(spark, sf).selectExpr("capture_id", "seq AS first_seq", f"{clock.second_of('ts_us')} AS second", "1L AS packets", "packet_len AS bytes")
+    end = {"capture_id": "''", "first_seq": "{top} div 1000 + 100000000", "second": "0", "packets": "0", "bytes": "0"}
+    staged = _staged(runs, "first_seq * 1000", 500_000, end)
+    folded = _drain(stateful.fold_late(staged, 1_000), "fold").where("capture_id <> ''")
+    return folded.groupBy("capture_id", "tick").agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"))
+
+
+@query
+def stream_idle_ticks(spark, sf):
+    """Ticks of a stream with silent stretches, closed by the clock: those of ``tick_gap_fill``."""
+    _stateful(spark)
+    sums = jobs.second_sums(_packets(spark, sf), offline=True)
+    end = {"capture_id": "''", "second": f"{{top}} div 1000000 + {2 * DISORDER + 2}", "packets": "0", "bytes": "0", "bytes_in": "0", "bytes_out": "0"}
+    staged = _staged(sums, f"second * {clock.MICROS}", DISORDER * clock.MICROS, end)
+    shown = _drain(stateful.idle_ticks(staged, delay=DELAY), "idle")
+    # the clock goes on after a capture's last packet; the batch table ends there
+    ends = shown.where("NOT filled").groupBy(F.col("capture_id").alias("_capture")).agg(F.max("tick").alias("_end"))
+    whole = shown.join(ends, F.expr("capture_id = _capture AND tick <= _end"))
+    hour = (F.col("tick") - F.col("tick") % 3600).alias("hour_start")
+    return whole.groupBy("capture_id", hour).agg(
+        F.count(F.lit(1)).alias("ticks"), F.count_if("filled").alias("zero_ticks"), F.sum("bytes").alias("bytes")
+    )
+
+
+def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """``events`` as packets in three micro-batches, each with every third event."""
+    events, path = spark.read.parquet(f"{sf}/events.parquet"), scratch_path(spark, "events")
+    for i in range(STAGES):
+        events.where(f"pmod(event_id, {STAGES}) = {i}").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    return schema.conform_packets(packets_from_events(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)))
+
+
+def _published(spark: SparkSession, rows: DataFrame, keys: list[str]) -> tuple[DataFrame, str]:
+    """The last state of a running table, and the folder of its changes."""
+    base = scratch_path(spark, "running")
+    jobs.publish_changes(rows, base, scratch_path(spark, "running-state")).awaitTermination()
+    return jobs.last_published(spark, base, keys), base
+
+
+@query
+def stream_flow_table(spark, sf):
+    _stateful(spark)
+    flows, _ = _published(spark, jobs.running_flows(_event_stream(spark, sf), offline=True), ["capture_id", *agg.FLOW_KEY])
+    return _named(flows.select(*FLOW_COLUMNS))
+
+
+@query
+def stream_host_table(spark, sf):
+    _stateful(spark)
+    hosts, _ = _published(spark, jobs.running_hosts(_event_stream(spark, sf), offline=True), ["capture_id", "host_bin"])
+    return _named(hosts.select(*HOST_COLUMNS))
+
+
+@query
+def stream_top_connections(spark, sf):
+    """The ranking kept in state from the changes of the running flows."""
+    _stateful(spark)
+    flows, base = _published(spark, jobs.running_flows(_event_stream(spark, sf), offline=True), ["capture_id", *agg.FLOW_KEY])
+    columns = spark.read.parquet(base).schema
+    changes = spark.readStream.schema(columns).option("maxFilesPerTrigger", 8).parquet(base)
+    ranked = _drain(stateful.running_top(changes, 10), "ranking")
+    newest = ranked.groupBy(F.col("capture_id").alias("_capture"), "rank").agg(F.max_by("key", "version").alias("_key"))
+    return _named(flows.join(newest, F.expr("capture_id = _capture AND key = _key")).select("rank", *FLOW_COLUMNS))
+
+
+@query
+def stream_names(spark, sf):
+    """Reverse names as of each host's last packet, observations and questions in one stream out of order."""
+    _stateful(spark)
+    hosts = agg.hosts(_rows(spark, sf)).selectExpr("capture_id", "host_bin AS ip_bin", "last_us AS as_of_us")
+    asked = materialize(hosts.selectExpr("*", f"concat_ws('|', capture_id, hex(ip_bin)) AS id"), "asked")
+    name = "nullif(trim(TRAILING '.' FROM trim(hostname)), '')"
+    seen = dim.ptr_records(spark, sf).selectExpr(f"hex({ip.from_text('ip')}) AS key", "observed_us AS at", "CAST(NULL AS STRING) AS id", f"CASE WHEN {name} <> ip THEN {name} END AS value")
+    asks = asked.where(ip.has_public_name("ip_bin")).selectExpr("hex(ip_bin) AS key", "as_of_us AS at", "id", "CAST(NULL AS STRING) AS value")
+    staged = _staged(seen.unionByName(asks), "at", DISORDER * clock.MICROS, {"key": "''", "at": "{top} + 86400000000L"})
+    answers = _drain(stateful.latest_within(staged, C.PTR_TTL_SECONDS, DELAY), "names").select(F.col("id").alias("_id"), F.col("value").alias("hostname"))
+    return _named(asked.join(answers, F.col("id") == F.col("_id"), "left").select("capture_id", "ip_bin", "as_of_us", "hostname"))
+
+
+@query
+def stream_late_countries(spark, sf):
+    """Addresses with their country, one block of which becomes known before the third batch only."""
+    table, blocks = scratch_path(spark, "blocks"), dim.geo_country(spark)
+    late = "code = 'JP'"
+    blocks.where(f"NOT {late}").write.parquet(table)
+    stream = _event_stream(spark, sf).selectExpr("explode(array(src_bin, dst_bin)) AS ip_bin").where("ip_bin IS NOT NULL")
+
+    def learn(batch_id: int) -> None:
+        if batch_id == STAGES - 1:
+            blocks.where(late).coalesce(1).write.mode("append").parquet(table)
+
+    base = scratch_path(spark, "countries")
+    jobs.republish(
+        stream, ["ip_bin"], lambda rows: enrich.add_country(rows, "ip_bin", spark.read.parquet(table)), base, scratch_path(spark, "countries-state"), before=learn,
+    ).awaitTermination()
+    return _named(jobs.last_published(spark, f"{base}/changes", ["ip_bin"]))

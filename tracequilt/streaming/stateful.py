@@ -1,15 +1,20 @@
 """Stateful operators on ``transformWithState`` (RocksDB state store).
 
-Each keeps a few numbers per key, so memory follows live keys and not traffic.
-Expiry (TTL and close timers) runs on processing time: Spark then keeps a stream
-going without data, so use it with a processing-time trigger and leave it off
-for ``availableNow`` runs.
+Rows may come late and out of order: they wait in state under their instant until
+the watermark has passed it, then an event-time timer hands them on in order.
+Input is taken one Arrow chunk at a time and no group is ever gathered, so a
+task's memory follows the rows that wait for the watermark.
+
+Only rows move the watermark. A capture that falls silent is carried on by clock
+rows (:func:`tracequilt.streaming.jobs.with_clock`) or, on processing time, by
+timers that need no input at all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,163 +22,239 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from .. import constants as C
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SECOND = 1_000_000
+#: Rows of one output frame.
+FRAME = 10_000
 
 
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-class Cooldown(StatefulProcessor):
+def timed(rows: DataFrame, micros: str, delay: str) -> DataFrame:
+    """Add ``ts`` from an expression in microseconds, with a watermark.
+
+    A stream's first watermark is the epoch, so instants must lie after it.
+    """
+    return rows.withColumn("ts", F.expr(f"timestamp_micros({micros})")).withWatermark("ts", delay)
+
+
+class InOrder(StatefulProcessor):
+    """Base: rows wait under (instant in microseconds, number) and are settled in that order.
+
+    A subclass names the state's ``value`` schema and the ``columns`` it gives,
+    turns a frame into waiting rows (``entries``) and settles one due row
+    (``settle``), which returns its output rows.
+    """
+
+    value = ""
+    columns: list[str] = []
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at bigint, number bigint", self.value)
+
+    def entries(self, frame: pd.DataFrame) -> Iterator[tuple[tuple[int, int], tuple]]:
+        raise NotImplementedError
+
+    def merged(self, old: tuple, new: tuple) -> tuple:
+        """Two rows of one instant and number; the later replaces the earlier."""
+        return new
+
+    def settle(self, key: tuple, at: int, value: tuple) -> list[tuple]:
+        raise NotImplementedError
+
+    def expire(self, key: tuple, now_ms: int) -> list[tuple]:
+        """What a timer does apart from settling rows."""
+        return []
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        seconds = set()
+        for frame in rows:
+            for where, value in self.entries(frame):
+                if self.waiting.containsKey(where):
+                    value = self.merged(tuple(self.waiting.getValue(where)), value)
+                self.waiting.updateValue(where, value)
+                seconds.add(where[0] // SECOND)
+        for second in seconds:
+            self.handle.registerTimer((second + 1) * 1000)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        due = sorted(tuple(k) for k in self.waiting.keys() if (k[0] // SECOND + 1) * 1000 <= now)
+        out: list[tuple] = []
+        for where in due:
+            value = tuple(self.waiting.getValue(where))
+            self.waiting.removeKey(where)
+            out += self.settle(key, where[0], value)
+            if len(out) >= FRAME:
+                yield pd.DataFrame(out, columns=self.columns)
+                out = []
+        out += self.expire(key, now)
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+class Cooldown(InOrder):
     """Emit an occurrence unless its key was emitted less than its cooldown before."""
 
+    value = "cooldown string"
+    columns = ["capture_id", "dedupe_key", "cooldown", "as_of_us", "emitted"]
+
     def __init__(self, expire_ms: int | None) -> None:
         self.expire_ms = expire_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "us bigint", ttlDurationMs=self.expire_ms)
+        super().init(handle)
+        self.last = handle.getValueState("last", "us bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).drop_duplicates("as_of_us").sort_values("as_of_us")
-        stored = self.last.get() if self.last.exists() else None
-        last = None if stored is None else stored[0]
-        emitted = []
+    def entries(self, frame):
         for at, name in zip(frame["as_of_us"].tolist(), frame["cooldown"].tolist()):
-            fresh = last is None or at - last >= C.COOLDOWN_SECONDS[name] * 1_000_000
-            emitted.append(fresh)
-            last = at if fresh else last
-        if last is not None:
-            self.last.update((int(last),))
-        yield frame.assign(capture_id=key[0], dedupe_key=key[1], emitted=emitted)[
-            ["capture_id", "dedupe_key", "cooldown", "as_of_us", "emitted"]
-        ]
+            yield (at, 0), (name,)
 
-    def close(self) -> None:
-        pass
+    def settle(self, key, at, value):
+        last = self.last.get()[0] if self.last.exists() else None
+        fresh = last is None or at - last >= C.COOLDOWN_SECONDS[value[0]] * SECOND
+        if fresh:
+            self.last.update((at,))
+            if self.expire_ms is not None:
+                self.handle.registerTimer(at // 1000 + self.expire_ms)
+        return [(*key, value[0], at, fresh)]
 
+    def expire(self, key, now_ms):
+        if self.expire_ms is not None and self.last.exists() and self.last.get()[0] // 1000 + self.expire_ms <= now_ms:
+            self.last.clear()
+        return []
 
-def cooldown(occurrences: DataFrame, expire_seconds: int | None = None) -> DataFrame:
+
+def cooldown(occurrences: DataFrame, delay: str = "10 seconds", expire_seconds: int | None = None) -> DataFrame:
     """Streaming form of :func:`tracequilt.operators.gates.cooldown`.
 
-    ``expire_seconds`` forgets silent keys; it must exceed the longest cooldown.
+    ``occurrences`` may be out of order by ``delay``. ``expire_seconds`` forgets
+    silent keys; it must exceed the longest cooldown.
     """
     if expire_seconds is not None and expire_seconds <= max(C.COOLDOWN_SECONDS.values()):
         raise ValueError("expire_seconds must exceed the longest cooldown")
-    out = "capture_id string, dedupe_key string, cooldown string, as_of_us bigint, emitted boolean"
     return (
-        occurrences.select("capture_id", "dedupe_key", "cooldown", "as_of_us")
+        timed(occurrences.select("capture_id", "dedupe_key", "cooldown", "as_of_us"), "as_of_us", delay)
         .groupBy("capture_id", "dedupe_key")
         .transformWithStateInPandas(
-            Cooldown(None if expire_seconds is None else expire_seconds * 1000), outputStructType=out,
-            outputMode="Append", timeMode="None" if expire_seconds is None else "ProcessingTime",
+            Cooldown(None if expire_seconds is None else expire_seconds * 1000), outputMode="Append", timeMode="EventTime",
+            outputStructType="capture_id string, dedupe_key string, cooldown string, as_of_us bigint, emitted boolean",
         )
     )
 
 
-class ExportGate(StatefulProcessor):
+class ExportGate(InOrder):
     """Running totals per flow; export when first, grown or due, and close after silence."""
 
-    def __init__(self, min_bytes: int, delta_bytes: int, interval_seconds: int, close_after_ms: int) -> None:
+    value = "packets bigint, bytes bigint, bytes_in bigint, bytes_out bigint"
+    columns = ["capture_id", "flow", "tick", "packets", "bytes", "bytes_in", "bytes_out", "event"]
+
+    def __init__(self, min_bytes: int, delta_bytes: int, interval_seconds: int, close_after: int) -> None:
         self.min_bytes, self.delta = min_bytes, delta_bytes
-        self.interval, self.close_after_ms = max(interval_seconds, 1), close_after_ms
+        self.interval, self.close_after = max(interval_seconds, 1), close_after
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState(
-            "flow", "packets bigint, bytes bigint, bytes_in bigint, bytes_out bigint, sent boolean, last_bytes bigint, last_tick bigint"
-        )
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("tick")
-        held = self.state.get() if self.state.exists() else (0, 0, 0, 0, False, 0, 0)
-        packets, total, inn, out, sent, last_bytes, last_tick = held
-        lines = []
-        for r in frame.itertuples(index=False):
-            packets, total = packets + int(r.packets), total + int(r.bytes)
-            inn, out = inn + int(r.bytes_in), out + int(r.bytes_out)
-            if total < self.min_bytes:
-                continue
-            if not sent or total - last_bytes >= self.delta or r.tick - last_tick >= self.interval:
-                sent, last_bytes, last_tick = True, total, int(r.tick)
-                lines.append((*key, int(r.tick), packets, total, inn, out, "active"))
-        self.state.update((packets, total, inn, out, sent, last_bytes, last_tick))
-        if self.close_after_ms:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.close_after_ms)
-        yield pd.DataFrame(lines, columns=_GATE_COLUMNS)
-
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        """The flow left the visible set: report the end once and forget it."""
-        lines = []
-        if self.state.exists():
-            packets, total, inn, out, sent, _, last_tick = self.state.get()
-            self.state.clear()
-            if sent:
-                lines.append((*key, last_tick, packets, total, inn, out, "closed"))
-        yield pd.DataFrame(lines, columns=_GATE_COLUMNS)
-
-    def close(self) -> None:
-        pass
-
-
-_GATE_COLUMNS = ["capture_id", "flow", "tick", "packets", "bytes", "bytes_in", "bytes_out", "event"]
-
-
-def export_gate(tick_flows: DataFrame, min_bytes: int = C.FLOW_EXPORT_MIN_BYTES,
-                delta_bytes: int = C.FLOW_EXPORT_DELTA_BYTES,
-                interval_seconds: int = C.FLOW_EXPORT_INTERVAL_SECONDS, close_after_seconds: int = 0) -> DataFrame:
-    """Streaming export gate over per-tick flow counters.
+        super().init(handle)
+        self.flow = handle.getValueState("flow", f"{self.value}, sent boolean, last_bytes bigint, last_tick bigint, seen bigint")
+
+    def entries(self, frame):
+        columns = [frame[c].tolist() for c in ("tick", "packets", "bytes", "bytes_in", "bytes_out")]
+        for tick, *counts in zip(*columns):
+            yield (tick * SECOND, 0), tuple(counts)
+
+    def merged(self, old, new):
+        return tuple(a + b for a, b in zip(old, new))
+
+    def settle(self, key, at, value):
+        tick, lines = at // SECOND, []
+        *held, sent, last_bytes, last_tick, seen = self.flow.get() if self.flow.exists() else (0, 0, 0, 0, False, 0, 0, tick)
+        if self.close_after and sent and tick - seen > self.close_after:
+            # rows settle after the silence that closed the flow was passed over in one go
+            lines.append((*key, seen + self.close_after, *held, "closed"))
+            held, sent, last_bytes, last_tick = (0, 0, 0, 0), False, 0, 0
+        held = self.merged(held, value)
+        if held[1] >= self.min_bytes and (not sent or held[1] - last_bytes >= self.delta or tick - last_tick >= self.interval):
+            sent, last_bytes, last_tick = True, held[1], tick
+            lines.append((*key, tick, *held, "active"))
+        self.flow.update((*held, sent, last_bytes, last_tick, tick))
+        if self.close_after:
+            self.handle.registerTimer((tick + self.close_after + 1) * 1000)
+        return lines
+
+    def expire(self, key, now_ms):
+        """The flow has left the visible set: report the end once and forget it."""
+        if not self.close_after or not self.flow.exists():
+            return []
+        *held, sent, _, _, seen = self.flow.get()
+        if (seen + self.close_after + 1) * 1000 > now_ms:
+            return []
+        self.flow.clear()
+        return [(*key, seen + self.close_after, *held, "closed")] if sent else []
+
+
+def export_gate(tick_flows: DataFrame, min_bytes: int = C.FLOW_EXPORT_MIN_BYTES, delta_bytes: int = C.FLOW_EXPORT_DELTA_BYTES,
+                interval_seconds: int = C.FLOW_EXPORT_INTERVAL_SECONDS, close_after_seconds: int = 0, delay: str = "10 seconds") -> DataFrame:
+    """Streaming export gate over per-tick flow counters, out of order by at most ``delay``.
 
     ``tick_flows`` needs ``capture_id, flow`` (any text key), ``tick`` and the
-    four counters.  ``close_after_seconds`` > 0 adds ``closed`` events.
+    four counters; several rows of one flow and tick add up.
+    ``close_after_seconds`` > 0 adds ``closed`` events at the tick at which a flow
+    has been silent so long; a flow that comes back starts anew.
     """
-    out = (
-        "capture_id string, flow string, tick bigint, packets bigint, bytes bigint, bytes_in bigint, bytes_out bigint, event string"
-    )
-    gate = ExportGate(min_bytes, delta_bytes, interval_seconds, close_after_seconds * 1000)
     return (
-        tick_flows.select("capture_id", "flow", "tick", "packets", "bytes", "bytes_in", "bytes_out")
+        timed(tick_flows.select("capture_id", "flow", "tick", "packets", "bytes", "bytes_in", "bytes_out"), f"tick * {SECOND}", delay)
         .groupBy("capture_id", "flow")
         .transformWithStateInPandas(
-            gate, outputStructType=out, outputMode="Append", timeMode="ProcessingTime" if close_after_seconds else "None"
+            ExportGate(min_bytes, delta_bytes, interval_seconds, close_after_seconds), outputMode="Append", timeMode="EventTime",
+            outputStructType="capture_id string, flow string, tick bigint, packets bigint, bytes bigint, bytes_in bigint, bytes_out bigint, event string",
         )
     )
 
 
-class FoldLate(StatefulProcessor):
-    """Open second per capture; a late row counts in the open one."""
+class FoldLate(InOrder):
+    """Open second per capture; a late row counts in the open one. The instant is the sequence number."""
+
+    value = "second bigint, packets bigint, bytes bigint"
+    columns = ["capture_id", "tick", "packets", "bytes"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.open = handle.getValueState("open", "tick bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("first_seq")
-        start = self.open.get()[0] if self.open.exists() else None
-        ticks = frame["second"].cummax()
-        if start is not None:
-            ticks = ticks.clip(lower=start)
-        if len(ticks):
-            self.open.update((int(ticks.iloc[-1]),))
-        merged = frame.assign(tick=ticks).groupby("tick", as_index=False)[["packets", "bytes"]].sum()
-        merged.insert(0, "capture_id", key[0])
-        yield merged[["capture_id", "tick", "packets", "bytes"]]
+    def entries(self, frame):
+        for seq, *row in zip(*[frame[c].tolist() for c in ("first_seq", "second", "packets", "bytes")]):
+            yield ((seq + 1) * 1000, 0), tuple(row)
 
-    def close(self) -> None:
-        pass
+    def settle(self, key, at, value):
+        second, packets, size = value
+        held = self.open.get()[0] if self.open.exists() else second
+        tick = max(held, second)
+        self.open.update((tick,))
+        return [(key[0], tick, packets, size)]
 
 
-def fold_late(runs: DataFrame) -> DataFrame:
+def fold_late(runs: DataFrame, late_seqs: int = 10_000) -> DataFrame:
     """Ticks that never drop late packets.
 
     ``runs(capture_id, first_seq, second, packets, bytes)`` are runs of packets
-    of one second in arrival order (one row per packet is the finest run).
-    Output rows are partial sums per (capture, tick): add them up downstream.
-    State is one number per capture; the reduction to runs happens before the
-    shuffle, so a capture's packets do not pass through one task.
+    of one second (one row per packet is the finest run); they may arrive out of
+    order by up to ``late_seqs`` sequence numbers, which the watermark counts as
+    milliseconds. Output rows are partial sums per (capture, tick): add them up
+    downstream. The reduction to runs happens before the shuffle, so a capture's
+    packets do not pass through one task.
     """
-    out = "capture_id string, tick bigint, packets bigint, bytes bigint"
-    return runs.groupBy("capture_id").transformWithStateInPandas(
-        FoldLate(), outputStructType=out, outputMode="Append", timeMode="None"
+    return (
+        timed(runs.select("capture_id", "first_seq", "second", "packets", "bytes"), "(first_seq + 1) * 1000", f"{late_seqs} milliseconds")
+        .groupBy("capture_id")
+        .transformWithStateInPandas(
+            FoldLate(), outputMode="Append", timeMode="EventTime", outputStructType="capture_id string, tick bigint, packets bigint, bytes bigint",
+        )
     )
 
 
@@ -202,3 +283,220 @@ def arrival_runs(batch: DataFrame, run_seqs: int = 4096) -> DataFrame:
         "capture_id", "seq", F.expr("(ts_us - pmod(ts_us, 1000000)) div 1000000").alias("second"), "packet_len"
     )
     return slim.mapInPandas(collapse, "capture_id string, first_seq bigint, second bigint, packets bigint, bytes bigint")
+
+
+class IdleTicks(StatefulProcessor):
+    """Closes seconds as the clock passes them, those without packets too.
+
+    The clock is the watermark (``event``) or the machine's (``processing``). A
+    timer stands at the end of the next second to close, whether or not anything
+    comes in; when it fires, all seconds up to the clock are closed in order.
+    """
+
+    columns = ["capture_id", "tick", "packets", "bytes", "bytes_in", "bytes_out", "filled"]
+
+    def __init__(self, clock: str, grace_ms: int) -> None:
+        self.processing, self.grace = clock == "processing", grace_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sums = handle.getMapState("sums", "tick bigint", "packets bigint, bytes bigint, bytes_in bigint, bytes_out bigint")
+        self.next = handle.getValueState("next", "tick bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        opened = self.next.get()[0] if self.next.exists() else None
+        lowest = None
+        for frame in rows:
+            sums = frame[frame["packets"] > 0].groupby("second")[["packets", "bytes", "bytes_in", "bytes_out"]].sum()
+            for second, *counts in sums.itertuples():
+                # what is late for a closed second counts in the open one
+                tick = second if opened is None else max(second, opened)
+                lowest = tick if lowest is None else min(lowest, tick)
+                if self.sums.containsKey((tick,)):
+                    counts = [a + b for a, b in zip(self.sums.getValue((tick,)), counts)]
+                self.sums.updateValue((tick,), tuple(int(n) for n in counts))
+        if opened is None and lowest is not None:
+            # until a second is closed, an earlier one may still come and be the first
+            self.handle.registerTimer((lowest + 1) * 1000 + self.grace)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs() if self.processing else timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(k[0] for k in self.sums.keys())
+        if self.next.exists():
+            first = self.next.get()[0]
+        elif waiting:
+            first = waiting[0]
+        else:
+            return
+        end = (now - self.grace) // 1000  # seconds before this one are over
+        counts = {t: tuple(self.sums.getValue((t,))) for t in waiting if t < end}
+        for start in range(first, end, FRAME):
+            ticks = np.arange(start, min(start + FRAME, end))
+            sums = np.zeros((len(ticks), 4), np.int64)
+            real = [t for t in counts if start <= t < start + len(ticks)]
+            for t in real:
+                sums[t - start] = counts[t]
+            frame = pd.DataFrame(sums, columns=self.columns[2:6])
+            yield frame.assign(capture_id=key[0], tick=ticks, filled=~np.isin(ticks, real))[self.columns]
+        for tick in counts:
+            self.sums.removeKey((tick,))
+        following = max(first, end)
+        self.next.update((following,))
+        self.handle.registerTimer((following + 1) * 1000 + self.grace)
+
+    def close(self) -> None:
+        pass
+
+
+def idle_ticks(second_sums: DataFrame, clock: str = "event", delay: str = "10 seconds", grace_ms: int = 0) -> DataFrame:
+    """One row per second of every capture from its first packet on, silent seconds included (``filled``).
+
+    ``second_sums(capture_id, second, packets, bytes, bytes_in, bytes_out)`` are
+    partial sums (:func:`tracequilt.streaming.jobs.second_sums`); rows with no
+    packets only move the clock. On ``event`` time a second closes when the
+    watermark passes it; on ``processing`` time when it has been over for
+    ``grace_ms`` on the machine's clock, with or without input (use a
+    processing-time trigger).
+    """
+    if clock not in ("event", "processing"):
+        raise ValueError("clock must be 'event' or 'processing'")
+    rows = second_sums.select("capture_id", "second", "packets", "bytes", "bytes_in", "bytes_out")
+    rows = timed(rows, f"second * {SECOND}", delay) if clock == "event" else rows
+    return rows.groupBy("capture_id").transformWithStateInPandas(
+        IdleTicks(clock, grace_ms), outputMode="Append", timeMode="EventTime" if clock == "event" else "ProcessingTime",
+        outputStructType="capture_id string, tick bigint, packets bigint, bytes bigint, bytes_in bigint, bytes_out bigint, filled boolean",
+    )
+
+
+class AsOf(InOrder):
+    """Answers questions with the latest observation before them; one key and time slot at a time."""
+
+    value = "id string, value string"
+    columns = ["id", "value"]
+
+    def __init__(self, ttl_us: int) -> None:
+        self.ttl = ttl_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.seen = handle.getValueState("seen", "at bigint, value string")
+
+    def entries(self, frame):
+        # observations (number 0 and below) come before the questions of the same instant
+        for at, number, row, value in zip(*[frame[c].tolist() for c in ("at", "number", "id", "value")]):
+            yield (at, number), (row, value)
+
+    def settle(self, key, at, value):
+        row, seen = value
+        if row is None:
+            self.seen.update((at, seen))
+            self.handle.registerTimer((at + self.ttl) // 1000 + 1)
+            return []
+        held = self.seen.get() if self.seen.exists() else None
+        return [(row, held[1] if held is not None and at - held[0] < self.ttl else None)]
+
+    def expire(self, key, now_ms):
+        if self.seen.exists() and (self.seen.get()[0] + self.ttl) // 1000 + 1 <= now_ms:
+            self.seen.clear()
+        return []
+
+
+def latest_within(events: DataFrame, ttl_seconds: int, delay: str = "10 seconds") -> DataFrame:
+    """Streaming form of :func:`tracequilt.operators.lookup.latest_within`, a cache with a time to live.
+
+    ``events(key, at, id, value)`` are observations (null ``id``) and questions
+    (unique ``id``) in one stream, out of order by at most ``delay``. A question
+    gets the latest observation of its key not after it and younger than the TTL.
+    Keys are cut into slots of one TTL, an observation being filed under its own
+    and the next, so a hot key is spread over its slots and a slot's state ends
+    with its TTL. Gives ``id, value``.
+    """
+    ttl = ttl_seconds * SECOND
+    slots = f"explode(CASE WHEN id IS NULL THEN array(at div {ttl}, at div {ttl} + 1) ELSE array(at div {ttl}) END) AS slot"
+    rows = timed(events.select("key", "at", "id", "value"), "at", delay)
+    numbered = rows.selectExpr("*", slots, "CASE WHEN id IS NULL THEN 0L ELSE 1L + (xxhash64(id) & 9223372036854775806L) END AS number")
+    return numbered.groupBy("key", "slot").transformWithStateInPandas(
+        AsOf(ttl), outputMode="Append", timeMode="EventTime", outputStructType="id string, value string",
+    )
+
+
+class PartRank(StatefulProcessor):
+    """The best ``k`` rows of one part of a capture's keys, kept as keys' counters grow."""
+
+    def __init__(self, k: int) -> None:
+        self.k = k
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.best = handle.getMapState("best", "key string", "bytes bigint, packets bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        held = {k[0]: tuple(v) for k, v in self.best.iterator()}
+        before = dict(held)
+        for frame in rows:
+            for name, size, packets in zip(*[frame[c].tolist() for c in ("key", "bytes", "packets")]):
+                if name not in held or held[name] < (size, packets):
+                    held[name] = (size, packets)
+            # counters only grow, so what is not among the best now cannot be without a new row
+            held = dict(sorted(held.items(), key=lambda e: (-e[1][0], -e[1][1], e[0]))[: self.k])
+        changed = [(*key, name, *held[name]) for name in held if before.get(name) != held[name]]
+        for name in before.keys() - held.keys():
+            self.best.removeKey((name,))
+        for _, _, name, *value in changed:
+            self.best.updateValue((name,), tuple(value))
+        if changed:
+            yield pd.DataFrame(changed, columns=["capture_id", "part", "key", "bytes", "packets"])
+
+    def close(self) -> None:
+        pass
+
+
+class WholeRank(StatefulProcessor):
+    """The best ``k`` of a capture from the changes of its parts; published whole when it changes."""
+
+    def __init__(self, k: int) -> None:
+        self.k = k
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.best = handle.getMapState("best", "key string", "bytes bigint, packets bigint")
+        self.version = handle.getValueState("version", "n bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        held = {k[0]: tuple(v) for k, v in self.best.iterator()}
+        before = dict(held)
+        for frame in rows:
+            for name, size, packets in zip(*[frame[c].tolist() for c in ("key", "bytes", "packets")]):
+                held[name] = max(held.get(name, (0, 0)), (size, packets))
+            held = dict(sorted(held.items(), key=lambda e: (-e[1][0], -e[1][1], e[0]))[: self.k])
+        if held == before:
+            return
+        for name in before.keys() - held.keys():
+            self.best.removeKey((name,))
+        for name, value in held.items():
+            self.best.updateValue((name,), value)
+        version = self.version.get()[0] + 1 if self.version.exists() else 1
+        self.version.update((version,))
+        rows = [(key[0], version, n + 1, name, *value) for n, (name, value) in enumerate(held.items())]
+        yield pd.DataFrame(rows, columns=["capture_id", "version", "rank", "key", "bytes", "packets"])
+
+    def close(self) -> None:
+        pass
+
+
+def running_top(changes: DataFrame, k: int, parts: int = 32) -> DataFrame:
+    """Every capture's ``k`` keys with most bytes, then packets, then first by ``key``; published whenever they change.
+
+    ``changes(capture_id, key, bytes, packets)`` are the running counters of keys
+    that have changed; counters never fall. Each part of the keys (by hash) holds
+    its own best ``k`` in state, and only changes among those go on to the
+    capture's ranking, so no task sees all keys of a capture. The last
+    ``version`` of a capture is its ranking.
+    """
+    dealt = changes.select("capture_id", F.expr(f"pmod(xxhash64(key), {parts})").cast("int").alias("part"), "key", "bytes", "packets")
+    partial = dealt.groupBy("capture_id", "part").transformWithStateInPandas(
+        PartRank(k), outputMode="Append", timeMode="None", outputStructType="capture_id string, part int, key string, bytes bigint, packets bigint",
+    )
+    return partial.groupBy("capture_id").transformWithStateInPandas(
+        WholeRank(k), outputMode="Append", timeMode="None",
+        outputStructType="capture_id string, version bigint, rank bigint, key string, bytes bigint, packets bigint",
+    )
