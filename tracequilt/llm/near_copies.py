@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tracequilt.llm.common import keyed_text, text_of
 from tracequilt.llm.components import connected_components
 from tracequilt.llm.ranks import join_unique
-from tracequilt.llm.simhash import LOWER, SEED, covering_masks
+from tracequilt.llm.simhash import LOWER, SEED
 from tracequilt.runtime import materialize
 
 SHINGLE_WORDS = 5
@@ -85,6 +85,17 @@ def _marked(docs: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, key long, key2 long, a long, b long").withColumn("node", F.xxhash64("a", "b"))
 
 
+def masks_over(radius: int, positions: list[int], seed: int) -> list[int]:
+    """Covering masks over bit positions.
+
+    Every position gets one of the ``2 ** (radius + 1) - 1`` vectors other than zero,
+    drawn from all of them: vectors of a smaller space would leave masks without any bit.
+    """
+    size = 1 << (radius + 1)
+    vectors = np.resize(np.random.default_rng(seed).permutation(np.arange(1, size)), len(positions)).tolist()
+    return [sum(1 << p for p, m in zip(positions, vectors) if (m & v).bit_count() & 1) for v in range(1, size)]
+
+
 def tables(documents: int) -> list[tuple[int, int]]:
     """The masks of both longs of a fingerprint, one pair for each table.
 
@@ -95,7 +106,7 @@ def tables(documents: int) -> list[tuple[int, int]]:
     width = min(64, max(32, 2 * (max(documents, 1).bit_length() - 2)))
     radius, signed = math.ceil(COVERED * width), lambda m: m - (1 << 64) if m >> 63 else m
     bits = np.concatenate([np.random.default_rng(i).permutation(128) for i in range(2)]).tolist()
-    masks = [m for i in range(4) for m in covering_masks(radius - i // 2, bits[i * width : (i + 1) * width], seed=i)]
+    masks = [m for i in range(4) for m in masks_over(radius - i // 2, bits[i * width : (i + 1) * width], seed=i)]
     return [(signed(m & (1 << 64) - 1), signed(m >> 64)) for m in masks]
 
 
@@ -198,7 +209,7 @@ def links(docs: DataFrame, distinct: DataFrame, similarity: float = SIMILARITY,
 def _checked(left: DataFrame, docs: DataFrame, distinct: DataFrame, found: DataFrame | None, roots: DataFrame, similarity: float, words: int) -> tuple:
     """All true links, and the components they give.
 
-    Candidates are checked nearest first, in rounds of 4, 8, 16 ... of a node;
+    Candidates are checked nearest first, in rounds of 4, 16, 64 ... of a node;
     those whose ends are joined by then need no check. All others get one.
     """
     if left.isEmpty():
@@ -218,7 +229,7 @@ def _checked(left: DataFrame, docs: DataFrame, distinct: DataFrame, found: DataF
         first, second = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "uv")
         rest = ranked.where(F.col("rank") > most).join(first, "u", "left").join(second, "v", "left")
         left = materialize(rest.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v", "apart"), "pairs")
-        most *= 2
+        most *= 4
     return found, roots
 
 
