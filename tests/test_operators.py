@@ -8,7 +8,7 @@ from helpers import packets
 
 from tracequilt import constants as C, schema
 from tracequilt.functions import cef, clock, ip, text
-from tracequilt.operators import aggregates as agg, classify, enrich, export, findings as fnd, gates, inspect as ins, ranking, ticks
+from tracequilt.operators import aggregates as agg, classify, enrich, export, findings as fnd, gates, inspect as ins, patterns, ranking, ticks
 from tracequilt.operators.rollup import rollup
 
 SEC = 1_000_000
@@ -403,3 +403,19 @@ def test_ticks_of_a_long_capture_in_linear_time(spark):
     seconds = sorted(want)
     nexts = [*seconds[1:], seconds[-1] + 1]
     assert got == [(s, want[s], i + 1, n - s - 1) for i, (s, n) in enumerate(zip(seconds, nexts))]
+
+
+def test_pattern_tables_equal_a_direct_search(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice([None, "", "Ab.Example", "xéy"]), "".join(rng.choice("abé.") for _ in range(rng.randint(0, 9)))) for i in range(200)]
+    listed = [None, "  ", " AB ", "ab", "é.", "example", "b.b"] + ["".join(rng.choice("abé.") for _ in range(3)) for _ in range(30)]
+    table = spark.createDataFrame(rows, "id long, one string, two string").repartition(3)
+    want = {}
+    for i, *texts in rows:
+        hits = sorted({p.strip().lower() for p in listed if p and p.strip() and any(p.strip().lower() in (t or "").lower() for t in texts)})
+        if hits:
+            want[i] = hits
+    for limit in (1 << 20, 20):  # one block, and a pass for every few patterns
+        found = patterns.watched(table, {"one": "one", "two": "two"}, patterns.pattern_table(spark.createDataFrame([(p,) for p in listed], "pattern string")), limit)
+        assert {r.id: r.patterns for r in found.collect()} == want and found.columns == [*table.columns, "patterns"]
+    assert patterns.watched(table, {"one": "one"}, patterns.pattern_table(spark.createDataFrame([], "pattern string"))).count() == 0

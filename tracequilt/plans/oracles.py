@@ -633,4 +633,11 @@ def oracles() -> dict[str, str]:
         q[name] = q[table]
     q["stream_export_gate"] = f"SELECT * EXCLUDE (sni) FROM ({q['export_gate']})"
     q["stream_fold_late"] = f"SELECT capture_id, tick, packets, bytes FROM ({q['tick_totals']})"
+    q["host_rows"] = with_(d_cte(), H_CTE, G_CTE) + """SELECT h.capture_id, h.host, h.packets, h.bytes, g.label AS country_label, '' AS hostname, g.org AS asn_organization,
+      g.asn_label, coalesce(h.sni, '') AS sni, CAST(g.asn AS BIGINT) AS asn_number FROM h JOIN g ON g.ip = h.host"""
+    q["service_rows"] = with_(d_cte(), S_CTE) + "SELECT capture_id, service AS name, proto AS transport, packets, bytes FROM s"
+    q["watch_table_hosts"] = with_(d_cte(), H_CTE) + """, pat AS (SELECT DISTINCT lower(trim(x)) AS p FROM (SELECT unnest(['8.8.8', 'H1.example', '210.140.92.187']) AS x
+        UNION ALL SELECT 'Order-' || CAST(o_orderkey AS STRING) || '.invalid' FROM orders UNION ALL SELECT ' 10.0.' || CAST(s_suppkey % 256 AS STRING) || '.' FROM supplier))
+      SELECT h.capture_id, h.host, CAST(count(DISTINCT p) AS BIGINT) AS n_patterns, string_agg(DISTINCT p, '|' ORDER BY p) AS patterns
+      FROM h JOIN pat ON contains(h.host, p) OR contains(lower(coalesce(h.sni, '')), p) GROUP BY h.capture_id, h.host"""
     return q

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from .. import constants as C, schema
 from ..functions import cef, clock, ip, octets, text
 from ..operators import aggregates as agg
-from ..operators import classify, decode, enrich, export, findings as fnd, gates, inspect as ins, ranking, ticks
+from ..operators import classify, decode, enrich, export, findings as fnd, gates, inspect as ins, patterns, ranking, ticks
 from ..operators.findings import Policy, Session
 from ..operators.rollup import rollup
 from ..runtime import materialize, scratch_path
@@ -699,15 +699,32 @@ def pcap_round_trip(spark, sf):
 
 
 
-# ---- streaming ----------------------------------------------------------------
+# ---- display rows and lists as tables ------------------------------------------
+
+@query
+def host_rows(spark, sf):
+    hosts = agg.hosts(_rows(spark, sf))
+    return ins.host_rows(enrich.add_asn(enrich.add_country(hosts, "host_bin", dim.geo_country(spark)), "host_bin", dim.geo_asn(spark)))
+
+
+@query
+def service_rows(spark, sf):
+    return ins.service_rows(agg.services(_rows(spark, sf)))
+
 
-def _packet_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """``events`` as a packet stream; the same derivation as in batch."""
-    columns = spark.read.parquet(f"{sf}/events.parquet").schema
-    source = spark.readStream.schema(columns).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return schema.conform_packets(packets_from_events(source))
+@query
+def watch_table_hosts(spark, sf):
+    """Hosts by a watch list with one entry per order and supplier, next to the policy's own entries."""
+    orders, suppliers = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("orders", "supplier"))
+    own = spark.createDataFrame([(p,) for p in (*POLICY.watched_hosts, *POLICY.bad_hosts)], "pattern string")
+    listed = own.union(orders.selectExpr("concat('Order-', o_orderkey, '.invalid')")).union(suppliers.selectExpr("concat(' 10.0.', s_suppkey % 256, '.')"))
+    hosts = agg.hosts(_rows(spark, sf))
+    found = patterns.watched(hosts, {"host": ip.to_text("host_bin"), "sni": "sni"}, patterns.pattern_table(listed))
+    return _named(found.select("capture_id", "host_bin", F.size("patterns").cast("bigint").alias("n_patterns"), F.concat_ws("|", "patterns").alias("patterns")))
 
 
+# ---- streaming ----------------------------------------------------------------
+
 def _drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream to its end and read what it wrote."""
     spark = stream.sparkSession
@@ -724,7 +741,7 @@ def _drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 @query
 def stream_ticks(spark, sf):
     """One-second ticks of the whole stream: late packets and the last second included."""
-    closed = _drain(jobs.stream_ticks(_packet_stream(spark, sf), offline=True, delay=None), "ticks", "complete")
+    closed = _drain(jobs.stream_ticks(_event_stream(spark, sf), offline=True, delay=None), "ticks", "complete")
     return closed.groupBy("capture_id").agg(
         F.count(F.lit(1)).alias("ticks"), F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"),
         F.sum("bytes_in").alias("bytes_in"), F.sum("bytes_out").alias("bytes_out"),
@@ -733,12 +750,12 @@ def stream_ticks(spark, sf):
 
 @query
 def stream_running_totals(spark, sf):
-    return _drain(jobs.running_totals(_packet_stream(spark, sf)), "totals", "complete")
+    return _drain(jobs.running_totals(_event_stream(spark, sf)), "totals", "complete")
 
 
 @query
 def stream_running_services(spark, sf):
-    return _drain(jobs.running_services(_packet_stream(spark, sf), offline=True), "services", "complete")
+    return _drain(jobs.running_services(_event_stream(spark, sf), offline=True), "services", "complete")
 
 
 STAGES = 3
