@@ -51,3 +51,37 @@ def test_groups_ids_and_repeated_rows(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["5", "8", "None"]
     assert near_copies.keep_one(docs.limit(0)).count() == 0
+
+
+def test_large_buckets_lose_no_link(spark):
+    """Eighty kinds of one text, too far apart to be copies yet near enough to share buckets, each with a close copy."""
+    base, rows = corpus.prose(77, 300), []
+    for i in range(80):
+        kind = edited(base, 14, i)
+        rows += [(2 * i, kind), (2 * i + 1, edited(kind, 1, 1000 + i))]
+    texts = dict(rows)
+    assert all(jaccard(texts[2 * i], texts[2 * i + 1]) >= 0.8 for i in range(80))
+    assert all(jaccard(texts[0], texts[2 * i]) < 0.8 for i in range(1, 80))
+    kept = sorted(r["doc_id"] for r in near_copies.keep_one(corpus.table(spark, rows)).collect())
+    assert kept == [2 * i for i in range(80)]
+
+
+def test_no_mask_is_empty_and_pairs_within_the_radius_meet():
+    rng = random.Random(3)
+    for radius, width in ((5, 32), (4, 32), (6, 40), (10, 64)):
+        places = rng.sample(range(128), width)
+        masks = near_copies.masks_over(radius, places, seed=1)
+        assert len(set(masks)) == len(masks) == 2 ** (radius + 1) - 1 and all(masks)
+        for _ in range(200):
+            apart = sum(1 << p for p in rng.sample(places, radius))
+            assert any(not m & apart for m in masks)
+
+
+def test_strangers_meet_the_whole_bucket(spark):
+    """Members beyond the leaders that are joined to no other meet every member; those joined to most do not meet each other."""
+    rows = [(1, i, 0, 1 << i % 20) for i in range(60)]
+    rest = spark.createDataFrame(rows, "bucket long, node long, a long, b long")
+    roots = spark.createDataFrame([(i, 0) for i in range(57)], "node long, root long")
+    got = {(r.u, r.v) for r in near_copies.strangers(rest, roots).collect()}
+    want = {(max(i, j), min(i, j)) for i in (57, 58, 59) for j in range(60) if i != j}
+    assert got == want

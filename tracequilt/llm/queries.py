@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tracequilt.llm import (
-    conversation_trie, license_scan, merkle, mixing, packing, prefix_hashes, quality, secret_scan, simhash, suffix_levels, suffix_search,
+    conversation_trie, license_scan, merkle, mixing, packing, prefix_hashes, quality, secret_scan, simhash, structure_sql, suffix_levels, suffix_search,
     token_files, url_filter,
 )
 from tracequilt.llm.common import documents
@@ -87,4 +87,7 @@ ORACLES: dict[str, str] = {
     "op3_mixing": mixing.oracle(),
     "op5_url_filter": url_filter.oracle(URL_RULES),
     "op8_quality": quality.oracle(),
+    "op11_merkle_manifest": structure_sql.merkle(),
+    "op12_conversation_trie": structure_sql.trie(),
+    "op13_decontamination": structure_sql.decontamination(),
 }
