@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -54,3 +55,53 @@ def test_run_over_the_given_table(spark, tmp_path):
     assert got.select("doc_id").distinct().count() == 41
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality rules", "SimHash near-dedup", "secret scans", "mixing sources to target weights", "packing"]
+
+
+def test_run_equals_a_direct_version(spark, tmp_path):
+    """All stages in plain Python: known bad lines, exact similarity in chains, redaction, the tokenizer; then every id in exactly one place."""
+    from test_near_copies import jaccard
+    from test_quality_rules import brute
+
+    def edited(text, edits, seed):
+        """Other words inside the lines; their ends stay, as a line without one is no prose."""
+        words = text.split(" ")
+        inner = [i for i, w in enumerate(words) if "." not in w]
+        for k, at in enumerate(random.Random(seed).sample(inner, edits)):
+            words[at] = f"changed{seed}x{k}"
+        return " ".join(words)
+
+    bad = ["All rights reserved.", "Home | News | About | Contact"]
+    rows = sample() + [(300 + i, edited(corpus.prose(i, 120), 1, i), "near") for i in range(12)] + [(320 + i, edited(corpus.prose(i, 120), 20, i), "far") for i in range(6)]
+    rows += [(340 + i, corpus.prose(600 + i, 80) + "\n" + bad[i % 2], "src0") for i in range(4)] + [(350, corpus.prose(600, 80), "src3")]
+    corpus.table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    kept = {}
+    for doc, text, _ in rows:
+        if not brute(text)[-1]:
+            kept[doc] = "\n".join(line for line in text.split("\n") if line not in bad)
+    group = {d: d for d in kept}
+    for d in sorted(kept):
+        for e in sorted(kept):
+            if d < e and (kept[d] == kept[e] or jaccard(kept[d], kept[e]) >= 0.8):
+                old, new = max(group[d], group[e]), min(group[d], group[e])
+                group = {k: new if g == old else g for k, g in group.items()}
+    want = {}
+    for d in {g for g in group.values()}:
+        text = secret_scan.redacted(kept[d], secret_scan.find_secrets(kept[d]), "[SECRET]")
+        want[d] = whole(WORDS)(text) + [1]
+    assert len(want) < len(kept) < len(rows)
+    places, got = defaultdict(list), defaultdict(list)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+        got[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
+    assert set(got) == set(want)
+    for d, pieces in got.items():
+        at = 0
+        for start, length, crc, total in sorted(pieces):
+            assert start == at and total == len(want[d]) and crc == zlib.crc32(np.array(want[d][start : start + length], "<u4").tobytes())
+            at += length
+        assert at == len(want[d])
+    for spans in places.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at and at + length <= 2048
+            at += length
