@@ -199,21 +199,21 @@ def links(docs: DataFrame, distinct: DataFrame, similarity: float = SIMILARITY,
     near, rest = candidates(distinct)
     near = materialize(near, "pairs")
     roots = connected_components(near.select("u", "v").limit(0))
-    found, roots = _checked(near, docs, distinct, None, roots, similarity, words)
+    roots = _checked(near, docs, distinct, roots, similarity, words)
     if not rest.isEmpty():
         near = materialize(strangers(rest, roots), "pairs")
-        _, roots = _checked(near, docs, distinct, found, roots, similarity, words)
+        roots = _checked(near, docs, distinct, roots, similarity, words)
     return roots
 
 
-def _checked(left: DataFrame, docs: DataFrame, distinct: DataFrame, found: DataFrame | None, roots: DataFrame, similarity: float, words: int) -> tuple:
-    """All true links, and the components they give.
+def _checked(left: DataFrame, docs: DataFrame, distinct: DataFrame, roots: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The components that the true links among the candidates make of those so far.
 
     Candidates are checked nearest first, in rounds of 4, 16, 64 ... of a node;
     those whose ends are joined by then need no check. All others get one.
     """
     if left.isEmpty():
-        return found, roots
+        return roots
     sets = materialize(_sets(docs, distinct, left, words), "shingles")
     common, most = F.size(F.array_intersect("x", "y")), 4
     while not left.isEmpty():
@@ -224,13 +224,13 @@ def _checked(left: DataFrame, docs: DataFrame, distinct: DataFrame, found: DataF
             .join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
         )
         true = materialize(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("u", "v"), "true")
-        found = true if found is None else found.union(true)
-        roots = connected_components(found)
+        # a component so far is a star on its root, so only the new links are left to contract
+        roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(true))
         first, second = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "uv")
         rest = ranked.where(F.col("rank") > most).join(first, "u", "left").join(second, "v", "left")
         left = materialize(rest.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v", "apart"), "pairs")
         most *= 4
-    return found, roots
+    return roots
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS) -> DataFrame:
