@@ -1,9 +1,11 @@
 """Stateful operators on ``transformWithState`` (RocksDB state store).
 
-Rows may come late and out of order: they wait in state under their instant until
-the watermark has passed it, then an event-time timer hands them on in order.
-Input is taken one Arrow chunk at a time and no group is ever gathered, so a
-task's memory follows the rows that wait for the watermark.
+Rows may come late and out of order: they wait in state until the watermark has
+passed their instant, then an event-time timer hands them on in order. A call to
+the state store costs as much as thousands of rows, so rows wait in the Arrow
+chunks they came in, one entry each, and many keys share a group: state is dealt by
+a hash of the key into ``PARTS``. Input is taken one chunk at a time; a task's
+memory follows the rows of one group that the watermark has passed.
 
 Only rows move the watermark. A capture that falls silent is carried on by clock
 rows (:func:`tracequilt.streaming.jobs.with_clock`) or, on processing time, by
@@ -13,9 +15,11 @@ timers that need no input at all.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -25,6 +29,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 SECOND = 1_000_000
 #: Rows of one output frame.
 FRAME = 10_000
+#: Groups that keys share.
+PARTS = 256
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -39,96 +45,202 @@ def timed(rows: DataFrame, micros: str, delay: str) -> DataFrame:
     return rows.withColumn("ts", F.expr(f"timestamp_micros({micros})")).withWatermark("ts", delay)
 
 
+def _pack(frame: pd.DataFrame) -> bytes:
+    batch, sink = pa.RecordBatch.from_pandas(frame, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(held: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(held)).read_pandas()
+
+
+def _framed(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Output rows as frames of bounded length."""
+    while chunk := list(islice(rows, FRAME)):
+        yield pd.DataFrame(chunk, columns=columns)
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Add ``part``, the group that holds the state of a key."""
+    return rows.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int"))
+
+
 class InOrder(StatefulProcessor):
-    """Base: rows wait under (instant in microseconds, number) and are settled in that order.
+    """Base: rows wait in chunks and are settled in the order of their instants.
 
-    A subclass names the state's ``value`` schema and the ``columns`` it gives,
-    turns a frame into waiting rows (``entries``) and settles one due row
-    (``settle``), which returns its output rows.
+    A subclass keeps ``fields`` of a chunk, gives every row's instant in
+    microseconds (``instants``) and settles the due rows of all keys of a group
+    (``settle``), which come in the order of their arrival.
     """
 
-    value = ""
-    columns: list[str] = []
+    fields: list[str] = []
+    #: Milliseconds that a second stays open after its end.
+    grace = 0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at bigint, number bigint", self.value)
+        # the earliest second and the number of a chunk
+        self.waiting = handle.getMapState("waiting", "second bigint, number bigint", "rows binary")
+        self.chunks = handle.getValueState("chunks", "n bigint")
 
-    def entries(self, frame: pd.DataFrame) -> Iterator[tuple[tuple[int, int], tuple]]:
+    def instants(self, frame: pd.DataFrame) -> pd.Series:
         raise NotImplementedError
 
-    def merged(self, old: tuple, new: tuple) -> tuple:
-        """Two rows of one instant and number; the later replaces the earlier."""
-        return new
-
-    def settle(self, key: tuple, at: int, value: tuple) -> list[tuple]:
+    def settle(self, key: tuple, due: pd.DataFrame, now_ms: int) -> Iterator[pd.DataFrame]:
         raise NotImplementedError
 
-    def expire(self, key: tuple, now_ms: int) -> list[tuple]:
-        """What a timer does apart from settling rows."""
-        return []
+    def clock(self, timer_values) -> int:
+        return timer_values.getCurrentWatermarkInMs()
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        seconds = set()
+    def hold(self, rows: Iterator[pd.DataFrame]) -> int | None:
+        """Store chunks; the earliest second among them."""
+        number = self.chunks.get()[0] if self.chunks.exists() else 0
+        lowest = None
         for frame in rows:
-            for where, value in self.entries(frame):
-                if self.waiting.containsKey(where):
-                    value = self.merged(tuple(self.waiting.getValue(where)), value)
-                self.waiting.updateValue(where, value)
-                seconds.add(where[0] // SECOND)
-        for second in seconds:
-            self.handle.registerTimer((second + 1) * 1000)
+            if len(frame):
+                second = int(self.instants(frame).min()) // SECOND
+                self.waiting.updateValue((second, number), (_pack(frame[self.fields]),))
+                lowest, number = second if lowest is None else min(lowest, second), number + 1
+        if lowest is not None:
+            self.chunks.update((number,))
+        return lowest
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        lowest = self.hold(rows)
+        if lowest is not None:
+            self.wake((lowest + 1) * 1000)
         yield from ()
 
+    def due(self, now_ms: int) -> tuple[pd.DataFrame | None, int | None]:
+        """Take the rows whose second is over out of state; also the earliest second that still waits."""
+        end = (now_ms - self.grace) // 1000
+        found, later = [], []
+        for second, number in sorted((tuple(k) for k in self.waiting.keys()), key=lambda k: k[1]):
+            if second >= end:
+                later.append(second)
+                continue
+            frame = _unpack(self.waiting.getValue((second, number))[0])
+            seconds = self.instants(frame) // SECOND
+            over = seconds < end
+            found.append(frame[over])
+            self.waiting.removeKey((second, number))
+            if not over.all():
+                rest = int(seconds[~over].min())
+                self.waiting.updateValue((rest, number), (_pack(frame[~over]),))
+                later.append(rest)
+        return pd.concat(found, ignore_index=True) if found else None, min(later, default=None)
+
+    def wake(self, at_ms: int) -> None:
+        self.handle.registerTimer(at_ms)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        due = sorted(tuple(k) for k in self.waiting.keys() if (k[0] // SECOND + 1) * 1000 <= now)
-        out: list[tuple] = []
-        for where in due:
-            value = tuple(self.waiting.getValue(where))
-            self.waiting.removeKey(where)
-            out += self.settle(key, where[0], value)
-            if len(out) >= FRAME:
-                yield pd.DataFrame(out, columns=self.columns)
-                out = []
-        out += self.expire(key, now)
-        if out:
-            yield pd.DataFrame(out, columns=self.columns)
+        now = self.clock(timerValues)
+        due, later = self.due(now)
+        if due is not None:
+            yield from self.settle(key, due, now)
+        if later is not None:
+            self.wake((later + 1) * 1000)
+        yield from self.expire(key, now)
+
+    def expire(self, key: tuple, now_ms: int) -> Iterator[pd.DataFrame]:
+        """What a timer does apart from settling rows."""
+        yield from ()
 
     def close(self) -> None:
         pass
 
 
-class Cooldown(InOrder):
+class Keyed(InOrder):
+    """Base: a group's keys each have a small state (``held``), a tuple of ``state`` columns; all are stored as one chunk."""
+
+    keys: list[str] = []
+    state: list[str] = []
+    columns: list[str] = []
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.store = handle.getValueState("held", "rows binary")
+
+    def load(self) -> dict[tuple, tuple]:
+        if not self.store.exists():
+            return {}
+        n = len(self.keys)
+        return {row[:n]: row[n:] for row in _unpack(self.store.get()[0]).itertuples(index=False, name=None)}
+
+    def save(self, held: dict[tuple, tuple]) -> None:
+        if held:
+            self.store.update((_pack(pd.DataFrame([(*k, *v) for k, v in held.items()], columns=[*self.keys, *self.state])),))
+        elif self.store.exists():
+            self.store.clear()
+
+    def ordered(self, due: pd.DataFrame) -> Iterator[tuple[tuple, int, tuple]]:
+        """Key, instant and values of each due row in order."""
+        raise NotImplementedError
+
+    def settle_row(self, held: dict[tuple, tuple], key: tuple, at: int, value: tuple) -> list[tuple]:
+        raise NotImplementedError
+
+    def ends_ms(self, held: tuple) -> int | None:
+        """When the watermark may forget a key's state."""
+        return None
+
+    def ended(self, key: tuple, held: tuple) -> list[tuple]:
+        return []
+
+    def settle(self, key, due, now_ms):
+        held = self.load()
+        yield from _framed((line for row in self.ordered(due) for line in self.settle_row(held, *row)), self.columns)
+        self.save(held)
+
+    def expire(self, key, now_ms):
+        if self.ends_ms((0,) * len(self.state)) is None:
+            return
+        held, out, following = self.load(), [], None
+        for name, value in list(held.items()):
+            end = self.ends_ms(value)
+            if end <= now_ms:
+                out += self.ended(name, held.pop(name))
+            else:
+                following = end if following is None else min(following, end)
+        if out:
+            yield from _framed(iter(out), self.columns)
+        self.save(held)
+        if following is not None:
+            self.wake(following)
+
+
+def _rows(frame: pd.DataFrame, columns: list[str]) -> Iterator[tuple]:
+    return zip(*[frame[c].tolist() for c in columns])
+
+
+class Cooldown(Keyed):
     """Emit an occurrence unless its key was emitted less than its cooldown before."""
 
-    value = "cooldown string"
-    columns = ["capture_id", "dedupe_key", "cooldown", "as_of_us", "emitted"]
+    keys, state = ["capture_id", "dedupe_key"], ["us"]
+    fields = ["capture_id", "dedupe_key", "cooldown", "as_of_us"]
+    columns = [*fields, "emitted"]
 
     def __init__(self, expire_ms: int | None) -> None:
         self.expire_ms = expire_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.last = handle.getValueState("last", "us bigint")
+    def instants(self, frame):
+        return frame["as_of_us"]
 
-    def entries(self, frame):
-        for at, name in zip(frame["as_of_us"].tolist(), frame["cooldown"].tolist()):
-            yield (at, 0), (name,)
+    def ordered(self, due):
+        last = due.drop_duplicates([*self.keys, "as_of_us"], keep="last").sort_values("as_of_us", kind="stable")
+        for capture, name, kind, at in _rows(last, self.fields):
+            yield (capture, name), at, (kind,)
 
-    def settle(self, key, at, value):
-        last = self.last.get()[0] if self.last.exists() else None
-        fresh = last is None or at - last >= C.COOLDOWN_SECONDS[value[0]] * SECOND
+    def settle_row(self, held, key, at, value):
+        fresh = key not in held or at - held[key][0] >= C.COOLDOWN_SECONDS[value[0]] * SECOND
         if fresh:
-            self.last.update((at,))
-            if self.expire_ms is not None:
-                self.handle.registerTimer(at // 1000 + self.expire_ms)
+            held[key] = (at,)
         return [(*key, value[0], at, fresh)]
 
-    def expire(self, key, now_ms):
-        if self.expire_ms is not None and self.last.exists() and self.last.get()[0] // 1000 + self.expire_ms <= now_ms:
-            self.last.clear()
-        return []
+    def ends_ms(self, held):
+        return None if self.expire_ms is None else held[0] // 1000 + self.expire_ms
 
 
 def cooldown(occurrences: DataFrame, delay: str = "10 seconds", expire_seconds: int | None = None) -> DataFrame:
@@ -139,63 +251,54 @@ def cooldown(occurrences: DataFrame, delay: str = "10 seconds", expire_seconds:
     """
     if expire_seconds is not None and expire_seconds <= max(C.COOLDOWN_SECONDS.values()):
         raise ValueError("expire_seconds must exceed the longest cooldown")
-    return (
-        timed(occurrences.select("capture_id", "dedupe_key", "cooldown", "as_of_us"), "as_of_us", delay)
-        .groupBy("capture_id", "dedupe_key")
-        .transformWithStateInPandas(
-            Cooldown(None if expire_seconds is None else expire_seconds * 1000), outputMode="Append", timeMode="EventTime",
-            outputStructType="capture_id string, dedupe_key string, cooldown string, as_of_us bigint, emitted boolean",
-        )
+    rows = timed(occurrences.select("capture_id", "dedupe_key", "cooldown", "as_of_us"), "as_of_us", delay)
+    return dealt(rows, "capture_id", "dedupe_key").groupBy("part").transformWithStateInPandas(
+        Cooldown(None if expire_seconds is None else expire_seconds * 1000), outputMode="Append", timeMode="EventTime",
+        outputStructType="capture_id string, dedupe_key string, cooldown string, as_of_us bigint, emitted boolean",
     )
 
 
-class ExportGate(InOrder):
+class ExportGate(Keyed):
     """Running totals per flow; export when first, grown or due, and close after silence."""
 
-    value = "packets bigint, bytes bigint, bytes_in bigint, bytes_out bigint"
-    columns = ["capture_id", "flow", "tick", "packets", "bytes", "bytes_in", "bytes_out", "event"]
+    keys, counts = ["capture_id", "flow"], ["packets", "bytes", "bytes_in", "bytes_out"]
+    state = [*counts, "sent", "last_bytes", "last_tick", "seen"]
+    fields = [*keys, "tick", *counts]
+    columns = [*fields, "event"]
 
     def __init__(self, min_bytes: int, delta_bytes: int, interval_seconds: int, close_after: int) -> None:
         self.min_bytes, self.delta = min_bytes, delta_bytes
         self.interval, self.close_after = max(interval_seconds, 1), close_after
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.flow = handle.getValueState("flow", f"{self.value}, sent boolean, last_bytes bigint, last_tick bigint, seen bigint")
-
-    def entries(self, frame):
-        columns = [frame[c].tolist() for c in ("tick", "packets", "bytes", "bytes_in", "bytes_out")]
-        for tick, *counts in zip(*columns):
-            yield (tick * SECOND, 0), tuple(counts)
+    def instants(self, frame):
+        return frame["tick"] * SECOND
 
-    def merged(self, old, new):
-        return tuple(a + b for a, b in zip(old, new))
+    def ordered(self, due):
+        whole = due.groupby([*self.keys, "tick"], as_index=False, dropna=False, sort=False)[self.counts].sum()
+        for capture, flow, tick, *counts in _rows(whole.sort_values("tick", kind="stable"), self.fields):
+            yield (capture, flow), tick, tuple(counts)
 
-    def settle(self, key, at, value):
-        tick, lines = at // SECOND, []
-        *held, sent, last_bytes, last_tick, seen = self.flow.get() if self.flow.exists() else (0, 0, 0, 0, False, 0, 0, tick)
-        if self.close_after and sent and tick - seen > self.close_after:
+    def settle_row(self, held, key, at, value):
+        lines = []
+        *totals, sent, last_bytes, last_tick, seen = held.get(key, (0, 0, 0, 0, False, 0, 0, at))
+        if self.close_after and sent and at - seen > self.close_after:
             # rows settle after the silence that closed the flow was passed over in one go
-            lines.append((*key, seen + self.close_after, *held, "closed"))
-            held, sent, last_bytes, last_tick = (0, 0, 0, 0), False, 0, 0
-        held = self.merged(held, value)
-        if held[1] >= self.min_bytes and (not sent or held[1] - last_bytes >= self.delta or tick - last_tick >= self.interval):
-            sent, last_bytes, last_tick = True, held[1], tick
-            lines.append((*key, tick, *held, "active"))
-        self.flow.update((*held, sent, last_bytes, last_tick, tick))
-        if self.close_after:
-            self.handle.registerTimer((tick + self.close_after + 1) * 1000)
+            lines.append((*key, seen + self.close_after, *totals, "closed"))
+            totals, sent, last_bytes, last_tick = (0, 0, 0, 0), False, 0, 0
+        totals = [a + b for a, b in zip(totals, value)]
+        if totals[1] >= self.min_bytes and (not sent or totals[1] - last_bytes >= self.delta or at - last_tick >= self.interval):
+            sent, last_bytes, last_tick = True, totals[1], at
+            lines.append((*key, at, *totals, "active"))
+        held[key] = (*totals, sent, last_bytes, last_tick, at)
         return lines
 
-    def expire(self, key, now_ms):
+    def ends_ms(self, held):
+        return (held[-1] + self.close_after + 1) * 1000 if self.close_after else None
+
+    def ended(self, key, held):
         """The flow has left the visible set: report the end once and forget it."""
-        if not self.close_after or not self.flow.exists():
-            return []
-        *held, sent, _, _, seen = self.flow.get()
-        if (seen + self.close_after + 1) * 1000 > now_ms:
-            return []
-        self.flow.clear()
-        return [(*key, seen + self.close_after, *held, "closed")] if sent else []
+        *totals, sent, _, _, seen = held
+        return [(*key, seen + self.close_after, *totals, "closed")] if sent else []
 
 
 def export_gate(tick_flows: DataFrame, min_bytes: int = C.FLOW_EXPORT_MIN_BYTES, delta_bytes: int = C.FLOW_EXPORT_DELTA_BYTES,
@@ -207,36 +310,34 @@ def export_gate(tick_flows: DataFrame, min_bytes: int = C.FLOW_EXPORT_MIN_BYTES,
     ``close_after_seconds`` > 0 adds ``closed`` events at the tick at which a flow
     has been silent so long; a flow that comes back starts anew.
     """
-    return (
-        timed(tick_flows.select("capture_id", "flow", "tick", "packets", "bytes", "bytes_in", "bytes_out"), f"tick * {SECOND}", delay)
-        .groupBy("capture_id", "flow")
-        .transformWithStateInPandas(
-            ExportGate(min_bytes, delta_bytes, interval_seconds, close_after_seconds), outputMode="Append", timeMode="EventTime",
-            outputStructType="capture_id string, flow string, tick bigint, packets bigint, bytes bigint, bytes_in bigint, bytes_out bigint, event string",
-        )
+    rows = timed(tick_flows.select("capture_id", "flow", "tick", "packets", "bytes", "bytes_in", "bytes_out"), f"tick * {SECOND}", delay)
+    return dealt(rows, "capture_id", "flow").groupBy("part").transformWithStateInPandas(
+        ExportGate(min_bytes, delta_bytes, interval_seconds, close_after_seconds), outputMode="Append", timeMode="EventTime",
+        outputStructType="capture_id string, flow string, tick bigint, packets bigint, bytes bigint, bytes_in bigint, bytes_out bigint, event string",
     )
 
 
 class FoldLate(InOrder):
     """Open second per capture; a late row counts in the open one. The instant is the sequence number."""
 
-    value = "second bigint, packets bigint, bytes bigint"
-    columns = ["capture_id", "tick", "packets", "bytes"]
+    fields = ["first_seq", "second", "packets", "bytes"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.open = handle.getValueState("open", "tick bigint")
 
-    def entries(self, frame):
-        for seq, *row in zip(*[frame[c].tolist() for c in ("first_seq", "second", "packets", "bytes")]):
-            yield ((seq + 1) * 1000, 0), tuple(row)
+    def instants(self, frame):
+        return (frame["first_seq"] + 1) * 1000
 
-    def settle(self, key, at, value):
-        second, packets, size = value
-        held = self.open.get()[0] if self.open.exists() else second
-        tick = max(held, second)
-        self.open.update((tick,))
-        return [(key[0], tick, packets, size)]
+    def settle(self, key, due, now_ms):
+        rows = due.drop_duplicates("first_seq", keep="last").sort_values("first_seq")
+        ticks = np.maximum.accumulate(rows["second"].to_numpy())
+        if self.open.exists():
+            ticks = np.maximum(ticks, self.open.get()[0])
+        self.open.update((int(ticks[-1]),))
+        sums = rows[["packets", "bytes"]].groupby(ticks).sum().rename_axis("tick").reset_index()
+        for start in range(0, len(sums), FRAME):
+            yield sums[start:start + FRAME].assign(capture_id=key[0])[["capture_id", "tick", "packets", "bytes"]]
 
 
 def fold_late(runs: DataFrame, late_seqs: int = 10_000) -> DataFrame:
@@ -285,7 +386,7 @@ def arrival_runs(batch: DataFrame, run_seqs: int = 4096) -> DataFrame:
     return slim.mapInPandas(collapse, "capture_id string, first_seq bigint, second bigint, packets bigint, bytes bigint")
 
 
-class IdleTicks(StatefulProcessor):
+class IdleTicks(InOrder):
     """Closes seconds as the clock passes them, those without packets too.
 
     The clock is the watermark (``event``) or the machine's (``processing``). A
@@ -293,60 +394,62 @@ class IdleTicks(StatefulProcessor):
     comes in; when it fires, all seconds up to the clock are closed in order.
     """
 
-    columns = ["capture_id", "tick", "packets", "bytes", "bytes_in", "bytes_out", "filled"]
+    counts = ["packets", "bytes", "bytes_in", "bytes_out"]
+    fields = ["second", *counts]
+    columns = ["capture_id", "tick", *counts, "filled"]
 
     def __init__(self, clock: str, grace_ms: int) -> None:
         self.processing, self.grace = clock == "processing", grace_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.sums = handle.getMapState("sums", "tick bigint", "packets bigint, bytes bigint, bytes_in bigint, bytes_out bigint")
+        super().init(handle)
         self.next = handle.getValueState("next", "tick bigint")
 
+    def clock(self, timer_values):
+        return timer_values.getCurrentProcessingTimeInMs() if self.processing else timer_values.getCurrentWatermarkInMs()
+
+    def instants(self, frame):
+        return frame["second"] * SECOND
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         opened = self.next.get()[0] if self.next.exists() else None
-        lowest = None
-        for frame in rows:
-            sums = frame[frame["packets"] > 0].groupby("second")[["packets", "bytes", "bytes_in", "bytes_out"]].sum()
-            for second, *counts in sums.itertuples():
+
+        def real():
+            for frame in rows:
+                sums = frame[frame["packets"] > 0].groupby("second", as_index=False)[self.counts].sum()
                 # what is late for a closed second counts in the open one
-                tick = second if opened is None else max(second, opened)
-                lowest = tick if lowest is None else min(lowest, tick)
-                if self.sums.containsKey((tick,)):
-                    counts = [a + b for a, b in zip(self.sums.getValue((tick,)), counts)]
-                self.sums.updateValue((tick,), tuple(int(n) for n in counts))
+                yield sums if opened is None else sums.assign(second=sums["second"].clip(lower=opened))
+
+        lowest = self.hold(real())
         if opened is None and lowest is not None:
             # until a second is closed, an earlier one may still come and be the first
-            self.handle.registerTimer((lowest + 1) * 1000 + self.grace)
+            self.wake((lowest + 1) * 1000 + self.grace)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentProcessingTimeInMs() if self.processing else timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(k[0] for k in self.sums.keys())
+        now = self.clock(timerValues)
+        due, later = self.due(now)
+        sums = None if due is None else due.groupby("second")[self.counts].sum()
         if self.next.exists():
             first = self.next.get()[0]
-        elif waiting:
-            first = waiting[0]
+        elif sums is not None or later is not None:
+            first = later if sums is None else int(sums.index[0])
         else:
             return
         end = (now - self.grace) // 1000  # seconds before this one are over
-        counts = {t: tuple(self.sums.getValue((t,))) for t in waiting if t < end}
         for start in range(first, end, FRAME):
             ticks = np.arange(start, min(start + FRAME, end))
-            sums = np.zeros((len(ticks), 4), np.int64)
-            real = [t for t in counts if start <= t < start + len(ticks)]
-            for t in real:
-                sums[t - start] = counts[t]
-            frame = pd.DataFrame(sums, columns=self.columns[2:6])
-            yield frame.assign(capture_id=key[0], tick=ticks, filled=~np.isin(ticks, real))[self.columns]
-        for tick in counts:
-            self.sums.removeKey((tick,))
+            frame = pd.DataFrame(np.zeros((len(ticks), 4), np.int64), columns=self.counts)
+            filled = np.ones(len(ticks), bool)
+            if sums is not None:
+                low, high = np.searchsorted(sums.index.to_numpy(), (ticks[0], ticks[-1] + 1))
+                at = sums.index.to_numpy()[low:high] - start
+                frame.iloc[at] = sums.iloc[low:high].to_numpy()
+                filled[at] = False
+            yield frame.assign(capture_id=key[0], tick=ticks, filled=filled)[self.columns]
         following = max(first, end)
         self.next.update((following,))
-        self.handle.registerTimer((following + 1) * 1000 + self.grace)
-
-    def close(self) -> None:
-        pass
+        self.wake((following + 1) * 1000 + self.grace)
 
 
 def idle_ticks(second_sums: DataFrame, clock: str = "event", delay: str = "10 seconds", grace_ms: int = 0) -> DataFrame:
@@ -369,37 +472,35 @@ def idle_ticks(second_sums: DataFrame, clock: str = "event", delay: str = "10 se
     )
 
 
-class AsOf(InOrder):
-    """Answers questions with the latest observation before them; one key and time slot at a time."""
+class AsOf(Keyed):
+    """Answers questions with the latest observation before them, for each key and time slot."""
 
-    value = "id string, value string"
+    keys, state = ["key", "slot"], ["at", "value"]
+    fields = ["key", "slot", "at", "number", "id", "value"]
     columns = ["id", "value"]
 
     def __init__(self, ttl_us: int) -> None:
         self.ttl = ttl_us
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.seen = handle.getValueState("seen", "at bigint, value string")
+    def instants(self, frame):
+        return frame["at"]
 
-    def entries(self, frame):
+    def ordered(self, due):
         # observations (number 0 and below) come before the questions of the same instant
-        for at, number, row, value in zip(*[frame[c].tolist() for c in ("at", "number", "id", "value")]):
-            yield (at, number), (row, value)
+        last = due.drop_duplicates([*self.keys, "at", "number"], keep="last").sort_values(["at", "number"], kind="stable")
+        for key, slot, at, _, row, value in _rows(last, self.fields):
+            yield (key, slot), at, (row, value)
 
-    def settle(self, key, at, value):
+    def settle_row(self, held, key, at, value):
         row, seen = value
         if row is None:
-            self.seen.update((at, seen))
-            self.handle.registerTimer((at + self.ttl) // 1000 + 1)
+            held[key] = (at, seen)
             return []
-        held = self.seen.get() if self.seen.exists() else None
-        return [(row, held[1] if held is not None and at - held[0] < self.ttl else None)]
+        last = held.get(key)
+        return [(row, last[1] if last is not None and at - last[0] < self.ttl else None)]
 
-    def expire(self, key, now_ms):
-        if self.seen.exists() and (self.seen.get()[0] + self.ttl) // 1000 + 1 <= now_ms:
-            self.seen.clear()
-        return []
+    def ends_ms(self, held):
+        return (held[0] + self.ttl) // 1000 + 1
 
 
 def latest_within(events: DataFrame, ttl_seconds: int, delay: str = "10 seconds") -> DataFrame:
@@ -416,7 +517,7 @@ def latest_within(events: DataFrame, ttl_seconds: int, delay: str = "10 seconds"
     slots = f"explode(CASE WHEN id IS NULL THEN array(at div {ttl}, at div {ttl} + 1) ELSE array(at div {ttl}) END) AS slot"
     rows = timed(events.select("key", "at", "id", "value"), "at", delay)
     numbered = rows.selectExpr("*", slots, "CASE WHEN id IS NULL THEN 0L ELSE 1L + (xxhash64(id) & 9223372036854775806L) END AS number")
-    return numbered.groupBy("key", "slot").transformWithStateInPandas(
+    return dealt(numbered, "key", "slot").groupBy("part").transformWithStateInPandas(
         AsOf(ttl), outputMode="Append", timeMode="EventTime", outputStructType="id string, value string",
     )
 
