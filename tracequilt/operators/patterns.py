@@ -1,23 +1,22 @@
 """Watch lists as tables: which names contain a pattern of a list of any length.
 
 Lists in the policy become conditions inside the scan, which suits a few dozen
-entries. Here the list is a table: the distinct names are searched with an
-Aho-Corasick automaton over all patterns, so a name costs its length and not the
-list's. Patterns go to the tasks in blocks of at most ``BLOCK_BYTES``, one pass over
-the names for each; names are distinct before, so rows are never searched.
+entries. Here the list is a table: the distinct names are cut into substrings of
+exactly the lengths that patterns have and joined with the patterns by equality, so
+a name costs its length times these few lengths and not the list's. Names are
+distinct before, so rows are never searched; neither names nor patterns pass
+through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import ascii_lower, or_empty
 from ..runtime import materialize
 
-BLOCK_BYTES = 16 << 20
+#: Most bytes of pieces that one row of the search holds at a time; a long name gives several rows.
+BLOCK_BYTES = 1 << 20
 
 
 def pattern_table(patterns: DataFrame, column: str = "pattern") -> DataFrame:
@@ -25,63 +24,23 @@ def pattern_table(patterns: DataFrame, column: str = "pattern") -> DataFrame:
     return patterns.selectExpr(f"{ascii_lower(f'trim({or_empty(column)})')} AS pattern").where("pattern <> ''").distinct()
 
 
-def _blocks(patterns: DataFrame, limit: int) -> Iterator[list[str]]:
-    held, size = [], 0
-    for (pattern,) in patterns.toLocalIterator():
-        n = len(pattern.encode())
-        if held and size + n > limit:
-            yield held
-            held, size = [], 0
-        held.append(pattern)
-        size += n
-    if held:
-        yield held
-
-
-def _search(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
-        for pattern in shared.value:
-            automaton.add_word(pattern, pattern)
-        automaton.make_automaton()
-        for batch in batches:
-            names, found = [], []
-            for name in batch["name"].to_pylist():
-                hits = {pattern for _, pattern in automaton.iter(name)}
-                names += [name] * len(hits)
-                found += sorted(hits)
-            yield pa.record_batch({"name": pa.array(names, pa.string()), "pattern": pa.array(found, pa.string())})
-
-    return run
-
-
 def matches(names: DataFrame, patterns: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``name`` (folded) and ``pattern`` of every pair in which the name contains the pattern.
 
     ``names`` has one column ``name``; null and empty names contain nothing.
     ``patterns`` is the result of :func:`pattern_table`.
     """
-    spark = names.sparkSession
     folded = names.selectExpr(f"{ascii_lower(or_empty('name'))} AS name").where("name <> ''").distinct()
-    schema = "name string, pattern string"
-    found, parts = None, _blocks(patterns, block_bytes)
-    part, following = next(parts, None), next(parts, None)
-    if part is None:
-        return spark.createDataFrame([], schema)
-    if following is not None:
-        folded = materialize(folded, "names")
-    while part is not None:
-        shared = spark.sparkContext.broadcast(part)
-        hits = folded.mapInArrow(_search(shared), schema)
-        if following is None and found is None:
-            return hits
-        hits = materialize(hits, "hits")
-        shared.destroy()
-        found = hits if found is None else found.union(hits)
-        part, following = following, next(parts, None)
-    return found
+    lengths = patterns.agg(F.collect_set(F.length("pattern")).alias("_lengths"))
+    starts = (
+        folded.crossJoin(F.broadcast(lengths)).selectExpr("name", "explode(_lengths) AS _len").where("_len <= length(name)")
+        .selectExpr("name", "_len", "length(name) - _len + 1 AS _starts", f"greatest(1, CAST({block_bytes} div _len AS INT)) AS _step")
+        .selectExpr("*", "explode(sequence(1, _starts, _step)) AS _from")
+    )
+    pieces = starts.selectExpr(
+        "name", "explode(array_distinct(transform(sequence(_from, least(_from + _step - 1, _starts)), i -> substring(name, i, _len)))) AS pattern",
+    )
+    return pieces.join(patterns, "pattern").select("name", "pattern").distinct()
 
 
 def watched(rows: DataFrame, texts: dict[str, str], patterns: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
