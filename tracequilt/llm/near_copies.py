@@ -5,10 +5,11 @@ Fingerprints have 128 bits, of the set of five-word shingles. At a similarity of
 covering masks are made for four sets of bits, each wide enough that a bucket
 of unlike documents has a few members, however many documents there are.
 
-A bucket streams by in a fixed random order of fingerprints. Its first ``LEADERS``
-members are paired with all later ones if near; as the order is the same in all
-tables, a group of near copies is tied to few of its members. So pairs grow with
-the rows and a task holds the leaders of one bucket. Members beyond the leaders
+A bucket streams by in a fixed random order of fingerprints, twice. First, in a
+third of the tables, each member is paired with the nearest of the ``LEADERS``
+members before it: one pair a row, which joins most of a group. Then, in all tables,
+members are paired with all near leaders that those links have not joined them to, so
+a large group does not come out as all its pairs. Members beyond the leaders
 that the checked links have not brought together with most of their bucket then
 meet all of the bucket, in a join; so no pair of a large bucket is left out.
 
@@ -41,9 +42,9 @@ COVERED = 0.15
 #: Differing bits of 128 up to which a pair is checked: four standard deviations above the mean at a similarity of 0.8.
 NEAR = 36
 #: Members of a bucket that are compared with all later ones while it streams by.
-LEADERS = 24
-#: Parts in which the members of a bucket meet those that no link has brought to them.
-SALTS = 16
+LEADERS = 96
+#: Parts in which the members of a bucket meet those that no link has brought to them, if it has more than so many.
+SALTS, SALTED = 16, 1024
 
 
 def shingles(text: str, words: int = SHINGLE_WORDS) -> set[bytes]:
@@ -110,54 +111,79 @@ def tables(documents: int) -> list[tuple[int, int]]:
     return [(signed(m & (1 << 64) - 1), signed(m >> 64)) for m in masks]
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by bucket: near pairs of a member with a leader before it, and the members beyond the leaders."""
-    at, count, lead = None, 0, np.zeros((0, 2), np.uint64)
-    for batch in batches:
-        bucket = batch["bucket"].to_numpy()
-        if not len(bucket):
-            continue
-        if at != bucket[0]:
-            count, lead = 0, lead[:0]
-        held, own = len(lead), np.column_stack([batch[c].to_numpy() for c in ("a", "b")]).view(np.uint64)
-        rows = np.concatenate((lead, own))
-        edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        sizes = np.diff(np.append(edges, len(bucket)))
-        place, base = np.arange(len(bucket)) - np.repeat(edges, sizes), np.repeat(edges + held, sizes)
-        place[: sizes[0]] += count
-        base[: sizes[0]] = 0
-        left, right, apart = [], [], []
-        ask = np.flatnonzero(place > 0)
-        for t in range(LEADERS):
-            ask = ask[place[ask] > t]
-            if not len(ask):
-                break
-            other = base[ask] + t
-            distance = np.bitwise_count(rows[ask + held] ^ rows[other]).sum(1, dtype=np.int64)
-            near = distance <= NEAR
-            left.append(ask[near] + held)
-            right.append(other[near])
-            apart.append(distance[near])
-        rest = np.flatnonzero(place >= LEADERS)
-        join = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
-        i, j, signed = join(left), join(right), rows.view(np.int64)
-        none, blank = pa.nulls(len(i), pa.int64()), pa.nulls(len(rest), pa.int64())
-        yield pa.record_batch({
-            "bucket": pa.concat_arrays([none, pa.array(bucket[rest])]),
-            "a": pa.array(np.concatenate((signed[i, 0], signed[rest + held, 0]))), "b": pa.array(np.concatenate((signed[i, 1], signed[rest + held, 1]))),
-            "c": pa.concat_arrays([pa.array(signed[j, 0]), blank]), "d": pa.concat_arrays([pa.array(signed[j, 1]), blank]),
-            "apart": pa.concat_arrays([pa.array(join(apart)), blank]),
-        })
-        at, count = bucket[-1], int(place[-1]) + 1
-        lead = rows[base[-1] : base[-1] + min(count, LEADERS)].copy()
-
-
-def candidates(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Near pairs ``u, v, apart`` (a member, a leader, differing bits), one row each; and ``bucket, node, a, b`` of members beyond the leaders."""
-    masks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).cast("long").alias("a"), F.lit(n).cast("long").alias("b")) for i, (m, n) in enumerate(tables(distinct.count()))])
-    spread = distinct.select("a", "b", F.explode(masks).alias("t")).select(F.expr("xxhash64(t.i, a & t.a, b & t.b)").alias("bucket"), "a", "b")
+def _pairs(nearest: bool):
+    """Over rows sorted by bucket: near pairs of a member with a leader before it that have not one root, and the members beyond the leaders.
+
+    ``root`` is 0 where there is none. With ``nearest`` each member has one pair at most and none is beyond the leaders.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, count, lead = None, 0, np.zeros((0, 3), np.uint64)
+        for batch in batches:
+            bucket = batch["bucket"].to_numpy()
+            if not len(bucket):
+                continue
+            if at != bucket[0]:
+                count, lead = 0, lead[:0]
+            held, own = len(lead), np.column_stack([batch[c].to_numpy() for c in ("a", "b", "root")]).view(np.uint64)
+            rows = np.concatenate((lead, own))
+            edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            sizes = np.diff(np.append(edges, len(bucket)))
+            place, base = np.arange(len(bucket)) - np.repeat(edges, sizes), np.repeat(edges + held, sizes)
+            place[: sizes[0]] += count
+            base[: sizes[0]] = 0
+            left, right, apart = [], [], []
+            least, chosen = np.full(len(bucket), NEAR + 1), np.zeros(len(bucket), np.int64)
+            ask = np.flatnonzero(place > 0)
+            for t in range(LEADERS):
+                ask = ask[place[ask] > t]
+                if not len(ask):
+                    break
+                other, mine = base[ask] + t, rows[ask + held]
+                distance = np.bitwise_count(mine[:, :2] ^ rows[other, :2]).sum(1, dtype=np.int64)
+                near = (distance <= NEAR) & ((mine[:, 2] == 0) | (mine[:, 2] != rows[other, 2]))
+                if nearest:
+                    near &= distance < least[ask]
+                    least[ask[near]], chosen[ask[near]] = distance[near], other[near]
+                else:
+                    left.append(ask[near] + held)
+                    right.append(other[near])
+                    apart.append(distance[near])
+            if nearest:
+                found = np.flatnonzero(least <= NEAR)
+                left, right, apart = [found + held], [chosen[found]], [least[found]]
+            rest = np.flatnonzero(place >= LEADERS)[: 0 if nearest else None]
+            join = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+            i, j, signed = join(left), join(right), rows.view(np.int64)
+            none, blank = pa.nulls(len(i), pa.int64()), pa.nulls(len(rest), pa.int64())
+            yield pa.record_batch({
+                "bucket": pa.concat_arrays([none, pa.array(bucket[rest])]),
+                "a": pa.array(np.concatenate((signed[i, 0], signed[rest + held, 0]))), "b": pa.array(np.concatenate((signed[i, 1], signed[rest + held, 1]))),
+                "c": pa.concat_arrays([pa.array(signed[j, 0]), blank]), "d": pa.concat_arrays([pa.array(signed[j, 1]), blank]),
+                "apart": pa.concat_arrays([pa.array(join(apart)), blank]),
+            })
+            at, count = bucket[-1], int(place[-1]) + 1
+            lead = rows[base[-1] : base[-1] + min(count, LEADERS)].copy()
+
+    return run
+
+
+def candidates(distinct: DataFrame, roots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Near pairs ``u, v, apart`` (a member, a leader, differing bits), one row each; and ``bucket, node, a, b`` of members beyond the leaders.
+
+    Without ``roots`` the first third of the tables (one set of bits) and each member's nearest leader;
+    with them all tables and all leaders that have another root.
+    """
+    made = tables(distinct.count())
+    if roots is None:
+        made, rows = made[: (len(made) + 2) // 3], distinct.select("a", "b", F.lit(0).cast("long").alias("root"))
+    else:
+        known = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+        rows = distinct.join(known, F.col("node") == F.col("_node"), "left").select("a", "b", F.coalesce("_root", F.lit(0)).alias("root"))
+    masks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).cast("long").alias("a"), F.lit(n).cast("long").alias("b")) for i, (m, n) in enumerate(made)])
+    spread = rows.select("a", "b", "root", F.explode(masks).alias("t")).select(F.expr("xxhash64(t.i, a & t.a, b & t.b)").alias("bucket"), "a", "b", "root")
     dealt = spread.repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("b", "a"))
-    out = materialize(dealt.mapInArrow(_pairs, "bucket long, a long, b long, c long, d long, apart long"), "buckets")
+    out = materialize(dealt.mapInArrow(_pairs(roots is None), "bucket long, a long, b long, c long, d long, apart long"), "buckets")
     pairs = out.where("c IS NOT NULL").select(F.xxhash64("a", "b").alias("u"), F.xxhash64("c", "d").alias("v"), "apart").where("u <> v")
     rest = out.where("c IS NULL").select("bucket", F.xxhash64("a", "b").alias("node"), "a", "b")
     return pairs.groupBy("u", "v").agg(F.min("apart").alias("apart")), rest
@@ -170,10 +196,11 @@ def strangers(rest: DataFrame, roots: DataFrame) -> DataFrame:
     """
     known = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
     placed = materialize(rest.join(known, F.col("node") == F.col("_node"), "left").select("bucket", "node", "a", "b", F.coalesce("_root", "node").alias("root")), "placed")
-    most = placed.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
-    outside = join_unique(placed, materialize(most, "most"), ["bucket"]).where("root <> most")
-    asking = outside.selectExpr("bucket AS _bucket", "node AS _node", "a AS _a", "b AS _b", "root AS _root", f"explode(sequence(0, {SALTS - 1})) AS _salt")
-    met = placed.withColumn("salt", F.expr(f"int(pmod(xxhash64(node), {SALTS}))")).join(asking, F.expr("bucket = _bucket AND salt = _salt AND root <> _root"))
+    most = placed.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.sum("count").alias("size"))
+    placed = join_unique(placed, materialize(most, "most"), ["bucket"])
+    parts = f"CASE WHEN size > {SALTED} THEN {SALTS} ELSE 1 END"
+    asking = placed.where("root <> most").selectExpr("bucket AS _bucket", "node AS _node", "a AS _a", "b AS _b", "root AS _root", f"explode(sequence(0, {parts} - 1)) AS _salt")
+    met = placed.withColumn("salt", F.expr(f"int(pmod(xxhash64(node), {parts}))")).join(asking, F.expr("bucket = _bucket AND salt = _salt AND root <> _root"))
     apart = F.expr("bit_count(a ^ _a) + bit_count(b ^ _b)").cast("long")
     return met.select(F.greatest("node", "_node").alias("u"), F.least("node", "_node").alias("v"), apart.alias("apart")).where(F.col("apart") <= NEAR).groupBy("u", "v").agg(F.min("apart").alias("apart"))
 
@@ -182,6 +209,8 @@ def _sets(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, words: int) ->
     """``node`` and ``shingles`` of the fingerprints that have a candidate."""
     wanted = pairs.select(F.col("u").alias("n")).union(pairs.select("v")).distinct()
     wanted = distinct.join(wanted, F.col("node") == F.col("n"), "left_semi").select("node", F.col("first.key").alias("own"), F.col("first.key2").alias("own2"))
+    # stored, so that its size is known: texts move only to meet more keys than a task can hold
+    wanted = materialize(wanted, "wanted")
     texts = keyed_text(docs).select("*", *_key("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,10 +225,12 @@ def _sets(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, words: int) ->
 
 def links(docs: DataFrame, distinct: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS) -> DataFrame:
     """``node`` and ``root`` of every fingerprint that a chain of links joins to another."""
-    near, rest = candidates(distinct)
-    near = materialize(near, "pairs")
+    near = materialize(candidates(distinct)[0], "pairs")
     roots = connected_components(near.select("u", "v").limit(0))
     roots = _checked(near, docs, distinct, roots, similarity, words)
+    near, rest = candidates(distinct, roots)
+    near = materialize(near, "pairs")
+    roots = _checked(near, docs, distinct, roots, similarity, words)
     if not rest.isEmpty():
         near = materialize(strangers(rest, roots), "pairs")
         roots = _checked(near, docs, distinct, roots, similarity, words)
