@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus
@@ -85,3 +86,33 @@ def test_strangers_meet_the_whole_bucket(spark):
     got = {(r.u, r.v) for r in near_copies.strangers(rest, roots).collect()}
     want = {(max(i, j), min(i, j)) for i in (57, 58, 59) for j in range(60) if i != j}
     assert got == want
+
+
+def test_parities_differ_in_at_most_as_many_bits_as_sets_in_members():
+    rng = random.Random(5)
+    for size, apart in ((0, 1), (1, 1), (150, 30), (1200, 900), (5000, 20)):
+        pool = np.array([rng.getrandbits(63) for _ in range(size + apart)], np.int64)
+        x, y = pool[:size], pool[apart // 2 :]
+        bits = int(np.bitwise_count((near_copies.parity(x) ^ near_copies.parity(y)).view(np.uint64)).sum())
+        assert bits <= len(set(x.tolist()) ^ set(y.tolist()))
+        assert apart != 30 or bits > 20
+
+
+def test_pairs_of_a_large_group_do_not_grow_as_its_square(spark, monkeypatch):
+    """Four hundred kinds of one text, most too far apart to be copies yet near by fingerprint: few pairs are checked, no link is lost."""
+    base, rows = corpus.prose(78, 150), [(0, corpus.prose(78, 150))]
+    rows += [(i, edited(base, 1 + i % 8, i)) for i in range(1, 400)]
+    texts, checked = dict(rows), []
+    old = near_copies._checked
+    monkeypatch.setattr(near_copies, "_checked", lambda left, *more: checked.append(left.count()) or old(left, *more))
+    kept = {r["doc_id"] for r in near_copies.keep_one(corpus.table(spark, rows)).collect()}
+    sets = {i: near_copies.shingles(t) for i, t in texts.items()}
+    like = lambda x, y: len(sets[x] & sets[y]) / len(sets[x] | sets[y])
+    group = {i: i for i in texts}
+    for x in texts:
+        for y in range(x):
+            if like(x, y) >= 0.8 and group[x] != group[y]:
+                old_root, new = max(group[x], group[y]), min(group[x], group[y])
+                group = {k: new if g == old_root else g for k, g in group.items()}
+    assert kept == set(group.values()) and 100 < len(kept) < 300
+    assert sum(checked) < 30 * len(rows) < len(rows) * len(rows) // 10

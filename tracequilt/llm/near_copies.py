@@ -5,12 +5,17 @@ Fingerprints have 128 bits, of the set of five-word shingles. At a similarity of
 covering masks are made for four sets of bits, each wide enough that a bucket
 of unlike documents has a few members, however many documents there are.
 
-A bucket streams by in a fixed random order of fingerprints. Its first ``LEADERS``
-members are paired with all later ones if near; as the order is the same in all
-tables, a group of near copies is tied to few of its members. So pairs grow with
-the rows and a task holds the leaders of one bucket. Members beyond the leaders
-that the checked links have not brought together with most of their bucket then
-meet all of the bucket, in a join; so no pair of a large bucket is left out.
+A bucket streams by in a fixed random order of fingerprints; its first ``LEADERS``
+members meet all later ones. A large group would come out as the square of its
+rows, so pairs come out in three passes. First each member is paired with its
+nearest leader in the bucket, one pair a row, and these pairs are checked. Then
+the documents that still have a near one under another root are listed, without
+their pairs. Last, these alone come by with ``PARITY`` bits of their shingles, and
+the pairs come out whose ends have different roots and may be as similar as asked:
+the parities of two sets differ in at most as many bits as the sets in members, so
+no similar pair is left out. Members beyond the leaders that the checked
+links have not brought together with most of their bucket then meet all of the
+bucket, in a join, under the same two tests; so no pair of a large bucket is left out.
 
 Null text is empty; texts without words have one fingerprint and are one group.
 Texts of any length are read whole. Rows alike in id and text count once, rows
@@ -41,9 +46,11 @@ COVERED = 0.15
 #: Differing bits of 128 up to which a pair is checked: four standard deviations above the mean at a similarity of 0.8.
 NEAR = 36
 #: Members of a bucket that are compared with all later ones while it streams by.
-LEADERS = 24
-#: Parts in which the members of a bucket meet those that no link has brought to them.
-SALTS = 16
+LEADERS = 96
+#: Parts in which the members of a bucket meet those that no link has brought to them, if it has more than so many.
+SALTS, SALTED = 16, 1024
+#: Classes of shingles whose counts are kept as odd or even.
+PARITY = 1024
 
 
 def shingles(text: str, words: int = SHINGLE_WORDS) -> set[bytes]:
@@ -110,113 +117,178 @@ def tables(documents: int) -> list[tuple[int, int]]:
     return [(signed(m & (1 << 64) - 1), signed(m >> 64)) for m in masks]
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by bucket: near pairs of a member with a leader before it, and the members beyond the leaders."""
-    at, count, lead = None, 0, np.zeros((0, 2), np.uint64)
-    for batch in batches:
-        bucket = batch["bucket"].to_numpy()
-        if not len(bucket):
-            continue
-        if at != bucket[0]:
-            count, lead = 0, lead[:0]
-        held, own = len(lead), np.column_stack([batch[c].to_numpy() for c in ("a", "b")]).view(np.uint64)
-        rows = np.concatenate((lead, own))
-        edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        sizes = np.diff(np.append(edges, len(bucket)))
-        place, base = np.arange(len(bucket)) - np.repeat(edges, sizes), np.repeat(edges + held, sizes)
-        place[: sizes[0]] += count
-        base[: sizes[0]] = 0
-        left, right, apart = [], [], []
-        ask = np.flatnonzero(place > 0)
-        for t in range(LEADERS):
-            ask = ask[place[ask] > t]
-            if not len(ask):
-                break
-            other = base[ask] + t
-            distance = np.bitwise_count(rows[ask + held] ^ rows[other]).sum(1, dtype=np.int64)
-            near = distance <= NEAR
-            left.append(ask[near] + held)
-            right.append(other[near])
-            apart.append(distance[near])
-        rest = np.flatnonzero(place >= LEADERS)
-        join = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
-        i, j, signed = join(left), join(right), rows.view(np.int64)
-        none, blank = pa.nulls(len(i), pa.int64()), pa.nulls(len(rest), pa.int64())
-        yield pa.record_batch({
-            "bucket": pa.concat_arrays([none, pa.array(bucket[rest])]),
-            "a": pa.array(np.concatenate((signed[i, 0], signed[rest + held, 0]))), "b": pa.array(np.concatenate((signed[i, 1], signed[rest + held, 1]))),
-            "c": pa.concat_arrays([pa.array(signed[j, 0]), blank]), "d": pa.concat_arrays([pa.array(signed[j, 1]), blank]),
-            "apart": pa.concat_arrays([pa.array(join(apart)), blank]),
-        })
-        at, count = bucket[-1], int(place[-1]) + 1
-        lead = rows[base[-1] : base[-1] + min(count, LEADERS)].copy()
-
-
-def candidates(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Near pairs ``u, v, apart`` (a member, a leader, differing bits), one row each; and ``bucket, node, a, b`` of members beyond the leaders."""
-    masks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).cast("long").alias("a"), F.lit(n).cast("long").alias("b")) for i, (m, n) in enumerate(tables(distinct.count()))])
-    spread = distinct.select("a", "b", F.explode(masks).alias("t")).select(F.expr("xxhash64(t.i, a & t.a, b & t.b)").alias("bucket"), "a", "b")
+def parity(found: np.ndarray) -> np.ndarray:
+    """One bit for each class of shingles: 1 if the set has an odd number of them. Signed longs."""
+    return np.packbits(np.bincount(found.view(np.uint64) % np.uint64(PARITY), minlength=PARITY) & 1).view("<i8")
+
+
+def _most_apart(similarity: float) -> float:
+    """Members in one set alone, as a share of both sizes, up to which two sets can be that similar."""
+    return (1 - similarity) / (1 + similarity) + 1e-9
+
+
+def _pairs(kind: str, similarity: float):
+    """Over rows sorted by bucket: near pairs of a member with a leader before it, and the members beyond the leaders.
+
+    ``nearest``: each member's nearest leader. ``open``: not the pairs but their members, of pairs with different
+    roots. ``all``: every pair with different roots that parities and sizes allow to be similar.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, count, lead = None, 0, None
+        for batch in batches:
+            bucket = batch["bucket"].to_numpy()
+            if not len(bucket):
+                continue
+            own = [batch[c].to_numpy()[:, None] for c in ("a", "b", "root", "n") if c in batch.schema.names]
+            if kind == "all":
+                own.append(batch["parity"].flatten().to_numpy().reshape(len(bucket), -1))
+            own = np.concatenate(own, axis=1).view(np.uint64)
+            if at != bucket[0]:
+                count, lead = 0, own[:0]
+            held, rows = len(lead), np.concatenate((lead, own))
+            edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            sizes = np.diff(np.append(edges, len(bucket)))
+            place, base = np.arange(len(bucket)) - np.repeat(edges, sizes), np.repeat(edges + held, sizes)
+            place[: sizes[0]] += count
+            base[: sizes[0]] = 0
+            left, right, apart = [], [], []
+            least, chosen, hit = np.full(len(bucket), NEAR + 1), np.zeros(len(bucket), np.int64), np.zeros(len(rows), bool)
+            ask = np.flatnonzero(place > 0)
+            for t in range(LEADERS):
+                ask = ask[place[ask] > t]
+                if not len(ask):
+                    break
+                distance = np.bitwise_count(rows[ask + held, :2] ^ rows[base[ask] + t, :2]).sum(1, dtype=np.int64)
+                near = np.flatnonzero(distance <= NEAR)
+                who, other, distance = ask[near], base[ask[near]] + t, distance[near]
+                if kind == "nearest":
+                    less = distance < least[who]
+                    least[who[less]], chosen[who[less]] = distance[less], other[less]
+                    continue
+                good = rows[who + held, 2] != rows[other, 2]
+                if kind == "all":
+                    x, y = rows[who + held, 3:], rows[other, 3:]
+                    n, m = x[:, 0].astype(np.int64), y[:, 0].astype(np.int64)
+                    odd = np.bitwise_count(x[:, 1:] ^ y[:, 1:]).sum(1, dtype=np.int64)
+                    good &= np.maximum(odd, abs(n - m)) <= _most_apart(similarity) * (n + m)
+                    left.append(who[good] + held)
+                    right.append(other[good])
+                    apart.append(distance[good])
+                hit[who[good] + held] = hit[other[good]] = True
+            if kind == "nearest":
+                found = np.flatnonzero(least <= NEAR)
+                left, right, apart = [found + held], [chosen[found]], [least[found]]
+            rest = np.flatnonzero(place >= LEADERS) + held
+            lone = np.union1d(rest, np.flatnonzero(hit)) if kind == "open" else rest
+            join = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+            i, j, signed = join(left), join(right), rows.view(np.int64)
+            none, blank = pa.nulls(len(i), pa.int64()), pa.nulls(len(lone), pa.int64())
+            of = np.zeros(len(lone), np.int64) if kind == "open" else bucket[lone - held]
+            yield pa.record_batch({
+                "bucket": pa.concat_arrays([none, pa.array(of)]),
+                "a": pa.array(np.concatenate((signed[i, 0], signed[lone, 0]))), "b": pa.array(np.concatenate((signed[i, 1], signed[lone, 1]))),
+                "c": pa.concat_arrays([pa.array(signed[j, 0]), blank]), "d": pa.concat_arrays([pa.array(signed[j, 1]), blank]),
+                "apart": pa.concat_arrays([pa.array(join(apart)), blank]),
+            })
+            at, count = bucket[-1], int(place[-1]) + 1
+            lead = rows[base[-1] : base[-1] + min(count, LEADERS)].copy()
+
+    return run
+
+
+def candidates(rows: DataFrame, made: list[tuple[int, int]], kind: str = "nearest", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Near pairs ``u, v, apart`` (a member, a leader, differing bits), one row each; and ``bucket, node, a, b`` of members beyond the leaders.
+
+    ``rows`` has ``a, b``, for the kinds but ``nearest`` also ``root``, for ``all`` also ``n`` and ``parity``; ``made`` are
+    the masks. For ``open`` there are no pairs: the second table has their members too, all in bucket 0.
+    """
+    masks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).cast("long").alias("a"), F.lit(n).cast("long").alias("b")) for i, (m, n) in enumerate(made)])
+    more = [c for c in ("root", "n", "parity") if c in rows.columns]
+    spread = rows.select("a", "b", *more, F.explode(masks).alias("t")).select(F.expr("xxhash64(t.i, a & t.a, b & t.b)").alias("bucket"), "a", "b", *more)
     dealt = spread.repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("b", "a"))
-    out = materialize(dealt.mapInArrow(_pairs, "bucket long, a long, b long, c long, d long, apart long"), "buckets")
+    out = dealt.mapInArrow(_pairs(kind, similarity), "bucket long, a long, b long, c long, d long, apart long")
+    out = out if kind == "open" else materialize(out, "buckets")
     pairs = out.where("c IS NOT NULL").select(F.xxhash64("a", "b").alias("u"), F.xxhash64("c", "d").alias("v"), "apart").where("u <> v")
     rest = out.where("c IS NULL").select("bucket", F.xxhash64("a", "b").alias("node"), "a", "b")
     return pairs.groupBy("u", "v").agg(F.min("apart").alias("apart")), rest
 
 
-def strangers(rest: DataFrame, roots: DataFrame) -> DataFrame:
+def strangers(rest: DataFrame, roots: DataFrame, sets: DataFrame | None = None, similarity: float = SIMILARITY) -> DataFrame:
     """Near pairs, like those of :func:`candidates`, of members beyond the leaders that are not yet joined.
 
     Most members of a large bucket belong to one component; only those outside of it meet the bucket's members.
+    With ``sets`` only pairs come out that parities and sizes allow to be similar.
     """
     known = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-    placed = materialize(rest.join(known, F.col("node") == F.col("_node"), "left").select("bucket", "node", "a", "b", F.coalesce("_root", "node").alias("root")), "placed")
-    most = placed.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
-    outside = join_unique(placed, materialize(most, "most"), ["bucket"]).where("root <> most")
-    asking = outside.selectExpr("bucket AS _bucket", "node AS _node", "a AS _a", "b AS _b", "root AS _root", f"explode(sequence(0, {SALTS - 1})) AS _salt")
-    met = placed.withColumn("salt", F.expr(f"int(pmod(xxhash64(node), {SALTS}))")).join(asking, F.expr("bucket = _bucket AND salt = _salt AND root <> _root"))
-    apart = F.expr("bit_count(a ^ _a) + bit_count(b ^ _b)").cast("long")
-    return met.select(F.greatest("node", "_node").alias("u"), F.least("node", "_node").alias("v"), apart.alias("apart")).where(F.col("apart") <= NEAR).groupBy("u", "v").agg(F.min("apart").alias("apart"))
-
-
-def _sets(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """``node`` and ``shingles`` of the fingerprints that have a candidate."""
-    wanted = pairs.select(F.col("u").alias("n")).union(pairs.select("v")).distinct()
-    wanted = distinct.join(wanted, F.col("node") == F.col("n"), "left_semi").select("node", F.col("first.key").alias("own"), F.col("first.key2").alias("own2"))
+    placed = rest.join(known, F.col("node") == F.col("_node"), "left").select("bucket", "node", "a", "b", F.coalesce("_root", "node").alias("root"))
+    if sets is not None:
+        placed = placed.join(sets.select("node", "n", "parity"), "node")
+    placed = materialize(placed, "placed")
+    most = placed.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.sum("count").alias("size"))
+    placed = join_unique(placed, materialize(most, "most"), ["bucket"])
+    parts = f"CASE WHEN size > {SALTED} THEN {SALTS} ELSE 1 END"
+    own = [c for c in placed.columns if c not in ("most", "size")]
+    asking = placed.where("root <> most").selectExpr(*[f"{c} AS _{c}" for c in own], f"explode(sequence(0, {parts} - 1)) AS _salt")
+    apart, good = "CAST(bit_count(a ^ _a) + bit_count(b ^ _b) AS LONG)", F.lit(True)
+    if sets is not None:
+        odd = "aggregate(zip_with(parity, _parity, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
+        good = F.expr(f"greatest({odd}, abs(n - _n)) <= {_most_apart(similarity)!r}D * (n + _n)")
+    met = placed.withColumn("salt", F.expr(f"int(pmod(xxhash64(node), {parts}))")).join(
+        asking, F.expr(f"bucket = _bucket AND salt = _salt AND root <> _root AND {apart} <= {NEAR}") & good)
+    return met.select(F.greatest("node", "_node").alias("u"), F.least("node", "_node").alias("v"), F.expr(apart).alias("apart")).groupBy("u", "v").agg(F.min("apart").alias("apart"))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``node``, ``shingles``, their number ``n`` and ``parity`` of those fingerprints."""
+    wanted = wanted.select("node", F.col("first.key").alias("own"), F.col("first.key2").alias("own2"))
     texts = keyed_text(docs).select("*", *_key("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, text in enumerate(batch["text"]):
-                found = np.frombuffer(b"".join(shingles(text.as_py(), words)), "<i8")[::2]
-                yield pa.record_batch({"node": batch["node"].slice(i, 1), "shingles": pa.array([found], pa.list_(pa.int64()))})
+                found = np.frombuffer(b"".join(shingles(text.as_py(), words)), "<i8")[::2].copy()
+                lists = {"parity": pa.array([parity(found)], pa.list_(pa.int64())), "shingles": pa.array([found], pa.list_(pa.int64()))}
+                yield pa.record_batch({"node": batch["node"].slice(i, 1), "n": pa.array([len(found)], pa.int64())} | lists)
 
     rows = texts.join(wanted, (F.col("key") == F.col("own")) & (F.col("key2") == F.col("own2"))).dropDuplicates(["node"]).select("node", "text")
-    return rows.mapInArrow(run, "node long, shingles array<long>")
+    return rows.mapInArrow(run, "node long, n long, parity array<long>, shingles array<long>")
 
 
 def links(docs: DataFrame, distinct: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS) -> DataFrame:
     """``node`` and ``root`` of every fingerprint that a chain of links joins to another."""
-    near, rest = candidates(distinct)
+    made = tables(distinct.count())
+    near, rest = candidates(distinct, made)
     near = materialize(near, "pairs")
+    met = near.select(F.col("u").alias("n")).union(near.select("v")).union(rest.select("node")).distinct()
+    met = materialize(distinct.join(met, F.col("node") == F.col("n"), "left_semi"), "met")
     roots = connected_components(near.select("u", "v").limit(0))
-    roots = _checked(near, docs, distinct, roots, similarity, words)
+    if met.isEmpty():
+        return roots
+    sets = materialize(_sets(docs, met, words), "shingles")
+    # two rounds join most of a group; pairs not checked by then come out again below if their ends have different roots
+    roots = _checked(near, sets, roots, similarity, 2)
+    known = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    rooted = met.join(known, F.col("node") == F.col("_node"), "left").select("node", "a", "b", F.coalesce("_root", "node").alias("root"))
+    unsettled = candidates(rooted, made, "open")[1].select("node").distinct()
+    rooted = materialize(rooted.join(unsettled, "node", "left_semi"), "unsettled").join(sets.select("node", "n", "parity"), "node")
+    near, rest = candidates(rooted, made, "all", similarity)
+    roots = _checked(materialize(near, "pairs"), sets, roots, similarity)
     if not rest.isEmpty():
-        near = materialize(strangers(rest, roots), "pairs")
-        roots = _checked(near, docs, distinct, roots, similarity, words)
+        near = materialize(strangers(rest, roots, sets, similarity), "pairs")
+        roots = _checked(near, sets, roots, similarity)
     return roots
 
 
-def _checked(left: DataFrame, docs: DataFrame, distinct: DataFrame, roots: DataFrame, similarity: float, words: int) -> DataFrame:
+def _checked(left: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float, rounds: int | None = None) -> DataFrame:
     """The components that the true links among the candidates make of those so far.
 
-    Candidates are checked nearest first, in rounds of 4, 16, 64 ... of a node;
-    those whose ends are joined by then need no check. All others get one.
+    Candidates are checked nearest first, in rounds of 1, 8, 64 ... of a node;
+    those whose ends are joined by then need no check. All others get one, unless ``rounds`` are given.
     """
-    if left.isEmpty():
-        return roots
-    sets = materialize(_sets(docs, distinct, left, words), "shingles")
-    common, most = F.size(F.array_intersect("x", "y")), 4
+    common, most = F.size(F.array_intersect("x", "y")), 1
     while not left.isEmpty():
+        rounds = None if rounds is None else rounds - 1
         ranked = materialize(left.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy("apart", "v"))), "ranked")
         both = (
             ranked.where(F.col("rank") <= most)
@@ -226,10 +298,12 @@ def _checked(left: DataFrame, docs: DataFrame, distinct: DataFrame, roots: DataF
         true = materialize(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("u", "v"), "true")
         # a component so far is a star on its root, so only the new links are left to contract
         roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(true))
+        if rounds == 0:
+            break
         first, second = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "uv")
         rest = ranked.where(F.col("rank") > most).join(first, "u", "left").join(second, "v", "left")
         left = materialize(rest.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v", "apart"), "pairs")
-        most *= 4
+        most *= 8
     return roots
 
 
