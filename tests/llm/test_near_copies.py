@@ -116,3 +116,46 @@ def test_pairs_of_a_large_group_do_not_grow_as_its_square(spark, monkeypatch):
                 group = {k: new if g == old_root else g for k, g in group.items()}
     assert kept == set(group.values()) and 100 < len(kept) < 300
     assert sum(checked) < 30 * len(rows) < len(rows) * len(rows) // 10
+
+
+def test_pairs_that_parities_rule_out_need_no_text(spark, monkeypatch):
+    """Edited texts near by fingerprint but not similar: none is checked, so no text is read again."""
+    rows, checked = copies(24), []
+    old = near_copies._checked
+    monkeypatch.setattr(near_copies, "_checked", lambda left, *more: checked.append(left.count()) or old(left, *more))
+    marked = {i: near_copies.fingerprint(near_copies.shingles(t)).view(np.uint64) for i, t in rows}
+    near = sum(int(np.bitwise_count(marked[2 * i] ^ marked[2 * i + 1]).sum()) <= near_copies.NEAR for i in range(60))
+    assert near > 10
+    assert near_copies.keep_one(corpus.table(spark, rows)).count() == len(rows)
+    assert sum(checked) == 0
+
+
+def test_members_with_few_near_leaders_meet_all_of_them_and_others_are_listed(spark):
+    rng = random.Random(9)
+    rows = []
+    for size in (1, 2, 4, 9):
+        base = rng.getrandbits(127)
+        rows += [base ^ sum(1 << p for p in rng.sample(range(127), 8)) for _ in range(size)]
+    halves = [tuple(int(x) for x in np.array([r & (1 << 64) - 1, r >> 64], np.uint64).view(np.int64)) for r in rows]
+    table = spark.createDataFrame(halves, "a long, b long")
+    keyed = [(r.a, r.b, r.node) for r in table.selectExpr("a", "b", "xxhash64(a, b) AS node", "xxhash64(b, a) AS o").orderBy("o").collect()]
+    apart = lambda x, y: sum(((x[k] ^ y[k]) & (1 << 64) - 1).bit_count() for k in (0, 1))
+    want, listed = {}, set()
+    for k, x in enumerate(keyed):
+        found = [(apart(x, y), j) for j, y in enumerate(keyed[:k]) if apart(x, y) <= near_copies.NEAR]
+        if len(found) > near_copies.FEW:
+            listed |= {x[2], *(keyed[j][2] for _, j in found)}
+            found = [min(found)]
+        want |= {(x[2], keyed[j][2]): d for d, j in found}
+    near, rest = near_copies.candidates(table, [(0, 0)])
+    assert {(r.u, r.v): r.apart for r in near.collect()} == want
+    assert {r.node for r in rest.collect()} == listed and len(listed) == 9
+
+
+@pytest.mark.parametrize("keys, readings", [(7, 1000), (7, 1)])
+def test_more_keys_than_go_out_at_once(spark, monkeypatch, keys, readings):
+    monkeypatch.setattr(near_copies, "KEYS", keys)
+    monkeypatch.setattr(near_copies, "READINGS", readings)
+    rows = copies(2)
+    kept = {r["doc_id"] for r in near_copies.keep_one(corpus.table(spark, rows[:40])).collect()}
+    assert kept == set(range(0, 40, 2))

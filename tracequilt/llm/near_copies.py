@@ -6,16 +6,22 @@ covering masks are made for four sets of bits, each wide enough that a bucket
 of unlike documents has a few members, however many documents there are.
 
 A bucket streams by in a fixed random order of fingerprints; its first ``LEADERS``
-members meet all later ones. A large group would come out as the square of its
-rows, so pairs come out in three passes. First each member is paired with its
-nearest leader in the bucket, one pair a row, and these pairs are checked. Then
-the documents that still have a near one under another root are listed, without
-their pairs. Last, these alone come by with ``PARITY`` bits of their shingles, and
-the pairs come out whose ends have different roots and may be as similar as asked:
-the parities of two sets differ in at most as many bits as the sets in members, so
-no similar pair is left out. Members beyond the leaders that the checked
-links have not brought together with most of their bucket then meet all of the
-bucket, in a join, under the same two tests; so no pair of a large bucket is left out.
+members meet all later ones. Every fingerprint has ``PARITY`` bits of its shingles
+from the first reading on, and only pairs that may be as similar as asked are
+checked on the shingles themselves: the parities of two sets differ in at most as
+many bits as the sets in members, so no similar pair is left out, and pairs near by
+chance, whose number grows faster than the documents', go before a text is read again.
+
+A large group would come out as the square of its rows, so pairs come out in three
+passes. First each member is paired with its near leaders if the bucket has a
+``FEW`` of them, otherwise with the nearest; such a crowded member and its near
+leaders are listed too, and all pairs are checked. Then those of the list that
+still have a near one under another root are found, without their pairs. Last, these
+alone come by with their parities, and the pairs come out whose ends have different
+roots and may be similar. Members beyond the leaders are on the list in both passes;
+those that the checked links have not brought together with most of their bucket
+then meet all of the bucket, in a join, under the same two tests; so no pair of a
+large bucket is left out.
 
 Null text is empty; texts without words have one fingerprint and are one group.
 Texts of any length are read whole. Rows alike in id and text count once, rows
@@ -26,11 +32,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracequilt.llm.common import keyed_text, text_of
@@ -47,10 +54,14 @@ COVERED = 0.15
 NEAR = 36
 #: Members of a bucket that are compared with all later ones while it streams by.
 LEADERS = 96
+#: Near leaders of a member up to which it is paired with all of them at once.
+FEW = 4
 #: Parts in which the members of a bucket meet those that no link has brought to them, if it has more than so many.
 SALTS, SALTED = 16, 1024
 #: Classes of shingles whose counts are kept as odd or even.
 PARITY = 1024
+#: Rows of keys that go to all tasks at once to find their texts, some 40 MB there, and readings of the texts at most.
+KEYS, READINGS = 1 << 19, 8
 
 
 def shingles(text: str, words: int = SHINGLE_WORDS) -> set[bytes]:
@@ -66,9 +77,8 @@ def shingles(text: str, words: int = SHINGLE_WORDS) -> set[bytes]:
     return {digest(line[s : e - 1], SEED) for s, e in zip([0, *ends], ends[words - 1 :])}
 
 
-def fingerprint(text: str, words: int = SHINGLE_WORDS) -> np.ndarray:
-    """Two signed longs; zeros if the text has no word."""
-    found = shingles(text, words)
+def fingerprint(found: set[bytes]) -> np.ndarray:
+    """Two signed longs of the shingles; zeros if there are none."""
     raw = np.frombuffer(b"".join(found), np.uint8).reshape(-1, 16)
     ones = np.zeros(128, np.int64)
     for i in range(0, len(raw), 1 << 15):
@@ -84,12 +94,18 @@ def _key(doc_id, text) -> list:
 def _marked(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.array([fingerprint(t.as_py(), words) for t in batch["text"]], np.int64).reshape(-1, 2)
-            own = {c: batch[c] for c in ("doc_id", "key", "key2")}
-            yield pa.record_batch(own | {"a": pa.array(bits[:, 0].copy()), "b": pa.array(bits[:, 1].copy())})
+            bits, sizes, odd = [], [], []
+            for text in batch["text"]:
+                found = shingles(text.as_py(), words)
+                bits.append(fingerprint(found))
+                sizes.append(len(found))
+                odd.append(parity(_longs(found)))
+            bits = np.array(bits, np.int64).reshape(-1, 2)
+            own = {c: batch[c] for c in ("doc_id", "key", "key2")} | {"a": pa.array(bits[:, 0].copy()), "b": pa.array(bits[:, 1].copy())}
+            yield pa.record_batch(own | {"n": pa.array(sizes, pa.int64()), "parity": pa.array(odd, pa.list_(pa.int64()))})
 
     rows = keyed_text(docs).select("*", *_key("doc_id", "text"))
-    return rows.mapInArrow(run, "doc_id long, key long, key2 long, a long, b long").withColumn("node", F.xxhash64("a", "b"))
+    return rows.mapInArrow(run, "doc_id long, key long, key2 long, a long, b long, n long, parity array<long>").withColumn("node", F.xxhash64("a", "b"))
 
 
 def masks_over(radius: int, positions: list[int], seed: int) -> list[int]:
@@ -117,6 +133,11 @@ def tables(documents: int) -> list[tuple[int, int]]:
     return [(signed(m & (1 << 64) - 1), signed(m >> 64)) for m in masks]
 
 
+def _longs(found: set[bytes]) -> np.ndarray:
+    """Half of each shingle's digest."""
+    return np.frombuffer(b"".join(found), "<i8")[::2].copy()
+
+
 def parity(found: np.ndarray) -> np.ndarray:
     """One bit for each class of shingles: 1 if the set has an odd number of them. Signed longs."""
     return np.packbits(np.bincount(found.view(np.uint64) % np.uint64(PARITY), minlength=PARITY) & 1).view("<i8")
@@ -127,11 +148,18 @@ def _most_apart(similarity: float) -> float:
     return (1 - similarity) / (1 + similarity) + 1e-9
 
 
+def _may_be_similar(similarity: float) -> Column:
+    """Of rows with ``n, parity, _n, _parity``: sizes and parities allow two sets to be that similar."""
+    odd = "aggregate(zip_with(parity, _parity, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
+    return F.expr(f"greatest({odd}, abs(n - _n)) <= {_most_apart(similarity)!r}D * (n + _n)")
+
+
 def _pairs(kind: str, similarity: float):
     """Over rows sorted by bucket: near pairs of a member with a leader before it, and the members beyond the leaders.
 
-    ``nearest``: each member's nearest leader. ``open``: not the pairs but their members, of pairs with different
-    roots. ``all``: every pair with different roots that parities and sizes allow to be similar.
+    ``nearest``: all near leaders of a member that has a few, of others the nearest; these and their near leaders
+    come out among the members too. ``open``: not the pairs but their members, of pairs with different roots.
+    ``all``: every pair with different roots that parities and sizes allow to be similar.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +181,7 @@ def _pairs(kind: str, similarity: float):
             place[: sizes[0]] += count
             base[: sizes[0]] = 0
             left, right, apart = [], [], []
-            least, chosen, hit = np.full(len(bucket), NEAR + 1), np.zeros(len(bucket), np.int64), np.zeros(len(rows), bool)
+            hit = np.zeros(len(rows), bool)
             ask = np.flatnonzero(place > 0)
             for t in range(LEADERS):
                 ask = ask[place[ask] > t]
@@ -163,8 +191,9 @@ def _pairs(kind: str, similarity: float):
                 near = np.flatnonzero(distance <= NEAR)
                 who, other, distance = ask[near], base[ask[near]] + t, distance[near]
                 if kind == "nearest":
-                    less = distance < least[who]
-                    least[who[less]], chosen[who[less]] = distance[less], other[less]
+                    left.append(who + held)
+                    right.append(other)
+                    apart.append(distance)
                     continue
                 good = rows[who + held, 2] != rows[other, 2]
                 if kind == "all":
@@ -176,20 +205,24 @@ def _pairs(kind: str, similarity: float):
                     right.append(other[good])
                     apart.append(distance[good])
                 hit[who[good] + held] = hit[other[good]] = True
+            join = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+            i, j, far, signed = join(left), join(right), join(apart), rows.view(np.int64)
             if kind == "nearest":
-                found = np.flatnonzero(least <= NEAR)
-                left, right, apart = [found + held], [chosen[found]], [least[found]]
+                crowded = (np.bincount(i, minlength=len(rows)) > FEW)[i]
+                hit[i[crowded]] = hit[j[crowded]] = True
+                order = np.lexsort((far, i))
+                first = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
+                out = np.union1d(first, np.flatnonzero(~crowded))
+                i, j, far = i[out], j[out], far[out]
             rest = np.flatnonzero(place >= LEADERS) + held
-            lone = np.union1d(rest, np.flatnonzero(hit)) if kind == "open" else rest
-            join = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
-            i, j, signed = join(left), join(right), rows.view(np.int64)
+            lone = rest if kind == "all" else np.union1d(rest, np.flatnonzero(hit))
             none, blank = pa.nulls(len(i), pa.int64()), pa.nulls(len(lone), pa.int64())
-            of = np.zeros(len(lone), np.int64) if kind == "open" else bucket[lone - held]
+            of = bucket[lone - held] if kind == "all" else np.zeros(len(lone), np.int64)
             yield pa.record_batch({
                 "bucket": pa.concat_arrays([none, pa.array(of)]),
                 "a": pa.array(np.concatenate((signed[i, 0], signed[lone, 0]))), "b": pa.array(np.concatenate((signed[i, 1], signed[lone, 1]))),
                 "c": pa.concat_arrays([pa.array(signed[j, 0]), blank]), "d": pa.concat_arrays([pa.array(signed[j, 1]), blank]),
-                "apart": pa.concat_arrays([pa.array(join(apart)), blank]),
+                "apart": pa.concat_arrays([pa.array(far), blank]),
             })
             at, count = bucket[-1], int(place[-1]) + 1
             lead = rows[base[-1] : base[-1] + min(count, LEADERS)].copy()
@@ -201,12 +234,15 @@ def candidates(rows: DataFrame, made: list[tuple[int, int]], kind: str = "neares
     """Near pairs ``u, v, apart`` (a member, a leader, differing bits), one row each; and ``bucket, node, a, b`` of members beyond the leaders.
 
     ``rows`` has ``a, b``, for the kinds but ``nearest`` also ``root``, for ``all`` also ``n`` and ``parity``; ``made`` are
-    the masks. For ``open`` there are no pairs: the second table has their members too, all in bucket 0.
+    the masks. For ``open`` there are no pairs: the second table has their members too. For ``nearest`` it has crowded
+    members and their near leaders too. Both have all in bucket 0.
     """
-    masks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).cast("long").alias("a"), F.lit(n).cast("long").alias("b")) for i, (m, n) in enumerate(made)])
-    more = [c for c in ("root", "n", "parity") if c in rows.columns]
-    spread = rows.select("a", "b", *more, F.explode(masks).alias("t")).select(F.expr("xxhash64(t.i, a & t.a, b & t.b)").alias("bucket"), "a", "b", *more)
-    dealt = spread.repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("b", "a"))
+    more = {"nearest": [], "open": ["root"], "all": ["root", "n", "parity"]}[kind]
+    spread = rows.select("a", "b", *more, F.explode(F.sequence(F.lit(0), F.lit(len(made) - 1))).alias("i"))
+    # rows are dealt out with the number of the mask: it takes less room than the bucket, which is worked out again there
+    kept = [F.col(c).bitwiseAND(F.array(*[F.lit(m[k]).cast("long") for m in made])[F.col("i")]) for k, c in enumerate("ab")]
+    bucket = F.xxhash64("i", *kept)
+    dealt = spread.repartition(bucket).select(bucket.alias("bucket"), "a", "b", *more).sortWithinPartitions("bucket", F.xxhash64("b", "a"))
     out = dealt.mapInArrow(_pairs(kind, similarity), "bucket long, a long, b long, c long, d long, apart long")
     out = out if kind == "open" else materialize(out, "buckets")
     pairs = out.where("c IS NOT NULL").select(F.xxhash64("a", "b").alias("u"), F.xxhash64("c", "d").alias("v"), "apart").where("u <> v")
@@ -232,27 +268,35 @@ def strangers(rest: DataFrame, roots: DataFrame, sets: DataFrame | None = None,
     asking = placed.where("root <> most").selectExpr(*[f"{c} AS _{c}" for c in own], f"explode(sequence(0, {parts} - 1)) AS _salt")
     apart, good = "CAST(bit_count(a ^ _a) + bit_count(b ^ _b) AS LONG)", F.lit(True)
     if sets is not None:
-        odd = "aggregate(zip_with(parity, _parity, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
-        good = F.expr(f"greatest({odd}, abs(n - _n)) <= {_most_apart(similarity)!r}D * (n + _n)")
+        good = _may_be_similar(similarity)
     met = placed.withColumn("salt", F.expr(f"int(pmod(xxhash64(node), {parts}))")).join(
         asking, F.expr(f"bucket = _bucket AND salt = _salt AND root <> _root AND {apart} <= {NEAR}") & good)
     return met.select(F.greatest("node", "_node").alias("u"), F.least("node", "_node").alias("v"), F.expr(apart).alias("apart")).groupBy("u", "v").agg(F.min("apart").alias("apart"))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``node``, ``shingles``, their number ``n`` and ``parity`` of those fingerprints."""
-    wanted = wanted.select("node", F.col("first.key").alias("own"), F.col("first.key2").alias("own2"))
-    texts = keyed_text(docs).select("*", *_key("doc_id", "text"))
+def _sets(docs: DataFrame, near: DataFrame, met: DataFrame, words: int) -> DataFrame:
+    """``node`` and ``shingles`` of the fingerprints in the pairs; ``met`` has the keys of their rows.
+
+    Texts are filtered where they are read, so that only those asked for move. Keys
+    beyond ``KEYS`` take further readings, beyond ``READINGS`` of them a join.
+    """
+    ends = near.select(F.col("u").alias("node")).union(near.select("v")).distinct()
+    wanted = materialize(met.select("node", "own", "own2").join(ends, "node", "left_semi"), "wanted")
+    texts, same = keyed_text(docs).select("*", *_key("doc_id", "text")), F.expr("key = own AND key2 = own2")
+    parts = max(1, -(-wanted.count() // KEYS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, text in enumerate(batch["text"]):
-                found = np.frombuffer(b"".join(shingles(text.as_py(), words)), "<i8")[::2].copy()
-                lists = {"parity": pa.array([parity(found)], pa.list_(pa.int64())), "shingles": pa.array([found], pa.list_(pa.int64()))}
-                yield pa.record_batch({"node": batch["node"].slice(i, 1), "n": pa.array([len(found)], pa.int64())} | lists)
+                found = pa.array([_longs(shingles(text.as_py(), words))], pa.list_(pa.int64()))
+                yield pa.record_batch({"node": batch["node"].slice(i, 1), "shingles": found})
 
-    rows = texts.join(wanted, (F.col("key") == F.col("own")) & (F.col("key2") == F.col("own2"))).dropDuplicates(["node"]).select("node", "text")
-    return rows.mapInArrow(run, "node long, n long, parity array<long>, shingles array<long>")
+    if parts > READINGS:
+        rows = texts.join(wanted, same)
+    else:
+        rows = reduce(DataFrame.union, [texts.join(F.broadcast(wanted.where(f"pmod(own2, {parts}) = {i}")), same) for i in range(parts)])
+    rows = rows.dropDuplicates(["node"]).select("node", "text")
+    return materialize(rows.mapInArrow(run, "node long, shingles array<long>"), "shingles")
 
 
 def links(docs: DataFrame, distinct: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -260,35 +304,43 @@ def links(docs: DataFrame, distinct: DataFrame, similarity: float = SIMILARITY,
     made = tables(distinct.count())
     near, rest = candidates(distinct, made)
     near = materialize(near, "pairs")
-    met = near.select(F.col("u").alias("n")).union(near.select("v")).union(rest.select("node")).distinct()
-    met = materialize(distinct.join(met, F.col("node") == F.col("n"), "left_semi"), "met")
+    rows = distinct.select("node", "a", "b", "n", "parity", F.col("first.key").alias("own"), F.col("first.key2").alias("own2"))
+    ends = near.select(F.col("u").alias("node")).union(near.select("v")).union(rest.select("node")).distinct()
+    met = materialize(rows.join(ends, "node", "left_semi"), "met")
     roots = connected_components(near.select("u", "v").limit(0))
     if met.isEmpty():
         return roots
-    sets = materialize(_sets(docs, met, words), "shingles")
-    # two rounds join most of a group; pairs not checked by then come out again below if their ends have different roots
-    roots = _checked(near, sets, roots, similarity, 2)
+    first, second = (met.select(F.col("node").alias(c), F.col("n").alias(f"{x}n"), F.col("parity").alias(f"{x}parity")) for c, x in (("u", ""), ("v", "_")))
+    likely = near.join(first, "u").join(second, "v").where(_may_be_similar(similarity)).select("u", "v", "apart")
+    roots = _linked(docs, materialize(likely, "pairs"), met, roots, similarity, words)
+    if rest.isEmpty():
+        return roots
     known = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-    rooted = met.join(known, F.col("node") == F.col("_node"), "left").select("node", "a", "b", F.coalesce("_root", "node").alias("root"))
+    crowd = met.join(rest.select("node").distinct(), "node", "left_semi").join(known, F.col("node") == F.col("_node"), "left")
+    rooted = materialize(crowd.select("node", "a", "b", "n", "parity", F.coalesce("_root", "node").alias("root")), "crowd")
     unsettled = candidates(rooted, made, "open")[1].select("node").distinct()
-    rooted = materialize(rooted.join(unsettled, "node", "left_semi"), "unsettled").join(sets.select("node", "n", "parity"), "node")
+    rooted = materialize(rooted.join(unsettled, "node", "left_semi"), "unsettled")
     near, rest = candidates(rooted, made, "all", similarity)
-    roots = _checked(materialize(near, "pairs"), sets, roots, similarity)
+    roots = _linked(docs, materialize(near, "pairs"), met, roots, similarity, words)
     if not rest.isEmpty():
-        near = materialize(strangers(rest, roots, sets, similarity), "pairs")
-        roots = _checked(near, sets, roots, similarity)
+        near = materialize(strangers(rest, roots, rooted, similarity), "pairs")
+        roots = _linked(docs, near, met, roots, similarity, words)
     return roots
 
 
-def _checked(left: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float, rounds: int | None = None) -> DataFrame:
+def _linked(docs: DataFrame, near: DataFrame, met: DataFrame, roots: DataFrame, similarity: float, words: int) -> DataFrame:
+    """:func:`_checked` with the shingles of these pairs alone."""
+    return roots if near.isEmpty() else _checked(near, _sets(docs, near, met, words), roots, similarity)
+
+
+def _checked(left: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """The components that the true links among the candidates make of those so far.
 
     Candidates are checked nearest first, in rounds of 1, 8, 64 ... of a node;
-    those whose ends are joined by then need no check. All others get one, unless ``rounds`` are given.
+    those whose ends are joined by then need no check. All others get one.
     """
     common, most = F.size(F.array_intersect("x", "y")), 1
     while not left.isEmpty():
-        rounds = None if rounds is None else rounds - 1
         ranked = materialize(left.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy("apart", "v"))), "ranked")
         both = (
             ranked.where(F.col("rank") <= most)
@@ -298,8 +350,6 @@ def _checked(left: DataFrame, sets: DataFrame, roots: DataFrame, similarity: flo
         true = materialize(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("u", "v"), "true")
         # a component so far is a star on its root, so only the new links are left to contract
         roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(true))
-        if rounds == 0:
-            break
         first, second = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "uv")
         rest = ranked.where(F.col("rank") > most).join(first, "u", "left").join(second, "v", "left")
         left = materialize(rest.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v", "apart"), "pairs")
@@ -314,11 +364,12 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHING
     its group has none with one. Of rows alike in id and text one stays.
     """
     marked = materialize(_marked(docs, words), "marked")
-    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "key", "key2")).alias("first")
-    distinct = materialize(marked.groupBy("node", "a", "b").agg(first), "distinct")
-    roots = links(docs, distinct, similarity, words).withColumnRenamed("node", "n")
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "key", "key2", "n", "parity")).alias("first")
+    own = F.struct("first.no_id", "first.doc_id", "first.key", "first.key2").alias("first")
+    distinct = materialize(marked.groupBy("node", "a", "b").agg(first).select("node", "a", "b", own, "first.n", "first.parity"), "distinct")
+    roots = links(docs, distinct, similarity, words).withColumnRenamed("node", "_node")
     kept = (
-        distinct.join(roots, F.col("node") == F.col("n"), "left").groupBy(F.coalesce("root", "node").alias("root"))
+        distinct.join(roots, F.col("node") == F.col("_node"), "left").groupBy(F.coalesce("root", "node").alias("root"))
         .agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"), F.col("first.key2").alias("_key2"))
     )
     own = [k.alias(name) for k, name in zip(_key(F.col("doc_id").cast("long"), text_of("text")), ("_own", "_own2"))]
